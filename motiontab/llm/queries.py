@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from motiontab.llm import tokencount
+from motiontab.llm import neardup, packing, tokencount, topk, urlfilter
 from motiontab.llm.common import read
 
 
@@ -16,12 +17,76 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), length=4096, end_id=2)
+
+
+def op3_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "embeddings"), least=0.98)
+
+
+#: (action, host, path) of the URL rules.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
+    "op2_packing": op2_packing,
+    "op3_embedding_near_duplicates": op3_embedding_near_duplicates,
+    "op4_url_filter": op4_url_filter,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_CAPS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _url_sql() -> str:
+    fits = [
+        f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN struct_pack(n := {len(h + p)}, rule := '{h}{p}', action := '{a}') END" for a, h, p in URL_RULES
+    ]
+    hits = [" + ".join(f"CAST(regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INTEGER)" for t in terms) for terms in (urlfilter.STRICT, urlfilter.SOFT)]
+    return f"""
+    WITH u AS (SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '://(.*)$', 1, 's') ELSE '' END AS rest,
+                      translate(coalesce(url, ''), '{_CAPS}', '{_CAPS.lower()}') AS low FROM pages),
+    p AS (SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), '{_CAPS}', '{_CAPS.lower()}') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    r AS (SELECT *, list_sort(list_filter([{", ".join(fits)}], lambda x: x IS NOT NULL), 'DESC')[1] AS fit,
+                 {hits[0]} AS n_strict, {hits[1]} AS n_soft FROM p)
+    SELECT page_id, host, path, fit.rule AS rule,
+           coalesce(fit.action, CASE WHEN {urlfilter.SOFT_LIMIT} * n_strict + n_soft >= {urlfilter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
+    FROM r"""
+
+
+_VALID = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_top_k": f"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE vec_id IS NOT NULL AND {_VALID}),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op3_embedding_near_duplicates": f"""
+    WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+                         WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_VALID} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+    c AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+    m AS (SELECT a, min(b) AS component_id FROM c GROUP BY a),
+    n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings LEFT JOIN m ON vec_id = m.a LEFT JOIN n ON vec_id = n.a""",
+    "op4_url_filter": _url_sql(),
+}
