@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motiontab.llm import neardup, packing, tokencount, topk, urlfilter
+from motiontab.llm import neardup, ngramjoin, packing, tokencount, topk, urlfilter
 from motiontab.llm.common import read
 
 
@@ -37,6 +37,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(read(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_embedding_near_duplicates": op3_embedding_near_duplicates,
     "op4_url_filter": op4_url_filter,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -89,4 +94,16 @@ ORACLE_SQL: dict[str, str] = {
     SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
     FROM embeddings LEFT JOIN m ON vec_id = m.a LEFT JOIN n ON vec_id = n.a""",
     "op4_url_filter": _url_sql(),
+    "op5_ngram_jaccard": f"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_CAPS}', '{_CAPS.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+    d AS (SELECT DISTINCT doc_id, g FROM g),
+    n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+    i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM d a JOIN d b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+    SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+    FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON documents.doc_id = m.a""",
 }
