@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motiontab.llm import neardup, ngramjoin, packing, tokencount, topk, urlfilter
+from motiontab.llm import lmscore, neardup, ngramjoin, packing, tokencount, topk, urlfilter
 from motiontab.llm.common import read
 
 
@@ -41,6 +41,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(read(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(read(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_near_duplicates": op3_embedding_near_duplicates,
     "op4_url_filter": op4_url_filter,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op7_lm_score": op7_lm_score,
     "op10_token_counts": op10_token_counts,
 }
 
