@@ -92,7 +92,7 @@ class Subtree:
             if d < depth:
                 keys = keys & np.uint64((1 << 8 * (d + 1)) - 1)
             keys, at = np.unique(keys, return_inverse=True)
-            a, b, below = (np.bincount(at, v, len(keys)) for v in (a, b, below))
+            a, b, below = (np.bincount(at, v, len(keys)).astype(np.float64) for v in (a, b, below))
             stop = np.ones(len(keys))
             if d == depth:
                 below = log_kt(a, b)
@@ -234,7 +234,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
         tree = Subtree(keys, n, depth)
         p = tree.predict(keys, depth)
         nodes, a, b, log = tree.top
-        rated = pa.table([pa.array(keys.view(np.int64)), pa.array(n.astype(np.float64)), pa.nulls(len(n), pa.float64()), pa.nulls(len(n), pa.float64()), pa.array(list(p), pa.list_(pa.float64()))], list(TREE))
+        rated = pa.table([pa.array(keys.view(np.int64)), pa.array(n.astype(np.float64)), pa.nulls(len(n), pa.float64()), pa.nulls(len(n), pa.float64()), pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(n) + 1, 8, dtype=np.int32)), pa.array(p.ravel()))], list(TREE))
         above = pa.table([pa.array(nodes.view(np.int64)), pa.array(a), pa.array(b), pa.array(log), pa.nulls(len(a), pa.list_(pa.float64()))], list(TREE))
         return pa.concat_tables([rated, above])
 

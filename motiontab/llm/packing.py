@@ -13,6 +13,7 @@ it in constant time. A window whose size is a power of two needs no padding, so
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -26,13 +27,17 @@ from pyspark.sql import functions as F
 SENTENCE_CUT, INSIDE_CUT = 24.0, 96.0
 #: Places inside sentences are offered every so many tokens where a gap between other places is over LONG_GAP.
 INSIDE_STEP, LONG_GAP = 32, 256
-#: Text characters that one packing task aims at; a task then ends with one padded window among hundreds.
-CHARS_PER_TASK = 4_000_000
+#: Bytes of text that one packing task aims at; a task then ends with one padded window among hundreds.
+BYTES_PER_TASK = 4_000_000
 #: Tokens that are solved at once; the last window of each solution is solved again with what follows.
 SOLVE = 1_000_000
 WORDS_KEPT = 500_000
-ENDS = frozenset(".!?…。！？")
-_SEPARATOR = "\x01"
+ENDS = ".!?…。！？"
+#: Marks that end a word and are one pre-token of their own there; an apostrophe is none.
+MARKS = ".,;:!?|#$%&*-"
+#: Byte-level tokenizers write each byte as a letter: printable ones as themselves, the rest in order from 256.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 def cuts(places: list[int], penalties: list[float], length: int) -> list[int]:
@@ -72,28 +77,37 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.separator = self.ids(_SEPARATOR)
-        if len(self.separator) != 1 or self.ids("a b\nc") != self.ids("a") + self.ids("b") + self.ids("c"):
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.pieces = {"": b""}
+        if self.ids("a b\nc") != self.ids("a") + self.ids("b") + self.ids("c"):
             raise ValueError("this tokenizer does not drop white space; it cannot be read word by word")
+        # lower-cases, marks stand alone, and bytes are written as letters before the model reads them
+        read = [t.id for w in ("Ã©a", ".!") for t in self.tokenizer.model.tokenize(w)]
+        self.simple = self.ids("Éa.!") == self.ids("éa") + self.ids(".!") == read
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)  # ids that end a sentence
+        self.ends[[i for c in ENDS for i in self.ids(c)[-1:] if self.tokenizer.decode([i]).strip() == c]] = True
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def learn(self, missing: set[str]) -> None:
-        """Encode many words at once, set apart by a word of one known id."""
-        plain = [w for w in missing if _SEPARATOR not in w]
-        for w in missing.difference(plain):
-            self[w] = np.array(self.ids(w), "<u4").tobytes()
-        for k in range(0, len(plain), 5000):
-            some = plain[k : k + 5000]
-            ids = np.array(self.ids(f" {_SEPARATOR} ".join(some)), "<u4")
-            ends = np.flatnonzero(ids == self.separator[0])
-            if len(ends) != len(some) - 1:
-                self.update((w, np.array(self.ids(w), "<u4").tobytes()) for w in some)
-                continue
-            data = ids.tobytes()
-            bounds = [-1, *ends.tolist(), len(ids)]
-            self.update((w, data[4 * a + 4 : 4 * b]) for w, a, b in zip(some, bounds, bounds[1:], strict=False))
+        """Add words. A plain word is a lower-case core and its closing marks: the tokenizer's model reads these."""
+        if len(self.pieces) > WORDS_KEPT:
+            self.pieces = {"": b""}
+        pieces, read = self.pieces, self.tokenizer.model.tokenize
+        for w in missing:
+            core = w.rstrip(MARKS) if self.simple else w
+            low = core.lower()
+            if self.simple and core.isalpha() and len(low) == len(core) and max(low) < "\u0250":
+                marks = w[len(core) :]
+                for part in (low, marks):
+                    if part not in pieces:
+                        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                        pieces[part] = array("I", [t.id for t in read(letters)]).tobytes()
+                self[w] = pieces[low] + pieces[marks]
+            else:
+                self[w] = array("I", self.ids(w)).tobytes()
 
 
 _known: dict[str, WordIds] = {}
@@ -112,22 +126,20 @@ def split(text: str) -> list[str]:
 
 def encoded(words: list[str], known: WordIds, end: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     """A document's ids, and its places with their penalties; the last place is its end."""
-    parts = list(map(known.__getitem__, words))
-    ids = b"".join(parts) + end
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) >> 2
-    stops = ends[np.fromiter((w[-1:] in ENDS for w in words), bool, len(words))]
+    ids = b"".join(map(known.__getitem__, words))
+    stops = np.flatnonzero(known.ends[np.frombuffer(ids, "<u4")]) + 1
+    ids += end
     total = len(ids) >> 2
-    places = np.append(stops[(stops > 0) & (stops < total - 1)], total)
+    places = np.append(stops[stops < total - 1], total)
     penalties = np.full(len(places), SENTENCE_CUT)
     penalties[-1] = 0.0
     gaps = np.diff(places, prepend=0)
     if (gaps > LONG_GAP).any():
         more = np.concatenate([np.arange(p - g + INSIDE_STEP, p, INSIDE_STEP) for p, g in zip(places[gaps > LONG_GAP], gaps[gaps > LONG_GAP], strict=True)])
         places, penalties = np.append(places, more), np.append(penalties, np.full(len(more), INSIDE_CUT))
-    order = np.argsort(places, kind="stable")
-    places, penalties = places[order], penalties[order]
-    first = np.append(True, places[1:] != places[:-1])
-    return ids, places[first], penalties[first]
+        order = np.argsort(places, kind="stable")
+        places, penalties = places[order], penalties[order]
+    return ids, places, penalties
 
 
 class Packer:
@@ -190,8 +202,8 @@ def pack(docs: DataFrame, tokenizer_file: str, length: int = 4096, end_id: int =
     """
     ids_type = docs.schema[id_col].dataType
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    ranges = docs.repartitionByRange(max(1, chars // CHARS_PER_TASK), "id").sortWithinPartitions("id", "text")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ranges = docs.repartitionByRange(max(1, size // BYTES_PER_TASK), "id").sortWithinPartitions("id", "text")
     schema = ranges.select("id").schema
     for field in PIECES.split(", "):
         schema = schema.add(*field.split())
