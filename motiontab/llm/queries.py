@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motiontab.llm import lmscore, neardup, ngramjoin, packing, tokencount, topk, urlfilter
+from motiontab.llm import linededup, lmscore, neardup, ngramjoin, packing, tokencount, topk, urlfilter
 from motiontab.llm.common import read
 
 
@@ -45,6 +45,11 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(read(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(read(spark, sf_dir, "documents"), percent=80)
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_lm_score": op7_lm_score,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -111,4 +117,15 @@ ORACLE_SQL: dict[str, str] = {
     m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
     SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
     FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON documents.doc_id = m.a""",
+    "op9_line_dedup": """
+    WITH l AS (SELECT doc_id, i AS pos, a[i] AS line, list_distinct(list_filter(regexp_split_to_array(lower(a[i]), '[ \\t\\x0B\\f\\r]+'), lambda x: x <> '')) AS w
+               FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))),
+    s AS (SELECT list_sort(w) AS w, len(w) AS n, min(struct_pack(d := doc_id, p := pos)) AS f FROM l WHERE len(w) > 0 GROUP BY 1, 2),
+    d AS (SELECT DISTINCT x.f FROM s x JOIN s y ON y.f < x.f AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n AND y.w[1] <= x.w[len(x.w)] AND x.w[1] <= y.w[len(y.w)]
+          WHERE 9 * len(list_intersect(x.w, y.w)) >= 4 * (x.n + y.n)),
+    k AS (SELECT f FROM s EXCEPT SELECT f FROM d),
+    j AS (SELECT l.*, k.f IS NOT NULL AS kept FROM l LEFT JOIN k ON k.f = struct_pack(d := l.doc_id, p := l.pos)),
+    t AS (SELECT doc_id, count(*) FILTER (WHERE len(w) > 0) AS n_lines, count(*) FILTER (WHERE len(w) > 0 AND NOT kept) AS n_removed,
+                 coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE kept OR len(w) = 0), '') AS text FROM j GROUP BY doc_id)
+    SELECT doc_id, n_lines, n_removed, length(text) AS n_chars_left, md5(text) AS text_md5 FROM t""",
 }
