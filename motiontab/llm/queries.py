@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motiontab.llm import linededup, lmscore, neardup, ngramjoin, packing, tokencount, topk, urlfilter
+from motiontab.llm import linededup, lmscore, mixing, neardup, ngramjoin, packing, quality, tokencount, topk, urlfilter
 from motiontab.llm.common import read
 
 
@@ -45,6 +45,26 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(read(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.fit(docs, read(spark, sf_dir, "labels")).apply(docs).select("doc_id", "quality_score", "accepted")
+
+
+#: Target weights of the languages.
+TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    mixture = mixing.fit(docs, language_labels(docs, read(spark, sf_dir, "labels")), TARGETS)
+    return mixture.apply(docs).select("doc_id", "source", "n_tokens", *[F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(mixture.domains)], "rate")
+
+
+def language_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): the language of documents that were labelled and found good."""
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(read(spark, sf_dir, "documents"), percent=80)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -60,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_near_duplicates": op3_embedding_near_duplicates,
     "op4_url_filter": op4_url_filter,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_quality": op6_quality,
     "op7_lm_score": op7_lm_score,
+    "op8_source_mixing": op8_source_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
