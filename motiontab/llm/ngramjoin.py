@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from motiontab.llm.common import components, cut, words
 
 #: Odd 64-bit multipliers that mix word hashes; fixed so that hashes agree between runs.
-MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Frequent n-grams are moved to the end of the order: those seen LOCAL times in a batch and OFTEN times in all, the
 #: MOST most frequent of them. Any list gives the same links; it only keeps tiles small.
 LOCAL, OFTEN, MOST = 4, 64, 100_000
@@ -34,6 +34,7 @@ SMALL, BLOCK = 8, 2048
 #: Two block numbers make one number of a pair.
 PAIR = 1 << 31
 WORDS_KEPT = 500_000
+BROADCAST_ROWS = 1_000_000
 
 
 class WordHashes(dict):
@@ -42,29 +43,35 @@ class WordHashes(dict):
         return value
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(MIX[1])
-    return x ^ (x >> np.uint64(29))
-
-
-def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word n-grams; with fewer words, of the whole sequence."""
-    found = words(text)
-    if not found:
-        return np.zeros(0, np.uint64)
+def shingle_sets(texts: list[str | None], n: int, hashes: WordHashes) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word n-grams; with fewer words, of the whole sequence."""
     if len(hashes) > WORDS_KEPT:
         hashes.clear()
-    w = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-    size = min(n, len(w))
-    total = np.full(len(w) - size + 1, size, np.uint64)
-    for k in range(size):
-        total += mixed(w[k : len(w) - size + 1 + k] + np.uint64(k)) * np.uint64(MIX[k % len(MIX)])
-    return np.unique(mixed(total))
+    out: list[np.ndarray] = []
+    for s in range(0, len(texts), 256):
+        found = [words(t) for t in texts[s : s + 256]]
+        sizes = np.array([len(w) for w in found])
+        ends = np.cumsum(sizes)
+        # each word's hash by its place in the n-gram; n - 1 zeros at the end complete the last windows
+        w = np.fromiter((h for x in found for h in map(hashes.__getitem__, x)), np.uint64, int(ends[-1]))
+        w = np.concatenate([w, np.zeros(n - 1, np.uint64)])
+        total = w[: len(w) - n + 1] * np.uint64(MIX[0])
+        for k in range(1, n):
+            total += w[k : len(w) - n + 1 + k] * np.uint64(MIX[0] * (2 * k + 1) ** 5 & (1 << 64) - 1)
+        total = (total ^ (total >> np.uint64(32))) * np.uint64(MIX[1])
+        total ^= total >> np.uint64(29)
+        for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):
+            if 0 < size < n:
+                out.append(np.array([xxhash.xxh64_intdigest(w[end - size : end].tobytes(), size)], np.uint64))
+                continue
+            own = np.sort(total[end - size : max(end - size, end - n + 1)])
+            out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) else own)
+    return out
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """Bitmap of 2 to 4 bits for each member, a power of two of at least 64 bits."""
-    bits = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    """Bitmap of 1 to 2 bits for each member, a power of two of at least 64 bits."""
+    bits = 1 << max(6, (len(hashes) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(hashes & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -145,22 +152,24 @@ def partners(tile: dict[str, np.ndarray], bits: Signatures, need: Threshold, lo:
             free[j[fine] - lo] = False
 
 
-def small_pairs(tile: dict[str, np.ndarray], bits: Signatures, need: Threshold, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def small_pairs(tile: dict[str, np.ndarray], need: Threshold) -> tuple[np.ndarray, np.ndarray]:
     """All passing pairs of tiles of at most SMALL rows, over a whole batch at once."""
     n, at, comp, key = tile["n"], tile["at"], tile["comp"], tile["key"]
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for k in range(1, SMALL):
-        i = np.flatnonzero((key[:-k] == key[k:]) & (size[:-k] <= SMALL)) if len(key) > k else np.zeros(0, np.int64)
+        i = np.flatnonzero(key[:-k] == key[k:]) if len(key) > k else np.zeros(0, np.int64)
         j = i + k
         fine = (comp[i] != comp[j]) & (100 * n[i] >= need.percent * n[j]) & (1 + np.minimum(n[i] - 1 - at[i], n[j] - 1 - at[j]) >= need.overlap(n[i] + n[j]))
-        i, j = i[fine], j[fine]
-        fine = bits.differ(i, j) <= n[i] + n[j] - 2 * need.overlap(n[i] + n[j])
         found.append((i[fine], j[fine]))
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def tiles_to_pairs(rows: DataFrame, need: Threshold, every: bool, small: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b) of tile rows (key, block_pair, block, rep, n, at, comp, turn, bits)."""
+def tiles_to_pairs(rows: DataFrame, need: Threshold, every: bool) -> DataFrame:
+    """Distinct candidate pairs (a, b) of tile rows (key, pair, block, rep, n, at, comp, turn, rows), and bits in wide tiles.
+
+    Small tiles test all pairs by size and position; wide ones also by signature, every pair or a leader for each row.
+    """
+    wide = "bits" in rows.columns
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -173,11 +182,13 @@ def tiles_to_pairs(rows: DataFrame, need: Threshold, every: bool, small: bool) -
             starts = np.flatnonzero(np.append(True, (tile["key"][1:] != tile["key"][:-1]) | (pair[1:] != pair[:-1])))
             sizes = np.diff(np.append(starts, table.num_rows))
             tile["key"] = np.repeat(np.arange(len(starts)), sizes)
-            bits = Signatures(table.column("bits").combine_chunks())
-            found = [small_pairs(tile, bits, need, np.repeat(sizes, sizes))] if small else []
-            for lo, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-                if size > SMALL or not small:
+            found: list = []
+            if wide:
+                bits = Signatures(table.column("bits").combine_chunks())
+                for lo, size in zip(starts.tolist(), sizes.tolist(), strict=True):
                     found += partners(tile, bits, need, lo, lo + size, every)
+            else:
+                found.append(small_pairs(tile, need))
             i, j = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
             a, b = tile["rep"][i], tile["rep"][j]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -199,6 +210,11 @@ def tiles_to_pairs(rows: DataFrame, need: Threshold, every: bool, small: bool) -
     return dealt.mapInArrow(paired, "a long, b long").distinct()
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """Ids to be sent to every task if they are few (16 MB at most), else to be shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, n_shingles, component_id), one for each row of ``docs``.
 
@@ -215,12 +231,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, keys, sets = [], [], {}
-            for text in batch.column("text").to_pylist():
-                found = shingles(text, n, hashes)
-                sizes.append(len(found))
-                keys.append(set_key(found))
-                sets[keys[-1]] = found
+            found = shingle_sets(batch.column("text").to_pylist(), n, hashes)
+            sizes, keys = [len(x) for x in found], list(map(set_key, found))
+            sets = dict(zip(keys, found, strict=True))
             yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], ["id", "n", "key"])
             values, counts = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
             often = counts >= LOCAL
@@ -242,31 +255,45 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     members = told.where("key IS NOT NULL")
     sets = cut(members.where("n > 0 AND id IS NOT NULL").groupBy("n", "key").agg(F.min("id").alias("rep")))
+    copies = members.where("n > 0 AND id IS NOT NULL").select("id").distinct().join(sets.select(F.col("rep").alias("id")), "id", "left_anti")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rows = []
-            for rep, text, key in zip(*(batch.column(c).to_pylist() for c in ("rep", "text", "key")), strict=True):
-                found = shingles(text, n, hashes)
-                if set_key(found) == key:
-                    rows.append((rep, len(found), key, ordered_prefix(found).view(np.int64), signature(found)))
-            if rows:
-                rep, size, key, prefix, bits = zip(*rows, strict=True)
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
-                prefixes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix)))
-                yield pa.record_batch([pa.array(rep, pa.int64()), pa.array(size, pa.int64()), pa.array(key, pa.binary()), prefixes, pa.array(bits, pa.binary())], ["rep", "n", "key", "prefix", "bits"])
-
-    signs = source.join(sets.select(F.col("rep").alias("id"), "rep", "key"), "id").select("rep", "text", "key")
-    signs = cut(signs.mapInArrow(signed, "rep long, n long, key binary, prefix array<long>, bits binary").dropDuplicates(["rep", "key"]).drop("key"))
+            found = shingle_sets(batch.column("text").to_pylist(), n, hashes)
+            rows = [k for k, x in enumerate(found) if len(x)]
+            prefix = [ordered_prefix(found[k]).view(np.int64) for k in rows]
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
+            prefixes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
+            bits = pa.array([signature(found[k]) for k in rows], pa.binary())
+            yield pa.record_batch([batch.column("id").take(pa.array(rows, pa.int64())), pa.array([len(found[k]) for k in rows], pa.int64()), prefixes, bits], ["rep", "n", "prefix", "bits"])
+
+    single = source.where("id IS NOT NULL").join(_small(cut(copies)), "id", "left_anti")
+    signs = cut(single.mapInArrow(signed, "rep long, n long, prefix array<long>, bits binary"))
+    bits = signs.select("rep", "n", "bits").distinct()
     held = signs.select("rep", "n", F.posexplode("prefix").alias("at", "key"))
     held = held.withColumn("rows", F.count("*").over(Window.partitionBy("key"))).where("rows > 1")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).cast("long")
-    held = held.join(signs.select("rep", "n", "bits"), ["rep", "n"]).withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
+    held = cut(held.select("key", "rep", "n", F.col("at").cast("long").alias("at"), "rows"))
+    small = held.where(F.col("rows") <= SMALL).withColumns({"pair": F.lit(0).cast("long"), "block": F.lit(0).cast("long")})
     # a tile over BLOCK rows becomes tiles of two blocks each; every pair meets in one of them, pairs of one block in its own
-    last_block = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).cast("long") - 1
+    last_block = F.ceil(F.col("rows") / BLOCK).cast("long") - 1
+    wide = held.where(F.col("rows") > SMALL).join(bits, ["rep", "n"]).withColumn("block", F.pmod(F.xxhash64("rep"), last_block + 1))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), last_block), lambda t: F.least("block", t) * PAIR + F.greatest("block", t))
-    tiles = cut(held.select("key", F.explode(pairs).alias("pair"), "block", "rep", "n", F.col("at").cast("long").alias("at"), "bits", "rows"))
+    wide = cut(wide.withColumn("pair", F.explode(pairs)))
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """The pairs whose signatures leave room for the overlap needed."""
+
+        def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = len(batch)
+                both = Signatures(pa.concat_arrays([batch.column("x"), batch.column("y")]))
+                total = np.array(batch.column("n")) + np.array(batch.column("m"))
+                fine = both.differ(np.arange(rows), np.arange(rows, 2 * rows)) <= total - 2 * need.overlap(total)
+                yield batch.select(["a", "b"]).filter(pa.array(fine))
+
+        x, y = bits.select(F.col("rep").alias("a"), "n", F.col("bits").alias("x")), bits.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(passed, "a long, b long").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link, by exact intersection of whole sets."""
@@ -275,10 +302,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
-                data = [shingles(t, n, hashes).tobytes() for t in batch.column("text").to_pylist()]
+                data = [x.tobytes() for x in shingle_sets(batch.column("text").to_pylist(), n, hashes)]
                 yield pa.record_batch([batch.column("id"), pa.array(data, pa.binary())], ["id", "data"])
 
-        whole = source.join(asked, "id").mapInArrow(gathered, "id long, data binary").dropDuplicates(["id", "data"])
+        whole = source.join(_small(cut(asked)), "id").mapInArrow(gathered, "id long, data binary").dropDuplicates(["id", "data"])
 
         def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -294,14 +321,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         joined = pairs.join(whole.select(F.col("id").alias("a"), F.col("data").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("data").alias("y")), "b")
         return joined.select("a", "b", "x", "y").mapInArrow(tested, "a long, b long").distinct()
 
-    links = cut(verified(cut(tiles_to_pairs(tiles.withColumn("comp", F.col("rep")).withColumn("turn", F.col("rep")), need, False, True))))
-    wide = tiles.where(F.col("rows") > SMALL)
+    alone = {"comp": F.col("rep"), "turn": F.col("rep")}
+    near = bounded(tiles_to_pairs(small.withColumns(alone), need, True)).unionAll(tiles_to_pairs(wide.withColumns(alone), need, False))
+    links = cut(verified(cut(near.distinct())))
     for every in (False, True):
         whole = components(links, "a", "b").withColumnRenamed("node", "rep")
         apart = wide.join(whole, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
         several = apart.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
         apart = apart.join(several, "key").withColumn("turn", F.xxhash64("comp", "rep"))
-        more = tiles_to_pairs(apart, need, every, False).join(links, ["a", "b"], "left_anti")
+        more = tiles_to_pairs(apart, need, every).join(links, ["a", "b"], "left_anti")
         links = cut(links.unionAll(verified(cut(more))))
     whole = components(links, "a", "b")
     named = sets.select("n", "key", "rep").join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("n", "key", F.coalesce("component", "rep").alias("component_id"))
