@@ -79,11 +79,11 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces = {"": b""}
+        self.read = self.tokenizer.model.tokenize
         if self.ids("a b\nc") != self.ids("a") + self.ids("b") + self.ids("c"):
             raise ValueError("this tokenizer does not drop white space; it cannot be read word by word")
         # lower-cases, marks stand alone, and bytes are written as letters before the model reads them
-        read = [t.id for w in ("Ã©a", ".!") for t in self.tokenizer.model.tokenize(w)]
+        read = [t.id for w in ("Ã©a", ".!") for t in self.read(w)]
         self.simple = self.ids("Éa.!") == self.ids("éa") + self.ids(".!") == read
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)  # ids that end a sentence
         self.ends[[i for c in ENDS for i in self.ids(c)[-1:] if self.tokenizer.decode([i]).strip() == c]] = True
@@ -91,23 +91,25 @@ class WordIds(dict):
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, missing: set[str]) -> None:
-        """Add words. A plain word is a lower-case core and its closing marks: the tokenizer's model reads these."""
-        if len(self.pieces) > WORDS_KEPT:
-            self.pieces = {"": b""}
-        pieces, read = self.pieces, self.tokenizer.model.tokenize
-        for w in missing:
-            core = w.rstrip(MARKS) if self.simple else w
+    def __missing__(self, word: str) -> bytes:
+        """A plain word is a lower-case core and its closing marks, which the tokenizer's model reads alone."""
+        if len(self) > WORDS_KEPT:
+            self.clear()
+        core = word.rstrip(MARKS)
+        if core.isalpha() and self.simple:
             low = core.lower()
-            if self.simple and core.isalpha() and len(low) == len(core) and max(low) < "\u0250":
-                marks = w[len(core) :]
-                for part in (low, marks):
-                    if part not in pieces:
-                        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                        pieces[part] = array("I", [t.id for t in read(letters)]).tobytes()
-                self[w] = pieces[low] + pieces[marks]
+            if core.isascii():
+                value = array("I", [t.id for t in self.read(low)]).tobytes()
+            elif len(low) == len(core) and max(low) < "\u0250":
+                value = array("I", [t.id for t in self.read(low.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
             else:
-                self[w] = array("I", self.ids(w)).tobytes()
+                value, core = array("I", self.ids(word)).tobytes(), word
+            if len(core) < len(word):
+                value += self[word[len(core) :]]
+        else:
+            value = array("I", self.ids(word)).tobytes()
+        self[word] = value
+        return value
 
 
 _known: dict[str, WordIds] = {}
@@ -124,48 +126,42 @@ def split(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
-def encoded(words: list[str], known: WordIds, end: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """A document's ids, and its places with their penalties; the last place is its end."""
-    ids = b"".join(map(known.__getitem__, words))
-    stops = np.flatnonzero(known.ends[np.frombuffer(ids, "<u4")]) + 1
-    ids += end
-    total = len(ids) >> 2
-    places = np.append(stops[stops < total - 1], total)
+def places_of(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, penalties) of joined documents from their ids, their ends and the ids that end a sentence; 0 comes first."""
+    sentences = np.flatnonzero(stops[ids]) + 1
+    places = np.unique(np.concatenate([[0], sentences, ends]))
     penalties = np.full(len(places), SENTENCE_CUT)
-    penalties[-1] = 0.0
-    gaps = np.diff(places, prepend=0)
-    if (gaps > LONG_GAP).any():
-        more = np.concatenate([np.arange(p - g + INSIDE_STEP, p, INSIDE_STEP) for p, g in zip(places[gaps > LONG_GAP], gaps[gaps > LONG_GAP], strict=True)])
-        places, penalties = np.append(places, more), np.append(penalties, np.full(len(more), INSIDE_CUT))
-        order = np.argsort(places, kind="stable")
-        places, penalties = places[order], penalties[order]
-    return ids, places, penalties
+    gaps = np.diff(places)
+    long = np.flatnonzero(gaps > LONG_GAP)
+    if len(long):
+        more = np.concatenate([np.arange(p + INSIDE_STEP, p + g, INSIDE_STEP) for p, g in zip(places[long], gaps[long], strict=True)])
+        order = np.argsort(np.concatenate([places, more]), kind="stable")
+        places, penalties = np.concatenate([places, more])[order], np.concatenate([penalties, np.full(len(more), INSIDE_CUT)])[order]
+    penalties[np.searchsorted(places, ends)] = 0.0
+    return places, penalties
 
 
 class Packer:
     """Packs one ordered stream; rows of pieces come out as windows are settled."""
 
-    def __init__(self, length: int, first_sequence: int):
-        self.length, self.sequence = length, first_sequence
-        self.docs: list[tuple] = []  # (id, ids, places, penalties, ids already packed)
+    def __init__(self, length: int, first_sequence: int, stops: np.ndarray):
+        self.length, self.sequence, self.stops = length, first_sequence, stops
+        self.docs: list[tuple] = []  # (id, ids, ids already packed)
         self.waiting = 0
 
-    def add(self, doc_id, ids: bytes, places: np.ndarray, penalties: np.ndarray) -> list[tuple]:
-        self.docs.append((doc_id, ids, places, penalties, 0))
+    def add(self, doc_id, ids: bytes) -> list[tuple]:
+        self.docs.append((doc_id, ids, 0))
         self.waiting += len(ids) >> 2
         return self.settle(False) if self.waiting >= SOLVE else []
 
     def settle(self, last: bool) -> list[tuple]:
         if not self.docs:
             return []
-        base, all_places, all_penalties = 0, [np.zeros(1, np.int64)], [np.zeros(1)]
-        for _, ids, places, penalties, done in self.docs:
-            ahead = places > done
-            all_places.append(places[ahead] - done + base)
-            all_penalties.append(penalties[ahead])
-            base += (len(ids) >> 2) - done
-        places = np.concatenate(all_places).tolist()
-        chosen = cuts(places, np.concatenate(all_penalties).tolist(), self.length)
+        ahead = np.frombuffer(b"".join(ids[4 * done :] if done else ids for _, ids, done in self.docs), "<u4")
+        ends = np.cumsum([(len(ids) >> 2) - done for _, ids, done in self.docs])
+        places, penalties = places_of(ahead, ends, self.stops)
+        places = places.tolist()
+        chosen = cuts(places, penalties.tolist(), self.length)
         if not last:
             if len(chosen) < 3:
                 return []
@@ -174,12 +170,12 @@ class Packer:
         for a, b in zip(chosen, chosen[1:], strict=False):
             offset, stop = 0, places[b]
             while at < stop:
-                doc_id, ids, _, _, done = self.docs[k]
+                doc_id, ids, done = self.docs[k]
                 total = len(ids) >> 2
                 size = min(total - done, stop - at)
                 out.append((doc_id, done, size, zlib.crc32(memoryview(ids)[4 * done : 4 * (done + size)]), total, self.sequence, offset))
                 offset, at = offset + size, at + size
-                self.docs[k] = (*self.docs[k][:4], done + size)
+                self.docs[k] = (doc_id, ids, done + size)
                 if done + size == total:
                     k += 1
             self.sequence += 1
@@ -211,7 +207,7 @@ def pack(docs: DataFrame, tokenizer_file: str, length: int = 4096, end_id: int =
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = word_ids(tokenizer_file), np.array([end_id], "<u4").tobytes()
-        packer = Packer(length, TaskContext.get().partitionId() << 32)
+        packer = Packer(length, TaskContext.get().partitionId() << 32, known.ends)
         kind = None
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -221,14 +217,8 @@ def pack(docs: DataFrame, tokenizer_file: str, length: int = 4096, end_id: int =
         for batch in batches:
             kind = batch.schema.field("id").type
             rows: list[tuple] = []
-            texts = batch.column("text").to_pylist()
-            for k in range(0, len(texts), 500):
-                split_texts = [split(t) for t in texts[k : k + 500]]
-                if len(known) > WORDS_KEPT:
-                    known.clear()
-                known.learn(set().union(*split_texts).difference(known))
-                for doc_id, w in zip(batch.column("id")[k : k + 500].to_pylist(), split_texts, strict=True):
-                    rows += packer.add(doc_id, *encoded(w, known, end))
+            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rows += packer.add(doc_id, b"".join(map(known.__getitem__, split(text))) + end)
             if rows:
                 yield batch_of(rows)
         if rows := packer.settle(True):
