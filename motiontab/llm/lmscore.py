@@ -30,6 +30,7 @@ from motiontab.llm.common import cut, words
 DEPTH = 5
 #: Entries of the tables that go to every task.
 TOP_STRINGS, TOP_WORDS = 1 << 19, 1 << 17
+WORDS_KEPT = 400_000
 END = 255
 _BITS = np.arange(8)
 
@@ -75,6 +76,40 @@ def packed(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray
     return strings[keep], starts
 
 
+def portions(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(first row, words of each text) of successive texts with about ``most`` characters together."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t or "") > most:
+            yield start, [words(x) for x in texts[start:k]]
+            start, size = k, 0
+        size += len(t or "") + 1
+    if size:
+        yield start, [words(x) for x in texts[start:]]
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by key."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+class Logs(dict):
+    """word -> log10 probability, null for words that are not in the table (sorted hashes and their counts)."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, whole: float):
+        order = np.argsort(keys)
+        self.keys, self.values_ = keys[order], np.log10(counts[order] + 0.1) - whole
+
+    def __missing__(self, word: bytes) -> float | None:
+        if len(self) > WORDS_KEPT:
+            self.clear()
+        key = np.uint64(xxhash.xxh64_intdigest(word))
+        at = int(np.searchsorted(self.keys, key))
+        value = self[word] = float(self.values_[at]) if at < len(self.keys) and self.keys[at] == key else None
+        return value
+
+
 class Subtree:
     """The nodes below one two-byte context, from strings (uint64) and their counts."""
 
@@ -126,10 +161,10 @@ class Subtree:
 class Crown:
     """Contexts of one byte and of none, as full tables [context, node]."""
 
-    def __init__(self, rows: list[tuple[int, int, float, float, float]]):
+    def __init__(self, columns: list[np.ndarray]):
+        """columns: context, node, zeros, ones, sum of ln P_w over longer contexts."""
         a, b, below = np.zeros((3, 256, 256))
-        for context, node, zeros, ones, log in rows:
-            a[context, node], b[context, node], below[context, node] = zeros, ones, log
+        a[columns[0], columns[1]], b[columns[0], columns[1]], below[columns[0], columns[1]] = columns[2:]
         whole, self.stop = weighted(a, b, below)
         whole = np.where(a + b > 0, whole, 0.0)
         self.a, self.b = a, b
@@ -201,26 +236,30 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [words(t) for t in batch.column("text").to_pylist()]
             out = np.array(batch.column("held_out"), dtype=bool)
-            learned = [w for w, h in zip(found, out, strict=True) if not h]
             counts: Counter[bytes] = Counter()
-            for w in learned:
-                counts.update(w)
-            keys = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts)).view(np.int64)
-            yield rows(1, keys, np.fromiter(counts.values(), np.int64, len(counts)), list(counts))
-            yield rows(0, np.zeros(1, np.int64), np.array([len(learned)]), [None])
-            strings, n = np.unique(packed(learned, depth)[0], return_counts=True) if learned else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield rows(2, strings.view(np.int64), n, None)
-            if out.any():
-                more = np.setdiff1d(packed([w for w, h in zip(found, out, strict=True) if h], depth)[0], strings)
-                yield rows(2, more.view(np.int64), np.zeros(len(more), np.int64), None)
-
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray, names: list | None) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n), pa.nulls(len(keys), pa.binary()) if names is None else pa.array(names, pa.binary())], ["kind", "key", "n", "word"])
-
-    gathered = source.mapInArrow(counted, "kind int, key long, n long, word binary")
-    totals = cut(gathered.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.min("word").alias("word")))
+            seen, unseen, learned = [], [], 0
+            for start, found in portions(batch.column("text").to_pylist()):
+                mine = [w for w, h in zip(found, out[start:], strict=False) if not h]
+                for w in mine:
+                    counts.update(w)
+                learned += len(mine)
+                for some, to in ((mine, seen), ([w for w, h in zip(found, out[start:], strict=False) if h], unseen)):
+                    if some:
+                        to.append(np.unique(packed(some, depth)[0], return_counts=True))
+            yield rows(0, np.zeros(1, np.uint64), np.array([learned]))
+            yield rows(1, np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
+            if seen:
+                yield rows(2, *merged(seen))
+            if unseen:
+                keys = merged(unseen)[0]
+                yield rows(2, keys, np.zeros(len(keys), np.int64))
+
+    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+
+    gathered = source.mapInArrow(counted, "kind int, key long, n long")
+    totals = cut(gathered.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     counts = {r.kind: (r.n or 0, r.keys) for r in totals.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("keys")).collect()}
     ends = counts.get(0, (0, 0))[0]
     train_tokens = ends + counts.get(1, (0, 0))[0]
@@ -241,7 +280,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     TREE = {"key": "long", "a": "double", "b": "double", "log": "double", "p": "array<double>"}
     solved_rows = cut(strings.groupBy("below").applyInArrow(solved, ", ".join(f"{k} {v}" for k, v in TREE.items())))
     upper = solved_rows.where("p IS NULL").groupBy(F.expr("cast((key >> 8) & 255 as int)").alias("context"), F.expr("cast(key & 255 as int)").alias("node")).agg(F.sum("a"), F.sum("b"), F.sum("log"))
-    crown = Crown([tuple(r) for r in upper.collect()])  # at most 256 x 255 rows
+    crown = Crown([c.to_numpy() for c in upper.toArrow().columns])  # at most 256 x 255 rows
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,21 +290,18 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
 
     rated = cut(solved_rows.where("p IS NOT NULL").select("key", "a", "p").mapInArrow(combined, "key long, n double, value double"))
     named = totals.where("kind = 1")
-    best = rated.orderBy(F.desc("n"), "key").limit(top_strings).select("key", "value").toPandas()
-    frequent = named.orderBy(F.desc("n"), "key").limit(top_words).select("word", "n").toPandas()
+    best = rated.orderBy(F.desc("n"), "key").limit(top_strings).select("key", "value").toArrow()
+    frequent = named.orderBy(F.desc("n"), "key").limit(top_words).select("key", "n").toArrow()
     context = docs.sparkSession.sparkContext
-    tables = context.broadcast((best["key"].to_numpy(np.int64).view(np.uint64), best["value"].to_numpy(np.float64), list(map(bytes, frequent["word"])), frequent["n"].to_numpy(np.int64)))
+    tables = context.broadcast([t.column(c).to_numpy() for t in (best, frequent) for c in t.column_names])
     whole = np.log10(train_tokens + 0.1 * (distinct + 1))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, names, n = tables.value
-        table, known = Table(keys, values), dict(zip(names, n.tolist(), strict=True))
-        logs = {w: float(np.log10(c + 0.1) - whole) for w, c in known.items()}
+        table, logs = Table(keys.view(np.uint64), values), Logs(names.view(np.uint64), n, float(whole))
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for s in range(0, len(texts), 1000):
-                found = [words(t) for t in texts[s : s + 1000]]
+            for s, found in portions(batch.column("text").to_pylist()):
                 strings, starts = packed(found, depth)
                 value = table.get(strings)
                 missing = np.flatnonzero(np.isnan(value))
@@ -275,7 +311,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
                 pairs, times = np.unique(np.stack([of.astype(np.uint64), strings[missing]]), axis=1, return_counts=True) if len(missing) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
                 base, n_known, rare = [], [], Counter()
                 for i, w in enumerate(found):
-                    got = list(map(logs.get, w))
+                    got = list(map(logs.__getitem__, w))
                     if None in got:
                         unknown = [x for x, g in zip(w, got, strict=True) if g is None]
                         rare.update((i, x) for x in unknown)

@@ -88,7 +88,7 @@ def test_next_byte_probabilities_sum_to_one():
         for key, *v in zip(*t.top, strict=True):
             at = (int(key) >> 8 & 255, int(key) & 255)
             rows[at] = [x + y for x, y in zip(rows.get(at, (0, 0, 0)), v, strict=True)]
-    crown = lmscore.Crown([(*k, *v) for k, v in rows.items()])
+    crown = lmscore.Crown([np.array(c) for c in zip(*((*k, *v) for k, v in rows.items()), strict=True)])
     tree = tops[int(np.searchsorted(np.unique(group), context & np.uint64(65535)))]
     assert (10 ** crown.mixed(every, tree.predict(every, 4))).sum() == pytest.approx(1.0)
 
