@@ -1,6 +1,6 @@
 """Document rates that bring a corpus to target weights of domains, with soft memberships, in DataFrame functions alone.
 
-A Gaussian naive Bayes classifier over shares of character classes, fitted by one aggregation of the labelled table,
+A Gaussian naive Bayes classifier over shares of telling strings, fitted by one aggregation of the labelled table,
 gives each document a posterior over domains. Rates r >= 0 are then fitted by least squares: the expected tokens of a
 domain, sum of r_i n_i p_ik, are to match its target. Projected gradient descent keeps the rates as a fold over the
 residuals so far (one number a domain and round), so a round is one aggregation of (n, p) and no rate table moves.
@@ -18,17 +18,17 @@ from pyspark.sql import functions as F
 
 from motiontab.llm.common import cut
 
-#: Characters that tell the domains apart; each class is one feature, its share of the text. Fixed values.
-CLASSES = ("àâçèéêîôùû", "äöüß", "áíñóú", "kwyh")
+#: Strings that tell the domains apart; the share of the text's bytes that each makes up is one feature. Fixed values.
+CLASSES = ("é", "è", "ä", "ü", "ñ", "ó", "w", "th")
 #: Least standard deviation of a feature, and least posterior.
 SPREAD, LEAST = 0.004, 1e-9
 ROUNDS = 60
 
 
 def features(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    size = F.greatest(F.length(low), F.lit(1))
-    return F.array(*[(F.length(low) - F.length(F.translate(low, c, ""))) / size for c in CLASSES])
+    text = F.coalesce(text, F.lit(""))
+    size = F.greatest(F.octet_length(text), F.lit(1))
+    return F.array(*[(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))) / size for c in CLASSES])
 
 
 def tokens(text: Column) -> Column:

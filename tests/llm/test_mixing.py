@@ -31,8 +31,8 @@ def test_equals_numpy_and_meets_targets(spark):
     assert len(got) == len(rows)
 
     def x_of(text):
-        low = (text or "").lower()
-        return [sum(low.count(c) for c in chars) / max(1, len(low)) for chars in mixing.CLASSES]
+        text = text or ""
+        return [text.count(c) * len(c.encode()) / max(1, len(text.encode())) for c in mixing.CLASSES]
 
     x = np.array([x_of(r.text) for r in got])
     n = np.array([max(1, -(-len((r.text or "").encode()) // 4)) for r in got], float)
