@@ -3,8 +3,8 @@
 A line is the set of its lower-cased words, as 56-bit hashes below a rarity class, sorted: rare words first. Classes come
 from the word counts of all documents, in a table of fixed size; any table gives the same matches. Two sets with
 Jaccard >= t share a word among the first n - ceil(t n) + 1 of each (prefix filter), at places that leave room for
-the overlap needed (positional filter), and differ in size by no more than t (length filter). A word of 64 bits per set
-bounds the overlap once more. What passes is verified on the whole sets.
+the overlap needed (positional filter), and differ in size by no more than t (length filter). Short sets also carry 64
+bits that bound the overlap; long ones must share three words, in prefixes two words longer. What passes is verified on the whole sets.
 
 A line goes if an earlier one matches it. So each set first meets the earliest of its size band at each shared word;
 sets matched there are done, and the rest meets every earlier set it shares a word with.
@@ -19,29 +19,36 @@ from motiontab.llm.common import cut
 
 #: Counters of word rarity, and rows up to which document keys are broadcast (16 bytes each).
 BUCKETS, BROADCAST_ROWS = 1 << 16, 1_000_000
+#: Sets up to SHORT words carry bits, pairs of longer ones must share SHARED words of their prefixes.
+SHORT, SHARED = 48, 3
 _LOW = (1 << 56) - 1
 _SPACE = r"[ \t\x0B\f\r]+"
 
 
-def _hashes(line: Column) -> Column:
-    return F.transform(F.array_remove(F.split(F.lower(line), _SPACE), ""), lambda w: F.xxhash64(w).bitwiseAND(F.lit(_LOW)))
-
-
 def rarity(docs: DataFrame) -> Column:
-    """A constant array: for each bucket of word hashes the class of its count, floor(4 log2(count)) up to 126."""
+    """A constant array: for each bucket of word hashes the class of its count, floor(4 log2(count)) up to 126, in the
+    eighth byte."""
     word = F.explode(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"))
     counts = docs.select(word.alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     classes = [0] * BUCKETS
     for b, c in counts.select("b", F.least(F.lit(126), F.floor(4 * F.log2("n"))).cast("int")).collect():
-        classes[b] = c
-    return F.from_json(F.lit(str(classes)), "array<int>")
+        classes[b] = c << 56
+    return F.from_json(F.lit(str(classes)), "array<long>")
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(id, k, at, line): the lines of documents (id, k, text) that hold words."""
+    return docs.select("id", "k", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(r"[^ \t\x0B\f\r]"))
+
 
+def words_of(line: Column, classes: Column) -> Column:
+    """A line's distinct words as sorted longs, the rarity class above 56 bits of hash."""
 
-def line_sets(docs: DataFrame, classes: Column) -> DataFrame:
-    """(id, k, at, words): the lines of documents (id, k, text) that hold words, as sorted arrays."""
-    ranked = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(h))
-    lines = docs.select("id", "k", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.select("id", "k", "at", F.array_sort(F.array_distinct(ranked)).alias("words")).where(F.size("words") > 0)
+    def word(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+
+    return F.array_sort(F.array_distinct(F.transform(F.array_remove(F.split(F.lower(line), _SPACE), ""), word)))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,45 +62,54 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     need = lambda total: F.ceil(F.lit(percent) * total / (100 + percent))  # noqa: E731  least overlap of two sets
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").withColumn("k", F.xxhash64("id", "text"))
     classes = rarity(keyed)
-    sets = line_sets(keyed, classes)
     n = F.size("words")
-    bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
-    firsts = sets.select(n.alias("n"), F.xxhash64("words").alias("sid"), F.hash("words").alias("h"), F.struct("id", "k", "at").alias("f"), bits.alias("bits"))
-    firsts = cut(firsts.groupBy("n", "sid", "h").agg(F.min("f").alias("f"), F.max("bits").alias("bits")))
-
-    prefix = F.slice("words", F.lit(1), n - F.ceil(F.lit(percent) * n / 100).cast("int") + 1)
-    held = sets.select(F.xxhash64("words").alias("sid"), F.posexplode(prefix).alias("pos", "word"))
+    # a word of bits bounds short sets; in longer ones nearly all bits are set
+    bit = lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
+    bits = F.when(n <= SHORT, F.aggregate("words", F.lit(0).cast("long"), bit))
+    prefix = F.slice("words", F.lit(1), n - F.ceil(F.lit(percent) * n / 100).cast("int") + F.when(n > SHORT, SHARED).otherwise(1))
+    sets = lines_of(keyed).select(F.struct("id", "k", "at").alias("f"), words_of(F.col("line"), classes).alias("words"))
+    sets = cut(sets.select(n.alias("n"), F.xxhash64("words").alias("sid"), F.hash("words").alias("h"), "f", bits.alias("bits"), prefix.alias("prefix")))
+    firsts = cut(sets.groupBy("n", "sid", "h").agg(F.min("f").alias("f"), F.max("bits").alias("bits")))
+
+    held = sets.select("sid", F.posexplode("prefix").alias("pos", "word"))
     by_word = Window.partitionBy("word")
     shared = held.withColumn("low", F.min("sid").over(by_word)).withColumn("high", F.max("sid").over(by_word)).where("low < high").select("word", "sid", "pos").distinct()
     shared = cut(shared.join(firsts.select("sid", "n", "f", "bits"), "sid"))
 
+    long = lambda a, b: F.least(a, b) > SHORT
+
+    def candidates(rows: DataFrame, other: str, n: str, f: str) -> DataFrame:
+        """Distinct pairs (sid, other, f, g) of rows that share words enough."""
+        some = rows.groupBy("sid", F.col(other).alias("other"), "f", F.col(f).alias("g")).agg(F.count("*").alias("c"), F.max(long(F.col("n"), F.col(n)).cast("int")).alias("l"))
+        return some.where((F.col("l") == 0) | (F.col("c") >= SHARED)).drop("c", "l")
+
     def passes(a: str, b: str) -> Column:
         """b is an earlier set that may match a at this word."""
         x, y = (lambda c: F.col(f"{a}{c}")), (lambda c: F.col(f"{b}{c}"))
         total = x("n") + y("n")
         close = (100 * x("n") >= percent * y("n")) & (100 * y("n") >= percent * x("n"))
-        room = 1 + F.least(x("n") - 1 - x("pos"), y("n") - 1 - y("pos")) >= need(total)
-        return (y("f") < x("f")) & close & room & (F.bit_count(x("bits").bitwiseXOR(y("bits"))) <= total - 2 * need(total))
+        # the first SHARED common words of long sets leave room for the rest after them
+        room = F.least(x("n") - x("pos"), y("n") - y("pos")) + F.when(long(x("n"), y("n")), SHARED - 1).otherwise(0) >= need(total)
+        return (y("f") < x("f")) & close & room & F.coalesce(F.bit_count(x("bits").bitwiseXOR(y("bits"))) <= total - 2 * need(total), F.lit(True))
 
     def matched(pairs: DataFrame) -> DataFrame:
-        """Sets (sid) of pairs (sid, other, k, k2) whose whole word sets match."""
-        pairs = cut(pairs.distinct())
-        keys = pairs.select("k").unionAll(pairs.select("k2")).distinct()
+        """Sets (sid) of pairs (sid, other, f, g) whose whole word sets match."""
+        pairs = cut(pairs)
+        keys = cut(pairs.select("f.k", "f.at").unionAll(pairs.select("g.k", "g.at")).distinct())
         few = keys.count() <= BROADCAST_ROWS
-        whole = line_sets(keyed.join(F.broadcast(keys) if few else keys, "k", "left_semi"), classes).select(F.xxhash64("words").alias("sid"), "words")
-        asked = pairs.select("sid").unionAll(pairs.select("other")).distinct()
-        whole = whole.join(asked, "sid", "left_semi").dropDuplicates(["sid"])
-        both = pairs.join(whole.withColumnRenamed("words", "x"), "sid").join(whole.select(F.col("sid").alias("other"), F.col("words").alias("y")), "other")
+        whole = lines_of(keyed).join(F.broadcast(keys) if few else keys, ["k", "at"], "left_semi").select(words_of(F.col("line"), classes).alias("words"))
+        whole = whole.select(F.xxhash64("words").alias("sid"), "words").dropDuplicates(["sid"])
+        both = pairs.select("sid", "other").join(whole.withColumnRenamed("words", "x"), "sid").join(whole.select(F.col("sid").alias("other"), F.col("words").alias("y")), "other")
         common = F.size(F.array_intersect("x", "y"))
         return cut(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("sid").distinct())
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     earliest = F.min(F.struct("f", "sid", "n", "pos", "bits")).over(Window.partitionBy("word", band))
     one = shared.withColumn("e", earliest).where(F.col("e.sid") != F.col("sid")).where(passes("", "e."))
-    done = matched(one.select("sid", F.col("e.sid").alias("other"), F.col("f.k").alias("k"), F.col("e.f.k").alias("k2")))
+    done = matched(candidates(one, "e.sid", "e.n", "e.f"))
     left = shared.join(done, "sid", "left_anti")
     right = shared.select("word", *[F.col(c).alias(f"b_{c}") for c in ("sid", "pos", "n", "f", "bits")])
-    rest = matched(left.join(right, "word").where(passes("", "b_")).select("sid", F.col("b_sid").alias("other"), F.col("f.k").alias("k"), F.col("b_f.k").alias("k2")))
+    rest = matched(candidates(left.join(right, "word").where(passes("", "b_")), "b_sid", "b_n", "b_f"))
     kept = firsts.join(done.unionAll(rest), "sid", "left_anti").groupBy(F.col("f.k").alias("k")).agg(F.collect_list("f.at").alias("kept"))
 
     out = docs.drop("n_lines", "n_removed")

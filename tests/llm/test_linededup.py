@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from motiontab.llm import linededup
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ def rows_of(pairs):
     return [(i, t, "clash", "x", 7) for i, t in pairs]
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("short", [48, 6])
+def test_equals_brute_force(spark, monkeypatch, short):
+    monkeypatch.setattr(linededup, "SHORT", short)
     pick = random.Random(2)
     vocabulary = [f"w{min(k, int(pick.expovariate(0.05)))}" for k in range(200)]
     lines = []
