@@ -153,6 +153,20 @@ def rank_sum_tests(df: DataFrame, variables: Sequence[str], group: str = "group_
     return out.select("a", "b", "variable", "n_a", "n_b", "w", "p")
 
 
+def rank_sums_by_key(df: DataFrame, key: str, group: str, value: str) -> DataFrame:
+    """(key, w, n_a, n_b, p): rank-sum test of the two groups 'a' and 'b' of each key."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count_if(F.col(group) == "a").alias("ca"), F.count("*").alias("t"))
+    below = F.coalesce(F.sum("t").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.withColumn("rank", below + (F.col("t") + 1) / 2).groupBy(key).agg(F.sum("ca").alias("n_a"), (F.sum("t") - F.sum("ca")).alias("n_b"), F.sum(F.col("ca") * F.col("rank")).alias("r"), F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("tied"))
+
+    @F.pandas_udf("double")
+    def p(w: pd.Series, m: pd.Series, n: pd.Series, tied: pd.Series) -> pd.Series:
+        return pd.Series([rank_sum_p(*x) for x in zip(w, m, n, tied, strict=True)], dtype="float64")
+
+    out = sums.withColumn("w", F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2)
+    return out.select(key, "w", "n_a", "n_b", p("w", "n_a", "n_b", "tied").alias("p"))
+
+
 def kruskal(df: DataFrame, value: str, group: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, groups, h, p): Kruskal-Wallis with tie correction, from counts of distinct values."""
     keys = list(keys)
