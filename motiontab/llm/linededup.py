@@ -12,10 +12,12 @@ sets matched there are done, and the rest meets every earlier set it shares a wo
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motiontab.llm.common import cut
+from motiontab.llm.common import cut, table
 
 #: Counters of word rarity, and rows up to which document keys are broadcast (16 bytes each).
 BUCKETS, BROADCAST_ROWS = 1 << 16, 1_000_000
@@ -68,13 +70,16 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     bits = F.when(n <= SHORT, F.aggregate("words", F.lit(0).cast("long"), bit))
     prefix = F.slice("words", F.lit(1), n - F.ceil(F.lit(percent) * n / 100).cast("int") + F.when(n > SHORT, SHARED).otherwise(1))
     sets = lines_of(keyed).select(F.struct("id", "k", "at").alias("f"), words_of(F.col("line"), classes).alias("words"))
-    sets = cut(sets.select(n.alias("n"), F.xxhash64("words").alias("sid"), F.hash("words").alias("h"), "f", bits.alias("bits"), prefix.alias("prefix")))
+    sets = table(sets.select(n.alias("n"), F.xxhash64("words").alias("sid"), F.hash("words").alias("h"), "f", bits.alias("bits"), prefix.alias("prefix")))
     firsts = cut(sets.groupBy("n", "sid", "h").agg(F.min("f").alias("f"), F.max("bits").alias("bits")))
 
-    held = sets.select("sid", F.posexplode("prefix").alias("pos", "word"))
-    by_word = Window.partitionBy("word")
-    shared = held.withColumn("low", F.min("sid").over(by_word)).withColumn("high", F.max("sid").over(by_word)).where("low < high").select("word", "sid", "pos").distinct()
-    shared = cut(shared.join(firsts.select("sid", "n", "f", "bits"), "sid"))
+    # rows whose word no set of another key and a fitting size has end here
+    held = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "word"))
+    size = int(1e9 * math.log(100 / percent)) + 2
+    near = Window.partitionBy("word").orderBy("ln").rangeBetween(-size, size)
+    held = held.withColumn("ln", F.round(1e9 * F.ln(F.col("n").cast("double"))).cast("long"))
+    shared = held.withColumn("low", F.min("sid").over(near)).withColumn("high", F.max("sid").over(near)).where("low < high").select("word", "sid", "pos").distinct()
+    shared = table(shared.join(firsts.select("sid", "n", "f", "bits"), "sid"))
 
     long = lambda a, b: F.least(a, b) > SHORT
 
