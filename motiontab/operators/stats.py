@@ -195,7 +195,7 @@ def correlations(df: DataFrame, variables: Sequence[str], method: str = "pearson
         for v in variables:
             rows = ranked(rows, v, keys, "_rank").withColumn(v, F.col("_rank")).drop("_rank", "ties") if keys else _global_rank(rows, v)
     pairs = list(combinations(variables, 2))
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
     listed = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.abs(f"r{k}") if absolute else F.col(f"r{k}")).alias("r")) for k, (a, b) in enumerate(pairs)]))
     return out.select(*keys, "n", listed.alias("x")).select(*keys, "x.a", "x.b", F.when(~F.isnan("x.r"), F.col("x.r")).alias("r"), "n")
 

@@ -41,6 +41,7 @@ def parse_log(lines: DataFrame, line: str = "value") -> DataFrame:
     """
     text = F.col(line)
     numbers = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"-?\d+"), F.lit(0)), lambda x: x.cast("long"))
+    listed = lambda c: F.when(c.contains("["), F.regexp_extract(c, r"\[([^\]]*)\]", 1)).otherwise(c)
     kind = F.when(text.startswith("RES: OK Sizes"), "SIZES").when(text.startswith("MODEL: ID:"), "MODEL").when(text.startswith("CNTTRACK:"), F.trim(F.regexp_extract(text, r"^CNTTRACK:\s*\d+,\s*(NEW|LOST|N->1|1->N)", 1)))
     rows = lines.select(text.alias("line"), kind.alias("kind")).where("kind <> ''")
     rest = F.regexp_replace("line", r"^(CNTTRACK:\s*\d+,\s*(NEW|LOST|N->1|1->N)\s*,?|RES: OK Sizes:|MODEL: ID:)", "")
@@ -49,7 +50,7 @@ def parse_log(lines: DataFrame, line: str = "value") -> DataFrame:
         "kind",
         F.when(F.col("line").startswith("CNTTRACK:"), F.regexp_extract("line", r"^CNTTRACK:\s*(\d+)", 1).cast("int")).alias("frame"),
         F.when(F.col("kind") != "SIZES", numbers(F.get(sides, 0))).alias("ids"),
-        F.when(F.col("kind") != "SIZES", numbers(F.coalesce(F.get(sides, 1), F.lit("")))).alias("to_ids"),
+        F.when(F.col("kind") != "SIZES", numbers(listed(F.coalesce(F.get(sides, 1), F.lit(""))))).alias("to_ids"),
         F.when(F.col("kind") == "SIZES", numbers(rest)).alias("sizes"),
     )
 

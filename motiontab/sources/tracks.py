@@ -44,7 +44,7 @@ def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """(group, condition, trial, pairs, odor_a_x, odor_a_y) from vidAndLogs/metadata.txt of each trial.
 
     pairs: the key=value lines as a map. The odour's place is the value of ``OdorALocation``, else of the sixth data row,
-    else (0, 0).
+    else (0, 0). An empty file gives no row, which ``with_odor`` reads as (0, 0).
     """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.txt").text(folder, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     data = F.filter(F.split("value", r"\r?\n"), lambda x: x.contains("="))
