@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from motiontab.llm.common import cut, table
 
 #: Counters of word rarity, and rows up to which document keys are broadcast (16 bytes each).
-BUCKETS, BROADCAST_ROWS = 1 << 16, 1_000_000
+BUCKETS, BROADCAST_ROWS = 1 << 18, 1_000_000
 #: Sets up to SHORT words carry bits, pairs of longer ones must share SHARED words of their prefixes.
 SHORT, SHARED = 48, 3
 _LOW = (1 << 56) - 1
@@ -28,14 +28,14 @@ _SPACE = r"[ \t\x0B\f\r]+"
 
 
 def rarity(docs: DataFrame) -> Column:
-    """A constant array: for each bucket of word hashes the class of its count, floor(4 log2(count)) up to 126, in the
-    eighth byte."""
+    """A constant array: for each bucket of word hashes the class of its count, floor(4 log2(count)) up to 126."""
     word = F.explode(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"))
     counts = docs.select(word.alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     classes = [0] * BUCKETS
-    for b, c in counts.select("b", F.least(F.lit(126), F.floor(4 * F.log2("n"))).cast("int")).collect():
-        classes[b] = c << 56
-    return F.from_json(F.lit(str(classes)), "array<long>")
+    found = counts.select("b", F.least(F.lit(126), F.floor(4 * F.log2("n"))).cast("int").alias("c")).toArrow().to_pydict()
+    for b, c in zip(found["b"], found["c"], strict=True):
+        classes[b] = c
+    return F.from_json(F.lit("[" + ",".join(map(str, classes)) + "]"), "array<int>")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def words_of(line: Column, classes: Column) -> Column:
 
     def word(w: Column) -> Column:
         h = F.xxhash64(w)
-        return F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+        return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
     return F.array_sort(F.array_distinct(F.transform(F.array_remove(F.split(F.lower(line), _SPACE), ""), word)))
 
