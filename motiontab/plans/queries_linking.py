@@ -22,7 +22,6 @@ classed AS (SELECT video, frame, a, b, (CASE WHEN i > 1 THEN 'N' ELSE '1' END) |
   UNION ALL SELECT o.video, o.frame + 1, o.label, NULL, 'LOST' FROM objects o JOIN (SELECT video, max(frame) AS m FROM objects GROUP BY 1) z ON z.video = o.video AND o.frame < z.m
             LEFT JOIN links l ON l.video = o.video AND l.frame = o.frame + 1 AND l.a = o.label WHERE l.a IS NULL),
 heads AS (SELECT o.video, o.frame, o.label FROM objects o LEFT JOIN classed c ON c.video = o.video AND c.frame = o.frame AND c.b = o.label AND c.kind = '1->1' WHERE c.b IS NULL),
--- labels are kept through 1->1 links of one label; others are rare, so a track is followed by label and by link
 p AS (SELECT o.video, o.frame, o.label, c.a AS before FROM objects o LEFT JOIN classed c ON c.video = o.video AND c.frame = o.frame AND c.b = o.label AND c.kind = '1->1')"""
 
 
@@ -177,9 +176,6 @@ def _(spark, d):
     return collisions.with_missing_ids(r, bundle=0)
 
 
-_TWO = f"""WITH {measures_sql()}"""
-
-
 @query("h26_two_by_two")
 def _(spark, d):
     m = measures(spark, d).where("frame < 90 AND midpoint_speed IS NOT NULL")
