@@ -253,7 +253,7 @@ def _(spark, d):
 
 
 @query("i10_dilation", f"""{_OTSU}, f AS (SELECT p.* FROM pixels p JOIN t USING (video, frame) WHERE grey > threshold), g AS (SELECT DISTINCT video, frame, x + dx AS x, y + dy AS y FROM f, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy))
-SELECT video, frame, count(*) AS n, sum(grey) AS total FROM pixels JOIN g USING (video, frame, x, y) GROUP BY ALL""")
+SELECT video, frame, count(*) AS n, CAST(sum(grey) AS BIGINT) AS total FROM pixels JOIN g USING (video, frame, x, y) GROUP BY ALL""")
 def _(spark, d):
     p = pixel_table(spark, d)
     return pixels.dilated(pixels.foreground(p), p).groupBy("video", "frame").agg(F.count("*").alias("n"), F.sum("grey").alias("total"))
