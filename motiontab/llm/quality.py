@@ -27,12 +27,19 @@ SHARE, SURE = 0.05, 0.95
 REJECT_BELOW = 0.4
 #: Byte classes of the text view. Fixed values.
 BYTES = (b"!", b"#$%&*@^~", b"|<>{}[]\\", bytes(range(65, 91)), b"0123456789", b".,;:?", b" \t\r", b"\n", bytes(range(97, 123)), bytes(range(128, 256)))
+#: Words of a window in which distinct ones are counted; the share in a longer stretch falls with its length alone.
+WINDOW = 2000
 _SHARES = np.zeros((256, len(BYTES)))
 for _k, _some in enumerate(BYTES):
     _SHARES[list(_some), _k] = 1.0
 TEXT_FEATURES = len(BYTES) + 3
 
 
+def distinct_share(words: list[bytes]) -> float:
+    """Share of distinct words, the mean over consecutive windows that cover all words, a shorter last one by its size."""
+    return sum(len(set(words[k : k + WINDOW])) for k in range(0, len(words), WINDOW)) / len(words)
+
+
 def text_view(texts: list[str | None]) -> np.ndarray:
     """One row of features for each text; null as empty."""
     counts, more = np.zeros((len(texts), 256)), np.zeros((len(texts), 3))
@@ -41,7 +48,7 @@ def text_view(texts: list[str | None]) -> np.ndarray:
         counts[k] = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
         words = data.split()
         if words:
-            more[k] = sum(map(eq, words, words[1:])) / len(words), len(data) / len(words) / 10, len(set(words[:2000])) / min(2000, len(words))
+            more[k] = sum(map(eq, words, words[1:])) / len(words), len(data) / len(words) / 10, distinct_share(words)
     shares = counts @ _SHARES / np.maximum(1, counts.sum(axis=1))[:, None]
     return np.hstack([np.sqrt(shares), more])
 

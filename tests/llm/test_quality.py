@@ -49,3 +49,11 @@ def test_without_labels_of_both_kinds(spark):
 def test_text_view_is_of_whole_texts():
     x = quality.text_view(["ab! " * 5, None, "a a b"])
     assert np.isclose(x[0, 0], np.sqrt(5 / 20)) and np.isclose(x[2, -3], 1 / 3) and not x[1].any()
+
+
+def test_repeats_after_the_first_window_count():
+    head = [f"w{i}" for i in range(2000)]
+    varied, tail = [f"v{i}" for i in range(6500)], ["buy", "cheap", "pills", "now"] * 1625
+    x = quality.text_view([" ".join(head), " ".join(head + varied), " ".join(head + tail)])
+    assert np.isclose(x[0, -1], 1) and np.isclose(x[1, -1], 1)
+    assert np.isclose(x[2, -1], (2000 + 4 * 4) / 8500)  # windows 2000, 2000, 2000, 2000 and 500
