@@ -3,7 +3,7 @@
 1. Quality classifier: documents that it rejects go.
 2. Line dedup: near-duplicate lines go, and documents that lose their last line with words.
 3. N-gram Jaccard join: of each group of linked documents the one with the smallest id stays.
-4. Source mixing: each document is kept in as many copies as its rate says, at least one.
+4. Source mixing: each document is kept in as many copies as its rate says; rates are at least one and meet the targets.
 5. Packing: the pieces of the corpus in training windows.
 """
 
@@ -42,9 +42,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    mixture = mixing.fit(docs, language_labels(docs, read(spark, sf_dir, "labels")), TARGETS)
-    copies = F.greatest(F.lit(1), mixing.copies(F.col("rate"), "doc_id"))
-    rows = mixture.apply(docs).withColumn("copies", copies)
+    mixture = mixing.fit(docs, language_labels(docs, read(spark, sf_dir, "labels")), TARGETS, least=1.0)
+    rows = mixture.apply(docs).withColumn("copies", mixing.copies(F.col("rate"), "doc_id"))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

@@ -67,61 +67,67 @@ def with_posterior(rows: DataFrame, model: Model, x: str, name: str) -> DataFram
     return rows.withColumn(name, F.transform(name, lambda v: v / F.col(x))).drop(x)
 
 
-def rate(p: Column, steps: list[list[float]]) -> Column:
-    """A document's rate after the given gradient steps, from one: r <- max(0, r - step . p)."""
+def rate(p: Column, steps: list[list[float]], least: float = 0.0) -> Column:
+    """A document's rate after the given gradient steps, from one: r <- max(least, r - step . p)."""
     if not steps:
         return F.lit(1.0)
     flat = F.from_json(F.lit(str(steps)), "array<array<double>>")
     dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return F.aggregate(flat, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+    return F.aggregate(flat, F.lit(1.0), lambda r, g: F.greatest(F.lit(float(least)), r - dot(g)))
 
 
 @dataclass
 class Mixture:
-    """What ``fit`` found: domains in the order of posteriors, the classifier, gradient steps and target tokens."""
+    """What ``fit`` found: domains in the order of posteriors, the classifier, gradient steps, target tokens and least rate."""
 
     domains: list[str]
     model: Model
     steps: list[list[float]]
     wanted: list[float]
+    least: float = 0.0
 
     def apply(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Rows of ``docs`` with n_tokens, posterior and rate; columns of those names are replaced."""
         out = docs.drop("n_tokens", "posterior", "rate")
         x = "".join(out.columns) + "_x"  # a name that no column has
         out = with_posterior(out.withColumn(x, features(F.col(text_col))), self.model, x, "posterior")
-        return out.withColumn("n_tokens", tokens(F.col(text_col)).cast("long")).withColumn("rate", rate(F.col("posterior"), self.steps))
+        return out.withColumn("n_tokens", tokens(F.col(text_col)).cast("long")).withColumn("rate", rate(F.col("posterior"), self.steps, self.least))
 
 
-def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> Mixture:
+def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> Mixture:
     """Fit rates of ``docs`` to ``targets``, weights of domains scaled to the corpus' tokens in all.
 
     labels: rows (id_col, domain); rows whose domain is null or no target are left out, as are ids that docs lacks.
     Null and empty texts count as one token; null ids take part but cannot be labelled. Each document has a finite
-    rate >= 0, and where the targets can be met expected tokens approach them. Without documents rates stay one.
+    rate >= ``least`` (0 or 1), and where the targets can be met expected tokens approach them. Without documents rates
+    stay one. With ``least`` 1 all documents stay, and the targets are scaled to the total at which the domain furthest
+    above its weight keeps its tokens; no weight may be 0 then.
     """
     domains = sorted(targets)
     weight = sum(targets.values())
     if not domains or weight <= 0 or min(targets.values()) < 0:
         raise ValueError("targets need a positive sum and no negative weight")
+    if least not in (0, 1) or (least and min(targets.values()) == 0):
+        raise ValueError("the least rate is 0, or 1 if all targets are positive")
     read = cut(docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("n"), features(F.col(text_col)).alias("x")))
     model = fit_classifier(read.join(labels.select(F.col(id_col).alias("id"), "domain"), "id").select("domain", "x"), domains)
     base = cut(with_posterior(read.select("n", "x"), model, "x", "p"))
     k = range(len(domains))
     p = [F.col("p")[i] for i in k]
-    first = base.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * p[i] * p[j]).alias(f"g{i}_{j}") for i in k for j in k]).first()
+    first = base.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * p[i] * p[j]).alias(f"g{i}_{j}") for i in k for j in k], *[F.sum(F.col("n") * p[i]).alias(f"t{i}") for i in k]).first()
     total = first.n or 0.0
-    wanted = [targets[d] / weight * total for d in domains]
+    scaled = max((first[f"t{i}"] or 0.0) * weight / targets[d] for i, d in enumerate(domains)) if least else total
+    wanted = [targets[d] / weight * scaled for d in domains]
     # squares are weighted by the inverse row sums of the Gram matrix, which bounds the gradient's Lipschitz constant by one
     bound = [max(1e-12, sum(first[f"g{i}_{j}"] for j in k) / total) if total else 1.0 for i in k]
     steps: list[list[float]] = []
     for _ in range(rounds if total else 0):
-        sums = base.select("n", "p", rate(F.col("p"), steps).alias("r")).agg(*[F.sum(F.col("n") * F.col("r") * p[i]) for i in k]).first()
+        sums = base.select("n", "p", rate(F.col("p"), steps, least).alias("r")).agg(*[F.sum(F.col("n") * F.col("r") * p[i]) for i in k]).first()
         residual = [(s - w) / total for s, w in zip(sums, wanted, strict=True)]
         if max(map(abs, residual)) < 1e-6:
             break
         steps.append([v / b for v, b in zip(residual, bound, strict=True)])
-    return Mixture(domains, model, steps, wanted)
+    return Mixture(domains, model, steps, wanted, least)
 
 
 def copies(rate_col: Column, *keys: str) -> Column:
