@@ -178,11 +178,13 @@ def _(spark, d):
 
 @query("h26_two_by_two")
 def _(spark, d):
-    m = measures(spark, d).where("frame < 90 AND midpoint_speed IS NOT NULL")
-    role = F.concat(F.when(F.col("frame") < 45, "in").otherwise("out"), (F.col("id") % 2 + 1).cast("string"))
+    # every 90 frames of a pair are a collision, 45 before and 45 after
+    m = measures(spark, d).where("midpoint_speed IS NOT NULL")
+    collision = F.concat_ws("-", F.floor(F.col("id") / 2), F.floor(F.col("frame") / 90))
+    role = F.concat(F.when(F.col("frame") % 90 < 45, "in").otherwise("out"), (F.col("id") % 2 + 1).cast("string"))
     # outgoing animals keep a shift of their own, so that pairs can be told apart
     value = F.col("midpoint_speed") + F.when(F.col("id") % 2 == 1, 8.0).otherwise(0.0)
-    return rnd(collisions.resolve_two(m.select(F.floor(F.col("id") / 2).alias("collision"), role.alias("role"), value.alias("value"))), digits=9)
+    return rnd(collisions.resolve_two(m.select(collision.alias("collision"), role.alias("role"), value.alias("value"))), digits=9)
 
 
 # logs and detections derived from the events table

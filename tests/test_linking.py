@@ -74,3 +74,26 @@ def test_two_by_two(spark):
     rows += [(2, role, float(k)) for role in ("in1", "in2", "out1", "out2") for k in range(20)]
     got = {r.collision: r.straight for r in collisions.resolve_two(spark.createDataFrame(rows, "collision long, role string, value double")).collect()}
     assert got == {1: False, 2: None}
+
+
+def test_two_by_two_takes_every_block_of_frames(spark):
+    from motiontab.operators.stats import chi_square_tail
+    from motiontab.plans.fixtures import measures
+    from motiontab.plans import queries_linking  # noqa: F401
+    from motiontab.plans.queries import QUERIES
+
+    blocks = {}
+    for r in measures(spark, "/root/testdata/sf0.01").where("midpoint_speed IS NOT NULL").select("id", "frame", "midpoint_speed").collect():
+        role = ("in" if r.frame % 90 < 45 else "out") + str(r.id % 2 + 1)
+        blocks.setdefault(f"{r.id // 2}-{r.frame // 90}", {}).setdefault(role, []).append(r.midpoint_speed + 8 * (r.id % 2))
+    got = {r.collision: r for r in QUERIES["h26_two_by_two"](spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(blocks) and len(got) > 5
+    for k, roles in blocks.items():
+        if len(roles) < 4:
+            assert got[k].straight is None
+            continue
+        values = sorted(v for some in roles.values() for v in some)
+        n, rank = len(values), {v: (values.index(v) + 1 + len(values) - values[::-1].index(v)) / 2 for v in set(values)}
+        h = 12 / (n * (n + 1)) * sum(sum(rank[v] for v in some) ** 2 / len(some) for some in roles.values()) - 3 * (n + 1)
+        h /= 1 - sum(values.count(v) ** 3 - values.count(v) for v in set(values)) / (n**3 - n)
+        assert abs(got[k].p_gate - chi_square_tail(h, 3)) < 1e-8
