@@ -1,56 +1,75 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame functions alone.
 
-A line is the set of its lower-cased words, as 56-bit hashes below a rarity class, sorted: rare words first. Classes come
-from the word counts of all documents, in a table of fixed size; any table gives the same matches. Two sets with
-Jaccard >= t share a word among the first n - ceil(t n) + 1 of each (prefix filter), at places that leave room for
-the overlap needed (positional filter), and differ in size by no more than t (length filter). Short sets also carry 64
-bits that bound the overlap; long ones must share three words, in prefixes two words longer. What passes is verified on the whole sets.
-
-A line goes if an earlier one matches it. So each set first meets the earliest of its size band at each shared word;
-sets matched there are done, and the rest meets every earlier set it shares a word with.
+A line is the set of its lower-cased words, ordered by rarity: a counter class (the logarithm of the words counted, over
+all documents, in a table of fixed size) above 60 bits of hash. Any table gives the same matches. Two sets with Jaccard
+>= t share a word among the first n - ceil(t n) + 1 of each (prefix filter), at places that leave room for the overlap
+needed (positional filter), and differ in size by no more than t (length filter); 64 bits for each set bound the overlap
+of short ones. What passes is verified on the whole sets.
+
+A word that was counted once joins nothing and is left out. Rare words join alone, so at most 2^MANY sets meet at
+one. Frequent ones join as pairs: sets that share no rare word of the prefix share two frequent ones in a prefix longer
+by one. Long sets, of which pairs would be too many, must share SHARED frequent words of a prefix longer yet.
+
+A line goes if an earlier one matches it. So at each key of many sets, a set first meets the earliest of its size band;
+sets matched there are done, and the rest meets every earlier set of the key.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motiontab.llm.common import cut, table
 
-#: Counters of word rarity, and rows up to which document keys are broadcast (16 bytes each).
-BUCKETS, BROADCAST_ROWS = 1 << 18, 1_000_000
-#: Sets up to SHORT words carry bits, pairs of longer ones must share SHARED words of their prefixes.
-SHORT, SHARED = 48, 3
-_LOW = (1 << 56) - 1
-_SPACE = r"[ \t\x0B\f\r]+"
+#: Counters of word rarity are 2^COUNTERS; a class is the logarithm of a count, rounded up, at most 15.
+COUNTERS = 22
+#: Words up to class ALL (counted up to 2^ALL times) join all their sets at once, words above class MANY join as pairs.
+ALL, MANY = 8, 12
+#: Sets up to SHORT words join by pairs of frequent words, longer ones must share SHARED of them.
+SHORT, SHARED = 256, 3
+#: Sets up to BITS words carry bits that bound the overlap; in longer ones nearly all bits are set.
+BITS = 128
+#: Rows up to which line keys (24 bytes each) and the kept lines of documents are broadcast.
+BROADCAST_ROWS = 4_000_000
+_LOW, _KEY = (1 << 60) - 1, (1 << 48) - 1
+
+
+def words(text: Column) -> Column:
+    """Lower-cased words between spaces, tabs, \\x0B, \\f and \\r; an empty one wherever two of these meet."""
+    for c in "\t\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(F.lower(text), " ")
 
 
 def rarity(docs: DataFrame) -> Column:
-    """A constant array: for each bucket of word hashes the class of its count, floor(4 log2(count)) up to 126."""
-    word = F.explode(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"))
-    counts = docs.select(word.alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
-    classes = [0] * BUCKETS
-    found = counts.select("b", F.least(F.lit(126), F.floor(4 * F.log2("n"))).cast("int").alias("c")).toArrow().to_pydict()
-    for b, c in zip(found["b"], found["c"], strict=True):
-        classes[b] = c
-    return F.from_json(F.lit("[" + ",".join(map(str, classes)) + "]"), "array<int>")
+    """A constant array of longs, each of 16 counters' classes in 4 bits; 8 is added so that they sort as signed numbers."""
+    word = F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")
+    at = F.xxhash64("w").bitwiseAND(F.lit((1 << COUNTERS) - 1)).cast("int")
+    counts = docs.select(word).where("w <> ''").select(at.alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    classes = counts.select("b", (F.least(F.lit(15), F.ceil(F.log2("n"))).cast("long") + 8).bitwiseAND(F.lit(15)).alias("c"))
+    longs = 1 << (COUNTERS - 4)
+    one = F.call_function("shiftleft", "c", (F.shiftright("b", COUNTERS - 4) * 4).cast("int"))
+    found = classes.groupBy(F.col("b").bitwiseAND(F.lit(longs - 1)).alias("b")).agg(F.bit_or(one).alias("c")).toArrow().to_pydict()
+    packed = dict(zip(found["b"], found["c"], strict=True))
+    return F.from_json(F.lit("[" + ",".join(str(packed.get(b, 0)) for b in range(longs)) + "]"), "array<bigint>")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, k, at, line): the lines of documents (id, k, text) that hold words."""
-    return docs.select("id", "k", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(r"[^ \t\x0B\f\r]"))
+def hashes(line: Column) -> Column:
+    """64 bits for each word of a line."""
+    return F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w))
 
 
-def words_of(line: Column, classes: Column) -> Column:
-    """A line's distinct words as sorted longs, the rarity class above 56 bits of hash."""
+def set_of(line: Column, classes: Column) -> Column:
+    """A line's distinct words as sorted longs: the class, less 8, above 60 bits of hash."""
 
-    def word(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+    def word(h: Column) -> Column:
+        some = F.get(classes, h.bitwiseAND(F.lit((1 << (COUNTERS - 4)) - 1)).cast("int"))
+        place = F.shiftright(h, COUNTERS - 6).bitwiseAND(F.lit(60)).cast("int")
+        return F.coalesce(F.shiftleft(F.call_function("shiftright", some, place), 60).bitwiseOR(h.bitwiseAND(F.lit(_LOW))), F.lit(0))
 
-    return F.array_sort(F.array_distinct(F.transform(F.array_remove(F.split(F.lower(line), _SPACE), ""), word)))
+    return F.sort_array(F.array_distinct(F.transform(hashes(line), word)))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,75 +78,108 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     Lines end at \\n; n_lines counts those that hold a word. In the order of (id, content, line number), null ids
     first, a line goes if an earlier line of any document has a word set with 100 * intersection >= percent * union;
     so does every later copy. Lines without words stay. A null text stays null and an empty one empty (0 lines). Of
-    equal rows one keeps its lines. Columns named n_lines or n_removed are replaced.
+    equal rows one keeps its lines. Columns named n_lines or n_removed are replaced. Equal sets are told by their size
+    and 96 bits of hash, words of a pair of lines by 64.
     """
-    need = lambda total: F.ceil(F.lit(percent) * total / (100 + percent))  # noqa: E731  least overlap of two sets
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").withColumn("k", F.xxhash64("id", "text"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    unique = keyed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    doc = ["id"] if unique else ["id", "k"]  # the content's hash tells rows of one id apart
+    f = [*doc, "at"]
+    if not unique:
+        keyed = keyed.withColumn("k", F.xxhash64("id", "text"))
     classes = rarity(keyed)
-    n = F.size("words")
-    # a word of bits bounds short sets; in longer ones nearly all bits are set
+    lines = keyed.select(*doc, F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.ltrim("line", F.lit(" \t\x0b\f\r")) != "")
+
+    need = F.ceil(F.lit(percent) * F.col("n") / 100).cast("int")
     bit = lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
-    bits = F.when(n <= SHORT, F.aggregate("words", F.lit(0).cast("long"), bit))
-    prefix = F.slice("words", F.lit(1), n - F.ceil(F.lit(percent) * n / 100).cast("int") + F.when(n > SHORT, SHARED).otherwise(1))
-    sets = lines_of(keyed).select(F.struct("id", "k", "at").alias("f"), words_of(F.col("line"), classes).alias("words"))
-    sets = table(sets.select(n.alias("n"), F.xxhash64("words").alias("sid"), F.hash("words").alias("h"), "f", bits.alias("bits"), prefix.alias("prefix")))
-    firsts = cut(sets.groupBy("n", "sid", "h").agg(F.min("f").alias("f"), F.max("bits").alias("bits")))
-
-    # rows whose word no set of another key and a fitting size has end here
-    held = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "word"))
-    size = int(1e9 * math.log(100 / percent)) + 2
-    near = Window.partitionBy("word").orderBy("ln").rangeBetween(-size, size)
-    held = held.withColumn("ln", F.round(1e9 * F.ln(F.col("n").cast("double"))).cast("long"))
-    shared = held.withColumn("low", F.min("sid").over(near)).withColumn("high", F.max("sid").over(near)).where("low < high").select("word", "sid", "pos").distinct()
-    shared = table(shared.join(firsts.select("sid", "n", "f", "bits"), "sid"))
-
-    long = lambda a, b: F.least(a, b) > SHORT
-
-    def candidates(rows: DataFrame, other: str, n: str, f: str) -> DataFrame:
-        """Distinct pairs (sid, other, f, g) of rows that share words enough."""
-        some = rows.groupBy("sid", F.col(other).alias("other"), "f", F.col(f).alias("g")).agg(F.count("*").alias("c"), F.max(long(F.col("n"), F.col(n)).cast("int")).alias("l"))
-        return some.where((F.col("l") == 0) | (F.col("c") >= SHARED)).drop("c", "l")
+    sets = lines.select(*f, set_of(F.col("line"), classes).alias("words")).withColumn("n", F.size("words"))
+    sets = sets.withColumn("once", F.size(F.filter("words", lambda w: w < F.lit(-7 << 60)))).withColumn("p", F.col("n") - need + 1)
+    most = F.col("p") - F.col("once") + F.when(F.col("n") * 100 >= SHORT * percent, SHARED - 1).otherwise(1)
+    prefix = F.when(F.col("p") > F.col("once"), F.slice("words", F.col("once") + 1, most)).otherwise(F.array().cast("array<long>"))
+    narrow = F.transform(prefix, lambda w: F.shiftrightunsigned(w, 12).bitwiseXOR(F.lit(1 << 51)))  # class from 0 above 48 bits
+    bits = F.when(F.col("n") <= BITS, F.aggregate("words", F.lit(0).cast("long"), bit))
+    sets = sets.select("n", F.xxhash64("words").alias("sid"), F.hash("words").alias("h"), F.struct(*f, "n", "p", "once", bits.alias("bits"), narrow.alias("prefix")).alias("s"))
+    firsts = table(sets.groupBy("n", "sid", "h").agg(F.min("s").alias("s")).select("s.*"))
+
+    over = F.lit((MANY + 1) << 48)
+    row = [*f, "n", "bits"]
+    place = F.col("once") + F.col("i")
+    each = firsts.where(F.size("prefix") > 0).select(*row, "p", "once", "prefix", F.posexplode("prefix").alias("i", "word"))
+    tiny = percent * F.col("n") <= 100  # may match by one word
+    alone = each.where((place < F.col("p")) & ((F.col("word") < over) | tiny))
+    alone = alone.select("word", F.col("word").bitwiseAND(F.lit(_KEY)).alias("key"), *row, (F.col("n") - place).alias("left"))
+    high = firsts.where(F.coalesce(F.element_at("prefix", F.when(F.size("prefix") > 0, F.size("prefix"))) >= over, F.lit(False)))
+    high = high.select(*row, "p", "once", "prefix", F.posexplode("prefix").alias("i", "word")).where(F.col("word") >= over)
+    second = F.posexplode(F.slice("prefix", F.col("i") + 2, F.greatest(F.lit(0), F.col("p") - place))).alias("j", "other")
+    pairs = high.where((F.col("n") <= SHORT) & ~tiny).select(*row, "once", "i", "word", second)
+    pairs = pairs.select(F.xxhash64("word", "other").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(1).alias("kind"), *row, (F.col("n") - place - F.col("j")).alias("left"))
+    shared = high.where(F.col("n") * 100 >= SHORT * percent).select(F.col("word").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(2).alias("kind"), *row, (F.col("n") - place + SHARED - 1).alias("left"))
+    rare = alone.where(F.col("word") < F.lit((ALL + 1) << 48)).drop("word")
+    often = alone.where(F.col("word") >= F.lit((ALL + 1) << 48)).select("key", F.lit(0).alias("kind"), *row, "left").unionAll(pairs).unionAll(shared)
+
+    def same(columns: list[str], a: str, b: str) -> Column:
+        return reduce(lambda x, y: x & y, (F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}")) for c in columns))
 
     def passes(a: str, b: str) -> Column:
-        """b is an earlier set that may match a at this word."""
+        """b is an earlier set that may match a at this key."""
         x, y = (lambda c: F.col(f"{a}{c}")), (lambda c: F.col(f"{b}{c}"))
-        total = x("n") + y("n")
+        total = percent * (x("n") + y("n"))
+        fits = lambda overlap: (100 + percent) * overlap >= total
         close = (100 * x("n") >= percent * y("n")) & (100 * y("n") >= percent * x("n"))
-        # the first SHARED common words of long sets leave room for the rest after them
-        room = F.least(x("n") - x("pos"), y("n") - y("pos")) + F.when(long(x("n"), y("n")), SHARED - 1).otherwise(0) >= need(total)
-        return (y("f") < x("f")) & close & room & F.coalesce(F.bit_count(x("bits").bitwiseXOR(y("bits"))) <= total - 2 * need(total), F.lit(True))
-
-    def matched(pairs: DataFrame) -> DataFrame:
-        """Sets (sid) of pairs (sid, other, f, g) whose whole word sets match."""
-        pairs = cut(pairs)
-        keys = cut(pairs.select("f.k", "f.at").unionAll(pairs.select("g.k", "g.at")).distinct())
+        apart = F.bit_count(x("bits").bitwiseXOR(y("bits")))
+        bound = F.coalesce(fits(F.shiftright(x("n") + y("n") - apart, 1)), F.lit(True))
+        before = F.lit(False)
+        for c in reversed(f):
+            before = F.coalesce(y(c) < x(c), y(c).isNull() & x(c).isNotNull()) | (y(c).eqNullSafe(x(c)) & before)
+        return close & fits(F.least(x("left"), y("left"))) & bound & before
+
+    def met(a: DataFrame, b: DataFrame, on: list[str], strong: Column) -> DataFrame:
+        """Candidates (line a, line b, strong) of rows that share a key."""
+        both = a.alias("a").join(b.alias("b"), reduce(lambda x, y: x & y, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in on)) & passes("a.", "b."))
+        return both.select(*[F.col(f"a.{c}").alias(f"a_{c}") for c in f], *[F.col(f"b.{c}").alias(f"b_{c}") for c in f], strong.alias("strong"))
+
+    def matched(found: DataFrame) -> DataFrame:
+        """Lines a of candidates whose word sets match."""
+        ends = [[f"{s}_{c}" for c in f] for s in "ab"]
+        found = found.groupBy(*ends[0], *ends[1]).agg(F.count("*").alias("c"), F.max("strong").alias("strong"))
+        found = cut(found.where(F.col("strong") | (F.col("c") >= SHARED)).drop("c", "strong"))
+        keys = cut(reduce(DataFrame.unionAll, (found.select(*[F.col(c).alias(c[2:]) for c in e]) for e in ends)).distinct())
         few = keys.count() <= BROADCAST_ROWS
-        whole = lines_of(keyed).join(F.broadcast(keys) if few else keys, ["k", "at"], "left_semi").select(words_of(F.col("line"), classes).alias("words"))
-        whole = whole.select(F.xxhash64("words").alias("sid"), "words").dropDuplicates(["sid"])
-        both = pairs.select("sid", "other").join(whole.withColumnRenamed("words", "x"), "sid").join(whole.select(F.col("sid").alias("other"), F.col("words").alias("y")), "other")
-        common = F.size(F.array_intersect("x", "y"))
-        return cut(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("sid").distinct())
-
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
-    earliest = F.min(F.struct("f", "sid", "n", "pos", "bits")).over(Window.partitionBy("word", band))
-    one = shared.withColumn("e", earliest).where(F.col("e.sid") != F.col("sid")).where(passes("", "e."))
-    done = matched(candidates(one, "e.sid", "e.n", "e.f"))
-    left = shared.join(done, "sid", "left_anti")
-    right = shared.select("word", *[F.col(c).alias(f"b_{c}") for c in ("sid", "pos", "n", "f", "bits")])
-    rest = matched(candidates(left.join(right, "word").where(passes("", "b_")), "b_sid", "b_n", "b_f"))
-    kept = firsts.join(done.unionAll(rest), "sid", "left_anti").groupBy(F.col("f.k").alias("k")).agg(F.collect_list("f.at").alias("kept"))
+        keys = keys.select(*[F.col(c).alias(f"k_{c}") for c in f])
+        some = lines.join(F.broadcast(keys) if few else keys, same(f, "", "k_"), "left_semi")
+        some = some.select(*[F.col(c).alias(f"t_{c}") for c in f], F.array_distinct(hashes(F.col("line"))).alias("words"))
+        some = some if unique else some.dropDuplicates([f"t_{c}" for c in f])
+        for s, name in (("a", "x"), ("b", "y")):
+            found = found.join(some.withColumnRenamed("words", name), same(f, f"{s}_", "t_")).drop(*[f"t_{c}" for c in f])
+        found = found.where((100 + percent) * F.size(F.array_intersect("x", "y")) >= percent * (F.size("x") + F.size("y")))
+        return cut(found.select(*[F.col(c).alias(c[2:]) for c in ends[0]]).distinct())
+
+    def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        return rows.join(gone.select(*[F.col(c).alias(f"k_{c}") for c in f]), same(f, "", "k_"), "left_anti")
+
+    often = often.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
+    on = ["key", "kind"]
+    lead = often.groupBy(*on, "band").agg(F.min(F.struct(*row, "left")).alias("s")).select(*on, "band", "s.*")
+    sure = F.col("a.kind") < 2
+    done = matched(met(rare, rare, ["key"], F.lit(True)).unionAll(met(often, lead, [*on, "band"], sure)))
+    done = done.unionAll(matched(met(without(often, done), often, on, sure)))
+    kept = without(firsts.select(*f), done).groupBy(*[F.col(c).alias(f"k_{c}") for c in doc]).agg(F.collect_list("at").alias("kept"))
 
     out = docs.drop("n_lines", "n_removed")
     mark = "".join(out.columns) + "_"  # names that no column of docs has
-    k, copy, lines = f"{mark}k", f"{mark}copy", f"{mark}lines"
-    out = out.withColumn(k, F.xxhash64(id_col, text_col))
-    out = out.join(kept.select(F.col("k").alias(k), F.col("kept").alias(lines)), k, "left")
-    out = out.withColumn(copy, F.row_number().over(Window.partitionBy(k).orderBy(k)))  # equal rows; no further shuffle
+    k, copy, stay = f"{mark}k", f"{mark}copy", f"{mark}lines"
+    kept = kept.withColumnRenamed("kept", stay)
+    if unique:
+        small = firsts.count() <= BROADCAST_ROWS
+        out = out.withColumn(copy, F.lit(1)).join(F.broadcast(kept) if small else kept, F.col(id_col).eqNullSafe(F.col("k_id")) & F.col(text_col).isNotNull(), "left").drop("k_id")
+    else:
+        out = out.withColumn(k, F.xxhash64(id_col, text_col)).join(kept.drop("k_id").withColumnRenamed("k_k", k), k, "left")
+        out = out.withColumn(copy, F.row_number().over(Window.partitionBy(k).orderBy(k))).drop(k)  # equal rows; no further shuffle
     wordy = F.lower(F.col(text_col)).isNotNull()
     whole = F.split(text_col, "\n")
     blank = lambda line: line.rlike(r"^[ \t\x0B\f\r]*$")
-    stays = F.filter(whole, lambda line, i: blank(line) | ((F.col(copy) == 1) & F.coalesce(F.array_contains(lines, i), F.lit(False))))
+    stays = F.filter(whole, lambda line, i: blank(line) | ((F.col(copy) == 1) & F.coalesce(F.array_contains(stay, i), F.lit(False))))
     n_lines = F.coalesce(F.size(F.filter(whole, lambda line: ~blank(line))), F.lit(0))
-    left_lines = F.coalesce(F.when(F.col(copy) == 1, F.size(lines)).otherwise(0), F.lit(0))
-    out = out.withColumn("n_lines", F.when(wordy, n_lines).otherwise(0)).withColumn("n_removed", F.when(wordy, F.col("n_lines") - F.when(F.col(lines).isNull(), 0).otherwise(left_lines)).otherwise(0))
-    return out.withColumn(text_col, F.array_join(stays, "\n")).drop(k, copy, lines)
+    left_lines = F.coalesce(F.when(F.col(copy) == 1, F.size(stay)).otherwise(0), F.lit(0))
+    out = out.withColumn("n_lines", F.when(wordy, n_lines).otherwise(0)).withColumn("n_removed", F.when(wordy, F.col("n_lines") - F.when(F.col(stay).isNull(), 0).otherwise(left_lines)).otherwise(0))
+    return out.withColumn(text_col, F.array_join(stays, "\n")).drop(copy, stay)

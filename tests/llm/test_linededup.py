@@ -49,9 +49,11 @@ def rows_of(pairs):
     return [(i, t, "clash", "x", 7) for i, t in pairs]
 
 
-@pytest.mark.parametrize("short", [48, 6])
-def test_equals_brute_force(spark, monkeypatch, short):
-    monkeypatch.setattr(linededup, "SHORT", short)
+@pytest.mark.parametrize("bounds", [{}, {"SHORT": 6, "ALL": 2, "MANY": 3, "COUNTERS": 10}, {"ALL": 1, "MANY": 1, "COUNTERS": 16}, {"SHORT": 6, "ALL": 0, "MANY": 0, "COUNTERS": 8}])
+def test_equals_brute_force(spark, monkeypatch, bounds):
+    """With the operator's own bounds, and with small ones: words as pairs, long sets by shared words, full counters."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(linededup, name, value)
     pick = random.Random(2)
     vocabulary = [f"w{min(k, int(pick.expovariate(0.05)))}" for k in range(200)]
     lines = []
@@ -71,6 +73,18 @@ def test_equals_brute_force(spark, monkeypatch, short):
     assert run(spark, rows, 60) == brute(spark, rows, 60)
 
 
+def test_a_hot_word_and_many_variants_of_one_line(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "COUNTERS", 12)
+    monkeypatch.setattr(linededup, "ALL", 3)
+    monkeypatch.setattr(linededup, "MANY", 5)
+    base = [f"b{k}" for k in range(18)]
+    texts = [" ".join([*base, f"x{k}", f"y{k}"]) for k in range(90)]  # 18 of 22 words are common to any two
+    texts += [f"hot u{k} v{k} z{k}" for k in range(90)]
+    rows = rows_of([(k * 7 % 180, t) for k, t in enumerate(texts)])
+    got = run(spark, rows)
+    assert got == brute(spark, rows, 80) and sum(r[3] for r in got) == 89
+
+
 def test_empty_table_and_plan_without_python(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame(rows_of([(1, "a b c")]), SCHEMA)
