@@ -21,25 +21,29 @@ def words(text: str | None) -> list[bytes]:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where a session has none (as in tests) a temporary
+    The folder is the one in ``spark.checkpoint.dir``; only where a local session has none (as in tests) a temporary
     one is set.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
 def table(df: DataFrame) -> DataFrame:
     """Like ``cut``, as a compressed Parquet table in the shared folder: for wide or long intermediate results."""
-    spark = df.sparkSession
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that driver and executors share; an error on a cluster that names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{context.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,8 +31,8 @@ ALL, MANY = 8, 12
 SHORT, SHARED = 256, 3
 #: Sets up to BITS words carry bits that bound the overlap; in longer ones nearly all bits are set.
 BITS = 128
-#: Rows up to which line keys (24 bytes each) and the kept lines of documents are broadcast.
-BROADCAST_ROWS = 4_000_000
+#: Rows up to which pairs of lines (48 bytes each) and the kept lines of documents (a byte each) are broadcast.
+BROADCAST_ROWS = 1_000_000
 _LOW, _KEY = (1 << 60) - 1, (1 << 48) - 1
 
 
@@ -57,10 +57,13 @@ def rarity(docs: DataFrame) -> Column:
 
 
 def hashes(line: Column) -> Column:
-    """64 bits for each word of a line."""
     return F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w))
 
 
+def has_words(line: Column) -> Column:
+    return F.ltrim(line, F.lit(" \t\x0b\f\r")) != ""
+
+
 def set_of(line: Column, classes: Column) -> Column:
     """A line's distinct words as sorted longs: the class, less 8, above 60 bits of hash."""
 
@@ -79,7 +82,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     first, a line goes if an earlier line of any document has a word set with 100 * intersection >= percent * union;
     so does every later copy. Lines without words stay. A null text stays null and an empty one empty (0 lines). Of
     equal rows one keeps its lines. Columns named n_lines or n_removed are replaced. Equal sets are told by their size
-    and 96 bits of hash, words of a pair of lines by 64.
+    and 96 bits of hash, words of a pair of lines by 48.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     unique = keyed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
@@ -88,28 +91,28 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     if not unique:
         keyed = keyed.withColumn("k", F.xxhash64("id", "text"))
     classes = rarity(keyed)
-    lines = keyed.select(*doc, F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.ltrim("line", F.lit(" \t\x0b\f\r")) != "")
+    lines = keyed.select(*doc, F.posexplode(F.split("text", "\n")).alias("at", "line")).where(has_words(F.col("line")))
 
-    need = F.ceil(F.lit(percent) * F.col("n") / 100).cast("int")
+    p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
     bit = lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
     sets = lines.select(*f, set_of(F.col("line"), classes).alias("words")).withColumn("n", F.size("words"))
-    sets = sets.withColumn("once", F.size(F.filter("words", lambda w: w < F.lit(-7 << 60)))).withColumn("p", F.col("n") - need + 1)
+    sets = sets.withColumn("once", F.size(F.filter("words", lambda w: w < F.lit(-7 << 60)))).withColumn("p", p)
     most = F.col("p") - F.col("once") + F.when(F.col("n") * 100 >= SHORT * percent, SHARED - 1).otherwise(1)
     prefix = F.when(F.col("p") > F.col("once"), F.slice("words", F.col("once") + 1, most)).otherwise(F.array().cast("array<long>"))
     narrow = F.transform(prefix, lambda w: F.shiftrightunsigned(w, 12).bitwiseXOR(F.lit(1 << 51)))  # class from 0 above 48 bits
     bits = F.when(F.col("n") <= BITS, F.aggregate("words", F.lit(0).cast("long"), bit))
-    sets = sets.select("n", F.xxhash64("words").alias("sid"), F.hash("words").alias("h"), F.struct(*f, "n", "p", "once", bits.alias("bits"), narrow.alias("prefix")).alias("s"))
-    firsts = table(sets.groupBy("n", "sid", "h").agg(F.min("s").alias("s")).select("s.*"))
+    sets = sets.select("n", F.xxhash64("words").alias("sid"), F.hash("words").alias("h"), F.struct(*f, "once", bits.alias("bits"), narrow.alias("prefix")).alias("s"))
+    firsts = table(sets.groupBy("n", "sid", "h").agg(F.min("s").alias("s")).select("n", "s.*"))
 
     over = F.lit((MANY + 1) << 48)
     row = [*f, "n", "bits"]
     place = F.col("once") + F.col("i")
-    each = firsts.where(F.size("prefix") > 0).select(*row, "p", "once", "prefix", F.posexplode("prefix").alias("i", "word"))
+    each = firsts.where(F.size("prefix") > 0).select(*row, p.alias("p"), "once", "prefix", F.posexplode("prefix").alias("i", "word"))
     tiny = percent * F.col("n") <= 100  # may match by one word
     alone = each.where((place < F.col("p")) & ((F.col("word") < over) | tiny))
     alone = alone.select("word", F.col("word").bitwiseAND(F.lit(_KEY)).alias("key"), *row, (F.col("n") - place).alias("left"))
     high = firsts.where(F.coalesce(F.element_at("prefix", F.when(F.size("prefix") > 0, F.size("prefix"))) >= over, F.lit(False)))
-    high = high.select(*row, "p", "once", "prefix", F.posexplode("prefix").alias("i", "word")).where(F.col("word") >= over)
+    high = high.select(*row, p.alias("p"), "once", "prefix", F.posexplode("prefix").alias("i", "word")).where(F.col("word") >= over)
     second = F.posexplode(F.slice("prefix", F.col("i") + 2, F.greatest(F.lit(0), F.col("p") - place))).alias("j", "other")
     pairs = high.where((F.col("n") <= SHORT) & ~tiny).select(*row, "once", "i", "word", second)
     pairs = pairs.select(F.xxhash64("word", "other").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(1).alias("kind"), *row, (F.col("n") - place - F.col("j")).alias("left"))
@@ -133,26 +136,33 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
             before = F.coalesce(y(c) < x(c), y(c).isNull() & x(c).isNotNull()) | (y(c).eqNullSafe(x(c)) & before)
         return close & fits(F.least(x("left"), y("left"))) & bound & before
 
-    def met(a: DataFrame, b: DataFrame, on: list[str], strong: Column) -> DataFrame:
+    def met(a: DataFrame, b: DataFrame, on: list[str], strong: Column, test: Column | None = None) -> DataFrame:
         """Candidates (line a, line b, strong) of rows that share a key."""
-        both = a.alias("a").join(b.alias("b"), reduce(lambda x, y: x & y, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in on)) & passes("a.", "b."))
+        test = passes("a.", "b.") if test is None else test & passes("a.", "b.")
+        both = a.alias("a").join(b.alias("b"), reduce(lambda x, y: x & y, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in on)) & test)
         return both.select(*[F.col(f"a.{c}").alias(f"a_{c}") for c in f], *[F.col(f"b.{c}").alias(f"b_{c}") for c in f], strong.alias("strong"))
 
+    ends = [[f"{s}_{c}" for c in f] for s in "ab"]
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Lines a of distinct pairs whose word sets match."""
+        few = pairs.count() <= BROADCAST_ROWS
+        small = lambda keys: F.broadcast(keys) if few else keys
+        own = lambda name: F.array_distinct(F.transform(hashes(F.col("line")), lambda h: h.bitwiseAND(F.lit(_KEY)))).alias(name)
+        x = lines.join(small(pairs), same(f, "", "a_")).select(*ends[0], *ends[1], own("x"))
+        y = lines.join(small(pairs.select(*ends[1]).distinct()), same(f, "", "b_"), "left_semi").select(*[F.col(c).alias(f"y_{c}") for c in f], own("y"))
+        both = x.join(y, same(f, "b_", "y_"))
+        both = both.where((100 + percent) * F.size(F.array_intersect("x", "y")) >= percent * (F.size("x") + F.size("y")))
+        return cut(both.select(*[F.col(c).alias(c[2:]) for c in ends[0]]).distinct())
+
     def matched(found: DataFrame) -> DataFrame:
-        """Lines a of candidates whose word sets match."""
-        ends = [[f"{s}_{c}" for c in f] for s in "ab"]
+        """Lines a of candidates whose word sets match; each first meets the line with which it shares most keys."""
         found = found.groupBy(*ends[0], *ends[1]).agg(F.count("*").alias("c"), F.max("strong").alias("strong"))
-        found = cut(found.where(F.col("strong") | (F.col("c") >= SHARED)).drop("c", "strong"))
-        keys = cut(reduce(DataFrame.unionAll, (found.select(*[F.col(c).alias(c[2:]) for c in e]) for e in ends)).distinct())
-        few = keys.count() <= BROADCAST_ROWS
-        keys = keys.select(*[F.col(c).alias(f"k_{c}") for c in f])
-        some = lines.join(F.broadcast(keys) if few else keys, same(f, "", "k_"), "left_semi")
-        some = some.select(*[F.col(c).alias(f"t_{c}") for c in f], F.array_distinct(hashes(F.col("line"))).alias("words"))
-        some = some if unique else some.dropDuplicates([f"t_{c}" for c in f])
-        for s, name in (("a", "x"), ("b", "y")):
-            found = found.join(some.withColumnRenamed("words", name), same(f, f"{s}_", "t_")).drop(*[f"t_{c}" for c in f])
-        found = found.where((100 + percent) * F.size(F.array_intersect("x", "y")) >= percent * (F.size("x") + F.size("y")))
-        return cut(found.select(*[F.col(c).alias(c[2:]) for c in ends[0]]).distinct())
+        found = cut(found.where(F.col("strong") | (F.col("c") >= SHARED)).drop("strong"))
+        best = found.groupBy(*ends[0]).agg(F.max(F.struct("c", *ends[1])).alias("b")).select(*ends[0], "b.*").drop("c")
+        done = verified(cut(best))
+        left = found.drop("c").join(done.select(*[F.col(c).alias(f"k_{c}") for c in f]), same(f, "a_", "k_"), "left_anti")
+        return done.unionAll(verified(cut(left.exceptAll(best))))
 
     def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
         return rows.join(gone.select(*[F.col(c).alias(f"k_{c}") for c in f]), same(f, "", "k_"), "left_anti")
@@ -162,24 +172,29 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     lead = often.groupBy(*on, "band").agg(F.min(F.struct(*row, "left")).alias("s")).select(*on, "band", "s.*")
     sure = F.col("a.kind") < 2
     done = matched(met(rare, rare, ["key"], F.lit(True)).unionAll(met(often, lead, [*on, "band"], sure)))
-    done = done.unionAll(matched(met(without(often, done), often, on, sure)))
-    kept = without(firsts.select(*f), done).groupBy(*[F.col(c).alias(f"k_{c}") for c in doc]).agg(F.collect_list("at").alias("kept"))
+    gone = done.select(*[F.col(c).alias(f"k_{c}") for c in f], F.lit(False).alias("open"))
+    often = often.drop("band").join(gone, same(f, "", "k_"), "left").withColumn("open", F.coalesce("open", F.lit(True))).drop(*[f"k_{c}" for c in f])
+    done = done.unionAll(matched(met(often, often, on, sure, F.col("a.open"))))
+    kept = without(firsts.select(*f), done).groupBy(*[F.col(c).alias(f"k_{c}") for c in doc]).agg(F.sort_array(F.collect_list("at")).alias("kept"))
+    # a byte for each line up to the last kept one
+    before = F.concat(F.array(F.lit(-1)), F.slice("kept", F.lit(1), F.size("kept") - 1))
+    flags = F.array_join(F.zip_with("kept", before, lambda a, b: F.concat(F.repeat(F.lit("0"), a - b - 1), F.lit("1"))), "").cast("binary")
+    kept = kept.withColumn("n", F.size("kept")).withColumn("kept", flags)
 
     out = docs.drop("n_lines", "n_removed")
     mark = "".join(out.columns) + "_"  # names that no column of docs has
-    k, copy, stay = f"{mark}k", f"{mark}copy", f"{mark}lines"
-    kept = kept.withColumnRenamed("kept", stay)
+    k, copy, stay, many = f"{mark}k", f"{mark}copy", f"{mark}kept", f"{mark}n"
+    kept = kept.withColumnsRenamed({"kept": stay, "n": many})
     if unique:
         small = firsts.count() <= BROADCAST_ROWS
         out = out.withColumn(copy, F.lit(1)).join(F.broadcast(kept) if small else kept, F.col(id_col).eqNullSafe(F.col("k_id")) & F.col(text_col).isNotNull(), "left").drop("k_id")
     else:
         out = out.withColumn(k, F.xxhash64(id_col, text_col)).join(kept.drop("k_id").withColumnRenamed("k_k", k), k, "left")
         out = out.withColumn(copy, F.row_number().over(Window.partitionBy(k).orderBy(k))).drop(k)  # equal rows; no further shuffle
-    wordy = F.lower(F.col(text_col)).isNotNull()
     whole = F.split(text_col, "\n")
-    blank = lambda line: line.rlike(r"^[ \t\x0B\f\r]*$")
-    stays = F.filter(whole, lambda line, i: blank(line) | ((F.col(copy) == 1) & F.coalesce(F.array_contains(stay, i), F.lit(False))))
-    n_lines = F.coalesce(F.size(F.filter(whole, lambda line: ~blank(line))), F.lit(0))
-    left_lines = F.coalesce(F.when(F.col(copy) == 1, F.size(stay)).otherwise(0), F.lit(0))
-    out = out.withColumn("n_lines", F.when(wordy, n_lines).otherwise(0)).withColumn("n_removed", F.when(wordy, F.col("n_lines") - F.when(F.col(stay).isNull(), 0).otherwise(left_lines)).otherwise(0))
-    return out.withColumn(text_col, F.array_join(stays, "\n")).drop(copy, stay)
+    stays = F.filter(whole, lambda line, i: ~has_words(line) | ((F.col(copy) == 1) & F.coalesce(F.substring(stay, i + 1, F.lit(1)) == F.lit(b"1"), F.lit(False))))
+    n_lines = F.coalesce(F.size(F.filter(whole, has_words)), F.lit(0))
+    left = F.when(F.col(copy) == 1, F.coalesce(F.col(many), F.lit(0))).otherwise(0)
+    wordy = F.col(text_col).isNotNull()
+    out = out.withColumn("n_lines", F.when(wordy, n_lines).otherwise(0)).withColumn("n_removed", F.when(wordy, F.col("n_lines") - left).otherwise(0))
+    return out.withColumn(text_col, F.array_join(stays, "\n")).drop(copy, stay, many)
