@@ -6,12 +6,13 @@ all documents, in a table of fixed size) above 60 bits of hash. Any table gives
 needed (positional filter), and differ in size by no more than t (length filter); 64 bits for each set bound the overlap
 of short ones. What passes is verified on the whole sets.
 
-A word that was counted once joins nothing and is left out. Rare words join alone, so at most 2^MANY sets meet at
+A word that was counted once joins nothing and is left out. Rare words join alone, so at most 2^RARE sets meet at
 one. Frequent ones join as pairs: sets that share no rare word of the prefix share two frequent ones in a prefix longer
-by one. Long sets, of which pairs would be too many, must share SHARED frequent words of a prefix longer yet.
+by one. Sets of over LONG words, which bits cannot tell apart, share three words of a prefix longer by two: two rare ones, or
+two frequent ones at least. Above MOST words, where pairs would be too many, frequent words join alone, too.
 
-A line goes if an earlier one matches it. So at each key of many sets, a set first meets the earliest of its size band;
-sets matched there are done, and the rest meets every earlier set of the key.
+A line goes if an earlier one matches it. So at each frequent key a set first meets the earliest of its size band; sets
+matched there are done, and the rest meets every earlier set of the key.
 """
 
 from __future__ import annotations
@@ -25,12 +26,10 @@ from motiontab.llm.common import cut, table
 
 #: Counters of word rarity are 2^COUNTERS; a class is the logarithm of a count, rounded up, at most 15.
 COUNTERS = 22
-#: Words up to class ALL (counted up to 2^ALL times) join all their sets at once, words above class MANY join as pairs.
-ALL, MANY = 8, 12
-#: Sets up to SHORT words join by pairs of frequent words, longer ones must share SHARED of them.
-SHORT, SHARED = 256, 3
-#: Sets up to BITS words carry bits that bound the overlap; in longer ones nearly all bits are set.
-BITS = 128
+#: Words up to class RARE (counted up to 2^RARE times) join alone, others as pairs in sets of up to MOST words.
+RARE, MOST = 10, 256
+#: Sets up to LONG words carry bits, pairs of longer ones share two keys.
+LONG = 64
 #: Rows up to which pairs of lines (48 bytes each) and the kept lines of documents (a byte each) are broadcast.
 BROADCAST_ROWS = 1_000_000
 _LOW, _KEY = (1 << 60) - 1, (1 << 48) - 1
@@ -97,28 +96,30 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     bit = lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
     sets = lines.select(*f, set_of(F.col("line"), classes).alias("words")).withColumn("n", F.size("words"))
     sets = sets.withColumn("once", F.size(F.filter("words", lambda w: w < F.lit(-7 << 60)))).withColumn("p", p)
-    most = F.col("p") - F.col("once") + F.when(F.col("n") * 100 >= SHORT * percent, SHARED - 1).otherwise(1)
+    more = F.when(F.col("n") > LONG, 2).otherwise(1)  # words of the longer prefix
+    most = F.col("p") - F.col("once") + more
     prefix = F.when(F.col("p") > F.col("once"), F.slice("words", F.col("once") + 1, most)).otherwise(F.array().cast("array<long>"))
     narrow = F.transform(prefix, lambda w: F.shiftrightunsigned(w, 12).bitwiseXOR(F.lit(1 << 51)))  # class from 0 above 48 bits
-    bits = F.when(F.col("n") <= BITS, F.aggregate("words", F.lit(0).cast("long"), bit))
+    bits = F.when(F.col("n") <= LONG, F.aggregate("words", F.lit(0).cast("long"), bit))
     sets = sets.select("n", F.xxhash64("words").alias("sid"), F.hash("words").alias("h"), F.struct(*f, "once", bits.alias("bits"), narrow.alias("prefix")).alias("s"))
     firsts = table(sets.groupBy("n", "sid", "h").agg(F.min("s").alias("s")).select("n", "s.*"))
 
-    over = F.lit((MANY + 1) << 48)
+    over = F.lit((RARE + 1) << 48)
     row = [*f, "n", "bits"]
     place = F.col("once") + F.col("i")
+    loose = F.when(F.col("n") > LONG, 2).otherwise(0)  # of three shared words this may be the last
     each = firsts.where(F.size("prefix") > 0).select(*row, p.alias("p"), "once", "prefix", F.posexplode("prefix").alias("i", "word"))
     tiny = percent * F.col("n") <= 100  # may match by one word
-    alone = each.where((place < F.col("p")) & ((F.col("word") < over) | tiny))
-    alone = alone.select("word", F.col("word").bitwiseAND(F.lit(_KEY)).alias("key"), *row, (F.col("n") - place).alias("left"))
+    rare = each.where((place < F.col("p") + loose) & ((F.col("word") < over) | tiny))
+    rare = rare.select(F.col("word").bitwiseAND(F.lit(_KEY)).alias("key"), *row, (F.col("n") - place + loose).alias("left"))
     high = firsts.where(F.coalesce(F.element_at("prefix", F.when(F.size("prefix") > 0, F.size("prefix"))) >= over, F.lit(False)))
     high = high.select(*row, p.alias("p"), "once", "prefix", F.posexplode("prefix").alias("i", "word")).where(F.col("word") >= over)
-    second = F.posexplode(F.slice("prefix", F.col("i") + 2, F.greatest(F.lit(0), F.col("p") - place))).alias("j", "other")
-    pairs = high.where((F.col("n") <= SHORT) & ~tiny).select(*row, "once", "i", "word", second)
-    pairs = pairs.select(F.xxhash64("word", "other").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(1).alias("kind"), *row, (F.col("n") - place - F.col("j")).alias("left"))
-    shared = high.where(F.col("n") * 100 >= SHORT * percent).select(F.col("word").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(2).alias("kind"), *row, (F.col("n") - place + SHARED - 1).alias("left"))
-    rare = alone.where(F.col("word") < F.lit((ALL + 1) << 48)).drop("word")
-    often = alone.where(F.col("word") >= F.lit((ALL + 1) << 48)).select("key", F.lit(0).alias("kind"), *row, "left").unionAll(pairs).unionAll(shared)
+    second = F.posexplode(F.slice("prefix", F.col("i") + 2, F.greatest(F.lit(0), F.col("p") + more - place - 1))).alias("j", "other")
+    pairs = high.where((F.col("n") <= MOST) & ~tiny).select(*row, "once", "i", "word", second)
+    pairs = pairs.select(F.xxhash64("word", "other").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(1).alias("kind"), *row, (F.col("n") - place - F.col("j") + loose).alias("left"))
+    # sets around MOST words meet both ways
+    single = high.where((F.col("n") * 100 >= MOST * percent) & ~tiny).select(F.col("word").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(2).alias("kind"), *row, (F.col("n") - place + 2).alias("left"))
+    often = pairs.unionAll(single)
 
     def same(columns: list[str], a: str, b: str) -> Column:
         return reduce(lambda x, y: x & y, (F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}")) for c in columns))
@@ -158,7 +159,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     def matched(found: DataFrame) -> DataFrame:
         """Lines a of candidates whose word sets match; each first meets the line with which it shares most keys."""
         found = found.groupBy(*ends[0], *ends[1]).agg(F.count("*").alias("c"), F.max("strong").alias("strong"))
-        found = cut(found.where(F.col("strong") | (F.col("c") >= SHARED)).drop("strong"))
+        found = cut(found.where(F.col("strong") | (F.col("c") >= 2)).drop("strong"))
         best = found.groupBy(*ends[0]).agg(F.max(F.struct("c", *ends[1])).alias("b")).select(*ends[0], "b.*").drop("c")
         done = verified(cut(best))
         left = found.drop("c").join(done.select(*[F.col(c).alias(f"k_{c}") for c in f]), same(f, "a_", "k_"), "left_anti")
@@ -170,8 +171,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     often = often.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
     on = ["key", "kind"]
     lead = often.groupBy(*on, "band").agg(F.min(F.struct(*row, "left")).alias("s")).select(*on, "band", "s.*")
-    sure = F.col("a.kind") < 2
-    done = matched(met(rare, rare, ["key"], F.lit(True)).unionAll(met(often, lead, [*on, "band"], sure)))
+    sure = F.col("a.kind") == 1
+    done = matched(met(rare, rare, ["key"], F.least("a.n", "b.n") <= LONG).unionAll(met(often, lead, [*on, "band"], sure)))
     gone = done.select(*[F.col(c).alias(f"k_{c}") for c in f], F.lit(False).alias("open"))
     often = often.drop("band").join(gone, same(f, "", "k_"), "left").withColumn("open", F.coalesce("open", F.lit(True))).drop(*[f"k_{c}" for c in f])
     done = done.unionAll(matched(met(often, often, on, sure, F.col("a.open"))))

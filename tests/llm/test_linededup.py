@@ -49,7 +49,7 @@ def rows_of(pairs):
     return [(i, t, "clash", "x", 7) for i, t in pairs]
 
 
-@pytest.mark.parametrize("bounds", [{}, {"SHORT": 6, "ALL": 2, "MANY": 3, "COUNTERS": 10}, {"ALL": 1, "MANY": 1, "COUNTERS": 16}, {"SHORT": 6, "ALL": 0, "MANY": 0, "COUNTERS": 8}])
+@pytest.mark.parametrize("bounds", [{}, {"MOST": 8, "LONG": 6, "RARE": 3, "COUNTERS": 10}, {"LONG": 5, "RARE": 1, "COUNTERS": 14}, {"MOST": 6, "LONG": 4, "RARE": 0, "COUNTERS": 8}, {"LONG": 3, "RARE": 4, "COUNTERS": 14}])
 def test_equals_brute_force(spark, monkeypatch, bounds):
     """With the operator's own bounds, and with small ones: words as pairs, long sets by shared words, full counters."""
     for name, value in bounds.items():
@@ -75,8 +75,7 @@ def test_equals_brute_force(spark, monkeypatch, bounds):
 
 def test_a_hot_word_and_many_variants_of_one_line(spark, monkeypatch):
     monkeypatch.setattr(linededup, "COUNTERS", 12)
-    monkeypatch.setattr(linededup, "ALL", 3)
-    monkeypatch.setattr(linededup, "MANY", 5)
+    monkeypatch.setattr(linededup, "RARE", 4)
     base = [f"b{k}" for k in range(18)]
     texts = [" ".join([*base, f"x{k}", f"y{k}"]) for k in range(90)]  # 18 of 22 words are common to any two
     texts += [f"hot u{k} v{k} z{k}" for k in range(90)]
