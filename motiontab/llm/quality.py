@@ -1,10 +1,11 @@
 """Document quality by co-training of two views.
 
 One view reads the text (shares of character classes, repeated words, word length), the other the page's metadata
-(language, source and length). Both are logistic regressions, fitted on the driver over a bounded sample: at most
-``fit_rows`` labelled rows and a pool of ``pool_rows`` others, those with the smallest hashes of their ids. In each
-round each view labels the pool rows it is most confident of, for the other view to learn from. In the end the views'
-scores are calibrated and combined on labelled rows that neither learned from. All documents are scored.
+(language, source and length). Both are logistic regressions, fitted on the driver over at most ``fit_rows`` labelled rows,
+those with the smallest hashes of their ids. In each round each view scores all documents without a label, in Spark, and
+labels those it is sure of; of these at most ``lend`` of either label and round, taken evenly by hash, go to the other view to
+learn from. In the end the views' scores are calibrated, and then combined, each on labelled rows that nothing before
+it learned from. All documents are scored.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of the samples that the driver fits on (about 200 bytes a row), and the rounds of co-training.
-FIT_ROWS, POOL_ROWS, ROUNDS = 20_000, 20_000, 5
-#: A view passes on its most confident rows, this share of the pool in a round, if it is at least this sure of them.
-SHARE, SURE = 0.05, 0.95
+from motiontab.llm.common import cut
+
+#: Labelled rows that the driver fits on (about 200 bytes a row), rows of either label that a view lends in the first round (twice
+#: as many in the second, and so on), and the rounds of co-training.
+FIT_ROWS, LEND, ROUNDS = 20_000, 1_000, 5
+#: A view lends rows of which it is at least this sure.
+SURE = 0.95
 #: Documents below this probability of good quality are rejected.
 REJECT_BELOW = 0.4
 #: Byte classes of the text view. Fixed values.
@@ -84,6 +88,14 @@ class Logistic:
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self.weights[0] + ((x - self.mean) / self.scale) @ self.weights[1:]
 
+    def logit_of(self, x: Column) -> Column:
+        """The same of an array column."""
+        slope = self.weights[1:] / self.scale
+        out = F.lit(float(self.weights[0] - slope @ self.mean))
+        for k, v in enumerate(slope):
+            out = out + F.lit(float(v)) * x[k]
+        return out
+
 
 @dataclass
 class Quality:
@@ -107,7 +119,11 @@ class Quality:
         return sigmoid(both.logit(views))
 
     def apply(self, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reject_below: float = REJECT_BELOW) -> DataFrame:
-        """Rows of ``docs`` with quality_score (probability) and accepted; columns of those names are replaced."""
+        """Rows of ``docs`` with quality_score (probability) and accepted; columns of those names are replaced.
+
+        Each row is scored by itself: null texts are empty, texts of any length are read whole, nulls elsewhere are values of
+        their own. An empty table stays empty.
+        """
         rows = docs.drop("quality_score", "accepted")
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,68 +147,82 @@ def log_odds(keys: list, y: np.ndarray) -> dict:
     return {k: float(np.log((s + 5 * prior) / (n - s + 5 * (1 - prior))) - np.log(prior / (1 - prior))) for k, (s, n) in found.items()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality") -> Quality:
+def listed(matrix: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as lists."""
+    n, k = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.array(matrix.ravel()))
+
+
+def matrix_of(column, width: int) -> np.ndarray:
+    return np.array([np.asarray(v) for v in column], dtype=float).reshape(-1, width)
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lend: int = LEND, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality") -> Quality:
     """Co-train on the labelled rows of ``docs``; labels: (id_col, label_col 0 or 1).
 
     Labels with null parts are left out, several of one id count by their mean (1/2 and more is good), ids without a
-    document too. Null texts are empty, null languages and sources values of their own. The samples are bounded as the
-    module says and chosen by hash of the id, so they are the same in every run.
+    document too. Null texts are empty, null languages and sources values of their own, texts of any length are read whole.
+    Rows without an id have no label. What is sampled is chosen by hash, so it is the same in every run. Of eight labelled
+    rows one calibrates and one combines; where either of these lacks a kind of label, all labelled rows do all of it.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("double").alias("y"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    turn = F.xxhash64("id")
-
-    def chosen(ids: DataFrame, most: int):
-        """Features of the documents of ``most`` ids at most."""
-        few = F.broadcast(ids.orderBy(turn, "id").limit(most))
-
-        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column("text").to_pylist()
-                view = text_view(texts)
-                column = pa.ListArray.from_arrays(pa.array(np.arange(0, view.size + 1, TEXT_FEATURES, dtype=np.int32)), pa.array(view.ravel()))
-                yield pa.record_batch([batch.column("id"), batch.column("y"), batch.column("lang"), batch.column("source"), pa.array([len(t or "") for t in texts], pa.int64()), column], ["id", "y", "lang", "source", "size", "x"])
+    few = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(fit_rows))
 
-        found = rows.join(few, "id").select("id", "y", "lang", "source", "text")
-        schema = found.select("id", "y", "lang", "source").schema.add("size", "long").add("x", T.ArrayType(T.DoubleType()))
-        return found.mapInArrow(read, schema).dropDuplicates(["id"]).toArrow().to_pandas().sort_values("id", ignore_index=True)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield pa.record_batch([batch.column("id"), batch.column("y"), batch.column("lang"), batch.column("source"), pa.array([len(t or "") for t in texts], pa.int64()), listed(text_view(texts))], ["id", "y", "lang", "source", "size", "x"])
 
-    data = chosen(known, fit_rows)
+    found = rows.join(few, "id").select("id", "y", "lang", "source", "text")
+    schema = found.select("id", "y", "lang", "source").schema.add("size", "long").add("x", T.ArrayType(T.DoubleType()))
+    data = found.mapInArrow(read, schema).dropDuplicates(["id"]).toArrow().to_pandas().sort_values("id", ignore_index=True)
     y = data["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return Quality(float(y.mean()) if len(y) else 0.5)
-    ids = rows.select("id").where("id IS NOT NULL").distinct().join(known, "id", "left_anti").select("id", F.lit(None).cast("double").alias("y"))
-    pool = chosen(ids, pool_rows)
-    fold = np.arange(len(y)) % 4 == 3  # for calibration, kept from both views
-    if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
-        fold = np.zeros(len(y), bool)
-    learn, tune = ~fold, fold if fold.any() else np.ones(len(y), bool)
+    turn = np.arange(len(y)) % 8
+    folds = [turn == 3, turn == 7]
+    if any(len(set(y[f])) < 2 for f in (*folds, (turn != 3) & (turn != 7))):
+        folds = [np.ones(len(y), bool)] * 2
+        learn = folds[0]
+    else:
+        learn = ~(folds[0] | folds[1])
     model = Quality(float(y.mean()), values=[log_odds([k for k, m in zip(data[c], learn, strict=True) if m], y[learn]) for c in ("lang", "source")])
-
-    def views(table) -> tuple[np.ndarray, np.ndarray]:
-        x = np.array([np.asarray(v) for v in table["x"]], dtype=float).reshape(-1, TEXT_FEATURES)
-        return x, model.metadata_view(table["lang"].tolist(), table["source"].tolist(), table["size"].tolist())
-
-    own, other = views(data), views(pool)
-    lent: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0))] * 2  # pool rows and labels for each view
+    own = matrix_of(data["x"], TEXT_FEATURES), model.metadata_view(data["lang"].tolist(), data["source"].tolist(), data["size"].tolist())
+
+    def viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            meta = model.metadata_view(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), [len(t or "") for t in texts])
+            yield pa.record_batch([batch.column("id"), listed(text_view(texts)), listed(meta)], ["id", "v0", "v1"])
+
+    views = T.ArrayType(T.DoubleType())
+    every = rows.mapInArrow(viewed, rows.select("id").schema.add("v0", views).add("v1", views))
+    pool = cut(every.join(known, "id", "left_anti").select("v0", "v1", F.pmod(F.xxhash64("id", "v0", "v1"), F.lit(1 << 30)).alias("turn")))
+    sure = float(np.log(SURE / (1 - SURE)))
+    lent: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros((0, own[v].shape[1])), np.zeros(0)) for v in (0, 1)]  # rows and labels for each view
     fitted: list[Logistic] = []
-    for turn_ in range(rounds + 1):
+    for k in range(rounds + 1):
         fitted = []
         for v in (0, 1):
-            at, labels_ = lent[v]
-            weight = np.concatenate([np.ones(learn.sum()), np.full(len(at), 0.5)])
-            fitted.append(Logistic.fit(np.vstack([own[v][learn], other[v][at]]), np.concatenate([y[learn], labels_]), weight))
-        if turn_ == rounds or not len(pool):
+            x, labels_ = lent[v]
+            weight = np.concatenate([np.ones(learn.sum()), np.full(len(x), 0.5)])
+            fitted.append(Logistic.fit(np.vstack([own[v][learn], x]), np.concatenate([y[learn], labels_]), weight))
+        if k == rounds:
             break
+        scored = pool.withColumns({f"l{v}": fitted[v].logit_of(F.col(f"v{v}")) for v in (0, 1)})
+        tests = {(v, label): F.col(f"l{v}") >= sure if label else F.col(f"l{v}") <= -sure for v in (0, 1) for label in (0, 1)}
+        counts = scored.agg(*[F.count_if(t) for t in tests.values()]).first()
+        share = [min(1 << 30, -(-lend * (k + 1) * (1 << 30) // n)) if n else 0 for n in counts]
+        chosen = scored.where(F.greatest(*[F.when(t, F.lit(n)).otherwise(0) for t, n in zip(tests.values(), share, strict=True)]) > F.col("turn"))
+        told = chosen.select("v0", "v1", *[F.when(t & (F.col("turn") < n), label).alias(f"t{v}{label}") for ((v, label), t), n in zip(tests.items(), share, strict=True)], "turn").orderBy("turn", "v0", "v1").toArrow().to_pandas()
         for v in (0, 1):
-            p = sigmoid(fitted[v].logit(other[v]))
-            most = max(1, int(SHARE * (turn_ + 1) * len(p)))
-            order = np.argsort(-np.abs(p - 0.5), kind="stable")[:most]
-            order = order[np.maximum(p, 1 - p)[order] >= SURE]
-            lent[1 - v] = order, (p[order] >= 0.5).astype(float)
+            taken = told[[f"t{v}0", f"t{v}1"]].notna().to_numpy()
+            at = taken.any(axis=1)
+            lent[1 - v] = matrix_of(told[f"v{1 - v}"][at], own[1 - v].shape[1]), taken[at, 1].astype(float)
     model.text, model.meta = fitted
-    logits = [fitted[v].logit(own[v])[tune][:, None] for v in (0, 1)]
-    single = [Logistic.fit(x, y[tune]) for x in logits]
-    both = Logistic.fit(np.column_stack([s.logit(x) for s, x in zip(single, logits, strict=True)]), y[tune])
-    model.calibration = (*single, both)
+    logits = [fitted[v].logit(own[v])[:, None] for v in (0, 1)]
+    single = [Logistic.fit(x[folds[0]], y[folds[0]]) for x in logits]
+    both = np.column_stack([s.logit(x) for s, x in zip(single, logits, strict=True)])
+    model.calibration = (*single, Logistic.fit(both[folds[1]], y[folds[1]]))
     return model
