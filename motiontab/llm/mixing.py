@@ -1,15 +1,17 @@
 """Document rates that bring a corpus to target weights of domains, with soft memberships, in DataFrame functions alone.
 
-A Gaussian naive Bayes classifier over shares of telling strings, fitted by one aggregation of the labelled table,
-gives each document a posterior over domains. Rates r >= 0 are then fitted by least squares: the expected tokens of a
-domain, sum of r_i n_i p_ik, are to match its target. Projected gradient descent keeps the rates as a fold over the
-residuals so far (one number a domain and round), so a round is one aggregation of (n, p) and no rate table moves.
-The step is taken in the metric of the token counts, in which all documents of a profile change alike.
+A naive Bayes classifier over hashed words, counted in the labelled table, gives each document a posterior over domains.
+A document weighs as at most EFFECTIVE words in it, so that memberships stay soft. Rates r >= 0 are then fitted by least
+squares: the expected tokens of a domain, sum of r_i n_i p_ik, are to match its target. Projected gradient descent keeps
+the rates as a fold over the residuals so far (one number a domain and round), so a round is one aggregation of (n, p, r);
+rates are written back every FOLD rounds. The step is taken in the metric of the token counts, in which all documents of
+a profile change alike.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -18,17 +20,18 @@ from pyspark.sql import functions as F
 
 from motiontab.llm.common import cut
 
-#: Strings that tell the domains apart; the share of the text's bytes that each makes up is one feature. Fixed values.
-CLASSES = ("é", "è", "ä", "ü", "ñ", "ó", "w", "th")
-#: Least standard deviation of a feature, and least posterior.
-SPREAD, LEAST = 0.004, 1e-9
-ROUNDS = 60
+#: Hash buckets of words, added counts, words that a document counts for at most, and least posterior.
+BUCKETS, ADDED, EFFECTIVE, LEAST = 4096, 0.5, 20.0, 1e-9
+#: Labelled rows that the classifier is fitted on at most.
+FIT_ROWS = 20_000
+#: Gradient steps, steps between two writings of the rates, and the residual (share of all tokens) over which a fit warns.
+ROUNDS, FOLD, RESIDUAL = 60, 20, 0.01
 
 
 def features(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    size = F.greatest(F.octet_length(text), F.lit(1))
-    return F.array(*[(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))) / size for c in CLASSES])
+    """Hash buckets of a text's lower-cased words between spaces and line ends."""
+    text = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(" "))
+    return F.transform(F.array_remove(F.split(text, " "), ""), lambda w: F.hash(w).bitwiseAND(F.lit(BUCKETS - 1)))
 
 
 def tokens(text: Column) -> Column:
@@ -36,68 +39,77 @@ def tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4)).cast("double")
 
 
-Model = list[tuple[float, list[float], list[float]]]
+Model = list[tuple[float, list[float]]]
 
 
 def fit_classifier(labelled: DataFrame, domains: list[str]) -> Model:
-    """(log prior, means, deviations) for each domain, from all rows (domain, x); a domain without rows: wide and rare."""
-    sums = [f(F.col("x")[k]).alias(f"{n}{k}") for k in range(len(CLASSES)) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
-    found = {r.domain: r for r in labelled.where(F.col("domain").isin(domains)).groupBy("domain").agg(F.count("*").alias("n"), *sums).collect()}
-    total = sum(r.n for r in found.values())
-    model = []
-    for d in domains:
-        r = found.get(d)
-        prior = math.log(((r.n if r else 0) + 1) / (total + len(domains)))
-        model.append((prior, [r[f"m{k}"] if r else 0.0 for k in range(len(CLASSES))], [max(SPREAD, r[f"s{k}"]) if r else 1.0 for k in range(len(CLASSES))]))
-    return model
+    """(log prior, log probability of each bucket) for each domain, from all rows (domain, x); a domain without rows is even and rare."""
+    rows = labelled.where(F.col("domain").isin(domains))
+    n = {r.domain: r.n for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    counts = {d: [ADDED] * BUCKETS for d in domains}
+    for r in rows.select("domain", F.explode("x").alias("b")).groupBy("domain", "b").agg(F.count("*").alias("c")).collect():  # domains x BUCKETS at most
+        counts[r.domain][r.b] += r.c
+    total = sum(n.values())
+    return [(math.log((n.get(d, 0) + 1) / (total + len(domains))), [math.log(c / sum(counts[d])) for c in counts[d]]) for d in domains]
+
+
+def _summed(x: str, weights: list[float]) -> Column:
+    """Sum of the weights of the buckets in ``x``."""
+    table = F.from_json(F.lit("[" + ",".join(f"{v:.9g}" for v in weights) + "]"), "array<double>")
+    return F.aggregate(x, F.lit(0.0), lambda s, b: s + F.coalesce(F.get(table, b), F.lit(0.0)))
 
 
 def with_posterior(rows: DataFrame, model: Model, x: str, name: str) -> DataFrame:
-    """Add posteriors over the domains, in their order, from features in column ``x``. Each step is a projection of its
-    own, so that no expression is repeated."""
+    """Add posteriors over the domains, in their order, from the buckets in column ``x``, which goes. Each step is a
+    projection of its own, so that no expression is repeated."""
     logs = []
-    for prior, means, spreads in model:
-        log = F.lit(prior - sum(map(math.log, spreads)))
-        for k, (m, s) in enumerate(zip(means, spreads, strict=True)):
-            log = log - F.pow((F.col(x)[k] - m) / s, F.lit(2.0)) / 2
-        logs.append(log)
+    size = F.greatest(F.lit(1), F.size(x))
+    for prior, weights in model:
+        logs.append(F.lit(prior) + _summed(x, weights) * F.least(F.lit(1.0), F.lit(EFFECTIVE) / size))
     rows = rows.withColumn(name, F.array(*logs)).withColumn(x, F.array_max(name))
     rows = rows.withColumn(name, F.transform(name, lambda v: F.exp(v - F.col(x)) + LEAST))
     rows = rows.withColumn(x, F.aggregate(name, F.lit(0.0), lambda s, w: s + w))
     return rows.withColumn(name, F.transform(name, lambda v: v / F.col(x))).drop(x)
 
 
-def rate(p: Column, steps: list[list[float]], least: float = 0.0) -> Column:
-    """A document's rate after the given gradient steps, from one: r <- max(least, r - step . p)."""
+def rate(p: Column, steps: list[list[float]], least: float = 0.0, start: Column | None = None) -> Column:
+    """A document's rate after the given gradient steps, from one or ``start``: r <- max(least, r - step . p)."""
+    start = F.lit(1.0) if start is None else start
     if not steps:
-        return F.lit(1.0)
+        return start
     flat = F.from_json(F.lit(str(steps)), "array<array<double>>")
     dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return F.aggregate(flat, F.lit(1.0), lambda r, g: F.greatest(F.lit(float(least)), r - dot(g)))
+    return F.aggregate(flat, start, lambda r, g: F.greatest(F.lit(float(least)), r - dot(g)))
 
 
 @dataclass
 class Mixture:
-    """What ``fit`` found: domains in the order of posteriors, the classifier, gradient steps, target tokens and least rate."""
+    """What ``fit`` found: domains in the order of posteriors, the classifier, gradient steps, target tokens, least rate, and
+    the largest distance of a domain's expected tokens from its target, as a share of all tokens."""
 
     domains: list[str]
     model: Model
     steps: list[list[float]]
     wanted: list[float]
     least: float = 0.0
+    residual: float = 0.0
 
     def apply(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """Rows of ``docs`` with n_tokens, posterior and rate; columns of those names are replaced."""
+        """Rows of ``docs`` with n_tokens (a quarter of the bytes), posterior and rate; columns of those names are replaced.
+
+        Each row is rated by itself, without a shuffle; null and empty texts have the prior, texts of any length are read whole.
+        """
         out = docs.drop("n_tokens", "posterior", "rate")
         x = "".join(out.columns) + "_x"  # a name that no column has
         out = with_posterior(out.withColumn(x, features(F.col(text_col))), self.model, x, "posterior")
         return out.withColumn("n_tokens", tokens(F.col(text_col)).cast("long")).withColumn("rate", rate(F.col("posterior"), self.steps, self.least))
 
 
-def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> Mixture:
+def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0, fit_rows: int = FIT_ROWS) -> Mixture:
     """Fit rates of ``docs`` to ``targets``, weights of domains scaled to the corpus' tokens in all.
 
-    labels: rows (id_col, domain); rows whose domain is null or no target are left out, as are ids that docs lacks.
+    labels: rows (id_col, domain), of which the ``fit_rows`` with the smallest hashes train the classifier; rows whose domain is
+    null or no target are left out, as are ids that docs lacks.
     Null and empty texts count as one token; null ids take part but cannot be labelled. Each document has a finite
     rate >= ``least`` (0 or 1), and where the targets can be met expected tokens approach them. Without documents rates
     stay one. With ``least`` 1 all documents stay, and the targets are scaled to the total at which the domain furthest
@@ -109,9 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], rounds
         raise ValueError("targets need a positive sum and no negative weight")
     if least not in (0, 1) or (least and min(targets.values()) == 0):
         raise ValueError("the least rate is 0, or 1 if all targets are positive")
-    read = cut(docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("n"), features(F.col(text_col)).alias("x")))
-    model = fit_classifier(read.join(labels.select(F.col(id_col).alias("id"), "domain"), "id").select("domain", "x"), domains)
-    base = cut(with_posterior(read.select("n", "x"), model, "x", "p"))
+    few = labels.where(F.col("domain").isin(domains)).select(F.col(id_col).alias("id"), "domain").orderBy(F.xxhash64(id_col, "domain"), id_col, "domain").limit(fit_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    model = fit_classifier(rows.join(F.broadcast(few), "id").select("domain", features(F.col("text")).alias("x")), domains)
+    base = cut(with_posterior(rows.select(tokens(F.col("text")).alias("n"), features(F.col("text")).alias("x")), model, "x", "p").withColumn("r", F.lit(1.0)))
     k = range(len(domains))
     p = [F.col("p")[i] for i in k]
     first = base.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * p[i] * p[j]).alias(f"g{i}_{j}") for i in k for j in k], *[F.sum(F.col("n") * p[i]).alias(f"t{i}") for i in k]).first()
@@ -121,13 +134,21 @@ def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], rounds
     # squares are weighted by the inverse row sums of the Gram matrix, which bounds the gradient's Lipschitz constant by one
     bound = [max(1e-12, sum(first[f"g{i}_{j}"] for j in k) / total) if total else 1.0 for i in k]
     steps: list[list[float]] = []
-    for _ in range(rounds if total else 0):
-        sums = base.select("n", "p", rate(F.col("p"), steps, least).alias("r")).agg(*[F.sum(F.col("n") * F.col("r") * p[i]) for i in k]).first()
+    written, largest = 0, 0.0
+    for turn in range(rounds + 1 if total else 0):
+        now = rate(F.col("p"), steps[written:], least, F.col("r"))
+        if len(steps) - written == FOLD:
+            base, written = cut(base.withColumn("r", now)), len(steps)
+            now = F.col("r")
+        sums = base.select("n", "p", now.alias("r")).agg(*[F.sum(F.col("n") * F.col("r") * p[i]) for i in k]).first()
         residual = [(s - w) / total for s, w in zip(sums, wanted, strict=True)]
-        if max(map(abs, residual)) < 1e-6:
+        largest = max(map(abs, residual))
+        if largest < 1e-6 or turn == rounds:
             break
         steps.append([v / b for v, b in zip(residual, bound, strict=True)])
-    return Mixture(domains, model, steps, wanted, least)
+    if largest > RESIDUAL:
+        warnings.warn(f"after {len(steps)} rounds a domain is {largest:.3g} of all tokens away from its target", stacklevel=2)
+    return Mixture(domains, model, steps, wanted, least, largest)
 
 
 def copies(rate_col: Column, *keys: str) -> Column:
