@@ -7,7 +7,7 @@ places minimises padding plus penalties for what is cut apart:
     cost[k] = penalty[k] + min over j of cost[j] + padding(place[k] - place[j]),  place[k] - place[j] <= length
 
 Padding is length - size, so the minimum over a sliding window of cost[j] + place[j] decides; a monotone queue gives
-it in constant time. A window whose size is a power of two needs no padding, so these few sizes are tried too.
+it in constant time. A window whose size is a power of two needs no padding, so these few sizes, from 1 on, are tried too.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ SENTENCE_CUT, INSIDE_CUT = 24.0, 96.0
 INSIDE_STEP, LONG_GAP = 32, 256
 #: Bytes of text that one packing task aims at; a task then ends with one padded window among hundreds.
 BYTES_PER_TASK = 4_000_000
-#: Tokens that are solved at once; the last window of each solution is solved again with what follows.
+#: Tokens that are gathered before their places are added to the programme and settled windows come out.
 SOLVE = 1_000_000
 WORDS_KEPT = 500_000
 ENDS = ".!?…。！？"
@@ -40,34 +40,71 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+class Cutter:
+    """The dynamic programme over places that come in portions.
+
+    Costs, back pointers and the queue go on from portion to portion. A cut is settled once every place that a later
+    window can start from leads back to it, so the cuts are those of the whole stream's minimum.
+    """
+
+    def __init__(self, length: int):
+        self.length, self.powers = length, [2**k for k in range(length.bit_length()) if 2**k < length]
+        self.places, self.cost, self.back, self.at = [0], [0.0], [0], {0: 0}
+        self.queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])
+
+    def extend(self, places: list[int], penalties: list[float]) -> None:
+        """Later places, increasing, no gap over ``length``, and the penalty of a cut at each."""
+        length, powers, queue, at, cost, back = self.length, self.powers, self.queue, self.at, self.cost, self.back
+        for k, (place, penalty) in enumerate(zip(places, penalties, strict=True), len(self.places)):
+            while place - queue[0][1] > length:
+                queue.popleft()
+            least, _, j = queue[0]
+            least += length - place
+            for power in powers:
+                i = at.get(place - power)
+                if i is not None and cost[i] < least:
+                    least, j = cost[i], i
+            total = least + penalty
+            cost.append(total)
+            back.append(j)
+            at[place] = k
+            value = total + place
+            while queue and queue[-1][0] >= value:
+                queue.pop()
+            queue.append((value, place, k))
+        self.places += places
+
+    def settle(self, last: bool) -> list[int]:
+        """Places to cut at that are certain, the start among them; all after the last portion. What lies before goes."""
+        end = len(self.places) - 1
+        if not last:
+            live = {k for k in range(len(self.places)) if self.places[k] > self.places[-1] - self.length}
+            while len(live) > 1:
+                k = max(live)
+                live.discard(k)
+                live.add(self.back[k])
+            end = live.pop()
+        found = [end]
+        while found[-1]:
+            found.append(self.back[found[-1]])
+        settled = [self.places[k] for k in reversed(found)]
+        if end:
+            self.places, self.cost = self.places[end:], self.cost[end:]
+            self.back = [max(0, k - end) for k in self.back[end:]]
+            self.at = {p: k for k, p in enumerate(self.places)}
+            self.queue = deque((v, p, k - end) for v, p, k in self.queue if k >= end)
+        return settled
+
+
 def cuts(places: list[int], penalties: list[float], length: int) -> list[int]:
     """Indices of the cheapest places to cut at, the first and the last place included.
 
     places: increasing, starts with 0, no gap over ``length``; penalties: of a cut at each place.
     """
-    powers = [2**k for k in range(8, length.bit_length()) if 2**k < length]
+    cutter = Cutter(length)
+    cutter.extend(places[1:], penalties[1:])
     at = {p: k for k, p in enumerate(places)}
-    cost, back = [0.0] * len(places), [0] * len(places)
-    queue: deque[tuple[float, int, int]] = deque([(float(places[0]), places[0], 0)])
-    for k in range(1, len(places)):
-        place = places[k]
-        while place - queue[0][1] > length:
-            queue.popleft()
-        least, _, j = queue[0]
-        least += length - place
-        for power in powers:
-            i = at.get(place - power)
-            if i is not None and cost[i] < least:
-                least, j = cost[i], i
-        cost[k], back[k] = least + penalties[k], j
-        value = cost[k] + place
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, place, k))
-    found = [len(places) - 1]
-    while found[-1]:
-        found.append(back[found[-1]])
-    return found[::-1]
+    return [at[p] for p in cutter.settle(True)]
 
 
 class WordIds(dict):
@@ -145,42 +182,38 @@ class Packer:
     """Packs one ordered stream; rows of pieces come out as windows are settled."""
 
     def __init__(self, length: int, first_sequence: int, stops: np.ndarray):
-        self.length, self.sequence, self.stops = length, first_sequence, stops
-        self.docs: list[tuple] = []  # (id, ids, ids already packed)
-        self.waiting = 0
+        self.sequence, self.stops, self.cutter = first_sequence, stops, Cutter(length)
+        self.docs: list[tuple] = []  # (id, ids, ids already packed), from the last settled cut on
+        self.new: list[bytes] = []  # ids of the documents whose places are not added yet
+        self.waiting = self.total = self.start = 0  # tokens of these, added tokens, and the last settled cut
 
     def add(self, doc_id, ids: bytes) -> list[tuple]:
         self.docs.append((doc_id, ids, 0))
+        self.new.append(ids)
         self.waiting += len(ids) >> 2
         return self.settle(False) if self.waiting >= SOLVE else []
 
     def settle(self, last: bool) -> list[tuple]:
-        if not self.docs:
-            return []
-        ahead = np.frombuffer(b"".join(ids[4 * done :] if done else ids for _, ids, done in self.docs), "<u4")
-        ends = np.cumsum([(len(ids) >> 2) - done for _, ids, done in self.docs])
-        places, penalties = places_of(ahead, ends, self.stops)
-        places = places.tolist()
-        chosen = cuts(places, penalties.tolist(), self.length)
-        if not last:
-            if len(chosen) < 3:
-                return []
-            chosen.pop()
-        out, k, at = [], 0, 0  # at: where document k goes on, in this stream
-        for a, b in zip(chosen, chosen[1:], strict=False):
-            offset, stop = 0, places[b]
-            while at < stop:
+        if self.new:
+            ends = np.cumsum([len(ids) >> 2 for ids in self.new])
+            places, penalties = places_of(np.frombuffer(b"".join(self.new), "<u4"), ends, self.stops)
+            self.cutter.extend((places[1:] + self.total).tolist(), penalties[1:].tolist())
+            self.total += self.waiting
+            self.new, self.waiting = [], 0
+        out, k = [], 0
+        for stop in self.cutter.settle(last)[1:]:
+            offset = 0
+            while self.start < stop:
                 doc_id, ids, done = self.docs[k]
                 total = len(ids) >> 2
-                size = min(total - done, stop - at)
+                size = min(total - done, stop - self.start)
                 out.append((doc_id, done, size, zlib.crc32(memoryview(ids)[4 * done : 4 * (done + size)]), total, self.sequence, offset))
-                offset, at = offset + size, at + size
+                offset, self.start = offset + size, self.start + size
                 self.docs[k] = (doc_id, ids, done + size)
                 if done + size == total:
                     k += 1
             self.sequence += 1
         self.docs = self.docs[k:]
-        self.waiting -= at
         return out
 
 
@@ -192,14 +225,16 @@ def pack(docs: DataFrame, tokenizer_file: str, length: int = 4096, end_id: int =
 
     A document's ids are those of its text by the tokenizer, then ``end_id``; a null or empty text has that id alone.
     Each id lies in exactly one piece, pieces of a sequence follow each other from offset 0, and a sequence holds at
-    most ``length`` ids. Null and repeated ids are documents like any other; equal ids are ordered by text. Other
-    columns are not read. Tasks take ranges of ids and stream them, holding about a million tokens at once and one
-    document whole.
+    most ``length`` ids. Null and repeated ids are documents like any other; equal ids are ordered by a hash of the text.
+    Other columns are not read, an empty table gives no piece. Tasks take ranges of (id, hash), so that one id with many
+    rows spreads over tasks, and stream them: each packs its range at the least cost over the places offered, holding
+    about a million tokens at once, what is not settled yet, and one document whole.
     """
     ids_type = docs.schema[id_col].dataType
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    ranges = docs.repartitionByRange(max(1, size // BYTES_PER_TASK), "id").sortWithinPartitions("id", "text")
+    docs = docs.withColumn("turn", F.xxhash64("text"))
+    ranges = docs.repartitionByRange(max(1, size // BYTES_PER_TASK), "id", "turn").sortWithinPartitions("id", "turn").select("id", "text")
     schema = ranges.select("id").schema
     for field in PIECES.split(", "):
         schema = schema.add(*field.split())

@@ -26,14 +26,31 @@ def test_dynamic_programme_is_cheapest():
 
         def price(chosen, places=places, penalties=penalties, length=length):
             sizes = [places[b] - places[a] for a, b in zip(chosen, chosen[1:], strict=False)]
-            pads = [padding(s, length) if s >= 256 else length - s for s in sizes]
-            return sum(pads) + sum(penalties[k] for k in chosen[1:]) if max(sizes) <= length else float("inf")
+            return sum(padding(s, length) for s in sizes) + sum(penalties[k] for k in chosen[1:]) if max(sizes) <= length else float("inf")
 
         last = len(places) - 1
         best = min(price([0, *inner, last]) for n in range(last) for inner in combinations(range(1, last), n))
         assert price(packing.cuts(places, penalties, length)) == best
 
 
+def test_portions_are_cut_as_the_whole():
+    pick = random.Random(8)
+    for length in (64, 100, 4096):
+        gaps = [pick.randint(1, min(length, 60)) for _ in range(3000)]
+        places = np.cumsum([0, *gaps]).tolist()
+        penalties = [pick.choice([0.0, 24.0, 96.0]) for _ in places]
+        whole = [places[k] for k in packing.cuts(places, penalties, length)]
+        cutter, found, most = packing.Cutter(length), [0], 0
+        for s in range(1, len(places), 300):
+            cutter.extend(places[s : s + 300], penalties[s : s + 300])
+            settled = cutter.settle(s + 300 >= len(places))
+            assert settled[0] == found[-1]
+            found += settled[1:]
+            most = max(most, len(cutter.places))
+        cost = lambda cut: sum(padding(b - a, length) for a, b in zip(cut, cut[1:], strict=False)) + sum(penalties[places.index(c)] for c in cut[1:])
+        assert cost(found) == cost(whole) and (most < 1500 or length == 4096)
+
+
 def pieces_hold(rows, out, length):
     """Every id of every document lies in one piece, with the library's ids; sequences are gapless. Returns the padding."""
     tokenizer = Tokenizer.from_file(FILE)
