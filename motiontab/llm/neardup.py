@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from motiontab.llm.common import components, cut, finite
 
 #: Rows a cell aims at, pivots at most (they are sent to every task), and rows on each side of a tile.
-CELL, PIVOTS, SIDE = 2048, 2048, 4096
+CELL, PIVOTS, SIDE = 2048, 16_384, 4096
 _SLACK = 1e-9
 
 
@@ -46,19 +46,22 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     Two rows link when their labels are equal and not null, their dimensions are equal and their cosine, in doubles,
     is ``least`` or more. Rows without an id, and vectors that are null, empty, zero or hold null or non-finite
     components, link with nothing. component_id: the smallest id reachable by links, itself included; kept: it is its
-    own. A null id has a null component and is kept. Repeated rows link with each other. Extra columns are not read.
+    own. A null id has a null component and is kept. Repeated rows link with each other; rows of one id with different
+    vectors each have their own links. Extra columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
     zero = F.forall("vec", lambda v: v == 0)
     joins = F.col("id").isNotNull() & F.col("label").isNotNull() & finite("vec") & ~F.coalesce(zero, F.lit(True))
     rows = rows.withColumn("joins", joins)
-    # equal vectors become one row; partial aggregation keeps a large group of copies off the network
-    reps = cut(rows.where("joins").groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("vec")))
+    # equal vectors become one row with a number of its own; partial aggregation keeps a large group of copies off the network
+    reps = rows.where("joins").groupBy("label", "vec").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    reps = cut(reps.withColumn("dim", F.size("vec")).withColumn("rep", F.monotonically_increasing_id()))
     found = _join(reps, least, cell, pivots, side)
     links = found.where("kind = 0").groupBy("rep").agg(F.sum("n").alias("n"))
-    whole = components(found.where("kind = 1").select("rep", F.col("n").alias("other")), "rep", "other")
-    told = reps.select("label", "vec", "rep", "copies").join(links, "rep", "left").join(whole.withColumnRenamed("node", "rep"), "rep", "left")
-    told = told.select("label", "vec", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    whole = components(found.where("kind = 1").select("rep", F.col("n").alias("other")), "rep", "other").withColumnRenamed("node", "rep")
+    told = reps.select("label", "vec", "rep", "least", "copies").join(links, "rep", "left").join(whole, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = told.groupBy("component").agg(F.min("least").alias("component_id"))
+    told = told.join(smallest, "component").select("label", "vec", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     inside = rows.where("joins").select("id", "vec", "label").join(told, ["label", "vec"]).select("id", "n_links", "component_id")
     out = inside.unionAll(rows.where(~F.col("joins")).select("id", F.lit(0).cast("long"), F.col("id")))
     kind = vectors.schema[id_col].dataType

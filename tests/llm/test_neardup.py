@@ -46,6 +46,11 @@ def test_cells_and_tiles_equal_brute_force(spark):
     assert run(spark, rows, cell=10, side=16) == want
 
 
+def test_one_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.001], 0), (3, [0.0, 1.0], 0), (1, [0.0, 1.0], 0), (1, [1.0, 0.0], 1), (0, [1.0, 0.001], 1)]
+    assert run(spark, rows) == brute(rows, 0.98) and run(spark, rows, cell=1, side=1) == brute(rows, 0.98)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None, None)]) == ["(False, 1, 0, 1, True)"]
