@@ -7,24 +7,31 @@ may continue, and at each position in it the last token of the prefix that ends
 now. A transition is annotated with the change in the number of emitted tokens, so the deltas of a path sum to the count.
 States are made when first needed, and the counts of whole units are kept, both within a bound.
 
-Texts over ``chunk_chars`` are split into chunks that any task may read. A chunk's state map is (head, count, tail):
-what comes before its first reset depends on the state it is entered with, what lies between the resets does not, and
-the rest is the state it leaves. The maps compose through a prefix scan over the chunks of a document.
+Texts over ``chunk_chars`` are split into chunks that any task may read. A chunk's state map takes the state that it is
+entered with to the state that it leaves and the tokens it adds. All chunks are first mapped from the state that their last
+CONTEXT characters before lead to; the maps compose along a document where each is entered with the state that its
+predecessor leaves, and those that are not are mapped again from there. States, not texts, pass from chunk to chunk.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motiontab.llm.common import cut
+
 MARK = "▁"
 #: Units between two resets: marks with what follows, a line end, or marks alone.
 UNITS = re.compile(f"[ {MARK}]*[^ {MARK}\n]+|\n|[ {MARK}]+")
 CHUNK = 65_536
+#: Characters before a chunk from which its entry state is guessed.
+CONTEXT = 64
 #: States and units that one Python worker keeps before it starts anew.
 KEPT = 300_000
 UNITS_KEPT = 1_000_000
@@ -108,15 +115,44 @@ class Transducer(dict):
             self.states[key] = State(self, *key)
         return self.states[key], total
 
+    def entered(self, key: str) -> State:
+        """The state of that key, as ``State.key`` wrote it."""
+        suffix, open_at = json.loads(key)
+        found = (suffix, tuple(map(tuple, open_at)))
+        if found not in self.states:
+            self.states[found] = State(self, *found)
+        return self.states[found]
+
+    def walk(self, state: State, text: str) -> tuple[State, int]:
+        """The state and the tokens added after reading the text character by character."""
+        total = 0
+        for char in text.replace(" ", MARK):
+            state, n = state[char]
+            total += n
+        return state, total
+
+    def read(self, state: State, text: str) -> tuple[State, int]:
+        """The same, with the units between the first and the last reset looked up."""
+        units = UNITS.findall(text)
+        if len(self.states) > KEPT:
+            key = state.key()
+            self.restart()
+            state = self.entered(key)
+        if not units:
+            return state, 0
+        state, total = self.walk(state, units[0])
+        if len(units) > 1:
+            total += sum(map(self.__getitem__, units[1:-1]))
+            state, n = self.walk(self.start, units[-1])
+            total += n
+        return state, total
+
     def __missing__(self, unit: str) -> int:
         if len(self.states) > KEPT:
             self.restart()
         if len(self) > UNITS_KEPT:
             self.clear()
-        state, count = self.start, 0
-        for char in unit.replace(" ", MARK):
-            state, n = state[char]
-            count += n
+        _, count = self.walk(self.start, unit)
         if len(unit) < 64:
             self[unit] = count
         return count
@@ -130,6 +166,9 @@ class State(dict):
     def __init__(self, machine: Transducer, suffix: str, open_at: tuple):
         self.machine, self.suffix, self.open_at = machine, suffix, open_at
 
+    def key(self) -> str:
+        return json.dumps([self.suffix, self.open_at])
+
     def __missing__(self, char: str) -> tuple[State, int]:
         move = self[char] = self.machine.step(self, char)
         return move
@@ -149,19 +188,11 @@ def count(text: str, model_file: str) -> int:
     return sum(map(compiled(model_file).__getitem__, UNITS.findall(" " + text))) if text else 0
 
 
-def state_map(chunk: str, first: bool, machine: Transducer) -> tuple[str, int, str | None]:
-    """(head, tokens between the first and the last reset, tail); tail is null when no reset lies inside."""
-    units = UNITS.findall(" " + chunk if first and chunk else chunk)
-    if len(units) < 2:
-        return "".join(units), 0, None
-    return units[0], sum(map(machine.__getitem__, units[1:-1])), units[-1]
-
-
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, chunk_chars: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, n_bytes, n_tokens, over_limit) for all of ``docs``: one for each row.
 
-    A null or empty text has no bytes and no tokens; ids may be null or repeat; other columns are not read. Texts of
-    any length are read in chunks of ``chunk_chars`` characters, which different tasks may hold.
+    A null or empty text has no bytes and no tokens; ids may be null or repeat, equal rows are counted each; other columns
+    are not read. Texts of any length are read in chunks of ``chunk_chars`` characters, which different tasks may hold.
     """
     ids = docs.schema[id_col].dataType
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -172,33 +203,49 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, chunk_char
             n = [sum(map(machine.__getitem__, UNITS.findall(" " + t))) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = compiled(model_file)
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each chunk, a long text in one pass; key numbers the documents of all tasks."""
+        key = TaskContext.get().partitionId() << 33
         for batch in batches:
-            maps = [state_map(t, k == 0, machine) for t, k in zip(batch.column("text").to_pylist(), batch.column("k").to_pylist(), strict=True)]
-            head, inner, tail = zip(*maps, strict=True) if maps else ((), (), ())
-            yield pa.record_batch([batch.column("key"), batch.column("k"), pa.array(head, pa.string()), pa.array(inner, pa.int64()), pa.array(tail, pa.string())], ["key", "k", "head", "inner", "tail"])
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for k, at in enumerate(range(0, len(text), chunk_chars)):
+                    chunk = text[at : at + chunk_chars]
+                    values = ([key], [k], [chunk], [text[max(0, at - CONTEXT) : at]], [len(chunk.encode())])
+                    yield pa.record_batch([batch.column("id")[i : i + 1], *(pa.array(v, t) for v, t in zip(values, kinds, strict=True))], ["id", "key", "k", "text", "before", "n_bytes"])
+                key += 1
+
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64())
 
-    def bridged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each chunk's map at one entry state: the given one, or else the one its context leads to."""
         machine = compiled(model_file)
         for batch in batches:
-            n = [sum(map(machine.__getitem__, UNITS.findall(t))) for t in batch.column("unit").to_pylist()]
-            yield pa.record_batch([batch.column("key"), pa.array(n, pa.int64())], ["key", "n"])
+            rows = []
+            for k, text, before, entry in zip(*(batch.column(c).to_pylist() for c in ("k", "text", "before", "entry")), strict=True):
+                state = machine.entered(entry) if entry is not None else machine.walk(machine.start, before)[0]
+                entry = state.key()
+                state, n = machine.read(state, text if k else " " + text)
+                rows.append((entry, state.key(), n))
+            entry, leaves, n = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.record_batch([batch.column("key"), batch.column("k"), pa.array(entry, pa.string()), pa.array(leaves, pa.string()), pa.array(n, pa.int64())], ["key", "k", "entry", "leaves", "n"])
 
     few = docs.where(F.length("text") <= chunk_chars).withColumn("n_bytes", F.octet_length("text").cast("long"))
     few = few.mapInArrow(short, few.select("id", "n_bytes").schema.add("n_tokens", "long"))
-    # equal rows are counted once and repeated at the end, so that (id, text hash) names a document
-    long = docs.where(F.length("text") > chunk_chars).groupBy("id", "text").agg(F.count("*").alias("copies"))
-    long = long.withColumn("key", F.sha2(F.concat_ws(":", F.col("id").cast("string"), "text"), 256))
-    chunks = long.select("key", F.explode(F.sequence(F.lit(0), F.expr(f"cast((length(text) - 1) div {chunk_chars} as int)"))).alias("k"), "text")
-    chunks = chunks.select("key", "k", F.expr(f"substring(text, k * {chunk_chars} + 1, {chunk_chars})").alias("text"))
-    maps = chunks.mapInArrow(mapped, "key string, k int, head string, inner long, tail string")
-    # prefix scan: g counts the resets before a chunk; what shares g is one stretch between two chunks' resets
-    g = F.coalesce(F.sum(F.when(F.col("tail").isNotNull(), 1).otherwise(0)).over(Window.partitionBy("key").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = maps.withColumn("g", g).select("key", "inner", F.expr("inline(array(named_struct('g', g, 'at', k, 's', head), named_struct('g', g + 1, 'at', k, 's', tail)))")).where("s IS NOT NULL")
-    bridges = parts.groupBy("key", "g").agg(F.expr("array_join(transform(array_sort(collect_list(struct(at, s))), x -> x.s), '')").alias("unit"))
-    n = maps.select("key", F.col("inner").alias("n")).unionAll(bridges.select("key", "unit").mapInArrow(bridged, "key string, n long")).groupBy("key").agg(F.sum("n").alias("n_tokens"))
-    many = long.select("key", "id", "copies", F.octet_length("text").cast("long").alias("n_bytes")).join(n, "key")
-    many = many.select("id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+    long = docs.where(F.length("text") > chunk_chars)
+    schema = long.select("id").schema
+    for name, kind in (("key", "long"), ("k", "integer"), ("text", "string"), ("before", "string"), ("n_bytes", "long")):
+        schema = schema.add(name, kind)
+    chunks = cut(long.mapInArrow(split, schema))
+    maps = "key long, k int, entry string, leaves string, n long"
+    runs = cut(chunks.select("key", "k", "text", "before", F.lit(None).cast("string").alias("entry")).repartition("key", "k").mapInArrow(mapped, maps))
+    while True:
+        left = F.lag("leaves").over(Window.partitionBy("key").orderBy("k"))  # states of one document's chunks
+        wrong = cut(runs.withColumn("left", left).where("left <> entry").select("key", "k", F.col("left").alias("entry")))
+        if wrong.isEmpty():
+            break
+        again = chunks.select("key", "k", "text", "before").join(wrong, ["key", "k"]).select("key", "k", "text", "before", "entry")
+        runs = cut(runs.join(wrong.select("key", "k"), ["key", "k"], "left_anti").unionAll(again.mapInArrow(mapped, maps)))
+    sizes = chunks.groupBy("key").agg(F.first("id").alias("id"), F.sum("n_bytes").alias("n_bytes"))
+    many = sizes.join(runs.groupBy("key").agg(F.sum("n").alias("n_tokens")), "key").select("id", "n_bytes", "n_tokens")
     out = few.unionAll(many)
     return out.select(F.col("id").cast(ids).alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -21,6 +21,31 @@ def test_transducer_equals_library_on_random_texts():
     assert [tokencount.count(t, MODEL) for t in texts] == library(texts)
 
 
+def test_state_maps_compose(spark):
+    """Any cut of a text: entered with the state left before, the maps add up to the library's count."""
+    pick = random.Random(11)
+    machine = tokencount.compiled(MODEL)
+    letters = ["a", "the", " ", "  ", "\n", "é", "ing", "s", "中", "nation", "0", "12", "er", "internationalization"]
+    texts = ["".join(pick.choice(letters) for _ in range(pick.randint(1, 60))) for _ in range(400)]
+    for text, want in zip(texts, library(texts), strict=True):
+        state, total, rest = machine.start, 0, " " + text
+        while rest:
+            size = pick.randint(1, 20)
+            state, n = machine.read(machine.entered(state.key()), rest[:size])
+            total, rest = total + n, rest[size:]
+        assert total == want
+
+
+def test_long_texts_without_resets(spark, monkeypatch):
+    """Guessed entry states may be wrong; the chunks are then read again until they fit."""
+    monkeypatch.setattr(tokencount, "CONTEXT", 1)
+    pick = random.Random(12)
+    texts = ["".join(pick.choice(["international", "ization", "al", "s", "aaa", "12"]) for _ in range(300)), "a" * 2000, "=" * 999]
+    docs = spark.createDataFrame([(k, t, "", 0) for k, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(docs, MODEL, chunk_chars=37).collect()}
+    assert [got[k] for k in range(3)] == library(texts)
+
+
 def test_table_with_odd_rows_and_any_chunk_length(spark):
     texts = [None, "", " ", "hello  world", "hello  world", "x" * 301, ("ab \n cd  " * 90), " " * 77, "no-break" * 40 + " end"]
     rows = [(i % 7 if i else None, t, "clash", 1) for i, t in enumerate(texts)] + [(5, "x" * 301, "clash", 1)]
