@@ -94,16 +94,20 @@ def _url_sql() -> str:
     fits = [
         f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN struct_pack(n := {len(h + p)}, rule := '{h}{p}', action := '{a}') END" for a, h, p in URL_RULES
     ]
-    hits = [" + ".join(f"CAST(regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INTEGER)" for t in terms) for terms in (urlfilter.STRICT, urlfilter.SOFT)]
+    found = lambda t: f"CAST(regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INTEGER)"
+    terms = urlfilter.terms_of()
+    strict, soft = ([t for t, w in terms.items() if (w >= urlfilter.LIMIT) == heavy] for heavy in (True, False))
+    hits = [" + ".join(map(found, some)) for some in (strict, soft)]
+    weight = " + ".join(f"{terms[t]} * {found(t)}" for t in terms)
     return f"""
     WITH u AS (SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '://(.*)$', 1, 's') ELSE '' END AS rest,
                       translate(coalesce(url, ''), '{_CAPS}', '{_CAPS.lower()}') AS low FROM pages),
     p AS (SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), '{_CAPS}', '{_CAPS.lower()}') AS host,
                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
     r AS (SELECT *, list_sort(list_filter([{", ".join(fits)}], lambda x: x IS NOT NULL), 'DESC')[1] AS fit,
-                 {hits[0]} AS n_strict, {hits[1]} AS n_soft FROM p)
+                 {hits[0]} AS n_strict, {hits[1]} AS n_soft, {weight} AS weight FROM p)
     SELECT page_id, host, path, fit.rule AS rule,
-           coalesce(fit.action, CASE WHEN {urlfilter.SOFT_LIMIT} * n_strict + n_soft >= {urlfilter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
+           coalesce(fit.action, CASE WHEN weight >= {urlfilter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
     FROM r"""
 
 

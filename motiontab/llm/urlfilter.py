@@ -1,22 +1,22 @@
 """Verdicts on URLs by host and path rules, and else by a weighted vocabulary.
 
 One Aho-Corasick automaton finds all terms in a pass over the URL. A hit counts where no ASCII letter or digit
-touches it. Strict terms reject alone; soft ones when several distinct ones are found.
+touches it. Strict terms weigh as much as the limit and reject alone; soft ones when distinct ones together weigh as much. The
+vocabulary is a table of terms and weights, url_terms.csv beside this module or any other.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator, Mapping, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Terms that reject a URL alone.
-STRICT = ("adult", "casino", "porn", "spam", "viagra", "xxx")
-#: Terms of which SOFT_LIMIT distinct ones reject a URL.
-SOFT = ("ads", "bet", "bets", "bonus", "cheap", "deals", "farm", "free", "loans", "pills", "poker", "track", "win")
-SOFT_LIMIT = 2
+#: Weight of distinct terms that rejects a URL, and the table of terms.
+LIMIT, TERMS = 2.0, Path(__file__).with_name("url_terms.csv")
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _LOWER = {65 + k: 97 + k for k in range(26)}
 
@@ -50,8 +50,14 @@ class Rules:
         return max(found)[3:] if found else None
 
 
+def terms_of(path: str | Path = TERMS) -> dict[str, float]:
+    """Terms and weights of a table with the columns term and weight; of a repeated term the last weight counts."""
+    with open(path, encoding="utf-8", newline="") as file:
+        return {r["term"].strip().translate(_LOWER): float(r["weight"]) for r in csv.DictReader(file) if r["term"].strip()}
+
+
 class Vocabulary:
-    def __init__(self, weights: Mapping[str, int]):
+    def __init__(self, weights: Mapping[str, float]):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -59,8 +65,8 @@ class Vocabulary:
             self.automaton.add_word(term, (term, weight))
         self.automaton.make_automaton()
 
-    def hits(self, url: str) -> dict[str, int]:
-        """Distinct terms found with nothing but a boundary beside them, and their weights."""
+    def hits(self, url: str) -> dict[str, float]:
+        """Distinct terms found with nothing but a boundary beside them, and their weights; they may overlap."""
         text = url.translate(_LOWER)
         found = {}
         for end, (term, weight) in self.automaton.iter(text):
@@ -70,15 +76,16 @@ class Vocabulary:
         return found
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_limit: int = SOFT_LIMIT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], weights: Mapping[str, float] | None = None, limit: float = LIMIT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Rows (id_col, host, path, rule, verdict, n_strict, n_soft), one for each row of ``pages``.
 
-    The longest rule that fits decides; rule is null where none does, and the vocabulary decides: a strict term weighs
-    ``soft_limit``, a soft one 1, and a sum of distinct hits of ``soft_limit`` or more blocks. A null or empty URL has
-    empty parts and is allowed. Ids may be null or repeat; other columns are not read. Terms must not be empty and
-    are lower-case. No data moves between tasks.
+    The longest rule that fits decides, at equal length the one of the longer host, then an allowing one; rule is null where
+    none does, and the vocabulary decides: distinct terms that weigh ``limit`` or more block. n_strict counts terms of that
+    weight, n_soft lighter ones. A null or empty URL has empty parts and is allowed. Ids may be null or repeat; other columns are not
+    read. weights: lower-case terms, not empty, and what they weigh (a few thousand; every task holds them); by default the table
+    beside this module. No data moves between tasks.
     """
-    weights = dict.fromkeys(soft, 1) | dict.fromkeys(strict, soft_limit)
+    weights = terms_of() if weights is None else dict(weights)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, vocabulary = Rules(rules), Vocabulary(weights) if weights else None
@@ -88,8 +95,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], strict: Seque
                 host, path = parts(url)
                 hits = vocabulary.hits(url) if url and vocabulary else {}
                 rule, action = book.longest(host, path) or (None, None)
-                n_strict = sum(w >= soft_limit for w in hits.values())
-                out.append((host, path, rule, action or ("block" if sum(hits.values()) >= soft_limit else "allow"), n_strict, len(hits) - n_strict))
+                n_strict = sum(w >= limit for w in hits.values())
+                out.append((host, path, rule, action or ("block" if sum(hits.values()) >= limit else "allow"), n_strict, len(hits) - n_strict))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.string()] * 4 + [pa.int32()] * 2
             yield pa.record_batch([batch.column("id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["id", "host", "path", "rule", "verdict", "n_strict", "n_soft"])

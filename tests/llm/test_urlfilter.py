@@ -31,5 +31,19 @@ def test_rules_parts_and_terms(spark):
     assert run(spark, [u for u, _ in cases]) == [w for _, w in cases]
 
 
+def test_weights_overlaps_and_ties(spark):
+    weights = {"ab": 1.0, "ab-cd": 0.5, "cd": 0.5, "cd-ef": 3.0, "x": 1.0}
+    rows = [(None, "http://ab-cd.org"), (1, "http://ab.org/x"), (1, "http://ab.org/AB"), (1, "http://cd.org/ef"), (2, "http://a.org/cd-ef"), (2, None), (2, "http://xab.org/cdx")]
+    df = spark.createDataFrame([(i, u, "n", "r") for i, u in rows], "page_id int, url string, n_soft string, rule string")
+    rules = (("block", "a.org", "/"), ("allow", "org", "/cd-"), ("block", "org", "/cd-"))
+    got = sorted(((r.page_id or 0, r.host, r.rule or "", r.verdict, r.n_strict, r.n_soft) for r in urlfilter.judge(df, rules, weights).collect()))
+    assert got == sorted([(0, "ab-cd.org", "", "block", 0, 3), (1, "ab.org", "", "block", 0, 2), (1, "ab.org", "", "allow", 0, 1), (1, "cd.org", "", "allow", 0, 1), (2, "a.org", "org/cd-", "allow", 1, 1), (2, "", "", "allow", 0, 0), (2, "xab.org", "", "allow", 0, 0)])
+
+
+def test_the_table_of_terms():
+    terms = urlfilter.terms_of()
+    assert len(terms) > 150 and all(t == t.lower() and t.isalnum() for t in terms) and {w for w in terms.values()} == {0.75, 1.5, 2.0}
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
