@@ -1,7 +1,8 @@
 """Exact top-k search: tiled matrix products of query and candidate blocks, partial selection, tree merging.
 
 Vectors are packed to blocks. Candidate blocks lie in shards, query blocks in groups, and a tile is one group against
-one shard, both of bounded size. A tile is a few matrix products; of each product only the k best per query stay.
+one shard, both of about ``side`` rows. Each side is sent once for every ``side`` rows of the other, so ``side`` should be as large
+as a task's memory allows (a row of 64 components takes 128 bytes on its way, and 512 in a product). A tile is a few matrix products; of each product only the k best per query stay.
 The lists of a query from its shards are merged as a tree of bounded fan-in.
 """
 
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from motiontab.llm.common import cut
 
-#: Rows of a block, rows of a shard or a query group, and lists that one merge reads.
-BLOCK, SIDE, FAN_IN = 2048, 8192, 16
+#: Rows of a block, mean rows of a shard or a query group, and lists that one merge reads.
+BLOCK, SIDE, FAN_IN = 2048, 16_384, 16
 _EXACT = 2.0**53
 
 
@@ -60,11 +61,11 @@ def select(scores: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int) -
         yield ids[at if keep is None else keep[at]], row[at]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding", side: int = SIDE) -> DataFrame:
     """For each query row its ``k`` best other rows: (query_id, rank from 1, vec_id, score).
 
-    A component x counts as floor(scale * x) of its double value; score is the inner product, ties go to the smaller
-    id. ``is_query`` says over ``vectors`` which rows are queries (null: not); all rows are candidates. Vectors that
+    A component x counts as floor(scale * x) of its double value; score is the inner product, exact below 2^53 and else as
+    doubles round it, within a long; ties go to the smaller id. ``is_query`` says over ``vectors`` which rows are queries (null: not); all rows are candidates. Vectors that
     are null or hold null or non-finite components, and rows without an id, take no part. A query meets the vectors
     of its own dimension, without those of its own id. Repeated candidate rows are ranked each; repeated query rows
     give one list each. Fewer candidates than k: all of them; none: no row. Extra columns are not read.
@@ -89,12 +90,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     packed = rows.mapInArrow(blocks, "asked boolean, dim long, n long, small boolean, ids binary, data binary")
     packed = cut(packed.withColumn("block", F.monotonically_increasing_id()))
     sizes = {r.asked: r.n for r in packed.groupBy("asked").agg(F.sum("n").alias("n")).collect()}
-    shards, groups = (max(1, -(-(sizes.get(asked) or 0) // SIDE)) for asked in (False, True))
-    side = {asked: packed.where(F.col("asked") == asked).drop("asked") for asked in (False, True)}
+    shards, groups = (max(1, -(-(sizes.get(asked) or 0) // side)) for asked in (False, True))
+    sides = {asked: packed.where(F.col("asked") == asked).drop("asked") for asked in (False, True)}
     at = F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
     payload = ["block", "n", "small", "ids", "data"]
-    candidates = side[False].select("dim", at[0].alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), *[F.col(c).alias(f"c_{c}") for c in payload])
-    queries = side[True].select("dim", at[1].alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), *payload)
+    candidates = sides[False].select("dim", at[0].alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), *[F.col(c).alias(f"c_{c}") for c in payload])
+    queries = sides[True].select("dim", at[1].alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), *payload)
 
     def unpacked(row: dict, dim: int, mark: str = "") -> tuple[int, np.ndarray, np.ndarray]:
         data = np.frombuffer(row[f"{mark}data"], "<i2" if row[f"{mark}small"] else "<f8")

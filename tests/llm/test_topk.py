@@ -19,11 +19,10 @@ def brute(rows, k, scale=64.0):
 
 def run(spark, rows, k):
     df = spark.createDataFrame([(i, v, 0, 1, "x") for i, v in rows], SCHEMA)
-    return sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0, k=k).select("query_id", "rank", "vec_id", "score").collect())
+    return sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0, k=k, side=64).select("query_id", "rank", "vec_id", "score").collect())
 
 
-def test_equals_brute_force_with_ties_and_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SIDE", 64)
+def test_equals_brute_force_with_ties_and_odd_rows(spark):
     pick = random.Random(1)
     rows = [(i, [pick.choice([-0.5, 0.1, 0.25, 0.3]) for _ in range(4)]) for i in range(400)]
     rows += [(1000, None), (1005, [0.1, None, 0.2, 0.3]), (1010, [float("nan"), 0.0, 0.0, 0.0]), (1015, [float("inf")] * 4), (None, [0.1] * 4), (1020, []), (1025, []), (1030, [0.5, 0.5]), (1031, [600.0, -700.0])]
