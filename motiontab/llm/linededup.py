@@ -8,7 +8,7 @@ of short ones. What passes is verified on the whole sets.
 
 A word that was counted once joins nothing and is left out. Rare words join alone, so at most 2^RARE sets meet at
 one. Frequent ones join as pairs: sets that share no rare word of the prefix share two frequent ones in a prefix longer
-by one. Sets of over LONG words, which bits cannot tell apart, share three words of a prefix longer by two: two rare ones, or
+by one. Sets of over LONG words, which bits tell apart less well, share three words of a prefix longer by two: two rare ones, or
 two frequent ones at least. Above MOST words, where pairs would be too many, frequent words join alone, too.
 
 A line goes if an earlier one matches it. So at each frequent key a set first meets the earliest of its size band; sets
@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from motiontab.llm.common import cut, table
 
 #: Counters of word rarity are 2^COUNTERS; a class is the logarithm of a count, rounded up, at most 15.
-COUNTERS = 22
+COUNTERS = 21
 #: Words up to class RARE (counted up to 2^RARE times) join alone, others as pairs in sets of up to MOST words.
 RARE, MOST = 10, 256
-#: Sets up to LONG words carry bits, pairs of longer ones share two keys.
-LONG = 64
-#: Rows up to which pairs of lines (48 bytes each) and the kept lines of documents (a byte each) are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Pairs of sets of over LONG words share two keys; sets up to BITS words carry bits.
+LONG, BITS = 64, 128
+#: Rows up to which pairs of lines (48 bytes each) and documents with flags of their lines (FLAGS bytes in all) are broadcast.
+BROADCAST_ROWS, FLAGS = 500_000, 8_000_000
 _LOW, _KEY = (1 << 60) - 1, (1 << 48) - 1
 
 
@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     most = F.col("p") - F.col("once") + more
     prefix = F.when(F.col("p") > F.col("once"), F.slice("words", F.col("once") + 1, most)).otherwise(F.array().cast("array<long>"))
     narrow = F.transform(prefix, lambda w: F.shiftrightunsigned(w, 12).bitwiseXOR(F.lit(1 << 51)))  # class from 0 above 48 bits
-    bits = F.when(F.col("n") <= LONG, F.aggregate("words", F.lit(0).cast("long"), bit))
+    bits = F.when(F.col("n") <= BITS, F.aggregate("words", F.lit(0).cast("long"), bit))
     sets = sets.select("n", F.xxhash64("words").alias("sid"), F.hash("words").alias("h"), F.struct(*f, "once", bits.alias("bits"), narrow.alias("prefix")).alias("s"))
     firsts = table(sets.groupBy("n", "sid", "h").agg(F.min("s").alias("s")).select("n", "s.*"))
 
@@ -185,9 +185,10 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     out = docs.drop("n_lines", "n_removed")
     mark = "".join(out.columns) + "_"  # names that no column of docs has
     k, copy, stay, many = f"{mark}k", f"{mark}copy", f"{mark}kept", f"{mark}n"
-    kept = kept.withColumnsRenamed({"kept": stay, "n": many})
+    kept = table(kept.withColumnsRenamed({"kept": stay, "n": many}))
     if unique:
-        small = firsts.count() <= BROADCAST_ROWS
+        sizes = kept.agg(F.count("*").alias("rows"), F.sum(F.octet_length(stay)).alias("bytes")).first()
+        small = sizes.rows <= BROADCAST_ROWS and (sizes.bytes or 0) <= FLAGS
         out = out.withColumn(copy, F.lit(1)).join(F.broadcast(kept) if small else kept, F.col(id_col).eqNullSafe(F.col("k_id")) & F.col(text_col).isNotNull(), "left").drop("k_id")
     else:
         out = out.withColumn(k, F.xxhash64(id_col, text_col)).join(kept.drop("k_id").withColumnRenamed("k_k", k), k, "left")
