@@ -46,6 +46,18 @@ def after(x, rows: int = 1, *keys: str) -> Column:
     return F.lead(column(x), rows).over(track(*keys))
 
 
+def last_where(test: Column, x: Column, *keys: str) -> Column:
+    """x at the last earlier row that passes the test, nulls included; null without one."""
+    held = F.last(F.when(test, F.struct(x.alias("x"))), ignorenulls=True)
+    return held.over(track(*keys).rowsBetween(Window.unboundedPreceding, -1))["x"]
+
+
+def next_where(test: Column, x: Column, *keys: str) -> Column:
+    """x at the next row that passes the test; read backwards, so that a track costs one pass."""
+    back = Window.partitionBy(*(keys or KEYS)).orderBy(F.desc("frame"))
+    return F.last(F.when(test, F.struct(x.alias("x"))), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))["x"]
+
+
 def running_sum(x, *keys: str) -> Column:
     """Sum so far, nulls counted as 0; null where x is."""
     x = column(x)

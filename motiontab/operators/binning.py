@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motiontab.functions.geometry import rescale
-from motiontab.operators.stats import t_quantile
+from motiontab.operators.saving import saved
+from motiontab.operators.stats import t_quantiles
+from motiontab.operators.summary import filtered
 
 
 def binned(df: DataFrame, variable: str, width: float, frame_rate: float = 16, drop_null_bin: bool = False) -> DataFrame:
@@ -29,11 +31,26 @@ def binned(df: DataFrame, variable: str, width: float, frame_rate: float = 16, d
 
 
 def empty_bins(df: DataFrame) -> int:
-    """Bins between 1 and the highest that no row has; callers may ask for a greater width if there are any."""
+    """Bins between 1 and the highest that no row has."""
     r = df.agg(F.max("bin").alias("high"), F.countDistinct("bin").alias("n")).first()
     return (r.high or 0) - r.n
 
 
+def checked(df: DataFrame) -> DataFrame:
+    """``df``, or an error if one of its bins is empty."""
+    if n := empty_bins(df):
+        raise ValueError(f"{n} bins are empty. Try a higher width.")
+    return df
+
+
+def time_bins(df: DataFrame, width: float = 10, end: float = 180, frame_rate: float = 16) -> DataFrame:
+    """Add bin, 1-based intervals (low, high] of ``width`` seconds from 0 to ``end`` (null outside), and bin_id, the row in its bin of the track."""
+    t = F.col("frame") / frame_rate
+    bin_ = F.when((t > 0) & (t <= end), F.ceil(t / width).cast("int"))
+    df = df.withColumn("bin", bin_)
+    return df.withColumn("bin_id", F.row_number().over(Window.partitionBy("id", "bin").orderBy("frame")))
+
+
 def mean_ci(name: str, c: Column) -> list[Column]:
     """Pieces that ``with_limits`` turns into mean and confidence limits."""
     return [F.avg(c).alias(f"{name}_mean"), F.stddev_samp(c).alias(f"{name}_sd"), F.count(c).alias(f"{name}_n")]
@@ -41,11 +58,12 @@ def mean_ci(name: str, c: Column) -> list[Column]:
 
 def with_limits(df: DataFrame, names: Sequence[str], level: float = 0.95) -> DataFrame:
     """name_lowCI and name_hiCI: mean -+ t * sd / sqrt(n), null for n < 2. The quantile is read on the few binned rows."""
-    for name in names:
-        half = t_quantile(F.col(f"{name}_n") - 1, (1 + level) / 2) * F.col(f"{name}_sd") / F.sqrt(F.col(f"{name}_n"))
-        df = df.withColumn("_half", half)
-        df = df.withColumns({f"{name}_lowCI": F.col(f"{name}_mean") - F.col("_half"), f"{name}_hiCI": F.col(f"{name}_mean") + F.col("_half")}).drop("_half", f"{name}_sd", f"{name}_n")
-    return df
+    df = df.withColumn("_t", t_quantiles([F.col(f"{name}_n") - 1 for name in names], (1 + level) / 2))
+    new = {}
+    for k, name in enumerate(names):
+        half = F.col("_t")[k] * F.col(f"{name}_sd") / F.sqrt(F.col(f"{name}_n"))
+        new |= {f"{name}_lowCI": F.col(f"{name}_mean") - half, f"{name}_hiCI": F.col(f"{name}_mean") + half}
+    return df.withColumns(new).drop("_t", *[f"{name}_{c}" for name in names for c in ("sd", "n")])
 
 
 KEYS = ("group_condition", "bin", "midpoint")
@@ -102,6 +120,18 @@ def binned_by_unit(df: DataFrame, unit: str = "id", kinds: Sequence[str] = ("ts"
     return with_limits(first.groupBy(*KEYS).agg(*[a for c in names for a in mean_ci(c, F.col(c))]), names)
 
 
+def binned_series(df: DataFrame, variable: str = "frame", width: float = 10, unit: str | None = None, frame_rate: float = 16, kinds: Sequence[str] = ("ts", "hc", "is", "run", "pref"), seconds=None, odor=None, bearing=None, direction=None, drop_flips: bool = False, **options) -> DataFrame:
+    """Filter, bin and tabulate in one call: ``binned_table``, or ``binned_by_unit`` for a unit. An empty bin is an error."""
+    rows = filtered(df, seconds, odor, bearing, direction, frame_rate, drop_flips)
+    rows = checked(binned(rows, variable, width, frame_rate))
+    return binned_by_unit(rows, unit, kinds, **options) if unit else binned_table(rows, kinds, **options)
+
+
+def as_matrix(grid: DataFrame, bins: int, x: str = "xbin", y: str = "ybin", z: str = "z") -> DataFrame:
+    """A long grid as one row for each x with a column for each y from 1 to ``bins``."""
+    return grid.groupBy(x).pivot(y, list(range(1, bins + 1))).agg(F.first(z))
+
+
 def circular_mean_of_bins(df: DataFrame, value: str, bins: int, n: int, circular: bool = False) -> DataFrame:
     """(group_condition, bin, smooth): mean over n neighbouring bins, around the circle if asked, else null at the edges."""
     from motiontab.functions.windows import full
@@ -131,8 +161,7 @@ def median_filtered(grid: DataFrame, bins: int, radius: int = 1, passes: int = 1
         spread = grid.where("z IS NOT NULL").select("xbin", "ybin", "z", shift.alias("dx")).withColumn("dy", shift)
         spread = spread.select((F.col("xbin") + F.col("dx")).alias("xbin"), (F.col("ybin") + F.col("dy")).alias("ybin"), "z")
         grid = cells.join(spread.groupBy("xbin", "ybin").agg(F.percentile("z", F.lit(0.5)).alias("z")), ["xbin", "ybin"], "left")
-        if passes > 1 and spark.sparkContext.getCheckpointDir():
-            grid = grid.checkpoint()
+        grid = saved(grid) if passes > 1 else grid
     return grid
 
 

@@ -1,7 +1,7 @@
 """Identities through collisions: bundle sizes, collision candidates, remaps and statistical resolution.
 
 Tables: edges (video, parent, child, frame), lives (video, track, start, end, area), collisions (id, new1, new2, new3,
-origin, bundle) and frame tables. All are DataFrames; iterations stop at a fixpoint and are bounded.
+origin, bundle) and frame tables. All are DataFrames; iterations stop at a fixpoint.
 """
 
 from __future__ import annotations
@@ -15,10 +15,7 @@ from pyspark.sql import functions as F
 from motiontab.functions import geometry as g
 from motiontab.functions import windows as w
 from motiontab.operators import stats
-
-
-def _keep(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+from motiontab.operators.saving import saved
 
 
 # shape
@@ -85,11 +82,11 @@ def bundle_bounds(lives: DataFrame, edges: DataFrame) -> DataFrame:
 
 def families(edges: DataFrame) -> DataFrame:
     """(video, parent, child, family): edges whose parents share children, transitively; family is the least parent."""
-    rows = _keep(edges.select("video", "parent", "child").distinct().withColumn("family", F.col("parent")))
+    rows = saved(edges.select("video", "parent", "child").distinct().withColumn("family", F.col("parent")))
     while True:
         by_child = rows.groupBy("video", "child").agg(F.min("family").alias("m"))
         by_parent = rows.join(by_child, ["video", "child"]).groupBy("video", "parent").agg(F.min("m").alias("m"))
-        rows = _keep(rows.join(by_parent, ["video", "parent"]).select("video", "parent", "child", F.least("m", "family").alias("family"), (F.col("m") < F.col("family")).alias("moved")))
+        rows = saved(rows.join(by_parent, ["video", "parent"]).select("video", "parent", "child", F.least("m", "family").alias("family"), (F.col("m") < F.col("family")).alias("moved")))
         if not rows.where("moved").limit(1).count():
             return rows.drop("moved")
         rows = rows.drop("moved")
@@ -101,7 +98,7 @@ def balanced_sizes(bounds: DataFrame, family: DataFrame, rounds: int = 20) -> tu
     The missing animals of a family's poorer side go to its member with the most, where its bound allows; what cannot
     be balanced in ``rounds`` rounds is reported as (video, family, parents, children).
     """
-    sizes = _keep(bounds.withColumnRenamed("low", "size"))
+    sizes = saved(bounds.withColumnRenamed("low", "size"))
     sides = family.select("video", "family", F.col("parent").alias("track"), F.lit("parents").alias("side")).unionAll(family.select("video", "family", F.col("child").alias("track"), F.lit("children").alias("side"))).distinct()
     for k in range(rounds + 1):
         held = sides.join(sizes, ["video", "track"])
@@ -114,23 +111,28 @@ def balanced_sizes(bounds: DataFrame, family: DataFrame, rounds: int = 20) -> tu
         room = held.where("high IS NULL").join(lack, ["video", "family", "side"])
         first = F.row_number().over(Window.partitionBy("video", "family").orderBy(F.desc("size"), "track"))
         raised = room.withColumn("_r", first).where("_r = 1").groupBy("video", "track").agg(F.max("more").alias("more"))
-        sizes = _keep(sizes.join(raised, ["video", "track"], "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"))
+        sizes = saved(sizes.join(raised, ["video", "track"], "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"))
     raise AssertionError
 
 
-def end_objects(sizes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(video, track, single): the singles downstream of each bundle, through bundles."""
+def end_objects(sizes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(video, track, single): the singles downstream of each bundle, through bundles; edges may form cycles."""
     bundle = sizes.where("size > 1").select("video", "track")
     step = edges.select("video", F.col("parent").alias("at"), F.col("child").alias("next")).distinct()
-    front = bundle.withColumn("at", F.col("track"))
-    found = front.limit(0).select("video", "track", F.col("at").alias("single"))
-    for _ in range(rounds):
-        reached = front.join(step, ["video", "at"]).select("video", "track", F.col("next").alias("at")).distinct()
-        front = _keep(reached.join(bundle.withColumnRenamed("track", "at"), ["video", "at"], "left_semi").select("video", "track", "at"))
-        found = _keep(found.unionByName(reached.join(bundle.withColumnRenamed("track", "at"), ["video", "at"], "left_anti").select("video", "track", F.col("at").alias("single"))).distinct())
-        if not front.limit(1).count():
+    inner = bundle.withColumnRenamed("track", "at")
+    seen = front = saved(bundle.withColumn("at", F.col("track")))
+    parts = []
+    while True:
+        reached = saved(front.join(step, ["video", "at"]).select("video", "track", F.col("next").alias("at")).distinct())
+        parts.append(reached.join(inner, ["video", "at"], "left_anti").select("video", "track", F.col("at").alias("single")))
+        front = saved(reached.join(inner, ["video", "at"], "left_semi").select("video", "track", "at").join(seen, ["video", "track", "at"], "left_anti"))
+        if front.isEmpty():
             break
-    return found
+        seen = saved(seen.unionByName(front))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def collision_candidates(lives: DataFrame, edges: DataFrame, most_frames: int) -> DataFrame:
@@ -158,8 +160,10 @@ def partition_error(expected: DataFrame) -> DataFrame:
 
 def columnised(events: DataFrame) -> DataFrame:
     """Event log to (id, merged_into, split1, split2, split3, origin, bundle); later events win, sizes are those of the last
-    report, in the order of ids from 1."""
-    events = events.withColumn("_n", F.monotonically_increasing_id())  # logs are read in order
+    report, in the order of ids from 1. Later is by path and place of the line where the events have them, else by frame
+    (reports without a frame after all), kind and ids."""
+    order = ["path", "place"] if {"path", "place"} <= set(events.columns) else []
+    events = events.withColumn("_n", F.struct(*order or [F.coalesce("frame", F.lit(2**31 - 1)).alias("f"), "kind", "ids", "to_ids", "sizes"]))
     last = lambda c: F.max_by(c, "_n")
     merged = events.where("kind = 'N->1'").select(F.explode("ids").alias("id"), F.get("to_ids", F.size("to_ids") - 1).alias("into"), "_n").groupBy("id").agg(last("into").alias("merged_into"))
     split = events.where("kind = '1->N'").select(F.get("ids", F.size("ids") - 1).alias("id"), "to_ids", "_n").groupBy("id").agg(last("to_ids").alias("s"))
@@ -184,10 +188,10 @@ def with_missing_ids(rows: DataFrame, key: str = "id", **fill) -> DataFrame:
 
 def resolved_map(pairs: DataFrame, rounds: int = 64) -> DataFrame:
     """(old, new) remaps followed to their ends, by pointer doubling; remaps must not form cycles."""
-    rows = _keep(pairs.select("old", "new").where("old <> new"))
+    rows = saved(pairs.select("old", "new").where("old <> new"))
     for _ in range(rounds):
         step = rows.select(F.col("old").alias("new"), F.col("new").alias("next"))
-        rows = _keep(rows.join(step, "new", "left").select("old", F.coalesce("next", "new").alias("new"), F.col("next").isNotNull().alias("moved")))
+        rows = saved(rows.join(step, "new", "left").select("old", F.coalesce("next", "new").alias("new"), F.col("next").isNotNull().alias("moved")))
         if not rows.where("moved AND old <> new").limit(1).count():
             break
         rows = rows.drop("moved")
@@ -232,27 +236,109 @@ def merged_tracks(tracks: DataFrame, assignments: DataFrame) -> DataFrame:
 # statistical resolution
 
 
-def resolve_two(samples: DataFrame, ratio: float = 1e-3, gate: float = 0.05, variable: str = "value") -> DataFrame:
-    """(collision, straight, p_gate): which incoming animal is which outgoing one, for two in and two out.
+def collision_stars(collisions: DataFrame) -> DataFrame:
+    """(collision, bundle, incoming, outgoing): each cluster with the rows (id, bundle) that enter and that leave it, by id.
+
+    collisions: (id, new1, new2, new3, bundle); who names the cluster as new1 enters it, whom the cluster names leaves.
+    """
+    row = lambda: F.sort_array(F.collect_list(F.struct("id", "bundle")))
+    incoming = collisions.where("new1 IS NOT NULL").groupBy(F.col("new1").alias("collision")).agg(row().alias("incoming"))
+    named = collisions.select(F.col("id").alias("collision"), F.explode(F.array_compact(F.array("new1", "new2", "new3"))).alias("id"))
+    outgoing = named.join(collisions.select("id", "bundle"), "id").groupBy("collision").agg(row().alias("outgoing"))
+    return collisions.select(F.col("id").alias("collision"), "bundle").join(incoming, "collision").join(outgoing, "collision")
+
+
+def collision_samples(tracks: DataFrame, collisions: DataFrame, k: int, value: str, least: int = 10, most: int = 45) -> DataFrame:
+    """(collision, role, id, frame, value) for ``k`` single animals that enter a bundle of k and k that leave it.
+
+    Every animal needs ``least`` rows; of each the last (in) or first (out) rows are taken, as many as the shortest has and
+    ``most`` at most. Roles are in1.., out1.. in the order of ids.
+    """
+    single = lambda c: (F.size(c) == k) & F.forall(c, lambda r: r["bundle"] == 1)
+    stars = collision_stars(collisions).where((F.col("bundle") == k) & single("incoming") & single("outgoing"))
+    roles = F.concat(*[F.transform(c, lambda r, i, c=c: F.struct(r["id"].alias("id"), F.concat(F.lit("in" if c == "incoming" else "out"), (i + 1).cast("string")).alias("role"))) for c in ("incoming", "outgoing")])
+    members = stars.select("collision", F.explode(roles).alias("m")).select("collision", "m.id", "m.role")
+    rows = members.join(tracks.select("id", "frame", F.col(value).alias("value")), "id")
+    each = Window.partitionBy("collision", "role")
+    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(each), "_r": F.row_number().over(each.orderBy(F.when(F.col("role").startswith("in"), -F.col("frame")).otherwise(F.col("frame"))))})
+    whole = Window.partitionBy("collision")
+    rows = rows.withColumns({"_least": F.min("_n").over(whole), "_roles": F.size(F.collect_set("role").over(whole))})
+    return rows.where((F.col("_least") >= least) & (F.col("_roles") == 2 * k) & (F.col("_r") <= F.least(F.lit(most), "_least"))).select("collision", "role", "id", "frame", "value")
+
+
+def _role_tests(samples: DataFrame, variable: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(collision, p): rank-sum p by pair of roles, a map with keys such as in1-out2."""
+    listed = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])).alias("pair")
+    # a role's rows, at most 45, go once into each of its pairs
+    rows = samples.select("collision", "role", F.col(variable).alias("value"), listed).where((F.col("role") == F.col("pair.a")) | (F.col("role") == F.col("pair.b")))
+    keyed = rows.select(F.to_json(F.struct(F.col("collision").alias("c"), F.concat_ws("-", "pair.a", "pair.b").alias("cell"))).alias("key"), F.when(F.col("role") == F.col("pair.a"), "a").otherwise("b").alias("g"), "value")
+    tests = stats.rank_sums_by_key(keyed, "key", "g", "value")
+    kind = dict(samples.dtypes)["collision"]
+    parts = tests.select(F.from_json("key", f"c {kind}, cell string").alias("k"), "p")
+    return parts.groupBy(F.col("k.c").alias("collision")).agg(F.map_from_entries(F.collect_list(F.struct("k.cell", "p"))).alias("p"))
+
+
+def _gated(samples: DataFrame, variable: str) -> DataFrame:
+    return stats.kruskal(samples, variable, "role", ["collision"]).select("collision", F.col("p").alias("p_gate"))
+
+
+def resolve_two(samples: DataFrame, ratio: float = 1e-3, gate: float = 0.05, variable: str = "value", forced: bool = False) -> DataFrame:
+    """(collision, straight, p_gate, forced): which incoming animal is which outgoing one, for two in and two out.
 
     samples: (collision, role in1 | in2 | out1 | out2, value), at most 45 rows a role. A Kruskal-Wallis test over the
     four roles must reject at ``gate``; then the pairs with the two largest rank-sum p must lie on one diagonal and the
-    third p must be below ``ratio`` times the second, else straight is null.
+    third p must be below ``ratio`` times the second, else straight is null. With ``forced`` the diagonal of the largest p
+    is taken then, and forced is true; at a tie, or where the gate closes, the straight one.
     """
-    gated = stats.kruskal(samples, variable, "role", ["collision"]).select("collision", F.col("p").alias("p_gate"))
-    long = samples.select("collision", "role", F.col(variable).alias("value"))
-    side = lambda s, n: long.where(F.col("role").startswith(s)).select("collision", F.col("role").alias(n), F.col("value"))
-    pairs = samples.select("collision").distinct().withColumn("i", F.explode(F.array(F.lit("in1"), F.lit("in2")))).withColumn("o", F.explode(F.array(F.lit("out1"), F.lit("out2"))))
-    rows = pairs.join(side("in", "i"), ["collision", "i"]).withColumn("g", F.lit("a")).unionByName(pairs.join(side("out", "o"), ["collision", "o"]).withColumn("g", F.lit("b")))
-    keyed = rows.withColumn("key", F.concat_ws("|", F.col("collision").cast("string"), "i", "o"))
-    tests = stats.rank_sums_by_key(keyed, "key", "g", "value")
-    p = tests.withColumn("parts", F.split("key", r"\|")).select(F.get("parts", 0).alias("c"), F.concat(F.substring(F.get("parts", 1), 3, 1), F.substring(F.get("parts", 2), 4, 1)).alias("cell"), "p")
-    four = p.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("p", "cell")), False).alias("o"))
+    p = _role_tests(samples, variable, [(f"in{i}", f"out{o}") for i in "12" for o in "12"])
+    cells = F.sort_array(F.transform(F.map_entries("p"), lambda e: F.struct(e["value"].alias("p"), e["key"].alias("cell"))), False)
+    four = p.withColumn("o", cells)
     top = F.array_sort(F.array(F.col("o")[0]["cell"], F.col("o")[1]["cell"]))
-    clear = (F.size("o") == 4) & (F.col("o")[2]["p"] < ratio * F.col("o")[1]["p"])
-    straight = F.when(clear & (top == F.array(F.lit("11"), F.lit("22"))), True).when(clear & (top == F.array(F.lit("12"), F.lit("21"))), False)
-    out = gated.join(four.select(F.col("c").alias("_c"), straight.alias("straight")), F.col("collision").cast("string") == F.col("_c"), "left")
-    return out.select("collision", F.when(F.col("p_gate") <= gate, F.col("straight")).alias("straight"), "p_gate")
+    clear = (F.size("o") == 4) & (F.col("o")[0]["p"] != 0) & (F.col("o")[2]["p"] < ratio * F.col("o")[1]["p"])
+    one, two = F.array(F.lit("in1-out1"), F.lit("in2-out2")), F.array(F.lit("in1-out2"), F.lit("in2-out1"))
+    straight = F.when(clear & (top == one), True).when(clear & (top == two), False)
+    best = lambda pair: F.greatest(*[F.coalesce(F.col("p")[c], F.lit(0.0)) for c in pair])
+    four = four.select("collision", straight.alias("_s"), (best(["in1-out1", "in2-out2"]) >= best(["in1-out2", "in2-out1"])).alias("_more"))
+    out = _gated(samples, variable).join(four, "collision", "left")
+    told = F.when(F.col("p_gate") <= gate, F.col("_s"))
+    guess = F.when(F.col("p_gate") <= gate, F.col("_more")).otherwise(True)
+    return out.select("collision", (F.coalesce(told, guess) if forced else told).alias("straight"), "p_gate", (told.isNull() & F.lit(forced)).alias("forced"))
+
+
+def resolve_three(samples: DataFrame, ratio: float = 1e-3, gate: float = 0.05, variable: str = "value") -> DataFrame:
+    """(collision, incoming, outgoing, p_gate): roles that belong together, for three in and three out.
+
+    A Kruskal-Wallis test over the six roles must reject at ``gate``. An incoming animal's best partner has the largest of
+    its three rank-sum p; it is sure when the second is below ``ratio`` times it, and so is the largest p of the tests among
+    the incoming and among the outgoing that take in one of the two. If the three best partners are a permutation
+    and all sure, three rows are returned; else those sure ones that are the only best of their partner.
+    """
+    ins, outs = [f"in{k}" for k in "123"], [f"out{k}" for k in "123"]
+    cross = [(x[a], x[b]) for x in (ins, outs) for a, b in ((0, 1), (0, 2), (1, 2))]
+    p = _role_tests(samples, variable, [(a, b) for a in ins for b in outs] + cross)
+    value = lambda a, b: F.coalesce(F.col("p")[f"{a}-{b}"], F.lit(0.0))
+    touching = lambda role: [value(a, b) for a, b in cross if role in (a, b)]
+
+    def row(a: str) -> Column:
+        order = F.sort_array(F.array(*[F.struct(value(a, b).alias("p"), F.greatest(*touching(a), *touching(b)).alias("cross"), F.lit(b).alias("out")) for b in outs]), False)
+        sure = (order[0]["p"] > 0) & (order[1]["p"] < ratio * order[0]["p"]) & (order[0]["cross"] < ratio * order[0]["p"])
+        return F.struct(F.lit(a).alias("incoming"), order[0]["out"].alias("outgoing"), sure.alias("sure"))
+
+    rows = p.withColumn("rows", F.array(*map(row, ins))).join(_gated(samples, variable), "collision").where(F.col("p_gate") <= gate)
+    alone = lambda r: F.size(F.filter("rows", lambda q: q["outgoing"] == r["outgoing"])) == 1
+    found = rows.select("collision", "p_gate", F.explode(F.filter("rows", lambda r: r["sure"] & alone(r))).alias("r"))
+    return found.select("collision", "r.incoming", "r.outgoing", "p_gate")
+
+
+def assignments_of(samples: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
+    """(incoming, outgoing, type, duration, forced) of resolved roles: pairs (collision, incoming, outgoing, forced).
+
+    duration: frames between the last one of the incoming animal and the first one of the outgoing one.
+    """
+    ends = samples.groupBy("collision", "role").agg(F.first("id").alias("id"), F.min("frame").alias("first"), F.max("frame").alias("last"))
+    side = lambda n: ends.select("collision", F.col("role").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("id", "first", "last")])
+    both = pairs.join(side("incoming"), ["collision", "incoming"]).join(side("outgoing"), ["collision", "outgoing"])
+    return both.select(F.col("incoming_id").alias("incoming"), F.col("outgoing_id").alias("outgoing"), F.lit(kind).alias("type"), (F.col("outgoing_first") - F.col("incoming_last") - 1).alias("duration"), F.col("forced").cast("int").alias("forced"))
 
 
 def origin_queue(events: DataFrame) -> DataFrame:

@@ -13,35 +13,54 @@ def with_row(df: DataFrame) -> DataFrame:
     return df if "row" in df.columns else df.withColumn("row", w.position())
 
 
+def _with_islands(df: DataFrame, least_head: float) -> DataFrame:
+    """Add the islands of fast rows as _island (number), _inside, and on each of their rows _start, _end, _fastest (rows),
+    _tail, _angle, _turned and _size.
+
+    An island is made of rows whose head turns faster than ``least_head`` either way, with the row before them. The first
+    row of a track is never fast. A single quiet row between two islands starts the second.
+    """
+    over = F.coalesce(F.abs("head_vector_angular_speed") > least_head, F.lit(False)) & (F.col("row") > 1)
+    df = with_row(df).withColumn("_over", over)
+    ahead = F.coalesce(w.after("_over"), F.lit(False)) & ~F.col("_over")
+    df = df.withColumn("_starts", ahead).withColumn("_island", F.sum(F.col("_starts").cast("int")).over(w.track().rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_inside", F.col("_over") | F.col("_starts"))
+    island = w.whole("id", "_island", "_inside")
+    speed = F.coalesce(F.abs("head_vector_angular_speed"), F.lit(-1.0))
+    ends = lambda c: (F.min_by(c, "row").over(island), F.max_by(c, "row").over(island))
+    bend, heading = ends("bending_angle"), ends("heading_angle")
+    return df.withColumns({
+        "_start": F.min("row").over(island),
+        "_end": F.max("row").over(island),
+        "_fastest": F.max_by("row", F.struct(speed, -F.col("row"))).over(island),
+        "_tail": F.max(F.abs("tail_vector_angular_speed")).over(island),
+        "_angle": bend[1] - bend[0],
+        "_turned": F.abs(heading[0]) - F.abs(heading[1]),
+    })
+
+
+_ISLAND = ["_over", "_starts", "_island", "_inside", "_start", "_end", "_fastest", "_tail", "_angle", "_turned"]
+
+
+def _tail_ok(most_tail: float) -> Column:
+    return F.coalesce(F.col("_tail") < most_tail, F.lit(False))
+
+
+def _size_ok(min_size: float, max_size: float | None) -> Column:
+    size = F.abs("_angle")
+    return F.coalesce((size > min_size) & (size < max_size if max_size is not None else F.lit(True)), F.lit(False))
+
+
 def head_cast_intervals(df: DataFrame, least_head: float = 35.0, most_tail: float = 45.0, min_size: float = 20.0, max_size: float | None = None) -> DataFrame:
     """Candidates (id, start, end, peak, angle, reorientation, tail_ok, size_ok) as rows of the track.
 
     A candidate is an island of rows whose head turns faster than ``least_head`` either way; it starts a row before
     the island, its peak is the row after the fastest. The first row of a track starts no island.
     """
-    over = F.coalesce(F.abs("head_vector_angular_speed") > least_head, F.lit(False)) & (F.col("row") > 1)
-    rows = with_row(df).select("id", "frame", "row", "head_vector_angular_speed", "tail_vector_angular_speed", "bending_angle", "heading_angle")
-    rows = rows.withColumn("over", over).withColumn("enters", F.col("over") & ~F.coalesce(w.before("over"), F.lit(False)))
-    ahead = F.coalesce(w.after("over"), F.lit(False)) & ~F.col("over")  # the row before an island belongs to it
-    rows = rows.withColumn("starts", ahead).withColumn("island", F.sum(F.col("starts").cast("int")).over(w.track().rowsBetween(Window.unboundedPreceding, 0)))
-    inside = rows.where("over OR starts")
-    # a single quiet row between two islands ends the one and starts the other: islands count from starts
-    speed = F.abs("head_vector_angular_speed")
-    found = inside.groupBy("id", "island").agg(
-        F.min("row").alias("start"),
-        F.max("row").alias("end"),
-        (F.max_by("row", F.struct(F.coalesce(speed, F.lit(-1.0)), -F.col("row"))) + 1).alias("peak"),
-        F.max(F.abs("tail_vector_angular_speed")).alias("tail"),
-        F.min_by("bending_angle", "row").alias("bend_a"),
-        F.max_by("bending_angle", "row").alias("bend_b"),
-        F.min_by("heading_angle", "row").alias("head_a"),
-        F.max_by("heading_angle", "row").alias("head_b"),
-    )
-    size = F.abs(F.col("bend_a") - F.col("bend_b"))
-    size_ok = (size > min_size) & (size < max_size if max_size is not None else F.lit(True))
-    return found.select(
-        "id", "start", "end", "peak", (F.col("bend_b") - F.col("bend_a")).alias("angle"), (F.abs("head_a") - F.abs("head_b")).alias("reorientation"),
-        F.coalesce(F.col("tail") < most_tail, F.lit(False)).alias("tail_ok"), F.coalesce(size_ok, F.lit(False)).alias("size_ok"),
+    rows = _with_islands(df, least_head).where(F.col("_inside") & (F.col("row") == F.col("_start")))
+    return rows.select(
+        "id", F.col("_start").alias("start"), F.col("_end").alias("end"), (F.col("_fastest") + 1).alias("peak"), F.col("_angle").alias("angle"), F.col("_turned").alias("reorientation"),
+        _tail_ok(most_tail).alias("tail_ok"), _size_ok(min_size, max_size).alias("size_ok"),
     )
 
 
@@ -50,16 +69,14 @@ def with_head_casts(df: DataFrame, least_head: float = 35.0, most_tail: float =
 
     If no candidate of a track survives, the flag marks all fast rows. Tracks without candidates have zeros and nulls.
     """
-    df = with_row(df)
-    found = head_cast_intervals(df, least_head, most_tail, min_size, max_size).where("tail_ok AND size_ok")
-    peaks = found.select("id", F.col("peak").alias("row"), F.lit(1).alias("HCs"), F.col("angle").alias("HC_angle"), F.col("reorientation").alias("HC_reorientation")).dropDuplicates(["id", "row"])
-    covered = found.select("id", F.explode(F.sequence("start", "end")).alias("row"), F.lit(1).alias("covered")).distinct()
-    fast = F.coalesce(F.abs("head_vector_angular_speed") > least_head, F.lit(False)) & (F.col("row") > 1)
-    df = df.join(peaks, ["id", "row"], "left").join(covered, ["id", "row"], "left")
-    some = F.coalesce(F.max("covered").over(w.whole()), F.lit(0))
-    df = df.withColumn("HC_flag", F.when(some == 1, F.coalesce("covered", F.lit(0))).otherwise(fast.cast("int"))).withColumn("HCs", F.coalesce("HCs", F.lit(0)))
+    df = _with_islands(df, least_head)
+    df = df.withColumn("_covered", (F.col("_inside") & _tail_ok(most_tail) & _size_ok(min_size, max_size)).cast("int"))
+    peak = F.when((F.col("_covered") == 1) & (F.col("row") == F.col("_fastest")), F.struct("_angle", "_turned"))
+    df = df.withColumn("_peak", w.before(peak)).withColumn("_some", F.max("_covered").over(w.whole()))
+    df = df.withColumns({"HCs": F.col("_peak").isNotNull().cast("int"), "HC_angle": F.col("_peak")["_angle"], "HC_reorientation": F.col("_peak")["_turned"], "HC_flag": F.when(F.col("_some") == 1, F.col("_covered")).otherwise(F.col("_over").cast("int"))})
     side = lambda test: ((F.col("HC_flag") == 1) & F.coalesce(test, F.lit(False))).cast("int")
-    return df.withColumns({"HCs_left": side(F.col("head_vector_angular_speed") > 0), "HCs_right": side(F.col("head_vector_angular_speed") < 0), "Abs_HC_angle": F.abs("HC_angle")}).drop("covered")
+    df = df.withColumns({"HCs_left": side(F.col("head_vector_angular_speed") > 0), "HCs_right": side(F.col("head_vector_angular_speed") < 0), "Abs_HC_angle": F.abs("HC_angle")})
+    return df.drop(*_ISLAND, "_covered", "_peak", "_some")
 
 
 def with_run_flag(df: DataFrame, frame_rate: float = 16) -> DataFrame:
@@ -80,69 +97,100 @@ def with_step_candidates(df: DataFrame, forward: float = 0.6, backward: float =
     return df.withColumns({"step_forward": F.coalesce((turn == -2) & ~F.coalesce(v < forward, F.lit(False)), F.lit(False)), "step_backward": F.coalesce(second & ~F.coalesce(v > backward, F.lit(False)), F.lit(False))})
 
 
-def steps_of(df: DataFrame, frame_rate: float = 16) -> DataFrame:
-    """Pairs of successive candidates that both lie in runs: (id, start, end, IS_* measures, run_speed, n_steps)."""
+def _with_pairs(df: DataFrame, frame_rate: float) -> DataFrame:
+    """Add the pairs of successive candidates that both lie in runs: _pair on the row where one starts (a struct of its end
+    and measures), _ended (its start) on the row where it ends, and _n, the pairs of the track."""
     df = with_row(df)
-    take = ["row", "frame", "run_flag", "tail_vector_x", "tail_vector_y", "heading_angle", "midpoint_distance", "total", "counted"]
+    take = ["row", "frame", "run_flag", "tail_vector_x", "tail_vector_y", "heading_angle", "midpoint_distance"]
     so_far = w.track().rowsBetween(Window.unboundedPreceding, 0)
-    some = df.withColumns({"total": F.sum("midpoint_speed").over(so_far), "counted": F.count("midpoint_speed").over(so_far), "here": F.col("midpoint_speed")}).where("step_forward OR step_backward")
-    pairs = some.select("id", "here", *take, *[w.after(c).alias(f"{c}_2") for c in take]).where("run_flag AND run_flag_2")
-    pairs = pairs.select(
-        "id",
-        F.col("row").alias("start"),
-        F.col("row_2").alias("end"),
-        g.clockwise_angle("tail_vector_x_2", "tail_vector_y_2", "tail_vector_x", "tail_vector_y").alias("IS_angle"),
-        (F.abs("heading_angle") - F.abs("heading_angle_2")).alias("IS_reorientation"),
-        ((F.col("frame_2") - F.col("frame")) / frame_rate).alias("IS_interval"),
-        (F.col("midpoint_distance_2") - F.col("midpoint_distance")).alias("IS_distance"),
-        # sums up to both ends, the first row included
-        F.try_divide(F.coalesce("total_2", F.lit(0.0)) - F.coalesce("total", F.lit(0.0)) + F.coalesce("here", F.lit(0.0)), F.col("counted_2") - F.col("counted") + F.col("here").isNotNull().cast("int")).alias("run_speed"),
+    candidate = F.col("step_forward") | F.col("step_backward")
+    df = df.withColumns({"_total": F.sum("midpoint_speed").over(so_far), "_counted": F.count("midpoint_speed").over(so_far)})
+    df = df.withColumn("_next", F.when(candidate, w.next_where(candidate, F.struct(*take, "_total", "_counted"))))
+    next_, here = (lambda c: F.col("_next")[c]), F.col("midpoint_speed")
+    # sums up to both ends, the first row included
+    speed = F.try_divide(F.coalesce(next_("_total"), F.lit(0.0)) - F.coalesce("_total", F.lit(0.0)) + F.coalesce(here, F.lit(0.0)), next_("_counted") - F.col("_counted") + here.isNotNull().cast("int"))
+    pair = F.struct(
+        next_("row").alias("end"),
+        g.clockwise_angle(next_("tail_vector_x"), next_("tail_vector_y"), "tail_vector_x", "tail_vector_y").alias("IS_angle"),
+        (F.abs("heading_angle") - F.abs(next_("heading_angle"))).alias("IS_reorientation"),
+        ((next_("frame") - F.col("frame")) / frame_rate).alias("IS_interval"),
+        (next_("midpoint_distance") - F.col("midpoint_distance")).alias("IS_distance"),
+        speed.alias("run_speed"),
     )
-    return pairs.withColumn("n_steps", F.count(F.lit(1)).over(w.whole())).withColumn("Abs_IS_angle", F.abs("IS_angle"))
+    df = df.withColumn("_pair", F.when(candidate & F.col("run_flag") & next_("run_flag"), pair))
+    ended = w.last_where(candidate, F.when(F.col("_pair").isNotNull(), F.col("row")))
+    return df.withColumns({"_ended": F.when(candidate, ended), "_n": F.count("_pair").over(w.whole())}).drop("_total", "_counted", "_next")
 
 
-def local_minima(df: DataFrame, steps: DataFrame) -> DataFrame:
-    """Per step the number of local minima of tail velocity and its class: (id, start, end, step_extr, minima, gt_1min).
+def steps_of(df: DataFrame, frame_rate: float = 16) -> DataFrame:
+    """Pairs of successive candidates that both lie in runs: (id, start, end, IS_* measures, run_speed, n_steps)."""
+    pairs = _with_pairs(df, frame_rate).where("_pair IS NOT NULL")
+    return pairs.select("id", F.col("row").alias("start"), "_pair.*", F.col("_n").alias("n_steps")).withColumn("Abs_IS_angle", F.abs("IS_angle"))
 
-    Steps of over five rows: rows whose smoothed (3 rows) difference is the least of five as their second; over two rows:
-    whose velocity is the second and least of three; shorter: null. gt_1min is false for exactly one minimum.
-    """
-    rows = with_row(df).select("id", "row", "tail_vel_forward")
-    inside = rows.join(steps.select("id", "start", "end"), "id").where("row BETWEEN start AND end").withColumnRenamed("row", "frame")
-    keys = ("id", "start")
-    v = F.col("tail_vel_forward")
-    inside = inside.withColumn("d", w.after(v, 1, *keys) - v).withColumn("rows", F.count(F.lit(1)).over(w.whole(*keys)))
-    inside = inside.withColumn("s", F.when(F.col("frame") < F.col("end"), w.centred("d", 3, F.avg, *keys)))
 
-    def second(c: str, n: int) -> Column:
-        some = F.collect_list(F.struct(F.col(c).alias("v"))).over(w.track(*keys).rowsBetween(0, n - 1))
-        values = F.transform(some, lambda s: s["v"])
-        return F.coalesce((F.size(some) == n) & (F.array_position(values, F.array_min(values)) == 2), F.lit(False)).cast("int")
+def _second_least(values: list[Column]) -> Column:
+    """The second of the values is the least of those that are not null, and none before it is as small."""
+    some = F.array(*values)
+    return F.coalesce(F.array_position(some, F.array_min(some)) == 2, F.lit(False))
 
-    inside = inside.withColumns({"five": second("s", 5), "three": second("tail_vel_forward", 3)})
-    n = F.when(F.max("rows") > 5, F.sum("five")).when(F.max("rows") > 2, F.sum("three"))
-    out = inside.groupBy("id", "start", "end").agg(n.alias("step_extr"))
-    return out.withColumns({"minima": F.when(F.col("step_extr") > 2, ">2").otherwise(F.col("step_extr").cast("string")), "gt_1min": F.col("step_extr") != 1})
+
+def _with_minima(df: DataFrame) -> DataFrame:
+    """Add step_extr on rows where a pair starts (_pair): the local minima of tail velocity within it.
+
+    Pairs of over five rows: rows whose smoothed (3 rows) difference is the least of five as their second; over two rows:
+    whose velocity is the second and least of three; shorter: null.
+    """
+    starts = F.col("_pair").isNotNull()
+    so_far = w.track().rowsBetween(Window.unboundedPreceding, 0)
+    at = F.last(F.when(starts, F.struct(F.col("row").alias("start"), F.col("_pair")["end"].alias("end"))), ignorenulls=True).over(so_far)
+    # a row is of the pair that started last; the end row, which may start another, ends windows that reach to it
+    df = df.withColumn("_of", at).withColumn("_of", F.when(F.col("row") < F.col("_of")["end"], F.col("_of")))
+    start, end, v = F.col("_of")["start"], F.col("_of")["end"], F.col("tail_vel_forward")
+    df = df.withColumn("_d", w.after(v) - v)
+    inner = (F.col("row") > start) & (F.col("row") < end - 1)
+    df = df.withColumn("_s", F.when(inner & w.before("_d").isNotNull() & F.col("_d").isNotNull() & w.after("_d").isNotNull(), F.avg("_d").over(w.track().rowsBetween(-1, 1))))
+    five = (F.col("row") + 4 <= end) & _second_least([F.col("_s"), *[w.after("_s", k) for k in range(1, 5)]])
+    three = (F.col("row") + 2 <= end) & _second_least([v, w.after(v, 1), w.after(v, 2)])
+    df = df.withColumns({"_five": F.coalesce(five, F.lit(False)).cast("int"), "_three": F.coalesce(three, F.lit(False)).cast("int")})
+    df = df.withColumn("_key", start)
+    within = w.whole("id", "_key")
+    rows = end - start + 1
+    n = F.when(rows > 5, F.sum("_five").over(within)).when(rows > 2, F.sum("_three").over(within))
+    return df.withColumn("step_extr", F.when(starts, n)).drop("_of", "_d", "_s", "_five", "_three", "_key")
+
+
+def _minima_class(n: Column) -> Column:
+    return F.when(n > 2, ">2").otherwise(n.cast("string"))
+
+
+def local_minima(df: DataFrame, frame_rate: float = 16) -> DataFrame:
+    """Per step the number of local minima of tail velocity and its class: (id, start, end, step_extr, minima, gt_1min).
+
+    df: a track with step candidates and run_flag. gt_1min is false for exactly one minimum.
+    """
+    steps = _with_minima(_with_pairs(df, frame_rate)).where("_pair IS NOT NULL")
+    return steps.select("id", F.col("row").alias("start"), F.col("_pair.end").alias("end"), "step_extr", _minima_class(F.col("step_extr")).alias("minima"), (F.col("step_extr") != 1).alias("gt_1min"))
 
 
 def with_steps(df: DataFrame, frame_rate: float = 16, forward: float = 0.6, backward: float = -0.4) -> DataFrame:
     """Add step_boolean (end rows), run_direction and inter-step measures (start rows); all null with two steps or fewer."""
-    df = with_step_candidates(with_row(df), forward, backward)
-    steps = steps_of(df, frame_rate).where("n_steps > 2")
-    measures = ["IS_angle", "Abs_IS_angle", "IS_reorientation", "IS_interval", "IS_distance", "run_speed"]
-    minima = local_minima(df, steps)
-    starts = steps.select("id", F.col("start").alias("row"), *measures).join(minima.select("id", F.col("start").alias("row"), "step_extr", "minima", "gt_1min"), ["id", "row"], "left")
-    ends = steps.select("id", F.col("end").alias("row"), F.lit(True).alias("step_boolean"))
-    df = df.join(starts, ["id", "row"], "left").join(ends, ["id", "row"], "left")
-    some = F.max(F.col("step_boolean").cast("int")).over(w.whole()) == 1
+    df = _with_pairs(with_step_candidates(with_row(df), forward, backward), frame_rate)
+    many = F.col("_n") > 2
+    df = df.withColumns({"_pair": F.when(many, F.col("_pair")), "_ended": F.when(many, F.col("_ended"))})
+    df = _with_minima(df)
+    measures = ["IS_angle", "IS_reorientation", "IS_interval", "IS_distance", "run_speed"]
+    df = df.withColumns({c: F.col("_pair")[c] for c in measures} | {"step_boolean": F.col("_ended").isNotNull(), "minima": _minima_class(F.col("step_extr")), "gt_1min": F.col("step_extr") != 1})
+    df = df.withColumn("Abs_IS_angle", F.abs("IS_angle"))
     kind = F.when(F.col("step_backward"), -1).when(F.col("step_forward"), 1)
     so_far = w.track().rowsBetween(Window.unboundedPreceding, 0)
     last = F.max(F.when(kind.isNotNull(), F.col("row"))).over(w.whole())
     # a pair ends on the next candidate's row, which starts a pair of its own, but for the last one
-    way = F.last(F.when(F.col("row") < last, kind), ignorenulls=True).over(so_far)
-    run = F.when(F.col("run_flag"), F.when(F.col("row") <= last, F.coalesce(way, F.lit(1))).otherwise(1)).otherwise(0)
+    df = df.withColumn("_last", last).withColumn("_kind", F.when(F.col("row") < F.col("_last"), kind))
+    way = F.last("_kind", ignorenulls=True).over(so_far)
+    run = F.when(F.col("run_flag"), F.when(F.col("row") <= F.col("_last"), F.coalesce(way, F.lit(1))).otherwise(1)).otherwise(0)
     mean_length = F.avg("spine_length").over(w.whole())
-    return df.withColumns({"run_direction": F.when(some, run), "step_boolean": F.coalesce("step_boolean", F.lit(False)), "IS_distance_bl": F.try_divide(F.col("IS_distance"), mean_length), "run_speed_bl": F.try_divide(F.col("run_speed"), mean_length)})
+    df = df.withColumns({"run_direction": F.when(many, run), "IS_distance_bl": F.try_divide(F.col("IS_distance"), mean_length), "run_speed_bl": F.try_divide(F.col("run_speed"), mean_length)})
+    return df.drop("_pair", "_ended", "_n", "_last", "_kind")
 
 
 def with_flanks(df: DataFrame, frame_rate: int = 16, filter_seconds: int = 5, interval_seconds: int = 5) -> DataFrame:
@@ -160,10 +208,12 @@ def with_flanks(df: DataFrame, frame_rate: int = 16, filter_seconds: int = 5, in
 
 
 def with_switching_points(df: DataFrame, frame_rate: int = 16, seconds: int = 10) -> DataFrame:
-    """back_to_for: the sign of the rolling mean of tail velocity turns from - to +; null for short tracks."""
-    df = df.withColumn("_m", F.signum(w.centred("tail_vel_forward", frame_rate * seconds)))
-    long = F.count(F.lit(1)).over(w.whole()) > frame_rate * seconds
-    return df.withColumn("back_to_for", F.when(long, F.coalesce((w.before("_m") < 0) & (F.col("_m") > 0), F.lit(False)))).drop("_m")
+    """back_to_for: the sign of the rolling mean of tail velocity turns from -1 to 1; null at the ends, and for tracks of
+    less than twice the window."""
+    n = frame_rate * seconds
+    df = df.withColumn("_m", F.signum(w.centred("tail_vel_forward", n)))
+    long = F.count(F.lit(1)).over(w.whole()) >= 2 * n
+    return df.withColumn("back_to_for", F.when(long, F.col("_m") - w.before("_m") == 2)).drop("_m")
 
 
 def interval_difference(df: DataFrame, intervals: DataFrame, value: str, how, name: str) -> DataFrame:

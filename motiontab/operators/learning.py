@@ -33,6 +33,15 @@ def principal_components(df: DataFrame, variables: Sequence[str], k: int, keys:
     return scores, [[float(v * s) for v in column] for column, s in zip(matrix.T, signs, strict=True)], [float(v) for v in model.explainedVariance]
 
 
+SHAPE = ("area", "spine_length", "width", "perimeter")
+
+
+def shape_score(df: DataFrame, variables: Sequence[str] = SHAPE, keys: Sequence[str] = ("id", "frame")) -> tuple[DataFrame, list[float], float]:
+    """(keys and shape_pc1, loadings, explained share): the first component of standardised shape features of every frame."""
+    scores, loadings, shares = principal_components(df, variables, 1, keys)
+    return scores.withColumnRenamed("pc1", "shape_pc1"), loadings[0], shares[0]
+
+
 def clusters(df: DataFrame, variables: Sequence[str], k: int, keys: Sequence[str] = (), seed: int = 7) -> tuple[DataFrame, float]:
     """(keys and cluster, silhouette) of complete, standardised rows."""
     rows = standardised(df, variables, keys)
@@ -55,16 +64,26 @@ def mixture(df: DataFrame, variables: Sequence[str], sizes: Sequence[int], keys:
 
 
 def balanced(df: DataFrame, label: str, way: str = "up", seed: int = 7) -> DataFrame:
-    """Classes resampled to the size of the greatest (up: rows repeat in turn) or the least (down: by hashed order)."""
-    order = Window.partitionBy(label).orderBy(F.rand(seed))
-    rows = df.withColumn("_r", F.row_number().over(order))
+    """Classes resampled to the size of the greatest (up: rows repeat in turn) or the least (down).
+
+    Every row is taken floor(goal / n) times, and once more if it comes early in the order of a hash of its columns. Only the
+    bucket of hashes in which the last such row lies is put in order, so that no class is sorted whole.
+    """
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     goal = sizes.agg((F.max if way == "up" else F.min)("_n")).first()[0]
-    rows = rows.join(sizes, label)
-    if way == "down":
-        return rows.where(F.col("_r") <= goal).drop("_r", "_n")
-    times = F.floor((F.lit(goal) - F.col("_r")) / F.col("_n")).cast("int") + 1
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), times)))).drop("_r", "_n", "_k")
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *df.columns)).withColumn("_bucket", F.shiftrightunsigned("_h", 48))
+    counts = hashed.groupBy(label, "_bucket").agg(F.count("*").alias("_c"))  # 65,536 buckets a class at most
+    so_far = F.sum("_c").over(Window.partitionBy(label).orderBy("_bucket"))
+    parts = counts.withColumn("_upto", so_far).join(sizes, label).select(label, "_bucket", (F.col("_upto") - F.col("_c")).alias("_before"), "_upto", "_n", (F.lit(goal) % F.col("_n")).alias("_more"))
+    same = hashed[label].eqNullSafe(parts[label]) & (hashed["_bucket"] == parts["_bucket"])
+    rows = hashed.join(parts, same).drop(parts[label]).drop(parts["_bucket"])
+    cut = (F.col("_before") < F.col("_more")) & (F.col("_more") < F.col("_upto"))
+    place = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_h"))
+    sure = rows.where(~cut).withColumn("_again", (F.col("_upto") <= F.col("_more")).cast("int"))
+    open_ = rows.where(cut).withColumn("_again", (place + F.col("_before") <= F.col("_more")).cast("int"))
+    times = F.floor(F.lit(goal) / F.col("_n")).cast("int") + F.col("_again")
+    rows = sure.unionByName(open_).withColumn("_k", times).where("_k > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_k"))))
+    return rows.select(*df.columns)
 
 
 def forest(df: DataFrame, variables: Sequence[str], label: str, trees: int = 500, folds: int = 10, seeds: Sequence[int] = (1, 2, 3)) -> tuple[DataFrame, DataFrame, list[float]]:

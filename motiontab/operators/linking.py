@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motiontab.operators.saving import saved
+
 
 def _side(objects: DataFrame, mark: str, shift: int = 0) -> DataFrame:
     names = ("label", "minx", "maxx", "miny", "maxy", "cx", "cy", "area")
@@ -64,17 +66,15 @@ def track_ids(objects: DataFrame, classed: DataFrame) -> DataFrame:
     """(video, frame, label, track): chains of 1->1 links share a track, numbered in each video by (first frame, label).
 
     Pointer doubling: every object points to its predecessor, pointers are squared until none moves, the rounds being
-    the logarithm of the longest chain; each round is checkpointed where the session has a folder.
+    the logarithm of the longest chain; each round is checkpointed.
     """
     node = F.struct("frame", "label")
     prev = classed.where("kind = '1->1'").select("video", F.struct(F.col("frame"), F.col("b").alias("label")).alias("node"), F.struct((F.col("frame") - 1).alias("frame"), F.col("a").alias("label")).alias("up"))
     points = objects.select("video", node.alias("node")).join(prev, ["video", "node"], "left").withColumn("up", F.coalesce("up", "node"))
-    saved = objects.sparkSession.sparkContext.getCheckpointDir() is not None
-    keep = (lambda df: df.checkpoint()) if saved else (lambda df: df.persist())
-    points = keep(points)
+    points = saved(points)
     while True:
         up = points.select("video", F.col("node").alias("up"), F.col("up").alias("top"))
-        points = keep(points.join(up, ["video", "up"]).select("video", "node", F.col("top").alias("next"), (F.col("top") != F.col("up")).alias("moved"), F.col("top").alias("up")).drop("next"))
+        points = saved(points.join(up, ["video", "up"]).select("video", "node", F.col("top").alias("next"), (F.col("top") != F.col("up")).alias("moved"), F.col("top").alias("up")).drop("next"))
         if not points.where("moved").limit(1).count():
             break
     heads = points.select("video", "up").distinct()
@@ -109,15 +109,20 @@ def size_match(a: Column, b: Column, tolerance: float = 0.3) -> Column:
     return (b > (1 - tolerance) * a) & (b < (1 + tolerance) * a)
 
 
-def best_pairing(candidates: DataFrame) -> DataFrame:
-    """The one-to-one pairing of each (video, frame) with up to three rows a side, of least sum d / (1 + (k - 1) 1.5).
+def best_pairing(candidates: DataFrame, most: int = 6) -> DataFrame:
+    """The one-to-one pairing of each (video, frame) with the most pairs and, of these, the least sum d / (1 + (k - 1) 1.5).
 
-    candidates: feasible (video, frame, a, b, d). Pairings of k pairs are self-joins of the table, k <= 3.
+    candidates: feasible (video, frame, a, b, d). Pairings of k pairs are self-joins of the table. Their number grows with the
+    factorial of the smaller side, so a frame with more than ``most`` rows on both sides is an error.
     """
     one = candidates.select("video", "frame", F.struct("a", "b", "d").alias("p"))
+    sides = candidates.groupBy("video", "frame").agg(F.least(F.countDistinct("a"), F.countDistinct("b")).alias("k"))
+    largest = sides.agg(F.max("k")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a frame has {largest} candidates on both sides; pairings are tried up to {most}")
     sets = one.select("video", "frame", F.array("p").alias("ps"))
     every = sets
-    for _ in range(2):
+    for _ in range(largest - 1):
         more = sets.join(one, ["video", "frame"]).where("element_at(ps, -1).a < p.a AND NOT exists(ps, q -> q.b = p.b)")
         sets = more.select("video", "frame", F.concat("ps", F.array("p")).alias("ps"))
         every = every.unionAll(sets)
@@ -129,6 +134,21 @@ def best_pairing(candidates: DataFrame) -> DataFrame:
     return best.select("video", "frame", F.explode("ps").alias("p")).select("video", "frame", "p.a", "p.b", "p.d")
 
 
+def rim_guarded(classed: DataFrame, objects: DataFrame, pixel_overlaps: DataFrame, radius: float, centre: tuple[float, float] = (0.0, 0.0), gap: float = 0.3, share: float = 0.95) -> DataFrame:
+    """classed with rim: on 1->1 links whose object may have changed at the dish's rim, so that it needs a new id.
+
+    pixel_overlaps: (video, frame, a, b, of_a, of_b), the shares of either object's pixels that both have. rim is 'split'
+    where the share of b exceeds that of a by more than ``gap`` (part of a stayed at the rim), 'merge' the other way
+    round, if b's centre lies beyond ``share`` of the radius; else null.
+    """
+    far = F.pow(F.col("cx") - F.lit(centre[0]), F.lit(2.0)) + F.pow(F.col("cy") - F.lit(centre[1]), F.lit(2.0)) > (share * radius) ** 2
+    places = objects.select("video", "frame", F.col("label").alias("b"), far.alias("_far"))
+    both = pixel_overlaps.select("video", "frame", "a", "b", (F.col("of_b") - F.col("of_a")).alias("_gap"))
+    rows = classed.join(places, ["video", "frame", "b"], "left").join(both, ["video", "frame", "a", "b"], "left")
+    test = (F.col("kind") == "1->1") & F.col("_far")
+    return rows.withColumn("rim", F.when(test & (F.col("_gap") > gap), "split").when(test & (F.col("_gap") < -gap), "merge")).drop("_far", "_gap")
+
+
 def object_statistics(tracks: DataFrame) -> DataFrame:
     """Per (video, track): rows, mean area, spread of width and perimeter, extremes of area."""
     return tracks.groupBy("video", "track").agg(F.count("*").alias("n"), F.avg("area").alias("area_mean"), F.stddev_samp("width").alias("width_sd"), F.stddev_samp("perimeter").alias("perimeter_sd"), F.min("area").alias("area_min"), F.max("area").alias("area_max"))

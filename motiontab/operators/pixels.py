@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motiontab.operators.saving import saved
+
 PIXEL, FRAME = ["video", "x", "y"], ["video", "frame"]
 
 
@@ -30,14 +34,38 @@ def first_frame_background(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_replaced_frames(pixels: DataFrame, threshold: float) -> DataFrame:
-    """Frames too far from their predecessor in the table (root of summed squares over pixels * threshold) show the last
-    one that is not. The test is on raw neighbours, not on replaced ones."""
-    before = pixels.select("video", (F.col("frame") + 1).alias("frame"), "x", "y", F.col("grey").alias("old"))
-    gap = pixels.join(before, [*FRAME, "x", "y"], "left").groupBy(*FRAME).agg(F.sqrt(F.sum(F.pow(F.coalesce(F.col("grey") - F.col("old"), F.lit(0)).cast("double"), F.lit(2.0)))).alias("d"), F.count("*").alias("n"))
-    good = F.col("d") <= F.col("n") * threshold
-    shown = F.coalesce(F.last(F.when(good, F.col("frame")), ignorenulls=True).over(Window.partitionBy("video").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)), F.col("frame"))
-    plan = gap.select("video", "frame", shown.alias("shown"))
-    return plan.join(pixels.withColumnRenamed("frame", "shown"), ["video", "shown"]).select("video", "frame", "x", "y", "grey")
+    """Frames too far from the last kept one (root of summed squares over pixels * threshold) show that one instead.
+
+    A frame is kept when it is near the last kept frame before it; the first of a video is. Distances are taken to the
+    frame that is thought to be the last kept one, and again where that changes, until nothing does: rounds grow with the
+    breaks in a row, not with the frames, and every round compares all videos at once.
+    """
+    names = [*FRAME, "ref"]
+    back = Window.partitionBy("video").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        """pairs with near: the frame's distance to ref is small enough."""
+        new = pairs.join(pixels, FRAME)
+        old = pixels.select("video", F.col("frame").alias("ref"), "x", "y", F.col("grey").alias("old"))
+        gap = F.coalesce(F.col("grey") - F.col("old"), F.lit(0)).cast("double")
+        sums = new.join(old, ["video", "ref", "x", "y"], "left").groupBy(*names).agg(F.sqrt(F.sum(gap * gap)).alias("d"), F.count("*").alias("n"))
+        return sums.select(*names, (F.col("d") <= F.col("n") * threshold).alias("near"))
+
+    frames = pixels.select(*FRAME).distinct()
+    before = F.max("frame").over(back)
+    plan = frames.withColumn("ref", before)
+    known = saved(measured(plan.where("ref IS NOT NULL")))
+    while True:
+        plan = saved(plan.join(known, names, "left").select(*names, F.coalesce("near", F.col("ref").isNull()).alias("near")))
+        ref = F.max(F.when(F.col("near"), F.col("frame"))).over(back)
+        again = saved(plan.withColumn("next", ref))
+        changed = again.where("next <> ref").select(*FRAME, F.col("next").alias("ref"))
+        if changed.isEmpty():
+            break
+        known = saved(known.unionAll(measured(changed.join(known, names, "left_anti"))))
+        plan = again.select(*FRAME, F.col("next").alias("ref"))
+    shown = plan.select(*FRAME, F.when(F.col("near"), F.col("frame")).otherwise(F.col("ref")).alias("shown"))
+    return shown.join(pixels.withColumnRenamed("frame", "shown"), ["video", "shown"]).select("video", "frame", "x", "y", "grey")
 
 
 def adjusted(pixels: DataFrame, contrast: float = 1.0, brightness: float = 255.0, gamma: float = 1.0, invert: bool = False) -> DataFrame:
@@ -96,27 +124,60 @@ def dilated(front: DataFrame, pixels: DataFrame) -> DataFrame:
     return pixels.join(grown, [*FRAME, "x", "y"], "left_semi")
 
 
+def remasked(pixels: DataFrame, mask: DataFrame) -> DataFrame:
+    """``pixels`` with grey 0 outside the pixels of ``mask``."""
+    inside = mask.select(*FRAME, "x", "y", F.lit(True).alias("_in")).distinct()
+    return pixels.join(inside, [*FRAME, "x", "y"], "left").withColumn("grey", F.when(F.col("_in"), F.col("grey")).otherwise(0)).drop("_in")
+
+
+def _runs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run of each pixel, component of each run) of one frame's pixels in the order of (y, x)."""
+    first = np.append(True, (np.diff(y) != 0) | (np.diff(x) > 1))
+    run = np.cumsum(first) - 1
+    width = int(x.max() - x.min()) + 4
+    place = (y - y.min()) * width + x - x.min() + 1
+    start, end = place[first], place[np.append(first[1:], True)]
+    # runs of the next row that touch a run, corners included, follow each other
+    low, high = np.searchsorted(end, start + width - 1, "left"), np.searchsorted(start, end + width + 1, "right")
+    n = np.maximum(0, high - low)
+    a = np.repeat(np.arange(len(start)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    component = np.arange(len(start))
+    while True:
+        least = component.copy()
+        np.minimum.at(least, a, component[b])
+        np.minimum.at(least, b, component[a])
+        least = least[least]
+        if (least == component).all():
+            return run, component
+        component = least
+
+
 def labelled(front: DataFrame) -> DataFrame:
-    """Foreground with a component (8-neighbour) as the least pixel position in it.
+    """Pixels above zero with a component (8-neighbour, within their frame) as the least pixel position in it.
 
-    Labels spread to neighbours and jump to the label of the labelled pixel; rounds are checkpointed where possible.
+    One shuffle by (video, frame); a task holds a frame at a time.
     """
-    at = F.struct("x", "y")
-    nodes = front.select(*FRAME, "x", "y", at.alias("c"))
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    saved = front.sparkSession.sparkContext.getCheckpointDir() is not None
-    keep = (lambda df: df.checkpoint()) if saved else (lambda df: df.persist())
-    nodes = keep(nodes)
-    while True:
-        spread = nodes.select(*FRAME, "x", "y", "c", steps.alias("s")).select(*FRAME, (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "c")
-        low = spread.groupBy(*FRAME, "x", "y").agg(F.min("c").alias("m"))
-        near = nodes.join(low, [*FRAME, "x", "y"])
-        jump = near.select(*FRAME, F.col("x").alias("jx"), F.col("y").alias("jy"), F.col("m").alias("j"))
-        near = near.select(*FRAME, "x", "y", "c", "m", F.col("m.x").alias("jx"), F.col("m.y").alias("jy")).join(jump, [*FRAME, "jx", "jy"])
-        nodes = keep(near.select(*FRAME, "x", "y", F.least("m", "j").alias("c"), (F.least("m", "j") != F.col("c")).alias("moved")))
-        if not nodes.where("moved").limit(1).count():
-            return nodes.select(*FRAME, "x", "y", "c")
-        nodes = nodes.drop("moved")
+
+    def components(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("y", "ascending"), ("x", "ascending")])
+        x, y = (np.array(table.column(c), dtype=np.int64) for c in "xy")
+        run, component = _runs(x, y)
+        of = component[run]
+        span = y.max() - y.min() + 1
+        place = x * span + (y - y.min())
+        least = np.full(len(component), place.max() + 1)
+        np.minimum.at(least, of, place)
+        out = table.select([*FRAME, "x", "y"])
+        for name, values in (("cx", least[of] // span), ("cy", least[of] % span + y.min())):
+            out = out.append_column(name, pa.array(values).cast(table.schema.field("x").type))
+        return out
+
+    rows = (front.where("grey > 0") if "grey" in front.columns else front).select(*FRAME, "x", "y").distinct()
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*FRAME, "x", "y"]) + f", cx {kinds['x']}, cy {kinds['x']}"
+    found = rows.groupBy(*FRAME).applyInArrow(components, schema)
+    return found.select(*FRAME, "x", "y", F.struct(F.col("cx").alias("x"), F.col("cy").alias("y")).alias("c"))
 
 
 def blobs(components: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
@@ -132,8 +193,8 @@ def away_from_rim(found: DataFrame, radius: float, cx: float = 0.0, cy: float =
 
 
 def detect(pixels: DataFrame, circle: tuple[float, float, float] | None = None, least: int = 20, most: int = 2000, weight: float = -1.0, max_frames: int | None = None) -> DataFrame:
-    """Blobs of every frame against the offline background."""
+    """Blobs of every frame against the offline background: what is above zero in the image masked by the grown foreground."""
     if max_frames is not None:
         pixels = pixels.where(F.col("frame") < max_frames)
     clean = inside_circle(subtracted(mean_clamped(pixels), min_background(pixels), weight), circle)
-    return blobs(labelled(dilated(foreground(clean), clean)), least, most)
+    return blobs(labelled(dilated(foreground(clean), clean)), least, most)  # the mask keeps grey, labels take what is not zero

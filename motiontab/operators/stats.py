@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motiontab.operators.saving import saved
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function, by Lentz's method."""
@@ -82,21 +84,45 @@ def chi_square_tail(x: float, df: float) -> float:
     return front * out
 
 
-def t_quantile(df: Column, p: float) -> Column:
-    """Student quantiles of a column of degrees of freedom; null below one."""
+def t_quantiles(df: Sequence[Column], p: float) -> Column:
+    """Student quantiles of columns of degrees of freedom, as one array; null below one."""
 
-    @F.pandas_udf("double")
-    def quantile(n: pd.Series) -> pd.Series:
-        return n.map(lambda k: t_value(int(min(k, 100_000)), p) if k == k and k >= 1 else None).astype("float64")
+    @F.pandas_udf("array<double>")
+    def found(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda ks: [t_value(int(min(k, 100_000)), p) if k is not None and k == k and k >= 1 else None for k in ks])
+
+    return found(F.array(*[c.cast("double") for c in df]))
+
+
+def running_below(counts: DataFrame, keys: Sequence[str], value: str, weight: str, name: str = "below") -> DataFrame:
+    """Add the sum of ``weight`` over smaller values of the same keys; counts has one row for each of keys and value.
 
-    return quantile(df.cast("double"))
+    Rows are dealt out by ranges of (keys, value), summed within each range, and each range starts at the total of those
+    before it. So one key with all rows spreads over tasks; only totals, one a range and key, are ordered together.
+    """
+    keys = list(keys)
+    dealt = saved(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy(*keys, "_part").agg(F.sum(weight).alias("_sum"))
+    before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.join(starts, [*keys, "_part"])
+    return rows.withColumn(name, F.col("_start") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).drop("_part", "_start")
 
 
-def ranked(df: DataFrame, value: str, keys: Sequence[str], name: str = "rank") -> DataFrame:
-    """Average ranks of a value within keys, and the size of each tie."""
-    by = Window.partitionBy(*keys)
-    tie = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return df.withColumn("ties", tie).withColumn(name, F.rank().over(by.orderBy(value)) + (F.col("ties") - 1) / 2)
+def quantiles(df: DataFrame, value: str, keys: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(keys, n, q): exact quantiles between neighbouring values (linear), from ranks of distinct values; nulls do not count."""
+    keys = list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    rows = running_below(counts, keys, "_v", "_c", "_below")
+    n = rows.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    rows = rows.join(n, keys) if keys else rows.crossJoin(F.broadcast(n))  # one row
+    at = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_c")), F.col("_v")))
+    place = [(F.col("n") - 1) * share for share in shares]
+    ends = [x for p in place for x in (at(F.floor(p)), at(F.ceil(p)))]
+    found = rows.groupBy(*keys, "n").agg(*[x.alias(f"_q{k}") for k, x in enumerate(ends)])
+    q = [F.col(f"_q{2 * k}") + (F.col(f"_q{2 * k + 1}") - F.col(f"_q{2 * k}")) * (p - F.floor(p)) for k, p in enumerate(place)]
+    return found.select(*keys, "n", F.array(*q).alias("q"))
 
 
 @cache
@@ -131,7 +157,7 @@ def rank_sum_p(w: float, m: int, n: int, tied: float) -> float | None:
 
 
 def rank_sum_tests(df: DataFrame, variables: Sequence[str], group: str = "group_condition") -> DataFrame:
-    """(a, b, variable, n_a, n_b, w, p) for all pairs of groups and variables, the table's groups being few.
+    """(a, b, variable, n_a, n_b, w, p) for all pairs of groups and variables, by p within a pair; a null group takes no part.
 
     Each pair ranks its own rows: values are counted per group first, so what is ranked are distinct values.
     """
@@ -139,10 +165,10 @@ def rank_sum_tests(df: DataFrame, variables: Sequence[str], group: str = "group_
     counts = long.groupBy("variable", "value", F.col(group).alias("g")).agg(F.count("*").alias("c"))
     groups = counts.select("g").distinct()
     pairs = groups.select(F.col("g").alias("a")).join(groups.select(F.col("g").alias("b")), F.col("a") < F.col("b"))
-    rows = counts.join(F.broadcast(pairs) if pairs.count() <= 10_000 else pairs, (F.col("g") == F.col("a")) | (F.col("g") == F.col("b")))
+    rows = counts.join(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("g")), "g")
     values = rows.groupBy("a", "b", "variable", "value").agg(F.sum(F.when(F.col("g") == F.col("a"), F.col("c")).otherwise(0)).alias("ca"), F.sum("c").alias("t"))
-    below = F.coalesce(F.sum("t").over(Window.partitionBy("a", "b", "variable").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = values.withColumn("rank", below + (F.col("t") + 1) / 2).groupBy("a", "b", "variable").agg(F.sum("ca").alias("n_a"), (F.sum("t") - F.sum("ca")).alias("n_b"), F.sum(F.col("ca") * F.col("rank")).alias("r"), F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("tied"))
+    values = running_below(values, ["a", "b", "variable"], "value", "t")
+    sums = values.withColumn("rank", F.col("below") + (F.col("t") + 1) / 2).groupBy("a", "b", "variable").agg(F.sum("ca").alias("n_a"), (F.sum("t") - F.sum("ca")).alias("n_b"), F.sum(F.col("ca") * F.col("rank")).alias("r"), F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("tied"))
 
     @F.pandas_udf("double")
     def p(w: pd.Series, m: pd.Series, n: pd.Series, tied: pd.Series) -> pd.Series:
@@ -150,7 +176,7 @@ def rank_sum_tests(df: DataFrame, variables: Sequence[str], group: str = "group_
 
     out = sums.withColumn("w", F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2)
     out = out.withColumn("p", F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), p("w", "n_a", "n_b", "tied")))
-    return out.select("a", "b", "variable", "n_a", "n_b", "w", "p")
+    return out.select("a", "b", "variable", "n_a", "n_b", "w", "p").orderBy("a", "b", F.asc_nulls_last("p"), "variable")
 
 
 def rank_sums_by_key(df: DataFrame, key: str, group: str, value: str) -> DataFrame:
@@ -172,8 +198,7 @@ def kruskal(df: DataFrame, value: str, group: str, keys: Sequence[str] = ()) ->
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*keys, value, group).agg(F.count("*").alias("c"))
     totals = counts.groupBy(*keys, value).agg(F.sum("c").alias("t"))
-    below = F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = totals.withColumn("rank", below + (F.col("t") + 1) / 2)
+    ranks = running_below(totals, keys, value, "t").withColumn("rank", F.col("below") + (F.col("t") + 1) / 2)
     sums = counts.join(ranks, [*keys, value]).groupBy(*keys, group).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
     h = sums.groupBy(*keys).agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
     ties = ranks.groupBy(*keys).agg(F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("tied"))
@@ -192,19 +217,22 @@ def correlations(df: DataFrame, variables: Sequence[str], method: str = "pearson
     """(keys, a, b, r, n) for a < b in the order of ``variables``, on rows where none is null; Spearman by average ranks."""
     rows = df.select(*keys, *[F.col(v).cast("double") for v in variables]).dropna(subset=list(variables))
     if method == "spearman":
-        for v in variables:
-            rows = ranked(rows, v, keys, "_rank").withColumn(v, F.col("_rank")).drop("_rank", "ties") if keys else _global_rank(rows, v)
+        rows = _as_ranks(rows, variables, keys)
     pairs = list(combinations(variables, 2))
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
     listed = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.abs(f"r{k}") if absolute else F.col(f"r{k}")).alias("r")) for k, (a, b) in enumerate(pairs)]))
     return out.select(*keys, "n", listed.alias("x")).select(*keys, "x.a", "x.b", F.when(~F.isnan("x.r"), F.col("x.r")).alias("r"), "n")
 
 
-def _global_rank(rows: DataFrame, v: str) -> DataFrame:
-    """Average rank of a value over the whole table, from counts of distinct values."""
-    counts = rows.groupBy(v).agg(F.count("*").alias("_t"))
-    below = F.coalesce(F.sum("_t").over(Window.orderBy(v).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(counts.select(v, (below + (F.col("_t") + 1) / 2).alias("_rank")), v).withColumn(v, F.col("_rank")).drop("_rank")
+def _as_ranks(rows: DataFrame, variables: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """The variables replaced by their average ranks within keys, from counts of distinct values."""
+    keys = list(keys)
+    counts = rows.unpivot(keys, list(variables), "_variable", "_value").groupBy(*keys, "_variable", "_value").agg(F.count("*").alias("_t"))
+    ranks = saved(running_below(counts, [*keys, "_variable"], "_value", "_t", "_below").withColumn("_rank", F.col("_below") + (F.col("_t") + 1) / 2))
+    for v in variables:
+        own = ranks.where(F.col("_variable") == v).select(*keys, F.col("_value").alias(v), "_rank")
+        rows = rows.join(own, [*keys, v]).withColumn(v, F.col("_rank")).drop("_rank")
+    return rows
 
 
 def significance(pairs: DataFrame) -> DataFrame:
@@ -218,24 +246,64 @@ def significance(pairs: DataFrame) -> DataFrame:
 
 
 def strongest(pairs: DataFrame, n: int) -> DataFrame:
+    """The n pairs of the greatest absolute correlation."""
     return pairs.withColumn("r", F.abs("r")).orderBy(F.desc("r"), "a", "b").limit(n)
 
 
+def network_edges(pairs: DataFrame, least: float = 0.5) -> DataFrame:
+    """Pairs whose absolute correlation is ``least`` or more, as edges of a network."""
+    return pairs.where(F.abs("r") >= least)
+
+
+def mahalanobis(new: DataFrame, track: DataFrame, variables: Sequence[str], key: str = "id", rows: int = 10) -> DataFrame:
+    """``new`` with distance: of its variables from the mean of its track's last ``rows`` rows, in their covariance.
+
+    new: (key, variables), track: (key, frame, variables). Means and covariances are sums over the last rows; the kernel
+    inverts one small matrix for each row of ``new``. Null where the covariance has no inverse or the track no rows.
+    """
+    names = list(variables)
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("frame")))
+    recent = track.withColumn("_r", last).where(F.col("_r") <= rows)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    known = recent.groupBy(key).agg(F.array(*[F.avg(v) for v in names]).alias("_mean"), F.array(*[F.covar_samp(a, b) for a, b in pairs]).alias("_cov"))
+
+    @F.pandas_udf("double")
+    def distance(x: pd.Series, mean: pd.Series, cov: pd.Series) -> pd.Series:
+        at = np.triu_indices(len(names))
+
+        def one(v, m, c) -> float | None:
+            if m is None or any(z is None or z != z for part in (v, m, c) for z in part):
+                return None
+            whole = np.zeros((len(names), len(names)))
+            whole[at] = c
+            whole = whole + whole.T - np.diag(np.diag(whole))
+            if np.linalg.cond(whole) > 1e12:
+                return None
+            d = np.asarray(v, float) - np.asarray(m, float)
+            return float(np.sqrt(max(0.0, d @ np.linalg.solve(whole, d))))
+
+        return pd.Series([one(*r) for r in zip(x, mean, cov, strict=True)], dtype="float64")
+
+    out = new.join(known, key, "left")
+    return out.withColumn("distance", distance(F.array(*names), "_mean", "_cov")).drop("_mean", "_cov")
+
+
 def without_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Null what lies beyond 1.5 interquartile ranges from the quartiles of its column over the whole table."""
-    bounds = F.broadcast(df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in columns]))  # one row
-    for_c = lambda c: (F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1])
+    long = df.select(*[F.col(c).cast("double") for c in columns]).unpivot([], list(columns), "_variable", "_value")
+    found = quantiles(long, "_value", ["_variable"], (0.25, 0.75))
+    bounds = F.broadcast(found.groupBy().agg(*[F.max(F.when(F.col("_variable") == c, F.col("q"))).alias(f"_q_{c}") for c in columns]))  # one row
     new = {}
     for c in columns:
-        a, b = for_c(c)
+        a, b = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
         new[c] = F.when(F.col(c).between(a - 1.5 * (b - a), b + 1.5 * (b - a)), F.col(c))
     return df.crossJoin(bounds).withColumns(new).drop(*[f"_q_{c}" for c in columns])
 
 
 def box_statistics(df: DataFrame, value: str, group: str = "group_condition") -> DataFrame:
     """Quartiles, whiskers, outliers and count by group."""
-    q = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"), F.count("*").alias("n"))
-    rows = df.where(F.col(value).isNotNull()).join(q, group)
+    rows = df.where(F.col(value).isNotNull())
+    rows = rows.join(quantiles(rows, value, [group], (0.25, 0.5, 0.75)), group)
     low, high = F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]), F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = F.col(value).between(low, high)
     return rows.groupBy(group).agg(F.first(F.col("q")[0]).alias("q1"), F.first(F.col("q")[1]).alias("median"), F.first(F.col("q")[2]).alias("q3"), F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("outliers"), F.first("n").alias("n"))

@@ -146,6 +146,28 @@ def summarised(df: DataFrame, by: str = "id", threshold: float = 90, frame_rate:
     return out.fillna(0, ["HCs", "HCs_towards", "HCs_away", "HC_rate"])
 
 
+def selected(df: DataFrame, groups: Sequence[str] | None = None, variables: Sequence[str] | None = None, keys: Sequence[str] = ("id", "trial", "group", "condition", "group_condition")) -> DataFrame:
+    """Rows of the ticked groups with the chosen variables beside the keys; None keeps all. Variables the table lacks are left out."""
+    if groups is not None:
+        df = df.where(F.col("group_condition").isin(list(groups)))
+    if variables is None:
+        return df
+    return df.select(*[c for c in df.columns if c in keys or c in variables])
+
+
+def selectable_tracks(df: DataFrame, threshold: float = 90, frame_rate: float = 16) -> DataFrame:
+    """Distinct (id, name, trial, condition, group) of tracks with more than threshold seconds."""
+    return accepted(df, threshold, frame_rate).select("id", "name", "trial", "condition", "group").distinct()
+
+
+def end_points(df: DataFrame, ids: Sequence[int] | None = None) -> DataFrame:
+    """(id, x, y): the last known midpoint of each selected track."""
+    known = df.where("spinepoint_x_6_conv IS NOT NULL AND spinepoint_y_6_conv IS NOT NULL")
+    known = known if ids is None else known.where(F.col("id").isin(list(ids)))
+    last = F.max_by(F.struct(F.col("spinepoint_x_6_conv").alias("x"), F.col("spinepoint_y_6_conv").alias("y")), "frame")
+    return known.groupBy("id").agg(last.alias("p")).select("id", "p.x", "p.y")
+
+
 def per_step(df: DataFrame) -> DataFrame:
     """Mean velocity per step: rows keyed by the number of steps so far."""
     count = F.sum(F.col("step_boolean").cast("int")).over(Window.partitionBy("id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0))
@@ -157,5 +179,5 @@ def per_minima_class(df: DataFrame) -> DataFrame:
     kind = F.when(F.col("step_extr") > 2, ">2").otherwise(F.col("step_extr").cast("string"))
     rows = df.where("step_boolean").withColumn("minima", kind).where("minima IS NOT NULL")
     found = rows.groupBy("id", "minima").agg(F.count("*").alias("n"), F.avg("run_speed").alias("run_speed_mean"))
-    every = df.select("id").distinct().crossJoin(F.broadcast(rows.select("minima").distinct().limit(4)))  # four classes at most
+    every = df.select("id").distinct().crossJoin(F.broadcast(rows.select("minima").distinct()))  # 0, 1, 2 and >2
     return every.join(found, ["id", "minima"], "left").fillna(0, ["n"])

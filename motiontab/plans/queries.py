@@ -218,7 +218,7 @@ def _(spark, d):
 
 
 @query("d01_summary_by_id", f"""{MEASURES}, n AS (SELECT id FROM measures GROUP BY id HAVING count(*) > 16 * 5), r AS (SELECT m.* FROM measures m JOIN n USING (id)),
-u AS (SELECT DISTINCT id, "group", condition, group_condition FROM r), f AS (SELECT * FROM r WHERE frame BETWEEN 16 AND 800),
+u AS (SELECT DISTINCT id, "group", condition, group_condition FROM r), f AS (SELECT * FROM r),
 x AS (SELECT id, avg(bending_angle) AS b, var_samp(bending_angle) AS bv, avg(abs(bearing_angle)) AS ab, avg(midpoint_speed) / avg(spine_length) AS s, var_samp(midpoint_speed) / power(avg(spine_length), 2) AS sv,
              CASE WHEN count(midpoint_distance) = count(*) THEN max(midpoint_distance) END AS md, sum(CASE WHEN collision_flag <> 0 THEN 1 ELSE 0 END) AS col,
              sum(CASE WHEN Abs_HC_angle BETWEEN 20 AND 360 THEN HCs END) AS hc, sum(CASE WHEN Abs_HC_angle BETWEEN 20 AND 360 AND odor_orientation = 'away' THEN HCs END) AS away, count(*) AS rows,
@@ -228,7 +228,7 @@ SELECT u.id, u.group_condition, round(b, 6) + 0.0 AS bending_angle_mean, round(b
        md AS midpoint_distance_max, CAST(coalesce(col, 0) AS BIGINT) AS collisions, CAST(coalesce(hc, 0) AS BIGINT) AS HCs, CAST(coalesce(away, 0) AS BIGINT) AS HCs_away, round(coalesce(hc, 0) / rows, 6) AS HC_rate, round(rs, 6) AS run_speed_mean, round(pr, 6) + 0.0 AS preference, gain AS preference_dist_se
 FROM u LEFT JOIN x USING (id) LEFT JOIN g USING (id)""")
 def _(spark, d):
-    s = summary.summarised(measures(spark, d), "id", threshold=5, seconds=(1, 50))
+    s = summary.summarised(measures(spark, d), "id", threshold=5)
     keep = "id group_condition bending_angle_mean bending_angle_var abs_bearing_angle_mean midpoint_speed_bl_mean midpoint_speed_bl_var midpoint_distance_max collisions HCs HCs_away HC_rate run_speed_mean preference preference_dist_se".split()
     return rnd(s.withColumns({c: F.col(c).cast("long") for c in ("collisions", "HCs", "HCs_away")}).select(*keep))
 
@@ -312,10 +312,10 @@ def _(spark, d):
     return rnd(binning.median_filtered(binning.heat_map(measures(spark, d), "bearing_angle", "distance_to_odor", "midpoint_speed", 8), 8))
 
 
-@query("d27_histogram", f"""{MEASURES}, r AS (SELECT id, area FROM measures WHERE frame BETWEEN 16 AND 320), z AS (SELECT id, min(area) AS a, max(area) AS b FROM r GROUP BY id)
+@query("d27_histogram", f"""{MEASURES}, r AS (SELECT id, area FROM measures), z AS (SELECT id, min(area) AS a, max(area) AS b FROM r GROUP BY id)
 SELECT id, CAST(least(10, coalesce(floor((area - a) * 10 / nullif(b - a, 0)), 0) + 1) AS INT) AS bin, count(*) AS n FROM r JOIN z USING (id) GROUP BY ALL""")
 def _(spark, d):
-    return binning.histogram(measures(spark, d), "area", 10, seconds=(1, 20))
+    return binning.histogram(measures(spark, d), "area", 10)
 
 
 @query("d28_density")

@@ -117,12 +117,12 @@ def _(spark, d):
     return rnd(collisions.gap_velocities(frames(spark, d).where("frame % 7 <> 3")).select("id", "frame", "velocity", "velocity_max"))
 
 
-_EDGES = "WITH e AS (SELECT DISTINCT 'v' || (o_orderkey % 20) AS video, o_custkey % 50 AS parent, 50 + o_orderkey % 53 AS child FROM orders WHERE o_orderkey % 11 = 0)"
+_EDGES = "WITH e AS (SELECT DISTINCT o_orderkey // 200 AS video, o_custkey % 50 AS parent, 50 + o_orderkey % 53 AS child FROM orders)"
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 11 = 0")
-    return o.select(F.concat(F.lit("v"), F.col("o_orderkey") % 20).alias("video"), (F.col("o_custkey") % 50).alias("parent"), (50 + F.col("o_orderkey") % 53).alias("child")).distinct()
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.expr("o_orderkey div 200").alias("video"), (F.col("o_custkey") % 50).alias("parent"), (50 + F.col("o_orderkey") % 53).alias("child")).distinct()
 
 
 @query("h17_families", f"""{_EDGES.replace('WITH', 'WITH RECURSIVE', 1)}, s AS (SELECT DISTINCT a.video, a.parent AS p, b.parent AS q FROM e a JOIN e b ON a.video = b.video AND a.child = b.child),
@@ -206,12 +206,13 @@ def _(spark, d):
     return p.select("kind", "frame", F.get("ids", 0).alias("first_id"), F.get("to_ids", 0).alias("to_id"))
 
 
-@query("a10_detections", f"{OBJECTS} SELECT frame AS frame_index, label, 96 AS area, cx, cy FROM objects WHERE video = 'T0'")
+@query("a10_detections", f"{OBJECTS} SELECT video, frame AS frame_index, label, 96 AS area, cx, cy FROM objects")
 def _(spark, d):
-    o = objects(spark, d).where("video = 'T0'").select(F.col("frame").alias("frame_index"), "label", F.lit(96).alias("area"), "cx", "cy", F.col("minx").cast("int").alias("x"), F.col("miny").cast("int").alias("y"), F.lit(12).alias("width"), F.lit(8).alias("height"))
-    lines = detections.nested(o).select(F.to_json(F.struct("*")).alias("line"))
-    back = lines.select(F.from_json("line", detections.SCHEMA).alias("r")).select("r.*")
-    return detections.exploded(back).select("frame_index", "label", "area", "cx", "cy")
+    o = objects(spark, d).select("video", F.col("frame").alias("frame_index"), "label", F.lit(96).alias("area"), "cx", "cy", F.col("minx").cast("int").alias("x"), F.col("miny").cast("int").alias("y"), F.lit(12).alias("width"), F.lit(8).alias("height"))
+    # a video's detections are one log; here all logs travel as lines of one table
+    lines = detections.nested(o, ["video"]).select("video", F.to_json(F.struct("frame_index", "n_blobs", "blobs")).alias("line"))
+    back = lines.select("video", F.from_json("line", detections.SCHEMA).alias("r")).select("video", "r.*")
+    return detections.exploded(back, ["video"]).select("video", "frame_index", "label", "area", "cx", "cy")
 
 
 # pixels
@@ -228,9 +229,10 @@ def pixel_table(spark: SparkSession, d: str) -> DataFrame:
     return v.select("video", "frame", (F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"), F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("v").cast("double") + 1) * 127.5))).cast("int").alias("grey"))
 
 
-@query("i01_min_background", f"{PIXELS} SELECT video, x, y, min(grey) AS background FROM pixels WHERE frame % 5 = 0 AND frame < 50 GROUP BY ALL")
+@query("i01_min_background", f"{PIXELS} SELECT video, x, y, min(grey) AS background FROM pixels WHERE frame % 10 = 0 AND frame < 1000 GROUP BY ALL")
 def _(spark, d):
-    return pixels.min_background(pixel_table(spark, d), 10, 5)
+    # the background job's own sample: 100 frames, every tenth
+    return pixels.min_background(pixel_table(spark, d))
 
 
 @query("i06_mean_clamp", f"""{PIXELS}, c AS (SELECT *, greatest(grey, CAST(floor(avg(grey) OVER w) AS INT)) AS g FROM pixels WINDOW w AS (PARTITION BY video, frame))
@@ -261,21 +263,83 @@ def _(spark, d):
     return pixels.dilated(pixels.foreground(p), p).groupBy("video", "frame").agg(F.count("*").alias("n"), F.sum("grey").alias("total"))
 
 
-@query("i12_blobs", f"""{_OTSU.replace('WITH', 'WITH RECURSIVE', 1)}, f AS (SELECT video, frame, x, y FROM pixels p JOIN t USING (video, frame) WHERE grey > threshold AND frame < 6),
-r AS (SELECT video, frame, x, y, x AS a, y AS b FROM f UNION SELECT r.video, r.frame, r.x, r.y, f.x, f.y FROM r JOIN f ON f.video = r.video AND f.frame = r.frame AND abs(f.x - r.a) <= 1 AND abs(f.y - r.b) <= 1),
+def _labels(source: str) -> str:
+    """CTEs r, m, z: pixels reached from each pixel of the CTE ``source``, least positions, and blobs of 2 to 60 pixels."""
+    return f"""r AS (SELECT video, frame, x, y, x AS a, y AS b FROM {source} UNION SELECT r.video, r.frame, r.x, r.y, f.x, f.y FROM r JOIN {source} f ON f.video = r.video AND f.frame = r.frame AND abs(f.x - r.a) <= 1 AND abs(f.y - r.b) <= 1),
 m AS (SELECT video, frame, x, y, min(a * 8 + b) AS c FROM r GROUP BY ALL), z AS (SELECT video, frame, c, count(*) AS area, avg(x) AS cx, avg(y) AS cy, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy FROM m GROUP BY ALL HAVING count(*) BETWEEN 2 AND 60)
-SELECT video, frame, area, round(cx, 6) AS cx, round(cy, 6) AS cy, minx, maxx, miny, maxy, CAST(row_number() OVER (PARTITION BY video, frame ORDER BY c) AS INT) AS label FROM z""")
+SELECT video, frame, area, round(cx, 6) AS cx, round(cy, 6) AS cy, minx, maxx, miny, maxy, CAST(row_number() OVER (PARTITION BY video, frame ORDER BY c) AS INT) AS label FROM z"""
+
+
+@query("i12_blobs", f"""{_OTSU.replace('WITH', 'WITH RECURSIVE', 1)}, f AS (SELECT video, frame, x, y FROM pixels p JOIN t USING (video, frame) WHERE grey > threshold), {_labels('f')}""")
 def _(spark, d):
-    # frame < 6 is the detection job's max_frames
-    p = pixel_table(spark, d).where("frame < 6")
-    return rnd(pixels.blobs(pixels.labelled(pixels.foreground(p)), 2, 60))
+    return rnd(pixels.blobs(pixels.labelled(pixels.foreground(pixel_table(spark, d))), 2, 60))
+
+
+def _stretch(c: str, source: str, name: str) -> str:
+    return f"""{name} AS (SELECT video, frame, x, y, CAST(coalesce(floor(({c} - min({c}) OVER w) * 255.0 / nullif(max({c}) OVER w - min({c}) OVER w, 0)), 0) AS INT) AS grey FROM {source} WINDOW w AS (PARTITION BY video, frame))"""
+
+
+_CLEAN = f"""{PIXELS.replace('WITH', 'WITH RECURSIVE', 1)}, c AS (SELECT *, greatest(grey, CAST(floor(avg(grey) OVER (PARTITION BY video, frame)) AS INT)) AS g FROM pixels),
+{_stretch('g', 'c', 'clamped')}, back AS (SELECT video, x, y, min(grey) AS background FROM pixels WHERE frame % 10 = 0 AND frame < 1000 GROUP BY ALL),
+d AS (SELECT q.video, q.frame, q.x, q.y, greatest(0, least(255, q.grey - background)) AS g FROM clamped q JOIN back USING (video, x, y)), {_stretch('g', 'd', 's')},
+clean AS (SELECT video, frame, x, y, CASE WHEN power(x - 3.5, 2) + power(y - 3.5, 2) <= 25 THEN grey ELSE 0 END AS grey FROM s),
+h AS (SELECT video, frame, grey, count(*)::DOUBLE AS n FROM clean GROUP BY ALL),
+q AS (SELECT video, frame, grey, sum(n) OVER s AS w0, sum(n * grey) OVER s AS s0, sum(n) OVER a AS w, sum(n * grey) OVER a AS s FROM h WINDOW s AS (PARTITION BY video, frame ORDER BY grey ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY video, frame)),
+t AS (SELECT video, frame, grey AS threshold FROM q QUALIFY row_number() OVER (PARTITION BY video, frame ORDER BY coalesce(power(s0 * w - s * w0, 2) / nullif(w0 * (w - w0), 0), 0) DESC, grey) = 1),
+front AS (SELECT clean.* FROM clean JOIN t USING (video, frame) WHERE grey > threshold),
+g AS (SELECT DISTINCT video, frame, x + dx AS x, y + dy AS y FROM front, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy)),
+f AS (SELECT video, frame, x, y FROM clean JOIN g USING (video, frame, x, y) WHERE grey > 0)"""
 
 
-@query("i14_detection")
+@query("i14_detection", f"{_CLEAN}, {_labels('f')}")
 def _(spark, d):
     return rnd(pixels.detect(pixel_table(spark, d), (3.5, 3.5, 5.0), 2, 60))
 
 
+@query("i04_replaced_frames", f"""{PIXELS.replace('WITH', 'WITH RECURSIVE', 1)}, g AS (SELECT video, frame, list(grey ORDER BY y, x) AS v FROM pixels GROUP BY ALL),
+k AS (SELECT video, frame, frame AS shown, v FROM g WHERE frame = 0 UNION ALL
+      SELECT g.video, g.frame, CASE WHEN near THEN g.frame ELSE k.shown END, CASE WHEN near THEN g.v ELSE k.v END
+      FROM k JOIN g ON g.video = k.video AND g.frame = k.frame + 1, LATERAL (SELECT list_distance(CAST(g.v AS DOUBLE[]), CAST(k.v AS DOUBLE[])) <= 64 * 13.0 AS near))
+SELECT k.video, k.frame, p.x, p.y, p.grey FROM k JOIN pixels p ON p.video = k.video AND p.frame = k.shown""")
+def _(spark, d):
+    return pixels.with_replaced_frames(pixel_table(spark, d), 13.0)
+
+
+@query("i02_mean_background", f"""{PIXELS}, a AS (SELECT video, x, y, avg(grey) AS m FROM pixels GROUP BY ALL) SELECT video, x, y, round(coalesce((m - min(m) OVER w) * 255 / nullif(max(m) OVER w - min(m) OVER w, 0), 0)) AS background FROM a WINDOW w AS (PARTITION BY video)""")
+def _(spark, d):
+    return pixels.mean_background(pixel_table(spark, d))
+
+
+@query("i03_first_frame", f"{PIXELS} SELECT p.video, p.frame - 1 AS frame, p.x, p.y, p.grey, b.grey AS background FROM pixels p JOIN pixels b ON b.video = p.video AND b.x = p.x AND b.y = p.y AND b.frame = 0 WHERE p.frame > 0")
+def _(spark, d):
+    background, rest = pixels.first_frame_background(pixel_table(spark, d))
+    return rest.join(background, pixels.PIXEL).select("video", "frame", "x", "y", "grey", "background")
+
+
+@query("i05_adjusted", f"{PIXELS} SELECT video, frame, x, y, 255 - CAST(greatest(0, least(255, round(1.5 * grey - 40))) AS INT) AS grey FROM pixels")
+def _(spark, d):
+    return pixels.adjusted(pixel_table(spark, d), contrast=1.5, brightness=215.0, invert=True)
+
+
+@query("i07_subtracted", f"""{PIXELS}, back AS (SELECT video, x, y, min(grey) AS background FROM pixels WHERE frame % 10 = 0 AND frame < 1000 GROUP BY ALL),
+d AS (SELECT q.video, q.frame, q.x, q.y, greatest(0, least(255, q.grey - background)) AS g FROM pixels q JOIN back USING (video, x, y)), {_stretch('g', 'd', 's')} SELECT * FROM s""")
+def _(spark, d):
+    p = pixel_table(spark, d)
+    return pixels.subtracted(p, pixels.min_background(p))
+
+
+@query("i13_away_from_rim", f"{OBJECTS} SELECT video, frame, label FROM objects WHERE power(cx - 400, 2) + power(cy - 400, 2) <= power(0.95 * 160, 2)")
+def _(spark, d):
+    return pixels.away_from_rim(objects(spark, d), 160.0, 400.0, 400.0).select("video", "frame", "label")
+
+
+@query("i10_remasked", f"""{_OTSU}, f AS (SELECT p.* FROM pixels p JOIN t USING (video, frame) WHERE grey > threshold), g AS (SELECT DISTINCT video, frame, x + dx AS x, y + dy AS y FROM f, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy))
+SELECT video, frame, x, y, CASE WHEN g.video IS NOT NULL THEN grey ELSE 0 END AS grey FROM pixels LEFT JOIN g USING (video, frame, x, y)""")
+def _(spark, d):
+    p = pixel_table(spark, d)
+    return pixels.remasked(p, pixels.dilated(pixels.foreground(p), p))
+
+
 # learning
 
 _FEATURES = ["midpoint_speed", "bending_angle", "tail_vel_forward", "area", "grey"]
@@ -293,7 +357,7 @@ def _(spark, d):
 
 @query("g12_forest_importance")
 def _(spark, d):
-    return learning.forest(measures(spark, d), _FEATURES, "condition", trees=10, folds=2, seeds=(1,))[1]
+    return learning.forest(measures(spark, d), _FEATURES, "condition", trees=40, folds=3, seeds=(1,))[1]
 
 
 @query("g13_balanced_classes", f"WITH {measures_sql()}, n AS (SELECT condition, count(*) AS n FROM measures GROUP BY 1) SELECT condition, (SELECT max(n) FROM n) AS n FROM n")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from motiontab.operators.orientation import tail_first
+
 SPINE, CONTOUR = 12, 22
 
 
@@ -23,18 +25,16 @@ def read_tracks(spark: SparkSession, folder: str, contours: bool = False) -> Dat
 
     Keys come from the last four parts of a path: group, condition, trial, name; ``id`` is the file's place in the sorted
     listing, ``track`` the number in its name. Tokens that are no numbers, such as ``na``, are null. Empty files give
-    no rows. Contours are only parsed on demand.
+    no rows, but have a place in the listing. Contours are only parsed on demand.
     """
     rows = spark.read.schema(TRACK_SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", "*[0-9].csv").option("nullValue", "na").option("mode", "PERMISSIVE").csv(folder)
     rows = rows.withColumn("path", F.col("_metadata.file_path")).drop("ppm")
     if not contours:
         rows = rows.drop(*[c for c in rows.columns if c.startswith("contourpoint_")])
     parts = F.split("path", "/")
-    files = rows.select("path").distinct()
-    # one row a file; the listing, not the frames, is ranked without a partition key
-    from pyspark.sql import Window
-
-    ids = files.withColumn("id", F.row_number().over(Window.orderBy("path")).cast("int"))
+    # the listing of files, not their rows, is ranked without a partition key; files without rows take a number, too
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*[0-9].csv").load(folder).select("path")
+    ids = listing.withColumn("id", F.row_number().over(Window.orderBy("path")).cast("int"))
     rows = rows.join(ids, "path")
     rows = rows.withColumns({n: F.element_at(parts, -k) for k, n in enumerate(("name", "trial", "condition", "group"), 1)})
     return rows.withColumn("track", F.regexp_extract("name", r"(\d+)\.csv$", 1).cast("long")).drop("path")
@@ -64,10 +64,68 @@ def with_odor(tracks: DataFrame, metadata: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("odor_a_x", "odor_a_y")})
 
 
-def write_tracks(df: DataFrame, folder: str, least_rows: int = 0) -> None:
-    """One folder ``id=...`` of CSV per track of more than ``least_rows`` rows, points as written by trackers (``na``)."""
+def track_rows(objects: DataFrame, centre: tuple[float, float], ppm: float) -> DataFrame:
+    """The 79 fields of track rows, with id, from objects in pixels.
+
+    objects: id, frame, spine (array of 12 points x, y), pairs (array of 10 structs a, b: contour points on either side of the
+    inner spine points), tail_x, tail_y, centroid_x, centroid_y, blob_orient, area, grey, spine_length, width, perimeter, collision_flag.
+    Points become ((x - cx) ppm, (cy - y) ppm), the centroid's y is not mirrored. Spines go from the tail; where not just one
+    end is the tail, points are null and the flag is 1. The contour runs along b from the first point and back along a.
+    """
+    turned, confused = tail_first("spine", F.struct(F.col("tail_x").alias("x"), F.col("tail_y").alias("y")))
+    place = lambda p: F.struct(((p["x"] - centre[0]) * ppm).alias("x"), ((centre[1] - p["y"]) * ppm).alias("y"))
+    known = F.coalesce(~confused, F.lit(False))
+    side = lambda c: F.transform("pairs", lambda p: p[c])
+    one, other = F.array(F.element_at("spine", 1)), F.array(F.element_at("spine", -1))
+    out, back = side("b"), F.reverse(side("a"))
+    contour = F.when(turned, F.concat(other, back, one, out)).otherwise(F.concat(one, out, other, back))
+    rows = objects.withColumns({"_spine": F.when(known, F.transform(F.when(turned, F.reverse("spine")).otherwise(F.col("spine")), place)), "_contour": F.when(known, F.transform(contour, place))})
+    points = {f"{kind}_{a}_{k}": F.get(f"_{array}", k - 1)[a] for kind, array, n in (("spinepoint", "spine", SPINE), ("contourpoint", "contour", CONTOUR)) for k in range(1, n + 1) for a in "xy"}
+    scaled = {c: F.col(c) * ppm for c in ("spine_length", "width", "perimeter")}
+    rows = rows.withColumns({**points, **scaled, "centroid_x": (F.col("centroid_x") - centre[0]) * ppm, "centroid_y": (F.col("centroid_y") - centre[1]) * ppm, "collision_flag": F.when(known, F.col("collision_flag")).otherwise(1), "ppm": F.lit(float(ppm))})
+    return rows.select("id", *fields())
+
+
+def model_rows(tracks: DataFrame, points: DataFrame) -> DataFrame:
+    """``tracks`` with rows that a model supplies during a collision: (id, frame, any track columns), flag 2, the rest null."""
+    return tracks.unionByName(points.withColumn("collision_flag", F.lit(2)), allowMissingColumns=True)
+
+
+def long_tracks(df: DataFrame, least_rows: int, remap: DataFrame | None = None) -> DataFrame:
+    """Rows of tracks of more than ``least_rows`` rows; with ``remap`` (old, new) the pieces of one new id count together."""
+    if remap is not None:
+        df = df.join(remap.select(F.col("old").alias("id"), F.col("new").alias("_new")), "id", "left").withColumn("id", F.coalesce("_new", "id")).drop("_new")
     long = df.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > least_rows).select("id")
-    df.join(long, "id", "left_semi").repartition("id").sortWithinPartitions("id", "frame").write.partitionBy("id").option("nullValue", "na").csv(folder)
+    return df.join(long, "id", "left_semi")
+
+
+def write_tracks(df: DataFrame, folder: str, least_rows: int = 0, remap: DataFrame | None = None) -> None:
+    """One folder ``id=...`` of CSV per track of more than ``least_rows`` rows, points as written by trackers (``na``)."""
+    rows = long_tracks(df, least_rows, remap)
+    rows.repartition("id").sortWithinPartitions("id", "frame").write.partitionBy("id").option("nullValue", "na").csv(folder)
+
+
+def write_collisions(collisions: DataFrame, path: str) -> None:
+    """id, new1, new2, new3, origin, bundle, with header."""
+    write_table(collisions.select("id", "new1", "new2", "new3", "origin", "bundle"), path)
+
+
+def write_assignments(assignments: DataFrame, path: str) -> None:
+    """incoming, outgoing, type, duration, forced, with header."""
+    write_table(assignments.select("incoming", "outgoing", "type", "duration", "forced"), path)
+
+
+def with_place(metadata: DataFrame) -> DataFrame:
+    """Metadata whose pairs hold the odour's place as ``OdorALocation``, as it is written back."""
+    place = F.concat_ws(",", F.col("odor_a_x").cast("string"), F.col("odor_a_y").cast("string"))
+    kept = F.map_filter("pairs", lambda k, _: k != "OdorALocation")
+    return metadata.withColumn("pairs", F.map_concat(kept, F.create_map(F.lit("OdorALocation"), place)))
+
+
+def write_metadata(metadata: DataFrame, folder: str) -> None:
+    """One text file below group=, condition= and trial= with the [Trial Data] lines, the odour's place among them."""
+    lines = F.concat(F.lit("[Trial Data]\n"), F.array_join(F.transform(F.array_sort(F.map_entries("pairs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n"))
+    with_place(metadata).select("group", "condition", "trial", lines.alias("value")).repartition("group", "condition", "trial").write.partitionBy("group", "condition", "trial").text(folder)
 
 
 def write_analysis(frames: DataFrame, folder: str, **parameters) -> None:
@@ -93,6 +151,25 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def read_catalogue(spark: SparkSession, path: str, categories: list[str] | None = None) -> DataFrame:
-    """Variable catalogue (variable, name, unit, category, ...); blank variables go."""
+    """Variable catalogue (variable, name, unit, category, ..., has_ci boolean, min and max double where it has them); blank variables go."""
     rows = spark.read.option("header", True).csv(path).where("trim(coalesce(variable, '')) <> ''")
+    kinds = {"has_ci": F.lower(F.trim("has_ci")).isin("1", "true", "yes", "t")} if "has_ci" in rows.columns else {}
+    kinds |= {c: F.expr(f"try_cast(`{c}` AS double)") for c in ("min", "max") if c in rows.columns}
+    rows = rows.withColumns(kinds) if kinds else rows
     return rows.where(F.col("category").isin(categories)) if categories else rows
+
+
+def catalogued(table: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
+    """A wide table as rows (keys, variable, name, unit, has_ci, value): named by the catalogue, values outside its min and max null.
+
+    Variables that the catalogue lacks are left out, as are those of it that the table lacks.
+    """
+    named = {r.variable for r in catalogue.select("variable").distinct().collect()}  # a few dozen rows
+    values = [c for c in table.columns if c in named and c not in keys]
+    long = table.select(*keys, *[F.col(c).cast("double") for c in values]).unpivot(keys, values, "variable", "value")
+    has = set(catalogue.columns)
+    rows = long.join(catalogue.select("variable", *[c for c in ("name", "unit", "has_ci", "min", "max") if c in has]), "variable")
+    inside = F.lit(True)
+    for c, test in (("min", F.col("value") >= F.col("min") if "min" in has else None), ("max", F.col("value") <= F.col("max") if "max" in has else None)):
+        inside = inside & F.coalesce(test, F.lit(True)) if c in has else inside
+    return rows.withColumn("value", F.when(inside, F.col("value"))).drop("min", "max")

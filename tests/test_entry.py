@@ -3,6 +3,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parent.parent
 
 
@@ -13,8 +15,23 @@ def test_entry_and_names(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_imports_without_the_optional_parts(tmp_path):
-    shutil.copytree(ROOT / "motiontab", tmp_path / "motiontab", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') for q in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
-    assert int(said.split()[0]) > 50 and said.split()[1] == "False"
+SAYS = """
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("SAID", len(e.queries()), len(e.oracle_sql()), sum(q.startswith("op") or q == "pipeline" for q in e.queries()), e.entry(spark).count())
+"""
+
+
+@pytest.mark.parametrize("gone", [("motiontab/llm", "tests/llm"), ("motiontab/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_the_rest_works_without_the_optional_parts(tmp_path, gone):
+    """A whole copy without them still imports, lists its queries and runs entry()."""
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse"))
+    for path in map((tmp_path / "copy").joinpath, gone):
+        if path.is_dir():
+            shutil.rmtree(path)
+        elif path.exists():
+            path.unlink()
+    said = subprocess.run([sys.executable, "-c", SAYS], cwd=tmp_path / "copy", capture_output=True, text=True, check=True).stdout
+    n, sql, optional, rows = map(int, said.split("SAID")[1].split())
+    assert n > 50 and sql > 50 and rows > 0 and optional == (10 if gone == ("corpus_pipeline.py",) and (ROOT / "motiontab/llm").exists() else 0)
