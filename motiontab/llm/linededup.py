@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from motiontab.llm.common import cut, table
 
 #: Counters of word rarity are 2^COUNTERS; a class is the logarithm of a count, rounded up, at most 15.
-COUNTERS = 21
+COUNTERS = 19
 #: Words up to class RARE (counted up to 2^RARE times) join alone, others as pairs in sets of up to MOST words.
 RARE, MOST = 10, 256
 #: Pairs of sets of over LONG words share two keys; sets up to BITS words carry bits.
