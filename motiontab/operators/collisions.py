@@ -256,7 +256,8 @@ def collision_samples(tracks: DataFrame, collisions: DataFrame, k: int, value: s
     """
     single = lambda c: (F.size(c) == k) & F.forall(c, lambda r: r["bundle"] == 1)
     stars = collision_stars(collisions).where((F.col("bundle") == k) & single("incoming") & single("outgoing"))
-    roles = F.concat(*[F.transform(c, lambda r, i, c=c: F.struct(r["id"].alias("id"), F.concat(F.lit("in" if c == "incoming" else "out"), (i + 1).cast("string")).alias("role"))) for c in ("incoming", "outgoing")])
+    named = lambda c, side: F.transform(c, lambda r, i: F.struct(r["id"].alias("id"), F.concat(F.lit(side), (i + 1).cast("string")).alias("role")))
+    roles = F.concat(named("incoming", "in"), named("outgoing", "out"))
     members = stars.select("collision", F.explode(roles).alias("m")).select("collision", "m.id", "m.role")
     rows = members.join(tracks.select("id", "frame", F.col(value).alias("value")), "id")
     each = Window.partitionBy("collision", "role")

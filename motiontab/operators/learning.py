@@ -87,17 +87,20 @@ def balanced(df: DataFrame, label: str, way: str = "up", seed: int = 7) -> DataF
 
 
 def forest(df: DataFrame, variables: Sequence[str], label: str, trees: int = 500, folds: int = 10, seeds: Sequence[int] = (1, 2, 3)) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(predictions, importance by variable, accuracy of each repeated cross validation); nulls count as 0."""
+    """(predictions, importance by variable, accuracy of each repeated cross validation); nulls count as 0.
+
+    predictions: class (the label as it is), label (its index) and prediction.
+    """
     rows = df.select(label, *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in variables]).where(F.col(label).isNotNull())
-    rows = VectorAssembler(inputCols=list(variables), outputCol="features").transform(StringIndexer(inputCol=label, outputCol="label").fit(rows).transform(rows)).cache()
+    rows = VectorAssembler(inputCols=list(variables), outputCol="features").transform(StringIndexer(inputCol=label, outputCol="_index").fit(rows).transform(rows)).cache()
     accuracy, model = [], None
     for seed in seeds:
-        tree = RandomForestClassifier(numTrees=trees, seed=seed)
-        cv = CrossValidator(estimator=tree, estimatorParamMaps=ParamGridBuilder().build(), evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=folds, seed=seed).fit(rows)
+        tree = RandomForestClassifier(numTrees=trees, seed=seed, labelCol="_index")
+        cv = CrossValidator(estimator=tree, estimatorParamMaps=ParamGridBuilder().build(), evaluator=MulticlassClassificationEvaluator(metricName="accuracy", labelCol="_index"), numFolds=folds, seed=seed).fit(rows)
         accuracy.append(cv.avgMetrics[0])
         model = model or cv.bestModel
     importance = df.sparkSession.createDataFrame([(v, float(model.featureImportances[k])) for k, v in enumerate(variables)], "variable string, importance double")
-    return model.transform(rows).select(label, "label", "prediction"), importance.orderBy(F.desc("importance"), "variable"), accuracy
+    return model.transform(rows).select(F.col(label).alias("class"), F.col("_index").alias("label"), "prediction"), importance.orderBy(F.desc("importance"), "variable"), accuracy
 
 
 def confusion(predictions: DataFrame) -> DataFrame:

@@ -89,10 +89,10 @@ def _(spark, d):
 
 
 @query("c29_local_minima", f"""{_PAIRS}, l AS (SELECT s.id, s.row AS start, s.row2 AS "end", list(p.tail_vel_forward ORDER BY p.row) AS v FROM s JOIN p ON p.id = s.id AND p.row BETWEEN s.row AND s.row2 GROUP BY ALL),
-e AS (SELECT *, len(v) AS n, list_transform(range(1, len(v)), lambda i: v[i + 1] - v[i]) AS d FROM l),
-f AS (SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN i BETWEEN 2 AND n - 2 THEN (d[i - 1] + d[i] + d[i + 1]) / 3 END) AS sm FROM e),
+l2 AS (SELECT *, len(v) AS n, list_transform(range(1, len(v)), lambda i: v[i + 1] - v[i]) AS d FROM l),
+l3 AS (SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN i BETWEEN 2 AND n - 2 THEN (d[i - 1] + d[i] + d[i + 1]) / 3 END) AS sm FROM l2),
 h AS (SELECT id, start, "end", CASE WHEN n > 5 THEN len(list_filter(range(1, n - 3), lambda i: coalesce(sm[i + 1] = list_min(sm[i:i + 4]) AND (sm[i] IS NULL OR sm[i] > sm[i + 1]), false)))
-                                     WHEN n > 2 THEN len(list_filter(range(1, n - 1), lambda i: coalesce(v[i + 1] = list_min(v[i:i + 2]) AND (v[i] IS NULL OR v[i] > v[i + 1]), false))) END AS step_extr FROM f)
+                                     WHEN n > 2 THEN len(list_filter(range(1, n - 1), lambda i: coalesce(v[i + 1] = list_min(v[i:i + 2]) AND (v[i] IS NULL OR v[i] > v[i + 1]), false))) END AS step_extr FROM l3)
 SELECT *, CASE WHEN step_extr > 2 THEN '>2' ELSE CAST(step_extr AS VARCHAR) END AS minima, step_extr <> 1 AS gt_1min FROM h""")
 def _(spark, d):
     m = events.local_minima(events.with_step_candidates(_steps(spark, d)))
@@ -118,8 +118,8 @@ def _(spark, d):
 _FLANKS = f"""{MEASURES}, a AS (SELECT id, frame, CASE WHEN count(tail_vel_forward_bl) OVER f = 8 THEN median(tail_vel_forward_bl) OVER f END AS v FROM measures WINDOW f AS (PARTITION BY id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING)),
 b AS (SELECT id, frame, CASE WHEN abs(v) < 0.03 THEN 0.0 ELSE v END AS v FROM a),
 c AS (SELECT id, frame, sign(CASE WHEN count(v) OVER f = 8 THEN avg(v) OVER f END) AS s FROM b WINDOW f AS (PARTITION BY id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING)),
-e AS (SELECT id, frame, s - lag(s) OVER t AS d, coalesce(s, 0) AS z FROM c WINDOW t AS (PARTITION BY id ORDER BY frame)),
-h AS (SELECT id, frame, d, min(z) OVER p AS p0, max(z) OVER p AS p1, min(z) OVER n AS n0, max(z) OVER n AS n1, count(*) OVER n AS k FROM e
+c2 AS (SELECT id, frame, s - lag(s) OVER t AS d, coalesce(s, 0) AS z FROM c WINDOW t AS (PARTITION BY id ORDER BY frame)),
+h AS (SELECT id, frame, d, min(z) OVER p AS p0, max(z) OVER p AS p1, min(z) OVER n AS n0, max(z) OVER n AS n1, count(*) OVER n AS k FROM c2
       WINDOW p AS (PARTITION BY id ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), n AS (PARTITION BY id ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING))"""
 
 
@@ -177,8 +177,8 @@ def _(spark, d):
     return binning.time_bins(measures(spark, d).select("id", "frame"))
 
 
-@query("f03_grid_matrix", f"""{MEASURES}, r AS (SELECT bearing_angle AS x, distance_to_odor AS y, area AS z FROM measures WHERE bearing_angle IS NOT NULL AND distance_to_odor IS NOT NULL), e AS (SELECT min(x) a, max(x) b, min(y) c, max(y) d FROM r),
-h AS (SELECT CAST(least(4, floor((x - a) * 4 / (b - a)) + 1) AS INT) AS xbin, CAST(least(4, floor((y - c) * 4 / (d - c)) + 1) AS INT) AS ybin, avg(z) AS z FROM r, e GROUP BY ALL)
+@query("f03_grid_matrix", f"""{MEASURES}, r AS (SELECT bearing_angle AS x, distance_to_odor AS y, area AS z FROM measures WHERE bearing_angle IS NOT NULL AND distance_to_odor IS NOT NULL), r2 AS (SELECT min(x) a, max(x) b, min(y) c, max(y) d FROM r),
+h AS (SELECT CAST(least(4, floor((x - a) * 4 / (b - a)) + 1) AS INT) AS xbin, CAST(least(4, floor((y - c) * 4 / (d - c)) + 1) AS INT) AS ybin, avg(z) AS z FROM r, r2 GROUP BY ALL)
 SELECT xbin, {', '.join(f'round(max(CASE WHEN ybin = {k} THEN z END), 6) AS "{k}"' for k in range(1, 5))} FROM h GROUP BY xbin""")
 def _(spark, d):
     return rnd(binning.as_matrix(binning.heat_map(measures(spark, d), "bearing_angle", "distance_to_odor", "area", 4), 4))
@@ -235,9 +235,9 @@ def _(spark, d):
     return objects(spark, d).select("video", "frame", "label", linking.exit_code(F.col("cx"), F.col("cy"), 600.0, (420.0, 400.0), (380.0, 400.0)).alias("code"))
 
 
-@query("h04_rim_guard", f"""{OBJECTS}, p AS (SELECT c.*, (c.a % 7) / 8.0 AS of_a, (c.b % 5) / 4.0 AS of_b FROM classed c)
+@query("h04_rim_guard", f"""{OBJECTS}, q AS (SELECT c.*, (c.a % 7) / 8.0 AS of_a, (c.b % 5) / 4.0 AS of_b FROM classed c)
 SELECT p.video, p.frame, p.a, p.b, p.kind, CASE WHEN p.kind = '1->1' AND power(o.cx - 400, 2) + power(o.cy - 400, 2) > power(0.95 * 100, 2) THEN CASE WHEN of_b - of_a > 0.3 THEN 'split' WHEN of_b - of_a < -0.3 THEN 'merge' END END AS rim
-FROM p LEFT JOIN objects o ON o.video = p.video AND o.frame = p.frame AND o.label = p.b""")
+FROM q p LEFT JOIN objects o ON o.video = p.video AND o.frame = p.frame AND o.label = p.b""")
 def _(spark, d):
     o = objects(spark, d)
     c = linking.classified(o, linking.box_links(o))
@@ -245,7 +245,7 @@ def _(spark, d):
     return linking.rim_guarded(c, o, shares, 100.0, (400.0, 400.0))
 
 
-@query("h07_matches", f"""{OBJECTS} SELECT a.video, a.frame, a.label AS a, b.label AS b, abs(a.cx - b.cx) < 2 AND abs(a.cy - b.cy) < 2 AS centre, b.perimeter > 0.7 * a.perimeter AND b.perimeter < 1.3 * a.perimeter AS size
+@query("h07_matches", f"""{OBJECTS} SELECT a.video, a.frame, a.label AS a, b.label AS b, abs(a.cx - b.cx) < (1.05::DOUBLE - 1) * 40 AND abs(a.cy - b.cy) < (1.05::DOUBLE - 1) * 40 AS centre, b.perimeter > 0.7 * a.perimeter AND b.perimeter < 1.3 * a.perimeter AS size
 FROM (SELECT objects.*, f.perimeter FROM objects JOIN frames f ON f.trial = video AND f.frame = objects.frame AND f.id = label) a JOIN (SELECT objects.*, f.perimeter FROM objects JOIN frames f ON f.trial = video AND f.frame = objects.frame AND f.id = label) b ON a.video = b.video AND a.frame + 1 = b.frame AND a.label = b.label""")
 def _(spark, d):
     o = objects(spark, d)
@@ -258,7 +258,7 @@ def _(spark, d):
 @query("h09_speed_gate", f"{MEASURES} SELECT id, frame, midpoint_speed - coalesce(avg(midpoint_speed) OVER (PARTITION BY id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) < 1.0 * (1 - (0.25 - 1 / (frame % 5 + 3.0))) AS fine FROM measures")
 def _(spark, d):
     m = measures(spark, d).withColumn("gap", F.col("frame") % 5)
-    return m.select("id", "frame", collisions.speed_gate("midpoint_speed", 1.0).alias("fine"))
+    return m.select("id", "frame", collisions.speed_gate(m, "midpoint_speed", 1.0).alias("fine"))
 
 
 @query("h11_round_shapes", f"{FRAMES} SELECT id, frame, perimeter / 9 < 3.55 AND width / 2 BETWEEN 0.001 AND 3.35 AND width / perimeter BETWEEN 0.001 AND 0.42 AS round FROM frames")
@@ -304,9 +304,9 @@ _GRAPH = """SELECT DISTINCT o_orderkey // 200 AS video, o_orderkey % 40 AS paren
 
 
 @query("h19_end_objects", f"""WITH RECURSIVE e AS ({_GRAPH}), b AS (SELECT DISTINCT video, parent AS track FROM e WHERE parent % 3 <> 0),
-r AS (SELECT b.video, b.track, e.child AS at FROM b JOIN e ON e.video = b.video AND e.parent = b.track UNION
-      SELECT r.video, r.track, e.child FROM r JOIN b ON b.video = r.video AND b.track = r.at JOIN e ON e.video = r.video AND e.parent = r.at)
-SELECT video, track, at AS single FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.video = r.video AND b.track = r.at)""")
+r AS (SELECT b.video, b.track, e.child AS node FROM b JOIN e ON e.video = b.video AND e.parent = b.track UNION
+      SELECT r.video, r.track, e.child FROM r JOIN b ON b.video = r.video AND b.track = r.node JOIN e ON e.video = r.video AND e.parent = r.node)
+SELECT video, track, node AS single FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.video = r.video AND b.track = r.node)""")
 def _(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
     e = o.select(F.expr("o_orderkey div 200").alias("video"), (F.col("o_orderkey") % 40).alias("parent"), (F.col("o_orderkey") % 40 + 1 + F.col("o_custkey") % 5).alias("child")).distinct()
@@ -409,7 +409,7 @@ def _ends(spark: SparkSession, d: str) -> DataFrame:
 
 _SEGMENTS = f"""{FRAMES}, {_ENDS}, f AS (SELECT *, collision_flag <> 0 AS flag FROM d), i AS (SELECT *, flag OR (coalesce(lag(flag) OVER t, false) AND coalesce(lead(flag) OVER t, false)) AS inside FROM f WINDOW t AS (PARTITION BY id ORDER BY frame)),
 b AS (SELECT *, CAST(inside <> coalesce(lag(inside) OVER t, false) AS INT) AS brk FROM i WINDOW t AS (PARTITION BY id ORDER BY frame)),
-s AS (SELECT *, coalesce(sum(brk) OVER (PARTITION BY id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment FROM b)"""
+seg AS (SELECT *, coalesce(sum(brk) OVER (PARTITION BY id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment FROM b)"""
 _SMOOTH = ", ".join(f"avg({c}) OVER w AS s_{c}" for c in ("head_x", "head_y", "tail_x", "tail_y", "mid_x", "mid_y"))
 
 
@@ -417,9 +417,9 @@ def _far(a: str, b: str) -> str:
     return f"sqrt(power(s_{a}_x - lag(s_{b}_x, 2) OVER g, 2) + power(s_{a}_y - lag(s_{b}_y, 2) OVER g, 2))"
 
 
-@query("h14_head_tail_votes", f"""{_SEGMENTS}, m AS (SELECT *, {_SMOOTH} FROM s WINDOW w AS (PARTITION BY id ORDER BY frame ROWS BETWEEN 11 PRECEDING AND 11 FOLLOWING)),
-e AS (SELECT *, {_far('mid', 'head')} AS h1, {_far('mid', 'tail')} AS t1, {_far('head', 'head')} AS h3, {_far('tail', 'tail')} AS t3 FROM m WINDOW g AS (PARTITION BY id, segment ORDER BY frame)),
-v AS (SELECT id, segment, count(*) AS n, {', '.join(f'coalesce(sum(CASE WHEN {c} > 0 AND {c} < 100 THEN {c} END), 0) AS {c}' for c in ('h1', 't1', 'h3', 't3'))}, sum(head_grey) AS h2, sum(tail_grey) AS t2 FROM e GROUP BY ALL)
+@query("h14_head_tail_votes", f"""{_SEGMENTS}, m AS (SELECT *, {_SMOOTH} FROM seg WINDOW w AS (PARTITION BY id ORDER BY frame ROWS BETWEEN 11 PRECEDING AND 11 FOLLOWING)),
+far AS (SELECT *, {_far('mid', 'head')} AS h1, {_far('mid', 'tail')} AS t1, {_far('head', 'head')} AS h3, {_far('tail', 'tail')} AS t3 FROM m WINDOW g AS (PARTITION BY id, segment ORDER BY frame)),
+v AS (SELECT id, segment, count(*) AS n, {', '.join(f'coalesce(sum(CASE WHEN {c} > 0 AND {c} < 100 THEN {c} END), 0) AS {c}' for c in ('h1', 't1', 'h3', 't3'))}, sum(head_grey) AS h2, sum(tail_grey) AS t2 FROM far GROUP BY ALL)
 SELECT id, CAST(segment AS BIGINT) AS segment, n AS rows, CAST(CASE WHEN h1 < t1 THEN 1 ELSE -1 END + CASE WHEN n > 1 THEN CASE WHEN h2 < t2 THEN 1 ELSE -1 END ELSE 0 END + CASE WHEN h3 <> 0 AND t3 <> 0 AND n > 1 THEN CASE WHEN h3 > t3 THEN 1 ELSE -1 END ELSE 0 END AS INT) AS votes FROM v""")
 def _(spark, d):
     return orientation.head_tail_votes(_ends(spark, d)).withColumn("segment", F.col("segment").cast("long"))

@@ -43,7 +43,7 @@ def test_clusters_and_mixtures_find_the_groups(planted):
     found, silhouette = learning.clusters(planted, NAMES[:2], 2, ["id"])
     sides = {(truth[r.id], r.cluster) for r in found.collect()}
     assert len(sides) == 2 and silhouette > 0.7 and found.count() == 160
-    found, k = learning.mixture(planted, NAMES[:2], (1, 2), ["id"])
+    found, k = learning.mixture(planted, NAMES[:2], (2, 3), ["id"])
     assert k == 2 and len({(truth[r.id], r.component) for r in found.collect()}) == 2
 
 
