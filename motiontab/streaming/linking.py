@@ -49,6 +49,9 @@ def stream_links(objects: DataFrame, least_overlap: float = 0.1) -> DataFrame:
     return rows.groupBy("video").applyInPandasWithState(step, LINKS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_statistics(rows: DataFrame) -> DataFrame:
-    """Running sums, means and extremes per track; for the update or complete output mode."""
-    return rows.groupBy("id").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{m}") for c in ("area", "width", "perimeter") for m, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
+def stream_statistics(rows: DataFrame, variables: tuple[str, ...] = ("area", "spine_length", "width", "perimeter"), speed: str = "velocity") -> DataFrame:
+    """Rows, running means and extremes of the variables that the stream has, and its greatest speed, per track; for the
+    update or complete output mode."""
+    have = [c for c in variables if c in rows.columns]
+    top = [F.max(speed).alias(f"{speed}_max")] if speed in rows.columns else []
+    return rows.groupBy("id").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{m}") for c in have for m, f in (("mean", F.avg), ("min", F.min), ("max", F.max))], *top)

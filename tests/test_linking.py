@@ -47,13 +47,14 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     want = sorted((r.frame, r.a, r.b, r.overlap) for r in linking.box_links(o).collect())
     assert sorted((r.frame, r.a, r.b, r.overlap) for r in spark.table("links").collect()) == want
-    spark.createDataFrame([(1, 2.0, 1.0, 3.0), (1, 4.0, 1.0, 5.0)], "id long, area double, width double, perimeter double").write.parquet(str(tmp_path / "s"))
-    rows = spark.readStream.schema("id long, area double, width double, perimeter double").parquet(str(tmp_path / "s"))
+    schema = "id long, area double, width double, perimeter double, spine_length double, velocity double"
+    spark.createDataFrame([(1, 2.0, 1.0, 3.0, 4.0, None), (1, 4.0, 1.0, 5.0, 6.0, 2.5)], schema).write.parquet(str(tmp_path / "s"))
+    rows = spark.readStream.schema(schema).parquet(str(tmp_path / "s"))
     q = stream_statistics(rows).writeStream.format("memory").queryName("running").outputMode("complete").option("checkpointLocation", str(tmp_path / "d")).start()
     q.processAllAvailable()
     q.stop()
     r = spark.table("running").first()
-    assert (r.n, r.area_mean, r.perimeter_max) == (2, 3.0, 5.0)
+    assert (r.n, r.area_mean, r.perimeter_max, r.spine_length_mean, r.velocity_max) == (2, 3.0, 5.0, 5.0, 2.5)
 
 
 def test_remap_gaps_and_queue(spark):
