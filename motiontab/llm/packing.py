@@ -49,25 +49,36 @@ class Cutter:
 
     def __init__(self, length: int):
         self.length, self.powers = length, [2**k for k in range(length.bit_length()) if 2**k < length]
-        self.places, self.cost, self.back, self.at = [0], [0.0], [0], {0: 0}
+        self.places, self.cost, self.back = [0], [0.0], [0]
         self.queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])
 
+    def at_powers(self, places: list[int]) -> dict[int, list[int]]:
+        """For new places that lie a power of two behind others: the indices of these."""
+        old = len(self.places)
+        first = next((k for k in range(old - 1, -1, -1) if places and places[0] - self.places[k] > self.length), 0)
+        known, new = np.array(self.places[first:] + places), np.array(places)
+        found: dict[int, list[int]] = {}
+        for power in self.powers:
+            at = np.searchsorted(known, new - power)
+            for k in np.flatnonzero(known[at] == new - power).tolist():
+                found.setdefault(old + k, []).append(first + int(at[k]))
+        return found
+
     def extend(self, places: list[int], penalties: list[float]) -> None:
         """Later places, increasing, no gap over ``length``, and the penalty of a cut at each."""
-        length, powers, queue, at, cost, back = self.length, self.powers, self.queue, self.at, self.cost, self.back
+        length, queue, cost, back = self.length, self.queue, self.cost, self.back
+        behind = self.at_powers(places).get
         for k, (place, penalty) in enumerate(zip(places, penalties, strict=True), len(self.places)):
             while place - queue[0][1] > length:
                 queue.popleft()
             least, _, j = queue[0]
             least += length - place
-            for power in powers:
-                i = at.get(place - power)
-                if i is not None and cost[i] < least:
+            for i in behind(k, ()):
+                if cost[i] < least:
                     least, j = cost[i], i
             total = least + penalty
             cost.append(total)
             back.append(j)
-            at[place] = k
             value = total + place
             while queue and queue[-1][0] >= value:
                 queue.pop()
@@ -91,7 +102,6 @@ class Cutter:
         if end:
             self.places, self.cost = self.places[end:], self.cost[end:]
             self.back = [max(0, k - end) for k in self.back[end:]]
-            self.at = {p: k for k, p in enumerate(self.places)}
             self.queue = deque((v, p, k - end) for v, p, k in self.queue if k >= end)
         return settled
 
