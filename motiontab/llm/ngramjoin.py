@@ -26,17 +26,25 @@ from motiontab.llm.common import components, cut, words
 
 #: Odd 64-bit multipliers that mix word hashes; fixed so that hashes agree between runs.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Frequent n-grams are moved to the end of the order: those seen LOCAL times in a batch and OFTEN times in all, the
+#: Frequent n-grams are moved to the end of the order: those seen LOCAL times among ROWS documents and OFTEN times in all, the
 #: MOST most frequent of them. Any list gives the same links; it only keeps tiles small.
-LOCAL, OFTEN, MOST = 4, 64, 100_000
+LOCAL, OFTEN, MOST = 3, 64, 100_000
 #: Tiles up to SMALL rows test all pairs at once; tiles over BLOCK rows are dealt out as pairs of blocks.
 SMALL, BLOCK = 8, 2048
 #: Two block numbers make one number of a pair.
 PAIR = 1 << 31
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
+#: Rows whose sets a task holds at once.
+ROWS = 2048
 BROADCAST_ROWS = 1_000_000
 
 
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, len(batch), ROWS):
+            yield batch.slice(start, ROWS)
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh64_intdigest(word)
@@ -230,7 +238,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in portions(batches):
             found = shingle_sets(batch.column("text").to_pylist(), n, hashes)
             sizes, keys = [len(x) for x in found], list(map(set_key, found))
             sets = dict(zip(keys, found, strict=True))
@@ -259,7 +267,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in portions(batches):
             found = shingle_sets(batch.column("text").to_pylist(), n, hashes)
             rows = [k for k, x in enumerate(found) if len(x)]
             prefix = [ordered_prefix(found[k]).view(np.int64) for k in rows]
@@ -285,7 +293,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         """The pairs whose signatures leave room for the overlap needed."""
 
         def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in portions(batches):
                 rows = len(batch)
                 both = Signatures(pa.concat_arrays([batch.column("x"), batch.column("y")]))
                 total = np.array(batch.column("n")) + np.array(batch.column("m"))
@@ -301,14 +309,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
         def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
-            for batch in batches:
+            for batch in portions(batches):
                 data = [x.tobytes() for x in shingle_sets(batch.column("text").to_pylist(), n, hashes)]
                 yield pa.record_batch([batch.column("id"), pa.array(data, pa.binary())], ["id", "data"])
 
         whole = source.join(_small(cut(asked)), "id").mapInArrow(gathered, "id long, data binary").dropDuplicates(["id", "data"])
 
         def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in portions(batches):
                 keep = []
                 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
