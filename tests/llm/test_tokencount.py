@@ -40,7 +40,7 @@ def test_long_texts_without_resets(spark, monkeypatch):
     """Guessed entry states may be wrong; the chunks are then read again until they fit."""
     monkeypatch.setattr(tokencount, "CONTEXT", 1)
     pick = random.Random(12)
-    texts = ["".join(pick.choice(["international", "ization", "al", "s", "aaa", "12"]) for _ in range(300)), "a" * 2000, "=" * 999]
+    texts = ["".join(pick.choice(["international", "ization", "al", "s", "aaa", "12"]) for _ in range(40)), "a" * 250, "=" * 199]
     docs = spark.createDataFrame([(k, t, "", 0) for k, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(docs, MODEL, chunk_chars=37).collect()}
     assert [got[k] for k in range(3)] == library(texts)
