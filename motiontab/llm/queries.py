@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motiontab.llm import linededup, lmscore, mixing, neardup, ngramjoin, packing, quality, tokencount, topk, urlfilter
+from motiontab.llm import alignment, linededup, lmscore, mixing, neardup, ngramjoin, packing, quality, tokencount, topk, urlfilter
 from motiontab.llm.common import read
 
 
@@ -74,6 +74,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_packing": op2_packing,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _CAPS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
