@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motiontab.llm import alignment, linededup, lmscore, mixing, neardup, ngramjoin, packing, quality, tokencount, topk, urlfilter
+from motiontab.llm import alignment, bestfit, lexical, linededup, lmscore, mixing, neardup, ngramjoin, packing, quality, tokencount, topk, urlfilter
 from motiontab.llm.common import read
 
 
@@ -74,6 +74,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), length=1024, end_id=2)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -89,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_best_fit_packing": op12_best_fit_packing,
     "op13_token_alignment": op13_token_alignment,
 }
 
@@ -116,6 +126,8 @@ def _url_sql() -> str:
     FROM r"""
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 _VALID = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
 ORACLE_SQL: dict[str, str] = {
@@ -159,4 +171,15 @@ ORACLE_SQL: dict[str, str] = {
     t AS (SELECT doc_id, count(*) FILTER (WHERE len(w) > 0) AS n_lines, count(*) FILTER (WHERE len(w) > 0 AND NOT kept) AS n_removed,
                  coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE kept OR len(w) = 0), '') AS text FROM j GROUP BY doc_id)
     SELECT doc_id, n_lines, n_removed, length(text) AS n_chars_left, md5(text) AS text_md5 FROM t""",
+    "op11_ranked_search": f"""
+    WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_CAPS}', '{_CAPS.lower()}'), '{_TERM}')) AS t FROM documents),
+    q AS (SELECT item_id, t, count(*) AS r FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_CAPS}', '{_CAPS.lower()}'), '{_TERM}')) AS t FROM benchmark) GROUP BY ALL),
+    f AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY ALL),
+    n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY ALL),
+    a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+    w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, a GROUP BY t),
+    s AS (SELECT item_id, doc_id, CAST(sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+          FROM q JOIN f USING (t) JOIN w USING (t) JOIN n USING (doc_id), a GROUP BY ALL HAVING score > 0),
+    k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s)
+    SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""",
 }
