@@ -67,7 +67,10 @@ def with_limits(df: DataFrame, names: Sequence[str], level: float = 0.95) -> Dat
 
 
 KEYS = ("group_condition", "bin", "midpoint")
-TIME_SERIES = ("bending_angle", "bearing_angle", "heading_angle", "head_vector_angular_speed", "tail_vector_angular_speed", "head_vel_forward", "tail_vel_forward", "midpoint_speed", "odor_speed", "distance_to_odor")
+ANGLES = ("bearing_angle", "heading_angle", "bending_angle", "head_vector_angular_speed", "tail_vector_angular_speed")
+TIME_SERIES = (*ANGLES, "head_vel_forward", "tail_vel_forward", "midpoint_speed", "midpoint_distance", "distance_to_odor", "spine_length")
+#: Variables that are also given per mean spine length of their row's bin, as <name>_bl.
+PER_LENGTH = ("head_vel_forward", "tail_vel_forward", "midpoint_speed", "midpoint_distance")
 
 
 def size_test(sizes: Sequence[float] | None) -> Column:
@@ -75,49 +78,77 @@ def size_test(sizes: Sequence[float] | None) -> Column:
 
 
 def variables(kind: str, sizes: Sequence[float] | None = (20, 360)) -> Mapping[str, Column]:
-    """Columns that get a mean and limits, by kind of table: ts, hc, is, run, pref."""
-    cast, step = size_test(sizes), F.col("step_boolean")
+    """Columns that get a mean and limits, by kind of table: ts, hc, is, run, pref. Step measures lie on the rows where steps
+    start, and all of them count."""
+    cast = size_test(sizes)
     return {
-        "ts": {**{c: F.col(c) for c in TIME_SERIES}, **{f"abs_{c}": F.abs(c) for c in TIME_SERIES[:5]}},
+        "ts": {**{c: F.col(c) for c in TIME_SERIES}, **{f"abs_{c}": F.abs(c) for c in ANGLES}},
         "hc": {c: F.when(cast, F.col(c)) for c in ("HC_angle", "Abs_HC_angle", "HC_reorientation")},
-        "is": {c: F.when(step, F.col(c)) for c in ("IS_angle", "Abs_IS_angle", "IS_interval", "IS_distance")},
-        "run": {"run_speed": F.when(step, F.col("run_speed"))},
+        "is": {c: F.col(c) for c in ("IS_angle", "Abs_IS_angle", "IS_reorientation", "IS_distance", "IS_distance_bl", "IS_interval")},
+        "run": {c: F.col(c) for c in ("run_speed", "run_speed_bl")},
         "pref": {"odor_speed": F.col("odor_speed")},
     }[kind]
 
 
-def extras(kind: str, sizes: Sequence[float] | None = (20, 360), radius: float = 42.5) -> list[Column]:
+def extras(kind: str, sizes: Sequence[float] | None = (20, 360)) -> list[Column]:
     """Counts, rates and shares without limits. The modulation of casts is (towards - away) here, the summary's is mirrored."""
     side = lambda c, s: F.sum(F.when(size_test(sizes) & (F.col("odor_orientation") == s), F.col(c)))
-    speed = lambda s: F.avg(F.when(F.col("step_boolean") & (F.col("odor_orientation") == s), F.col("run_speed")))
+    speed = lambda s: F.avg(F.when(F.col("odor_orientation") == s, F.col("run_speed")))
     change = lambda a, b: F.try_divide(a - b, a + b)
-    y, n = F.col("spinepoint_y_6_conv"), F.count(F.lit(1))
-    known = F.count("odor_orientation") == n
+    n = F.count(F.lit(1))
     return {
         "ts": [],
         "hc": [n.alias("N"), F.try_divide(F.sum(F.when(size_test(sizes), F.col("HCs"))), n).alias("HC_rate"), change(side("HCs", "towards"), side("HCs", "away")).alias("HC_rate_modulation")],
         "is": [],
         "run": [change(speed("towards"), speed("away")).alias("run_speed_modulation")],
-        "pref": [F.try_divide(F.count_if(y > 0) - F.count_if(y < 0), n).alias("preference"), rescale(F.avg("distance_to_odor"), radius).alias("preference_distance"), F.when(known, F.try_divide(F.count_if(F.col("odor_orientation") == "towards"), n)).alias("ratio_towards")],
+        "pref": [F.avg("pref").alias("preference")],
     }[kind]
 
 
-def binned_table(df: DataFrame, kinds: Sequence[str] = ("ts", "hc", "is", "run", "pref"), **options) -> DataFrame:
-    """One aggregation over all kinds of variables of a binned table; each variable with mean and limits."""
-    named = {k: c for kind in kinds for k, c in variables(kind).items()}
-    out = df.groupBy(*KEYS).agg(*[a for k, c in named.items() for a in mean_ci(k, c)], *[e for kind in kinds for e in extras(kind, **options)])
-    return with_limits(out, list(named))
+def _share_towards() -> Column:
+    towards = F.col("odor_orientation") == "towards"
+    return F.try_divide(F.count_if(towards), F.count("odor_orientation"))
 
 
-def binned_by_unit(df: DataFrame, unit: str = "id", kinds: Sequence[str] = ("ts", "hc", "is", "run", "pref"), **options) -> DataFrame:
-    """Two levels: means per animal or dish and bin, then mean and limits over these units."""
+def binned_table(df: DataFrame, kinds: Sequence[str] = ("ts", "hc", "is", "run", "pref"), sizes: Sequence[float] | None = (20, 360), radius: float = 42.5) -> DataFrame:
+    """One aggregation over all kinds of variables of a binned table; each variable with mean and limits.
+
+    Per length means values over the bin's mean spine length. The preference is the mean of ``pref``; the distance's mean and limits are
+    rescaled to -1..1, so its lowCI is the greater one; the share of rows towards the odour is null if one of them is not known.
+    """
+    named = {k: c for kind in kinds for k, c in variables(kind, sizes).items()}
+    aggregates = [a for k, c in named.items() for a in mean_ci(k, c)] + [e for kind in kinds for e in extras(kind, sizes)]
+    names = list(named)
+    if "ts" in kinds:
+        length = F.avg("spine_length")
+        for c in PER_LENGTH:
+            aggregates += [F.try_divide(F.avg(c), length).alias(f"{c}_bl_mean"), F.try_divide(F.stddev_samp(c), length).alias(f"{c}_bl_sd"), F.count(c).alias(f"{c}_bl_n")]
+        names += [f"{c}_bl" for c in PER_LENGTH]
+    if "pref" in kinds:
+        aggregates += [*mean_ci("preference_distance", F.col("distance_to_odor")), F.when(F.count("odor_orientation") == F.count(F.lit(1)), _share_towards()).alias("ratio_towards")]
+        names.append("preference_distance")
+    out = with_limits(df.groupBy(*KEYS).agg(*aggregates), names)
+    return out.withColumns({f"preference_distance_{c}": rescale(f"preference_distance_{c}", radius) for c in ("mean", "lowCI", "hiCI")}) if "pref" in kinds else out
+
+
+def binned_by_unit(df: DataFrame, unit: str = "id", kinds: Sequence[str] = ("ts", "hc", "is", "run", "pref"), sizes: Sequence[float] | None = (20, 360), radius: float = 42.5) -> DataFrame:
+    """Two levels: means per animal or dish and bin, then mean and limits over these units, N of them.
+
+    The head's velocity per length is the mean of rows' quotients here, other measures are over the unit's mean length; the
+    share towards the odour is of rows where it is known.
+    """
     if unit not in ("id", "trial"):
         raise ValueError("units are id or trial")
-    named = {k: c for kind in kinds for k, c in variables(kind).items()}
-    more = [e for kind in kinds for e in extras(kind, **options)]
-    first = df.groupBy(*KEYS, unit).agg(*[F.avg(c).alias(k) for k, c in named.items()], *more)
+    named = {k: F.avg(c) for kind in kinds for k, c in variables(kind, sizes).items()}
+    if "ts" in kinds:
+        named |= {f"{c}_bl": F.try_divide(F.avg(c), F.avg("spine_length")) for c in PER_LENGTH}
+        named["head_vel_forward_bl"] = F.avg(F.try_divide(F.col("head_vel_forward"), F.col("spine_length")))
+    if "pref" in kinds:
+        named |= {"preference_distance": rescale(F.avg("distance_to_odor"), radius), "ratio_towards": _share_towards()}
+    first = df.groupBy(*KEYS, unit).agg(*[c.alias(k) for k, c in named.items()], *[e for kind in kinds for e in extras(kind, sizes)])
     names = [c for c in first.columns if c not in (*KEYS, unit, "N")]
-    return with_limits(first.groupBy(*KEYS).agg(*[a for c in names for a in mean_ci(c, F.col(c))]), names)
+    second = first.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("N"), *[a for c in names for a in mean_ci(c, F.col(c))])
+    return with_limits(second, names)
 
 
 def binned_series(df: DataFrame, variable: str = "frame", width: float = 10, unit: str | None = None, frame_rate: float = 16, kinds: Sequence[str] = ("ts", "hc", "is", "run", "pref"), seconds=None, odor=None, bearing=None, direction=None, drop_flips: bool = False, **options) -> DataFrame:

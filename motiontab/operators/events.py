@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motiontab.functions import geometry as g
+from motiontab.functions import segments
 from motiontab.functions import windows as w
 
 
 def with_row(df: DataFrame) -> DataFrame:
-    return df if "row" in df.columns else df.withColumn("row", w.position())
+    return df if "row" in df.columns else df.withColumn("row", segments.row_number())
 
 
 def _with_islands(df: DataFrame, least_head: float) -> DataFrame:
@@ -23,20 +24,16 @@ def _with_islands(df: DataFrame, least_head: float) -> DataFrame:
     over = F.coalesce(F.abs("head_vector_angular_speed") > least_head, F.lit(False)) & (F.col("row") > 1)
     df = with_row(df).withColumn("_over", over)
     ahead = F.coalesce(w.after("_over"), F.lit(False)) & ~F.col("_over")
-    df = df.withColumn("_starts", ahead).withColumn("_island", F.sum(F.col("_starts").cast("int")).over(w.track().rowsBetween(Window.unboundedPreceding, 0)))
+    df = segments.stitched(df.withColumn("_starts", ahead), sums={"_island": F.col("_starts").cast("int")})
     df = df.withColumn("_inside", F.col("_over") | F.col("_starts"))
-    island = w.whole("id", "_island", "_inside")
     speed = F.coalesce(F.abs("head_vector_angular_speed"), F.lit(-1.0))
-    ends = lambda c: (F.min_by(c, "row").over(island), F.max_by(c, "row").over(island))
-    bend, heading = ends("bending_angle"), ends("heading_angle")
-    return df.withColumns({
-        "_start": F.min("row").over(island),
-        "_end": F.max("row").over(island),
-        "_fastest": F.max_by("row", F.struct(speed, -F.col("row"))).over(island),
-        "_tail": F.max(F.abs("tail_vector_angular_speed")).over(island),
-        "_angle": bend[1] - bend[0],
-        "_turned": F.abs(heading[0]) - F.abs(heading[1]),
-    })
+    ends = lambda c: (F.min_by(c, "row"), F.max_by(c, "row"))
+    (first_bend, last_bend), (first_heading, last_heading) = ends("bending_angle"), ends("heading_angle")
+    found = {"_start": F.min("row"), "_end": F.max("row"), "_fastest": F.max_by("row", F.struct(speed, -F.col("row"))), "_tail": F.max(F.abs("tail_vector_angular_speed"))}
+    found |= {"_b1": first_bend, "_b2": last_bend, "_h1": first_heading, "_h2": last_heading}
+    df = segments.by_group(df, ["_island"], F.col("_inside"), found)
+    turns = {"_angle": F.col("_b2") - F.col("_b1"), "_turned": F.abs("_h1") - F.abs("_h2")}
+    return df.withColumns(turns).drop("_b1", "_b2", "_h1", "_h2")
 
 
 _ISLAND = ["_over", "_starts", "_island", "_inside", "_start", "_end", "_fastest", "_tail", "_angle", "_turned"]
@@ -72,7 +69,7 @@ def with_head_casts(df: DataFrame, least_head: float = 35.0, most_tail: float =
     df = _with_islands(df, least_head)
     df = df.withColumn("_covered", (F.col("_inside") & _tail_ok(most_tail) & _size_ok(min_size, max_size)).cast("int"))
     peak = F.when((F.col("_covered") == 1) & (F.col("row") == F.col("_fastest")), F.struct("_angle", "_turned"))
-    df = df.withColumn("_peak", w.before(peak)).withColumn("_some", F.max("_covered").over(w.whole()))
+    df = segments.stitched(df.withColumn("_peak", w.before(peak)), totals={"_some": F.max("_covered")})
     df = df.withColumns({"HCs": F.col("_peak").isNotNull().cast("int"), "HC_angle": F.col("_peak")["_angle"], "HC_reorientation": F.col("_peak")["_turned"], "HC_flag": F.when(F.col("_some") == 1, F.col("_covered")).otherwise(F.col("_over").cast("int"))})
     side = lambda test: ((F.col("HC_flag") == 1) & F.coalesce(test, F.lit(False))).cast("int")
     df = df.withColumns({"HCs_left": side(F.col("head_vector_angular_speed") > 0), "HCs_right": side(F.col("head_vector_angular_speed") < 0), "Abs_HC_angle": F.abs("HC_angle")})
@@ -83,7 +80,7 @@ def with_run_flag(df: DataFrame, frame_rate: float = 16) -> DataFrame:
     """True where no head cast lies within 3 s around; null at the ends of long tracks."""
     n = round(3 * frame_rate)
     casts = ((F.col("HCs_left") == 1) | (F.col("HCs_right") == 1)).cast("int")
-    around = F.when(F.count(F.lit(1)).over(w.whole()) > n, w.centred(casts, n, F.sum)).otherwise(casts)
+    around = F.when(segments.track_rows() > n, w.centred(casts, n, F.sum)).otherwise(casts)
     return df.withColumn("run_flag", around == 0)
 
 
@@ -102,13 +99,13 @@ def _with_pairs(df: DataFrame, frame_rate: float) -> DataFrame:
     and measures), _ended (its start) on the row where it ends, and _n, the pairs of the track."""
     df = with_row(df)
     take = ["row", "frame", "run_flag", "tail_vector_x", "tail_vector_y", "heading_angle", "midpoint_distance"]
-    so_far = w.track().rowsBetween(Window.unboundedPreceding, 0)
     candidate = F.col("step_forward") | F.col("step_backward")
-    df = df.withColumns({"_total": F.sum("midpoint_speed").over(so_far), "_counted": F.count("midpoint_speed").over(so_far)})
-    df = df.withColumn("_next", F.when(candidate, w.next_where(candidate, F.struct(*take, "_total", "_counted"))))
+    df = segments.stitched(df, sums={"_total": F.coalesce("midpoint_speed", F.lit(0.0)), "_counted": F.col("midpoint_speed").isNotNull().cast("int")})
+    df = segments.stitched(df, nexts={"_next": F.when(candidate, F.struct(*take, "_total", "_counted"))})
+    df = df.withColumn("_next", F.when(candidate, w.after("_next")))
     next_, here = (lambda c: F.col("_next")[c]), F.col("midpoint_speed")
     # sums up to both ends, the first row included
-    speed = F.try_divide(F.coalesce(next_("_total"), F.lit(0.0)) - F.coalesce("_total", F.lit(0.0)) + F.coalesce(here, F.lit(0.0)), next_("_counted") - F.col("_counted") + here.isNotNull().cast("int"))
+    speed = F.try_divide(next_("_total") - F.col("_total") + F.coalesce(here, F.lit(0.0)), next_("_counted") - F.col("_counted") + here.isNotNull().cast("int"))
     pair = F.struct(
         next_("row").alias("end"),
         g.clockwise_angle(next_("tail_vector_x"), next_("tail_vector_y"), "tail_vector_x", "tail_vector_y").alias("IS_angle"),
@@ -118,8 +115,9 @@ def _with_pairs(df: DataFrame, frame_rate: float) -> DataFrame:
         speed.alias("run_speed"),
     )
     df = df.withColumn("_pair", F.when(candidate & F.col("run_flag") & next_("run_flag"), pair))
-    ended = w.last_where(candidate, F.when(F.col("_pair").isNotNull(), F.col("row")))
-    return df.withColumns({"_ended": F.when(candidate, ended), "_n": F.count("_pair").over(w.whole())}).drop("_total", "_counted", "_next")
+    before = F.when(candidate, F.struct(F.when(F.col("_pair").isNotNull(), F.col("row")).alias("row")))
+    df = segments.stitched(df, totals={"_n": F.count("_pair")}, lasts={"_ended": before})
+    return df.withColumn("_ended", F.when(candidate, w.before("_ended")["row"])).drop("_total", "_counted", "_next")
 
 
 def steps_of(df: DataFrame, frame_rate: float = 16) -> DataFrame:
@@ -141,10 +139,9 @@ def _with_minima(df: DataFrame) -> DataFrame:
     whose velocity is the second and least of three; shorter: null.
     """
     starts = F.col("_pair").isNotNull()
-    so_far = w.track().rowsBetween(Window.unboundedPreceding, 0)
-    at = F.last(F.when(starts, F.struct(F.col("row").alias("start"), F.col("_pair")["end"].alias("end"))), ignorenulls=True).over(so_far)
+    at = F.when(starts, F.struct(F.col("row").alias("start"), F.col("_pair")["end"].alias("end")))
     # a row is of the pair that started last; the end row, which may start another, ends windows that reach to it
-    df = df.withColumn("_of", at).withColumn("_of", F.when(F.col("row") < F.col("_of")["end"], F.col("_of")))
+    df = segments.stitched(df, lasts={"_of": at}).withColumn("_of", F.when(F.col("row") < F.col("_of")["end"], F.col("_of")))
     start, end, v = F.col("_of")["start"], F.col("_of")["end"], F.col("tail_vel_forward")
     df = df.withColumn("_d", w.after(v) - v)
     inner = (F.col("row") > start) & (F.col("row") < end - 1)
@@ -152,11 +149,10 @@ def _with_minima(df: DataFrame) -> DataFrame:
     five = (F.col("row") + 4 <= end) & _second_least([F.col("_s"), *[w.after("_s", k) for k in range(1, 5)]])
     three = (F.col("row") + 2 <= end) & _second_least([v, w.after(v, 1), w.after(v, 2)])
     df = df.withColumns({"_five": F.coalesce(five, F.lit(False)).cast("int"), "_three": F.coalesce(three, F.lit(False)).cast("int")})
-    df = df.withColumn("_key", start)
-    within = w.whole("id", "_key")
+    df = segments.by_group(df.withColumn("_key", start), ["_key"], F.col("_key").isNotNull(), {"_fives": F.sum("_five"), "_threes": F.sum("_three")})
     rows = end - start + 1
-    n = F.when(rows > 5, F.sum("_five").over(within)).when(rows > 2, F.sum("_three").over(within))
-    return df.withColumn("step_extr", F.when(starts, n)).drop("_of", "_d", "_s", "_five", "_three", "_key")
+    n = F.when(rows > 5, F.col("_fives")).when(rows > 2, F.col("_threes"))
+    return df.withColumn("step_extr", F.when(starts, n)).drop("_of", "_d", "_s", "_five", "_three", "_fives", "_threes", "_key")
 
 
 def _minima_class(n: Column) -> Column:
@@ -182,15 +178,13 @@ def with_steps(df: DataFrame, frame_rate: float = 16, forward: float = 0.6, back
     df = df.withColumns({c: F.col("_pair")[c] for c in measures} | {"step_boolean": F.col("_ended").isNotNull(), "minima": _minima_class(F.col("step_extr")), "gt_1min": F.col("step_extr") != 1})
     df = df.withColumn("Abs_IS_angle", F.abs("IS_angle"))
     kind = F.when(F.col("step_backward"), -1).when(F.col("step_forward"), 1)
-    so_far = w.track().rowsBetween(Window.unboundedPreceding, 0)
-    last = F.max(F.when(kind.isNotNull(), F.col("row"))).over(w.whole())
     # a pair ends on the next candidate's row, which starts a pair of its own, but for the last one
-    df = df.withColumn("_last", last).withColumn("_kind", F.when(F.col("row") < F.col("_last"), kind))
-    way = F.last("_kind", ignorenulls=True).over(so_far)
+    df = df.withColumn("_kind", kind)
+    df = segments.stitched(df, totals={"_last": F.max(F.when(F.col("_kind").isNotNull(), F.col("row"))), "_length": F.avg("spine_length")}, lasts={"_way": F.col("_kind")})
+    way = F.when(F.col("row") < F.col("_last"), F.col("_way")).otherwise(w.before("_way"))
     run = F.when(F.col("run_flag"), F.when(F.col("row") <= F.col("_last"), F.coalesce(way, F.lit(1))).otherwise(1)).otherwise(0)
-    mean_length = F.avg("spine_length").over(w.whole())
-    df = df.withColumns({"run_direction": F.when(many, run), "IS_distance_bl": F.try_divide(F.col("IS_distance"), mean_length), "run_speed_bl": F.try_divide(F.col("run_speed"), mean_length)})
-    return df.drop("_pair", "_ended", "_n", "_last", "_kind")
+    df = df.withColumns({"run_direction": F.when(many, run), "IS_distance_bl": F.try_divide(F.col("IS_distance"), F.col("_length")), "run_speed_bl": F.try_divide(F.col("run_speed"), F.col("_length"))})
+    return df.drop("_pair", "_ended", "_n", "_last", "_kind", "_way", "_length")
 
 
 def with_flanks(df: DataFrame, frame_rate: int = 16, filter_seconds: int = 5, interval_seconds: int = 5) -> DataFrame:
@@ -212,7 +206,7 @@ def with_switching_points(df: DataFrame, frame_rate: int = 16, seconds: int = 10
     less than twice the window."""
     n = frame_rate * seconds
     df = df.withColumn("_m", F.signum(w.centred("tail_vel_forward", n)))
-    long = F.count(F.lit(1)).over(w.whole()) >= 2 * n
+    long = segments.track_rows() >= 2 * n
     return df.withColumn("back_to_for", F.when(long, F.col("_m") - w.before("_m") == 2)).drop("_m")
 
 

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motiontab.functions import geometry as g
+from motiontab.functions import segments
 from motiontab.functions import windows as w
 
 #: Columns that collision and curl rows lose.
@@ -78,7 +79,7 @@ def smooth_if_long(x, seconds: float, frame_rate: float) -> Column:
     n = round(seconds * frame_rate)
     if frame_rate <= 8:
         return g.column(x)
-    return F.when(F.count(F.lit(1)).over(w.whole()) > n, w.centred(x, n)).otherwise(g.column(x))
+    return F.when(segments.track_rows() > n, w.centred(x, n)).otherwise(g.column(x))
 
 
 def with_kinematics(df: DataFrame, frame_rate: float = 16, strict_ref: bool = True) -> DataFrame:
@@ -89,14 +90,12 @@ def with_kinematics(df: DataFrame, frame_rate: float = 16, strict_ref: bool = Tr
     """
     x6, y6 = point(6, "_conv")
     step = g.distance(w.before(x6), w.before(y6), x6, y6)
-    nth = lambda c: F.nth_value(c, 5).over(w.track().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ahead = lambda k: [w.after(c) - F.col(c) for c in point(k, "_conv")]
     d12, d1, d6 = ahead(12), ahead(1), ahead(6)
     to_odor = g.over_square(F.col("odor_a_x_rot") - F.col(x6), F.col("odor_a_y_rot") - F.col(y6))
     df = df.withColumns(
         {
             "midpoint_speed": step * frame_rate,
-            "distance_to_sp": g.distance(nth(x6), nth(y6), x6, y6),
             "head_turn": angular_speed("head_vector_x", "head_vector_y", frame_rate),
             "tail_vector_angular_speed": angular_speed("tail_vector_x", "tail_vector_y", frame_rate),
             "head_vel_forward": frame_rate * (F.col("tail_vector_x") * d12[0] + F.col("tail_vector_x" if strict_ref else "tail_vector_y") * d12[1]),
@@ -109,24 +108,26 @@ def with_kinematics(df: DataFrame, frame_rate: float = 16, strict_ref: bool = Tr
             "pref": F.when(F.col(point(5, "_conv")[1]) > 0, 1).when(F.col(point(5, "_conv")[1]).isNotNull(), -1),
         }
     )
+    start = {"_x": segments.nth(F.col(x6), 5), "_y": segments.nth(F.col(y6), 5)}
+    df = segments.stitched(df, totals={"_length": F.avg("spine_length"), **start}, sums={"_gone": F.coalesce(F.col("midpoint_speed") / frame_rate, F.lit(0.0))})
     df = df.withColumns(
         {
-            "midpoint_distance": w.running_sum(F.col("midpoint_speed") / frame_rate),
+            "distance_to_sp": g.distance("_x", "_y", x6, y6),
+            "midpoint_distance": F.when(F.col("midpoint_speed").isNotNull(), F.col("_gone")),
             "head_vector_angular_speed": smooth_if_long("head_turn", 0.45, frame_rate),
             "tail_vel_forward": smooth_if_long("tail_step", 0.3, frame_rate),
             "bending_angle": smooth_if_long("bend", 0.45, frame_rate),
             "odor_orientation": F.when(F.col("bearing_angle") <= 90, "towards").when(F.col("bearing_angle").isNotNull(), "away"),
         }
-    ).drop("head_turn", "tail_step", "bend")
-    mean_length = F.avg("spine_length").over(w.whole())
+    ).drop("head_turn", "tail_step", "bend", "_x", "_y", "_gone")
     flipped = (F.abs("head_vector_angular_speed") > 180) | (F.col("tail_vector_angular_speed") > 180)
     return df.withColumns(
         {
             **{f"abs_{c}": F.abs(c) for c in ("head_vector_angular_speed", "tail_vector_angular_speed", "bending_angle", "bearing_angle", "heading_angle")},
-            **{f"{c}_bl": F.try_divide(F.col(c), mean_length) for c in ("midpoint_speed", "midpoint_distance", "head_vel_forward", "tail_vel_forward")},
+            **{f"{c}_bl": F.try_divide(F.col(c), F.col("_length")) for c in ("midpoint_speed", "midpoint_distance", "head_vel_forward", "tail_vel_forward")},
             "na_flag_flip": w.centred(flipped.cast("int"), 5, F.sum) > 0,
         }
-    )
+    ).drop("_length")
 
 
 def masked(df: DataFrame, flags: Sequence[int] = (1, 2), columns: Sequence[str] = MASKED) -> DataFrame:
@@ -137,7 +138,7 @@ def masked(df: DataFrame, flags: Sequence[int] = (1, 2), columns: Sequence[str]
 
 def long_tracks(df: DataFrame, least: float) -> DataFrame:
     """Tracks of more than ``least`` rows."""
-    return df.withColumn("_rows", F.count(F.lit(1)).over(w.whole())).where(F.col("_rows") > least).drop("_rows")
+    return df.withColumn("_long", segments.track_rows() > least).where("_long").drop("_long")
 
 
 def analysed(df: DataFrame, frame_rate: float = 16, strict_ref: bool = True, keep_points: bool = False) -> DataFrame:

@@ -1,14 +1,21 @@
 """Links between the objects of successive frames, and track ids along one-to-one links.
 
-Objects are rows (video, frame, label) with a box minx, maxx, miny, maxy, centre cx, cy and area. Every pair of
-successive frames of every video is joined at once, keyed by video and frame, so a long video spreads over tasks.
+Objects are rows (video, frame, label) with a box minx, maxx, miny, maxy, centre cx, cy and area. Boxes meet in grid cells of
+successive frames: the cells' side is the power of two next above a box's longer one, so that no box lies in more than four
+of its own cells, whatever its size, and a pair is found in one cell only. A long video and a crowded frame spread over tasks.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motiontab.functions.geometry import column
 from motiontab.operators.saving import saved
 
 
@@ -17,14 +24,57 @@ def _side(objects: DataFrame, mark: str, shift: int = 0) -> DataFrame:
     return objects.select("video", (F.col("frame") + shift).alias("frame"), *[F.col(c).alias(f"{mark}{c}") for c in names])
 
 
+def _level(x0: str, x1: str, y0: str, y1: str) -> Column:
+    """The power of two whose cells are no smaller than the box."""
+    longest = F.greatest(F.col(x1) - F.col(x0), F.col(y1) - F.col(y0), F.lit(2.0**-20))
+    return F.ceil(F.log2(longest)).cast("int")
+
+
+def _place(x: Column | str, level: Column) -> Column:
+    """The number of the cell along an axis."""
+    return F.floor(column(x) / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _in_cells(rows: DataFrame, level: Column, x0: str, x1: str, y0: str, y1: str) -> DataFrame:
+    """A row for each cell (level, gx, gy) that the box reaches."""
+    rows = rows.withColumn("level", level)
+    span = lambda a, b: F.sequence(_place(a, F.col("level")), _place(b, F.col("level")))
+    return rows.withColumn("gx", F.explode(span(x0, x1))).withColumn("gy", F.explode(span(y0, y1)))
+
+
+def _levels(*sides: DataFrame) -> list[int]:
+    """The levels that occur, about one for each doubling between the smallest and the largest box."""
+    every = sides[0].select("own")
+    for more in sides[1:]:
+        every = every.unionAll(more.select("own"))
+    return sorted(r[0] for r in every.where("own IS NOT NULL").distinct().collect())
+
+
 def box_links(objects: DataFrame, least_overlap: float = 0.1) -> DataFrame:
     """(video, frame, a, b, overlap): object a of frame - 1 and b of frame whose boxes share more than ``least_overlap``
-    of b's box."""
-    both = _side(objects, "a_", 1).join(_side(objects, "b_"), ["video", "frame"])
-    width = F.least("a_maxx", "b_maxx") - F.greatest("a_minx", "b_minx")
-    height = F.least("a_maxy", "b_maxy") - F.greatest("a_miny", "b_miny")
+    of b's box.
+
+    A pair meets at the coarser of its two levels, in the cell of the lower corner of what both share. At a level that
+    is not its own an object meets only those whose own it is, so many small boxes in a cell of a large one do not meet there.
+    """
+    box = lambda m: (f"{m}minx", f"{m}maxx", f"{m}miny", f"{m}maxy")
+    a, b = (_side(objects, m, k).where(" AND ".join(f"{c} IS NOT NULL" for c in box(m))).withColumn("own", _level(*box(m))) for m, k in (("a_", 1), ("b_", 0)))
+    levels = F.array(*map(F.lit, _levels(a, b))).cast("array<int>")
+
+    def side(rows: DataFrame, mark: str, first: str, second: str) -> DataFrame:
+        """At its own level an object meets those whose own level it is, and finer ones; at coarser levels the coarse ones."""
+        rows = rows.withColumn("_l", F.explode(F.filter(levels, lambda x: x >= F.col("own"))))
+        rows = _in_cells(rows, F.col("_l"), *box(mark))
+        ways = F.when(F.col("level") == F.col("own"), F.array(F.lit("alike"), F.lit(first))).otherwise(F.array(F.lit(second)))
+        return rows.withColumn("way", F.explode(ways)).drop("own", "_l")
+
+    keys = ["video", "frame", "level", "gx", "gy", "way"]
+    both = side(a, "a_", "coarse a", "coarse b").join(side(b, "b_", "coarse b", "coarse a"), keys)
+    left, low = F.greatest("a_minx", "b_minx"), F.greatest("a_miny", "b_miny")
+    width, height = F.least("a_maxx", "b_maxx") - left, F.least("a_maxy", "b_maxy") - low
+    one = (_place(left, F.col("level")) == F.col("gx")) & (_place(low, F.col("level")) == F.col("gy"))
     share = F.try_divide(width * height, (F.col("b_maxx") - F.col("b_minx")) * (F.col("b_maxy") - F.col("b_miny")))
-    both = both.where((width > 0) & (height > 0)).withColumn("overlap", share).where(F.col("overlap") > least_overlap)
+    both = both.where((width > 0) & (height > 0) & one).withColumn("overlap", share).where(F.col("overlap") > least_overlap)
     return both.select("video", "frame", F.col("a_label").alias("a"), F.col("b_label").alias("b"), "overlap")
 
 
@@ -37,10 +87,18 @@ def pixel_links(pixels: DataFrame, least_overlap: float = 0.1) -> DataFrame:
 
 
 def neighbours(objects: DataFrame, pad: float = 0.75) -> DataFrame:
-    """(video, frame, a, b, rank): objects b of frame - 1 with centres in a's box padded by pad times its longer side."""
-    both = _side(objects, "a_").join(_side(objects, "b_", 1), ["video", "frame"])
+    """(video, frame, a, b, rank): objects b of frame - 1 with centres in a's box padded by pad times its longer side.
+
+    A padded box lies in at most four cells of its own level; a centre lies in one cell of each level there is.
+    """
+    a, b = _side(objects, "a_"), _side(objects, "b_", 1)
     more = pad * F.greatest(F.col("a_maxx") - F.col("a_minx"), F.col("a_maxy") - F.col("a_miny"))
-    near = F.col("b_cx").between(F.col("a_minx") - more, F.col("a_maxx") + more) & F.col("b_cy").between(F.col("a_miny") - more, F.col("a_maxy") + more)
+    a = a.withColumns({"x0": F.col("a_minx") - more, "x1": F.col("a_maxx") + more, "y0": F.col("a_miny") - more, "y1": F.col("a_maxy") + more})
+    a = a.where("x0 IS NOT NULL AND x1 >= x0 AND y0 IS NOT NULL AND y1 >= y0").withColumn("own", _level("x0", "x1", "y0", "y1"))
+    levels = F.explode(F.array(*map(F.lit, _levels(a))).cast("array<int>"))
+    b = b.where("b_cx IS NOT NULL AND b_cy IS NOT NULL").withColumn("_l", levels)
+    both = _in_cells(a, F.col("own"), "x0", "x1", "y0", "y1").join(_in_cells(b, F.col("_l"), "b_cx", "b_cx", "b_cy", "b_cy"), ["video", "frame", "level", "gx", "gy"])
+    near = F.col("b_cx").between(F.col("x0"), F.col("x1")) & F.col("b_cy").between(F.col("y0"), F.col("y1"))
     d = F.abs(F.col("a_cx") - F.col("b_cx")) + F.abs(F.col("a_cy") - F.col("b_cy"))
     rank = F.row_number().over(Window.partitionBy("video", "frame", "a_label").orderBy(d, "b_label"))
     return both.where(near).select("video", "frame", F.col("a_label").alias("a"), F.col("b_label").alias("b"), rank.alias("rank"))
@@ -109,29 +167,93 @@ def size_match(a: Column, b: Column, tolerance: float = 0.3) -> Column:
     return (b > (1 - tolerance) * a) & (b < (1 + tolerance) * a)
 
 
-def best_pairing(candidates: DataFrame, most: int = 6) -> DataFrame:
-    """The one-to-one pairing of each (video, frame) with the most pairs and, of these, the least sum d / (1 + (k - 1) 1.5).
+def least_pairs(edges: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+    """The most pairs (i, j) of a bipartite graph with the least sum, by successive shortest augmenting paths.
 
-    candidates: feasible (video, frame, a, b, d). Pairings of k pairs are self-joins of the table. Their number grows with the
-    factorial of the smaller side, so a frame with more than ``most`` rows on both sides is an error.
+    Each path goes from the unpaired left nodes to the nearest unpaired right one; potentials keep the costs along it from being negative,
+    so after k paths the pairs are the cheapest k.
+    """
+    out: dict[int, list[tuple[int, float]]] = {}
+    low = min(edges.values(), default=0.0)
+    for (i, j), d in sorted(edges.items()):
+        out.setdefault(i, []).append((j, d - low))  # the same shift for each pair
+    left: dict[int, int] = {}  # i -> j
+    right: dict[int, int] = {}  # j -> i
+    pi, pj = dict.fromkeys(out, 0.0), dict.fromkeys((j for _, j in edges), 0.0)
+    while True:
+        far: dict[int, float] = {}
+        come: dict[int, int] = {}
+        heap = [(0.0, i) for i in out if i not in left]
+        start = dict.fromkeys((i for _, i in heap), 0.0)
+        done: set[int] = set()
+        found, total = None, 0.0
+        heapq.heapify(heap)
+        while heap:
+            d, i = heapq.heappop(heap)
+            if i < 0:  # a right node, as -1 - j
+                j = -1 - i
+                if j in done:
+                    continue
+                done.add(j)
+                if j not in right:
+                    found, total = j, d
+                    break
+                i = right[j]
+                start[i] = d
+            for j, cost in out[i]:
+                if left.get(i) != j and j not in done:
+                    further = d + cost + pi[i] - pj[j]
+                    if further < far.get(j, math.inf):
+                        far[j], come[j] = further, i
+                        heapq.heappush(heap, (further, -1 - j))
+        if found is None:
+            return sorted(left.items())
+        for i, d in start.items():
+            pi[i] += min(d, total) - total
+        for j in done:
+            pj[j] += far[j] - total
+        j: int | None = found
+        while j is not None:
+            i = right[j] = come[j]
+            before = left.get(i)
+            left[i], j = j, before
+
+
+def best_pairing(candidates: DataFrame) -> DataFrame:
+    """The one-to-one pairing of each (video, frame) with the most pairs and, of these, the least sum of d, which is also the
+    least sum d / (1 + (k - 1) 1.5) of k pairs.
+
+    candidates: feasible (video, frame, a, b, d); rows with a null are left out, of a repeated pair the nearest counts. Frames of
+    any size are paired in one pass; a task holds one frame at a time.
     """
-    one = candidates.select("video", "frame", F.struct("a", "b", "d").alias("p"))
-    sides = candidates.groupBy("video", "frame").agg(F.least(F.countDistinct("a"), F.countDistinct("b")).alias("k"))
-    largest = sides.agg(F.max("k")).first()[0] or 0
-    if largest > most:
-        raise ValueError(f"a frame has {largest} candidates on both sides; pairings are tried up to {most}")
-    sets = one.select("video", "frame", F.array("p").alias("ps"))
-    every = sets
-    for _ in range(largest - 1):
-        more = sets.join(one, ["video", "frame"]).where("element_at(ps, -1).a < p.a AND NOT exists(ps, q -> q.b = p.b)")
-        sets = more.select("video", "frame", F.concat("ps", F.array("p")).alias("ps"))
-        every = every.unionAll(sets)
-    k = F.size("ps")
-    cost = F.aggregate("ps", F.lit(0.0), lambda s, p: s + p["d"]) / (1 + (k - 1) * 1.5)
-    # as many pairs as can be made, then the least cost
-    top = F.row_number().over(Window.partitionBy("video", "frame").orderBy(F.desc(k), cost, "ps"))
-    best = every.withColumn("_r", top).where("_r = 1")
-    return best.select("video", "frame", F.explode("ps").alias("p")).select("video", "frame", "p.a", "p.b", "p.d")
+    names = ["video", "frame", "a", "b", "d"]
+    rows = candidates.select(*names[:4], F.col("d").cast("double").alias("d")).dropna()
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame, held, kinds = None, [], None
+
+        def pairs() -> list[tuple]:
+            a, b = (sorted({r[k] for r in held}) for k in (2, 3))
+            at_a, at_b = ({x: k for k, x in enumerate(s)} for s in (a, b))
+            edges: dict[tuple[int, int], float] = {}
+            for r in held:
+                key = (at_a[r[2]], at_b[r[3]])
+                edges[key] = min(r[4], edges.get(key, math.inf))
+            return [(*frame, a[i], b[j], edges[i, j]) for i, j in least_pairs(edges)]
+
+        for batch in batches:
+            kinds, out = batch.schema, []
+            for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if r[:2] != frame:
+                    out += pairs() if held else []
+                    frame, held = r[:2], []
+                held.append(r)
+            if out:
+                yield pa.record_batch([pa.array(c, kinds.field(n).type) for n, c in zip(names, zip(*out, strict=True), strict=True)], names)
+        if held:
+            yield pa.record_batch([pa.array(c, kinds.field(n).type) for n, c in zip(names, zip(*pairs(), strict=True), strict=True)], names)
+
+    return rows.repartition("video", "frame").sortWithinPartitions("video", "frame").mapInArrow(paired, rows.schema)
 
 
 def rim_guarded(classed: DataFrame, objects: DataFrame, pixel_overlaps: DataFrame, radius: float, centre: tuple[float, float] = (0.0, 0.0), gap: float = 0.3, share: float = 0.95) -> DataFrame:

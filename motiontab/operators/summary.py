@@ -13,7 +13,7 @@ SIGNED = ("bending_angle", "bearing_angle", "heading_angle", "head_vector_angula
 NORMALISED = ("midpoint_speed", "head_vel_forward", "tail_vel_forward")
 ACCELERATED = ("midpoint_speed", "head_vel_forward", "tail_vel_forward", "head_vector_angular_speed", "tail_vector_angular_speed")
 SHAPE = ("area", "grey", "spine_length", "width", "perimeter")
-STEPS = ("IS_angle", "Abs_IS_angle", "IS_interval", "IS_distance", "run_speed")
+STEPS = ("IS_angle", "Abs_IS_angle", "IS_reorientation", "IS_interval", "IS_distance", "IS_distance_bl", "run_speed")
 
 
 def keys_of(by: str) -> list[str]:
@@ -62,9 +62,9 @@ def pair(name: str, c: Column) -> list[Column]:
     return [F.avg(c).alias(f"{name}_mean"), F.var_samp(c).alias(f"{name}_var")]
 
 
-def time_series(df: DataFrame, by: str) -> tuple[DataFrame, list[Column]]:
+def time_series(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[Column]]:
     """The table with differences of successive rows of a key, and the aggregates over it."""
-    order = Window.partitionBy(*keys_of(by)).orderBy("id", "frame")
+    order = Window.partitionBy(*keys).orderBy("id", "frame")
     df = df.withColumns({f"_d_{c}": F.lead(c).over(order) - F.col(c) for c in ACCELERATED if c in df.columns})
     out = [a for c in SIGNED if c in df.columns for a in pair(c, F.col(c))]
     out += [a for c in SIGNED[:5] if c in df.columns for a in pair(f"abs_{c}", F.abs(c))]
@@ -73,7 +73,10 @@ def time_series(df: DataFrame, by: str) -> tuple[DataFrame, list[Column]]:
     for c in NORMALISED:
         out += [F.try_divide(F.avg(c), mean).alias(f"{c}_bl_mean"), F.try_divide(F.var_samp(c), mean * mean).alias(f"{c}_bl_var")]
     # null if any row of the key lacks it
-    out.append(F.when(F.count("midpoint_distance") == F.count(F.lit(1)), F.max("midpoint_distance")).alias("midpoint_distance_max"))
+    far = F.when(F.count("midpoint_distance") == F.count(F.lit(1)), F.max("midpoint_distance"))
+    out += [far.alias("midpoint_distance_max"), F.try_divide(far, mean).alias("midpoint_distance_bl_max")]
+    if "distance_to_sp" in df.columns:
+        out += [F.avg("distance_to_sp").alias("distance_to_sp_mean"), F.max("distance_to_sp").alias("distance_to_sp_max")]
     return df, out
 
 
@@ -101,15 +104,19 @@ def head_casts(sizes: Sequence[float] = (20, 360)) -> list[Column]:
 
 
 def runs() -> list[Column]:
+    """Step measures over the rows where steps end."""
     step = lambda c: F.when(F.col("step_boolean"), F.col(c))
     side = lambda s: F.avg(F.when(F.col("step_boolean") & (F.col("odor_orientation") == s), F.col("run_speed")))
-    more = F.when(F.col("step_boolean"), F.col("gt_1min").cast("int"))
+    more = F.coalesce(F.sum(F.when(F.col("step_boolean"), F.col("gt_1min").cast("int"))), F.lit(0))
+    length = F.avg(step("spine_length"))
     return [
         *[a for c in STEPS for a in pair(c, step(c))],
-        F.try_divide(F.avg(step("run_speed")), F.avg(step("spine_length"))).alias("run_speed_bl_mean"),
+        F.try_divide(F.avg(step("run_speed")), length).alias("run_speed_bl_mean"),
+        F.try_divide(F.var_samp(step("run_speed")), length * length).alias("run_speed_bl_var"),
         F.try_divide(side("towards") - side("away"), side("towards") + side("away")).alias("run_speed_modulation"),
         F.avg(step("step_extr")).alias("step_extr_mean"),
-        (1 - F.try_divide(F.sum(more), F.count(more))).alias("one_minimum_share"),
+        # of all steps, also those whose minima are not known
+        (1 - F.try_divide(more, F.count_if(F.col("step_boolean")))).alias("one_minimum_share"),
     ]
 
 
@@ -140,7 +147,7 @@ def summarised(df: DataFrame, by: str = "id", threshold: float = 90, frame_rate:
         df = accepted(df, threshold, frame_rate)
     universe = df.select(*keys).distinct()
     rows = filtered(df, frame_rate=frame_rate, **intervals)
-    rows, series = time_series(rows, by)
+    rows, series = time_series(rows, keys)
     out = rows.groupBy(*keys).agg(*series, *track_shape(frame_rate), *head_casts(sizes), *runs(), *preference(radius))
     out = universe.join(out, keys, "left").join(distance_gained(df, by), keys, "left")
     return out.fillna(0, ["HCs", "HCs_towards", "HCs_away", "HC_rate"])
@@ -168,16 +175,27 @@ def end_points(df: DataFrame, ids: Sequence[int] | None = None) -> DataFrame:
     return known.groupBy("id").agg(last.alias("p")).select("id", "p.x", "p.y")
 
 
+PER_STEP = ("group", "condition", "group_condition", "trial", "id")
+
+
 def per_step(df: DataFrame) -> DataFrame:
-    """Mean velocity per step: rows keyed by the number of steps so far."""
+    """A row per animal and number of steps so far (step_count): n rows, all time-series measures over them, and the step
+    measures of the row where the step ends. is_silly_step: that step has more than one minimum; null before the first."""
     count = F.sum(F.col("step_boolean").cast("int")).over(Window.partitionBy("id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("step_count", count).groupBy("id", "group_condition", "step_count").agg(F.count("*").alias("n"), F.avg("tail_vel_forward").alias("tail_vel_forward_mean"), F.max("run_speed").alias("run_speed"))
+    keys = [*PER_STEP, "step_count"]
+    rows, series = time_series(df.withColumn("step_count", count), keys)
+    ends = F.col("step_boolean")
+    silly = F.when(F.count_if(ends) > 0, F.coalesce(F.sum(F.when(ends, F.col("step_extr"))), F.lit(0)) > 1)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *series, *runs(), silly.alias("is_silly_step"))
 
 
 def per_minima_class(df: DataFrame) -> DataFrame:
-    """Step measures by class of minima, completed to every (id, class)."""
+    """A row per animal and class of minima (0, 1, 2, >2, and null for rows where no step starts), completed to every pair with n = 0:
+    n rows, all time-series measures over them, and the step measures over those of them where a step ends."""
     kind = F.when(F.col("step_extr") > 2, ">2").otherwise(F.col("step_extr").cast("string"))
-    rows = df.where("step_boolean").withColumn("minima", kind).where("minima IS NOT NULL")
-    found = rows.groupBy("id", "minima").agg(F.count("*").alias("n"), F.avg("run_speed").alias("run_speed_mean"))
-    every = df.select("id").distinct().crossJoin(F.broadcast(rows.select("minima").distinct()))  # 0, 1, 2 and >2
-    return every.join(found, ["id", "minima"], "left").fillna(0, ["n"])
+    rows, series = time_series(df.withColumn("minima", kind), [*PER_STEP, "minima"])
+    found = rows.groupBy(*PER_STEP, "minima").agg(F.count("*").alias("n"), *series, *runs())
+    classes = F.broadcast(rows.select(F.col("minima").alias("_minima")).distinct())  # five at most
+    every = df.select(F.col("id").alias("_id")).distinct().crossJoin(classes)
+    out = every.join(found, (F.col("id") == F.col("_id")) & F.col("minima").eqNullSafe(F.col("_minima")), "left")
+    return out.drop("id", "minima").withColumnsRenamed({"_id": "id", "_minima": "minima"}).fillna(0, ["n"])

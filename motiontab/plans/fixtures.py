@@ -54,6 +54,7 @@ def measures_sql(q: str = '"') -> str:
         "tail_vel_forward_bl": some(31, num("abs(c * 9) % 65 - 32", 16)),
         "spine_length": num("2 + abs(c) % 3"),
         "distance_to_odor": some(11, num("abs(c * 17) % 128", 4)),
+        "distance_to_sp": some(47, num("abs(c * 37) % 96", 4)),
         "odor_speed": some(37, num("abs(c * 19) % 33 - 16", 8)),
         "spinepoint_y_6_conv": some(41, num("abs(c * 23) % 81 - 40", 4)),
         "HCs": "CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END",
@@ -61,12 +62,15 @@ def measures_sql(q: str = '"') -> str:
         "HC_reorientation": f"CASE WHEN event_id % 7 = 0 THEN {num('abs(c * 29) % 91 - 45')} END",
         "run_flag": "CASE WHEN event_id % 43 = 0 THEN NULL ELSE event_id % 7 <> 1 END",
         "run_direction": "CASE WHEN event_id % 43 = 0 THEN NULL ELSE CAST(abs(c) % 3 - 1 AS INT) END",
-        "step_boolean": "event_id % 5 = 0",
+        # where steps end, which is apart from the rows with their measures
+        "step_boolean": "event_id % 5 = 0 AND event_id % 3 <> 1 OR event_id % 5 = 2",
         "IS_angle": f"CASE WHEN event_id % 5 = 0 THEN {num('abs(c * 7) % 91 - 45')} END",
         "IS_interval": f"CASE WHEN event_id % 5 = 0 THEN {num('1 + abs(c) % 16', 16)} END",
         "IS_distance": f"CASE WHEN event_id % 5 = 0 THEN {num('abs(c) % 32', 16)} END",
         "run_speed": f"CASE WHEN event_id % 5 = 0 THEN {num('abs(c) % 48', 32)} END",
-        "step_extr": "CASE WHEN event_id % 5 = 0 THEN CAST(abs(c) % 4 AS INT) END",
+        "IS_reorientation": f"CASE WHEN event_id % 5 = 0 THEN {num('abs(c * 3) % 77 - 38')} END",
+        "pref": some(43, "CASE WHEN abs(c * 31) % 5 < 3 THEN 1 ELSE -1 END"),
+        "step_extr": "CASE WHEN event_id % 5 = 0 AND event_id % 4 <> 3 THEN CAST(abs(c) % 4 AS INT) END",
         "flanks": "CASE WHEN event_id % 97 = 0 THEN 1 WHEN event_id % 89 = 0 THEN -1 ELSE 0 END",
         "collision_flag": "CASE WHEN event_id % 101 = 0 THEN 1 WHEN event_id % 103 = 0 THEN 2 ELSE 0 END",
         "area": num("100 + abs(c) % 50"),
@@ -76,7 +80,8 @@ def measures_sql(q: str = '"') -> str:
     }
     listed = ",\n".join(f"{v} AS {k}" for k, v in columns.items())
     more = """CASE WHEN bearing_angle <= 90 THEN 'towards' WHEN bearing_angle IS NOT NULL THEN 'away' END AS odor_orientation,
-        abs(bearing_angle) AS abs_bearing_angle, abs(HC_angle) AS Abs_HC_angle, step_extr <> 1 AS gt_1min, abs(IS_angle) AS Abs_IS_angle"""
+        abs(bearing_angle) AS abs_bearing_angle, abs(HC_angle) AS Abs_HC_angle, step_extr <> 1 AS gt_1min, abs(IS_angle) AS Abs_IS_angle,
+        IS_distance / spine_length AS IS_distance_bl, run_speed / spine_length AS run_speed_bl"""
     return f"""{_E},
 m0 AS (SELECT id, frame, event_id, {_NAMES.format(q=q)}, {listed} FROM e),
 measures AS (SELECT *, concat({q}group{q}, '-', condition) AS group_condition, {more} FROM m0)"""

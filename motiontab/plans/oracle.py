@@ -59,3 +59,27 @@ kin AS (SELECT *, tv AS tail_vector_angular_speed, {mean('hv', 7)} AS head_vecto
 def rounded(*columns: str, digits: int = 6) -> str:
     """Rounded columns, minus zero as zero."""
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
+
+
+#: The 0.975 quantiles of Student's t with 1 to 30 degrees of freedom, and of the normal distribution: fixed values.
+T_975 = (
+    12.7062047362, 4.3026527297, 3.1824463053, 2.7764451052, 2.5705818356, 2.4469118511, 2.3646242516, 2.3060041352, 2.2621571628, 2.228138852,
+    2.2009851601, 2.1788128297, 2.1603686565, 2.1447866879, 2.1314495456, 2.1199052992, 2.1098155778, 2.1009220402, 2.0930240544, 2.0859634473,
+    2.0796138447, 2.0738730679, 2.0686576104, 2.0638985616, 2.0595385528, 2.0555294386, 2.0518305165, 2.0484071418, 2.0452296421, 2.0422724563,
+)
+NORMAL_975 = 1.959963984540054
+
+
+def t_quantile(n: str) -> str:
+    """The 0.975 quantile for n - 1 degrees of freedom: from the table, beyond it by the expansion around the normal one."""
+    z, v = NORMAL_975, f"CAST(greatest({n} - 1, 1) AS DOUBLE)"
+    terms = [z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    terms.append((79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    expanded = " + ".join(f"{t!r} / power({v}, {k})" for k, t in enumerate(terms))
+    return f"CASE WHEN {n} < 2 THEN NULL WHEN {n} <= 31 THEN {list(T_975)}[CAST({n} - 1 AS INT)] ELSE {expanded} END"
+
+
+def limits(name: str, x: str, by: str = "1.0") -> str:
+    """name_mean, name_lowCI and name_hiCI of an expression, over another aggregate."""
+    half = f"{t_quantile(f'count({x})')} * stddev_samp({x}) / sqrt(count({x}))"
+    return ", ".join(f"round({value}, 5) + 0.0 AS {name}_{c}" for c, value in (("mean", f"avg({x}) / {by}"), ("lowCI", f"(avg({x}) - {half}) / {by}"), ("hiCI", f"(avg({x}) + {half}) / {by}")))

@@ -11,7 +11,7 @@ from motiontab.functions import geometry as g
 from motiontab.functions import windows as w
 from motiontab.operators import binning, events, kinematics, stats, summary
 from motiontab.plans.fixtures import frames, frames_sql, measures, measures_sql
-from motiontab.plans.oracle import angle, kinematics_ctes, mean, rounded
+from motiontab.plans.oracle import angle, kinematics_ctes, limits, mean, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,6 +107,11 @@ def _(spark, d):
     return measures(spark, d).select("id", "frame", w.centred_median("tail_vel_forward", 9).alias("m"))
 
 
+@query("c05_long_rolling_median", f"{MEASURES} SELECT id, frame, CASE WHEN count(tail_vel_forward_bl) OVER w = 80 THEN median(tail_vel_forward_bl) OVER w END AS m FROM (SELECT id, frame, coalesce(tail_vel_forward_bl, 0) AS tail_vel_forward_bl FROM measures) WINDOW w AS (PARTITION BY id ORDER BY frame ROWS BETWEEN 39 PRECEDING AND 40 FOLLOWING)")
+def _(spark, d):
+    return measures(spark, d).select("id", "frame", w.centred_median(F.coalesce("tail_vel_forward_bl", F.lit(0.0)), 80).alias("m"))
+
+
 def _tracked(name: str, *columns: str, digits: int = 7) -> None:
     masked = ", ".join(f"CASE WHEN NOT {MASK} THEN {c} END AS {c}" for c in columns)
 
@@ -254,16 +259,16 @@ def _(spark, d):
 
 
 @query("d31_per_step", f"""{MEASURES}, x AS (SELECT *, sum(CAST(step_boolean AS INT)) OVER (PARTITION BY id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS step_count FROM measures)
-SELECT id, group_condition, CAST(step_count AS BIGINT) AS step_count, count(*) AS n, round(avg(tail_vel_forward), 6) + 0.0 AS tail_vel_forward_mean, max(run_speed) AS run_speed FROM x GROUP BY ALL""")
+SELECT id, group_condition, CAST(step_count AS BIGINT) AS step_count, count(*) AS n, round(avg(tail_vel_forward), 6) + 0.0 AS tail_vel_forward_mean, round(avg(CASE WHEN step_boolean THEN run_speed END), 6) AS run_speed_mean FROM x GROUP BY ALL""")
 def _(spark, d):
-    return rnd(summary.per_step(measures(spark, d)))
+    return rnd(summary.per_step(measures(spark, d)).select("id", "group_condition", "step_count", "n", "tail_vel_forward_mean", "run_speed_mean"))
 
 
-@query("d32_minima_classes", f"""{MEASURES}, s AS (SELECT id, CASE WHEN step_extr > 2 THEN '>2' ELSE CAST(step_extr AS VARCHAR) END AS minima, run_speed FROM measures WHERE step_boolean AND step_extr IS NOT NULL),
-ev AS (SELECT * FROM (SELECT DISTINCT id FROM measures) CROSS JOIN (SELECT DISTINCT minima FROM s))
-SELECT ev.id, ev.minima, count(s.minima) AS n, round(avg(run_speed), 6) AS run_speed_mean FROM ev LEFT JOIN s ON s.id = ev.id AND s.minima = ev.minima GROUP BY ALL""")
+@query("d32_minima_classes", f"""{MEASURES}, c AS (SELECT *, CASE WHEN step_extr > 2 THEN '>2' ELSE CAST(step_extr AS VARCHAR) END AS minima FROM measures),
+ev AS (SELECT * FROM (SELECT DISTINCT id FROM measures) CROSS JOIN (SELECT DISTINCT minima FROM c))
+SELECT ev.id, ev.minima, count(c.id) AS n, round(avg(CASE WHEN step_boolean THEN run_speed END), 6) AS run_speed_mean FROM ev LEFT JOIN c ON c.id = ev.id AND c.minima IS NOT DISTINCT FROM ev.minima GROUP BY ALL""")
 def _(spark, d):
-    return rnd(summary.per_minima_class(measures(spark, d)))
+    return rnd(summary.per_minima_class(measures(spark, d)).select("id", "minima", "n", "run_speed_mean"))
 
 
 # binning
@@ -278,16 +283,16 @@ def _(spark, d):
 
 
 @query("d17_binned_series", f"""{_BINS} SELECT group_condition, bin, round(avg(midpoint_speed), 6) AS midpoint_speed_mean, round(avg(abs(bearing_angle)), 6) AS abs_bearing_angle_mean, count(*) AS "N",
-round(sum(CASE WHEN Abs_HC_angle IS NULL OR Abs_HC_angle BETWEEN 20 AND 360 THEN HCs END) / count(*)::DOUBLE, 6) AS HC_rate, round(avg(CASE WHEN step_boolean THEN run_speed END), 6) AS run_speed_mean FROM b GROUP BY ALL""")
+round(sum(CASE WHEN Abs_HC_angle IS NULL OR Abs_HC_angle BETWEEN 20 AND 360 THEN HCs END) / count(*)::DOUBLE, 6) AS HC_rate, round(avg(run_speed), 6) AS run_speed_mean FROM b GROUP BY ALL""")
 def _(spark, d):
     t = binning.binned_table(binning.binned(measures(spark, d), "frame", 10))
     return rnd(t.select("group_condition", "bin", "midpoint_speed_mean", "abs_bearing_angle_mean", "N", "HC_rate", "run_speed_mean"))
 
 
-@query("d16_confidence_limits")
+@query("d16_confidence_limits", f"{_BINS} SELECT group_condition, bin, {limits('midpoint_speed', 'midpoint_speed')} FROM b GROUP BY ALL")
 def _(spark, d):
     t = binning.binned_table(binning.binned(measures(spark, d), "frame", 10), ["ts"])
-    return rnd(t.select("group_condition", "bin", "midpoint_speed_mean", "midpoint_speed_lowCI", "midpoint_speed_hiCI"))
+    return rnd(t.select("group_condition", "bin", "midpoint_speed_mean", "midpoint_speed_lowCI", "midpoint_speed_hiCI"), digits=5)
 
 
 @query("d22_binned_by_animal", f"""{_BINS}, u AS (SELECT group_condition, bin, id, avg(midpoint_speed) AS v FROM b GROUP BY ALL)

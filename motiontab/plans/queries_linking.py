@@ -80,7 +80,7 @@ def _(spark, d):
     return linking.most_at_once(lives)
 
 
-@query("h10_best_pairing", """WITH c AS (SELECT 'v' AS video, o_orderkey % 500 AS frame, o_custkey % 3 AS a, o_orderkey % 7 % 3 AS b, min(o_totalprice) AS d FROM orders GROUP BY ALL),
+@query("h10_best_pairing", """WITH c AS (SELECT 'v' AS video, o_orderkey // 40 AS frame, o_custkey % 3 AS a, o_orderkey % 7 % 3 AS b, min(o_totalprice) AS d FROM orders GROUP BY ALL),
 s AS (SELECT video, frame, [struct_pack(a := a, b := b, d := d)] AS ps FROM c UNION ALL
       SELECT x.video, x.frame, [struct_pack(a := x.a, b := x.b, d := x.d), struct_pack(a := y.a, b := y.b, d := y.d)] FROM c x JOIN c y USING (video, frame) WHERE x.a < y.a AND x.b <> y.b UNION ALL
       SELECT x.video, x.frame, [struct_pack(a := x.a, b := x.b, d := x.d), struct_pack(a := y.a, b := y.b, d := y.d), struct_pack(a := z.a, b := z.b, d := z.d)]
@@ -89,7 +89,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY video, frame ORDER BY len(ps) DE
 u AS (SELECT video, frame, unnest(ps) AS p FROM r WHERE r = 1) SELECT video, frame, p.a AS a, p.b AS b, p.d AS d FROM u""")
 def _(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
-    c = o.select(F.lit("v").alias("video"), (F.col("o_orderkey") % 500).alias("frame"), (F.col("o_custkey") % 3).alias("a"), (F.col("o_orderkey") % 7 % 3).alias("b"), F.col("o_totalprice").alias("d"))
+    c = o.select(F.lit("v").alias("video"), F.expr("o_orderkey div 40").alias("frame"), (F.col("o_custkey") % 3).alias("a"), (F.col("o_orderkey") % 7 % 3).alias("b"), F.col("o_totalprice").alias("d"))
     return linking.best_pairing(c.groupBy("video", "frame", "a", "b").agg(F.min("d").alias("d")))
 
 

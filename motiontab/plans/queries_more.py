@@ -128,6 +128,17 @@ def _(spark, d):
     return events.with_flanks(measures(spark, d).drop("flanks"), 2, 4, 2).select("id", "frame", "flanks")
 
 
+_LONG = _FLANKS.replace("= 8 ", "= 80 ").replace("3 PRECEDING AND 4 FOLLOWING", "39 PRECEDING AND 40 FOLLOWING").replace("BETWEEN 4 PRECEDING AND 1 PRECEDING", "BETWEEN 80 PRECEDING AND 1 PRECEDING").replace("1 FOLLOWING AND 4 FOLLOWING", "1 FOLLOWING AND 80 FOLLOWING")
+# long stretches of either direction, so that windows of five seconds turn
+_SLOW = "tail_vel_forward_bl FROM (SELECT id, frame, CASE WHEN frame // 300 % 2 = 0 THEN 0.5 ELSE -0.5 END + frame % 7 / 64.0 AS tail_vel_forward_bl FROM measures)"
+
+
+@query("c32_long_flanks", f"{_LONG.replace('AS v FROM measures', 'AS v FROM slow').replace(', a AS', f', slow AS (SELECT id, frame, {_SLOW}), a AS', 1)} SELECT id, frame, CASE WHEN d IN (-1, -2) AND p0 >= 0 AND n1 = -1 AND k = 80 THEN -1 WHEN d IN (1, 2) AND p1 <= 0 AND n0 = 1 AND k = 80 THEN 1 ELSE 0 END AS flanks FROM h")
+def _(spark, d):
+    m = measures(spark, d).drop("flanks").withColumn("tail_vel_forward_bl", F.when(F.expr("frame div 300 % 2 = 0"), 0.5).otherwise(-0.5) + F.col("frame") % 7 / 64.0)
+    return events.with_flanks(m).select("id", "frame", "flanks")
+
+
 @query("c33_switching_points", f"{MEASURES}, m AS (SELECT id, frame, count(*) OVER (PARTITION BY id) AS n, sign({mean('tail_vel_forward', 8)}) AS s FROM measures) SELECT id, frame, CASE WHEN n >= 16 THEN s - lag(s) OVER (PARTITION BY id ORDER BY frame) = 2 END AS back_to_for FROM m")
 def _(spark, d):
     return events.with_switching_points(measures(spark, d), 4, 2).select("id", "frame", "back_to_for")
@@ -141,12 +152,11 @@ def _(spark, d):
     return summary.selectable_tracks(measures(spark, d).withColumn("name", F.concat(F.lit("larva_"), "id")), 3)
 
 
-_SUMS = """round(avg(midpoint_speed), 6) AS midpoint_speed_mean, round(avg(CASE WHEN step_boolean THEN IS_interval END), 6) AS IS_interval_mean, round(avg(CASE WHEN Abs_HC_angle IS NULL OR Abs_HC_angle BETWEEN 20 AND 360 THEN HC_reorientation END), 6) + 0.0 AS HC_reorientation_mean,
-round((avg(CASE WHEN step_boolean AND odor_orientation = 'towards' THEN run_speed END) - avg(CASE WHEN step_boolean AND odor_orientation = 'away' THEN run_speed END)) / nullif(avg(CASE WHEN step_boolean AND odor_orientation = 'towards' THEN run_speed END) + avg(CASE WHEN step_boolean AND odor_orientation = 'away' THEN run_speed END), 0), 6) + 0.0 AS run_speed_modulation,
-round((count(CASE WHEN spinepoint_y_6_conv > 0 THEN 1 END) - count(CASE WHEN spinepoint_y_6_conv < 0 THEN 1 END)) / count(*)::DOUBLE, 6) + 0.0 AS preference,
-round(-(2 * avg(distance_to_odor) / 85.0 - 1), 6) + 0.0 AS preference_distance, round(avg(odor_speed), 6) + 0.0 AS odor_speed_mean"""
+_SUMS = """round(avg(midpoint_speed), 6) AS midpoint_speed_mean, round(avg(IS_interval), 6) AS IS_interval_mean, round(avg(CASE WHEN Abs_HC_angle IS NULL OR Abs_HC_angle BETWEEN 20 AND 360 THEN HC_reorientation END), 6) + 0.0 AS HC_reorientation_mean,
+round((avg(CASE WHEN odor_orientation = 'towards' THEN run_speed END) - avg(CASE WHEN odor_orientation = 'away' THEN run_speed END)) / nullif(avg(CASE WHEN odor_orientation = 'towards' THEN run_speed END) + avg(CASE WHEN odor_orientation = 'away' THEN run_speed END), 0), 6) + 0.0 AS run_speed_modulation,
+round(avg(pref), 6) + 0.0 AS preference, round(-(2 * avg(distance_to_odor) / 85.0 - 1), 6) + 0.0 AS preference_distance_mean, round(avg(odor_speed), 6) + 0.0 AS odor_speed_mean"""
 _WHERE = "frame BETWEEN 16 AND 6400 AND distance_to_odor BETWEEN 2 AND 30 AND abs(bearing_angle) BETWEEN 10 AND 170 AND run_direction IN (1, -1)"
-_KEPT = ["midpoint_speed_mean", "IS_interval_mean", "HC_reorientation_mean", "run_speed_modulation", "preference", "preference_distance", "odor_speed_mean"]
+_KEPT = ["midpoint_speed_mean", "IS_interval_mean", "HC_reorientation_mean", "run_speed_modulation", "preference", "preference_distance_mean", "odor_speed_mean"]
 
 
 @query("d23_filtered_bins", f"{_BINS.replace('FROM measures), z', f'FROM measures WHERE {_WHERE}), z').replace('z AS (SELECT min(frame)::DOUBLE AS lo, max(frame)::DOUBLE AS hi FROM measures)', f'r AS (SELECT * FROM measures WHERE {_WHERE}), z AS (SELECT min(frame)::DOUBLE AS lo, max(frame)::DOUBLE AS hi FROM r)').replace('FROM measures m, z', 'FROM r m, z')} SELECT group_condition, bin, {_SUMS} FROM b GROUP BY ALL")
@@ -155,7 +165,7 @@ def _(spark, d):
     return rnd(t.select("group_condition", "bin", *_KEPT))
 
 
-@query("d24_filtered_bins_by_trial", f"""{_BINS}, u AS (SELECT group_condition, bin, trial, avg(midpoint_speed) AS v, avg(CASE WHEN step_boolean THEN run_speed END) AS rs FROM b GROUP BY ALL)
+@query("d24_filtered_bins_by_trial", f"""{_BINS}, u AS (SELECT group_condition, bin, trial, avg(midpoint_speed) AS v, avg(run_speed) AS rs FROM b GROUP BY ALL)
 SELECT group_condition, bin, round(avg(v), 6) AS midpoint_speed_mean, round(avg(rs), 6) AS run_speed_mean FROM u GROUP BY ALL""")
 def _(spark, d):
     t = binning.binned_series(measures(spark, d), "frame", 10, unit="trial")
@@ -169,7 +179,7 @@ def _(spark, d):
     n = rows.groupBy("group_condition", "_bin").agg(F.count("midpoint_speed").alias("n"))
     t = binning.binned_table(rows, ["ts"]).withColumn("_bin", F.coalesce("bin", F.lit(-1))).join(n, ["group_condition", "_bin"])
     low, high = F.col("midpoint_speed_lowCI"), F.col("midpoint_speed_hiCI")
-    return rnd(t.select("group_condition", "bin", ((high + low) / 2).alias("middle"), F.try_divide((high - low) / 2, stats.t_quantiles([F.col("n") - 1], 0.975)[0]).alias("error")))
+    return rnd(t.select("group_condition", "bin", F.coalesce((high + low) / 2, "midpoint_speed_mean").alias("middle"), F.try_divide((high - low) / 2, stats.t_quantiles([F.col("n") - 1], 0.975)[0]).alias("error")))
 
 
 @query("d33_time_bins", f"{MEASURES}, b AS (SELECT id, frame, CASE WHEN frame > 0 AND frame / 16.0 <= 180 THEN CAST(ceil(frame / 160.0) AS INT) END AS bin FROM measures) SELECT id, frame, bin, row_number() OVER (PARTITION BY id, bin ORDER BY frame) AS bin_id FROM b")

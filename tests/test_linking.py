@@ -1,3 +1,6 @@
+import itertools
+import random
+
 from motiontab.operators import collisions, linking
 from motiontab.streaming.linking import stream_links, stream_statistics
 from pyspark.sql import functions as F
@@ -98,3 +101,73 @@ def test_two_by_two_takes_every_block_of_frames(spark):
         h = 12 / (n * (n + 1)) * sum(sum(rank[v] for v in some) ** 2 / len(some) for some in roles.values()) - 3 * (n + 1)
         h /= 1 - sum(values.count(v) ** 3 - values.count(v) for v in set(values)) / (n**3 - n)
         assert abs(got[k].p_gate - chi_square_tail(h, 3)) < 1e-8
+
+
+def test_least_pairs_equal_enumeration():
+    pick = random.Random(5)
+    for _ in range(300):
+        n, m = pick.randint(1, 5), pick.randint(1, 5)
+        edges = {(i, j): pick.choice([pick.random(), pick.randint(0, 3)]) for i in range(n) for j in range(m) if pick.random() < 0.6}
+        best = (0, 0.0)
+        for k in range(1, min(n, m) + 1):
+            for rows in itertools.combinations(range(n), k):
+                for columns in itertools.permutations(range(m), k):
+                    pairs = list(zip(rows, columns, strict=True))
+                    if all(p in edges for p in pairs):
+                        total = sum(edges[p] for p in pairs)
+                        best = max(best, (k, -total))
+        found = linking.least_pairs(edges)
+        assert len({i for i, _ in found}) == len({j for _, j in found}) == len(found)
+        assert (len(found), round(-sum(edges[p] for p in found), 9)) == (best[0], round(best[1], 9))
+
+
+def test_pairing_of_a_crowded_frame(spark):
+    """A hundred rows a side, which no enumeration would end, beside small frames, nulls and repeats."""
+    rows = [("v", 1, a, b, float(abs(a - b))) for a in range(100) for b in range(100) if abs(a - b) < 4 and b != a]
+    rows += [("v", 2, 1, 1, 5.0), ("v", 2, 1, 1, 3.0), ("v", 2, 2, None, 1.0), ("v", 2, None, 2, 1.0), ("w", 2, 9, 9, None)]
+    out = linking.best_pairing(spark.createDataFrame(rows, "video string, frame int, a int, b int, d double")).collect()
+    crowd = [r for r in out if r.frame == 1]
+    assert len(crowd) == 100 == len({r.b for r in crowd}) and sum(r.d for r in crowd) == 100.0
+    assert [(r.video, r.a, r.b, r.d) for r in out if r.frame == 2] == [("v", 1, 1, 3.0)]
+
+
+def brute_links(rows, least):
+    out = set()
+    for f, a, ax, aX, ay, aY in rows:
+        for g, b, bx, bX, by, bY in rows:
+            w, h = min(aX, bX) - max(ax, bx), min(aY, bY) - max(ay, by)
+            if g == f + 1 and w > 0 and h > 0 and w * h / ((bX - bx) * (bY - by)) > least:
+                out.add((g, a, b))
+    return out
+
+
+def test_grid_links_of_boxes_of_every_size(spark):
+    pick = random.Random(8)
+    rows = []
+    for frame in range(4):
+        for label in range(60):
+            size = pick.choice([0.3, 2, 10, 10, 64, 500])
+            x, y = pick.uniform(-300, 300), pick.choice([pick.uniform(-300, 300), 0.0])
+            rows.append((frame, label, x, x + size * pick.uniform(0.2, 1), y, y + size * pick.uniform(0.2, 1)))
+    objects = spark.createDataFrame([("v", f, n, a, b, c, d, (a + b) / 2, (c + d) / 2, 1.0) for f, n, a, b, c, d in rows] + [("v", 1, 99, None, 1.0, 0.0, 1.0, None, 0.5, 1.0)], "video string, frame int, label int, minx double, maxx double, miny double, maxy double, cx double, cy double, area double")
+    found = [(r.frame, r.a, r.b) for r in linking.box_links(objects, 0.05).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute_links(rows, 0.05) and len(found) > 100
+    near = {(r.frame, r.a): [] for r in linking.neighbours(objects).collect()}
+    for r in sorted(linking.neighbours(objects).collect(), key=lambda r: r.rank):
+        near[r.frame, r.a].append(r.b)
+    for f, a, ax, aX, ay, aY in rows:
+        more, cx, cy = 0.75 * max(aX - ax, aY - ay), (ax + aX) / 2, (ay + aY) / 2
+        want = sorted((abs((x + X) / 2 - cx) + abs((y + Y) / 2 - cy), b) for g, b, x, X, y, Y in rows if g == f - 1 and ax - more <= (x + X) / 2 <= aX + more and ay - more <= (y + Y) / 2 <= aY + more)
+        assert near.get((f, a), []) == [b for _, b in want]
+
+
+def test_grid_spares_most_pairs_of_a_crowded_frame(spark):
+    """Ten thousand objects in each of two frames: the join makes a few rows an object, not 10^8."""
+    o = spark.range(20_000).select(F.lit("v").alias("video"), (F.col("id") % 2).cast("int").alias("frame"), F.expr("id div 2").alias("label"), F.expr("(id div 2) % 100 * 12.0D").alias("minx"), F.expr("(id div 200) * 12.0D").alias("miny"))
+    o = o.withColumns({"maxx": F.col("minx") + 10, "maxy": F.col("miny") + 10, "cx": F.col("minx") + 5, "cy": F.col("miny") + 5, "area": F.lit(1.0)})
+    links = linking.box_links(o)
+    assert links.count() == 10_000
+    plan = links._jdf.queryExecution().executedPlan()
+    assert "Cartesian" not in plan.toString() and "NestedLoop" not in plan.toString()
+    cells = linking._in_cells(o.withColumn("l", F.lit(4)), F.col("l"), "minx", "maxx", "miny", "maxy").groupBy("frame", "gx", "gy").count()
+    assert cells.agg(F.max("count")).first()[0] <= 9
