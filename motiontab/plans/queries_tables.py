@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motiontab.operators import binning, summary
 from motiontab.plans.fixtures import measures
 from motiontab.plans.oracle import limits
-from motiontab.plans.queries import _BINS, MEASURES, query, rnd
+from motiontab.plans.queries import _BINS, MEASURES
+from motiontab.plans.queries import query as plain_query
 
 _ANGLES = ("bearing_angle", "heading_angle", "bending_angle", "head_vector_angular_speed", "tail_vector_angular_speed")
 _SERIES = (*_ANGLES, "head_vel_forward", "tail_vel_forward", "midpoint_speed", "midpoint_distance", "distance_to_odor", "spine_length")
 _LENGTHS = ("head_vel_forward", "tail_vel_forward", "midpoint_speed", "midpoint_distance")
 _CAST = "(Abs_HC_angle IS NULL OR Abs_HC_angle BETWEEN 20 AND 360)"
 _IS = ("IS_angle", "Abs_IS_angle", "IS_reorientation", "IS_distance", "IS_distance_bl", "IS_interval")
+#: Dyadic values often lie half-way between two rounded ones; both sides add this before they round.
+_SHIFT = 1.23e-7
+
+
+def query(name: str, sql: str):
+    return plain_query(name, sql.replace(", 5)", f" + {_SHIFT}, 5)"))
+
+
+def rnd(df: DataFrame) -> DataFrame:
+    return df.select(*[(F.round(F.col(c) + _SHIFT, 5) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _change(a: str, b: str) -> str:
@@ -40,7 +52,7 @@ def _binned(spark, d):
 def _kind(name: str, kind: str, columns: str) -> None:
     @query(name, f"{_BINS} SELECT group_condition, bin, {columns} FROM b GROUP BY ALL")
     def _(spark, d):
-        return rnd(binning.binned_table(_binned(spark, d), [kind]).drop("midpoint"), digits=5)
+        return rnd(binning.binned_table(_binned(spark, d), [kind]).drop("midpoint"))
 
 
 _kind("d17_all_series", "ts", ", ".join([limits(c, c) for c in _SERIES] + [limits(f"abs_{c}", f"abs({c})") for c in _ANGLES] + [limits(f"{c}_bl", c, "avg(spine_length)") for c in _LENGTHS]))
@@ -54,7 +66,7 @@ CASE WHEN count(odor_orientation) = count(*) THEN round(count(CASE WHEN odor_ori
 SELECT * EXCLUDE (preference_distance_lowCI, preference_distance_hiCI), preference_distance_hiCI AS preference_distance_lowCI, preference_distance_lowCI AS preference_distance_hiCI FROM p""")
 def _(spark, d):
     # rescaling turns the distance's limits round
-    return rnd(binning.binned_table(_binned(spark, d), ["pref"]).drop("midpoint"), digits=5)
+    return rnd(binning.binned_table(_binned(spark, d), ["pref"]).drop("midpoint"))
 
 
 _UNIT = {c: f"avg({c})" for c in (*_SERIES, *_IS, "run_speed", "run_speed_bl", "odor_speed")} | {f"abs_{c}": f"avg(abs({c}))" for c in _ANGLES}
@@ -70,12 +82,12 @@ def _by_unit(unit: str) -> str:
 
 @query("d22_all_by_animal", _by_unit("id"))
 def _(spark, d):
-    return rnd(binning.binned_by_unit(_binned(spark, d), "id").drop("midpoint"), digits=5)
+    return rnd(binning.binned_by_unit(_binned(spark, d), "id").drop("midpoint"))
 
 
 @query("d22_all_by_trial", _by_unit("trial"))
 def _(spark, d):
-    return rnd(binning.binned_by_unit(_binned(spark, d), "trial").drop("midpoint"), digits=5)
+    return rnd(binning.binned_by_unit(_binned(spark, d), "trial").drop("midpoint"))
 
 
 # summaries
@@ -127,7 +139,7 @@ g AS (SELECT id, first(distance_to_odor ORDER BY frame) - last(distance_to_odor
 SELECT id, "group", condition, group_condition, any_value(preference_dist_se) AS preference_dist_se, {_TS}, {_SHAPES}, {_HEADS}, {_RUNS}, {_PREFERENCE} FROM r JOIN n USING (id) LEFT JOIN g USING (id) GROUP BY ALL""")
 def _(spark, d):
     s = summary.summarised(measures(spark, d), "id", threshold=5)
-    return rnd(s.withColumns({c: F.col(c).cast("long") for c in ("collisions", "HCs", "HCs_towards", "HCs_away")}), digits=5)
+    return rnd(s.withColumns({c: F.col(c).cast("long") for c in ("collisions", "HCs", "HCs_towards", "HCs_away")}))
 
 
 _PER = '"group", condition, group_condition, trial, id'
@@ -136,11 +148,11 @@ _PER = '"group", condition, group_condition, trial, id'
 @query("d31_whole_per_step", f"""{MEASURES}, c AS (SELECT *, CAST(sum(CAST(step_boolean AS INT)) OVER (PARTITION BY id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS BIGINT) AS step_count FROM measures),
 r AS ({_led('id, step_count', 'c')}) SELECT {_PER}, step_count, count(*) AS n, {_TS}, {_RUNS}, CASE WHEN {_ENDS} > 0 THEN coalesce(sum({_STEP.format('step_extr')}), 0) > 1 END AS is_silly_step FROM r GROUP BY ALL""")
 def _(spark, d):
-    return rnd(summary.per_step(measures(spark, d)), digits=5)
+    return rnd(summary.per_step(measures(spark, d)))
 
 
 @query("d32_whole_minima_classes", f"""{MEASURES}, c AS (SELECT *, CASE WHEN step_extr > 2 THEN '>2' ELSE CAST(step_extr AS VARCHAR) END AS minima FROM measures), r AS ({_led('id, minima', 'c')}),
-f AS (SELECT {_PER}, minima, count(*) AS n, {_TS}, {_RUNS} FROM r GROUP BY ALL), e AS (SELECT * FROM (SELECT DISTINCT id FROM measures) CROSS JOIN (SELECT DISTINCT minima FROM c))
-SELECT e.id, e.minima, coalesce(f.n, 0) AS n, f.* EXCLUDE (id, minima, n) FROM e LEFT JOIN f ON f.id = e.id AND f.minima IS NOT DISTINCT FROM e.minima""")
+f AS (SELECT {_PER}, minima, count(*) AS n, {_TS}, {_RUNS} FROM r GROUP BY ALL), ev AS (SELECT * FROM (SELECT DISTINCT id FROM measures) CROSS JOIN (SELECT DISTINCT minima FROM c))
+SELECT ev.id, ev.minima, coalesce(f.n, 0) AS n, f.* EXCLUDE (id, minima, n) FROM ev LEFT JOIN f ON f.id = ev.id AND f.minima IS NOT DISTINCT FROM ev.minima""")
 def _(spark, d):
-    return rnd(summary.per_minima_class(measures(spark, d)), digits=5)
+    return rnd(summary.per_minima_class(measures(spark, d)))
