@@ -1,3 +1,4 @@
+import os
 import shutil
 import subprocess
 import sys
@@ -16,10 +17,11 @@ def test_entry_and_names(spark):
 
 
 SAYS = """
+import importlib.util
 from pyspark.sql import SparkSession
 import __spark_entry__ as e
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
-print("SAID", len(e.queries()), len(e.oracle_sql()), sum(q.startswith("op") or q == "pipeline" for q in e.queries()), e.entry(spark).count())
+print("SAID", len(e.queries()), len(e.oracle_sql()), sum(q.startswith("op") or q == "pipeline" for q in e.queries()), e.entry(spark).count(), int(importlib.util.find_spec("corpus_pipeline") is not None))
 """
 
 
@@ -32,6 +34,10 @@ def test_the_rest_works_without_the_optional_parts(tmp_path, gone):
             shutil.rmtree(path)
         elif path.exists():
             path.unlink()
-    said = subprocess.run([sys.executable, "-c", SAYS], cwd=tmp_path / "copy", capture_output=True, text=True, check=True).stdout
-    n, sql, optional, rows = map(int, said.split("SAID")[1].split())
-    assert n > 50 and sql > 50 and rows > 0 and optional == (10 if gone == ("corpus_pipeline.py",) and (ROOT / "motiontab/llm").exists() else 0)
+    # nothing of the original may be found from the copy
+    bare = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", SAYS], cwd=tmp_path / "copy", env=bare, capture_output=True, text=True, check=True).stdout
+    n, sql, optional, rows, pipeline = map(int, said.split("SAID")[1].split())
+    kept = gone == ("corpus_pipeline.py",) and (ROOT / "motiontab/llm").exists()
+    assert n > 50 and sql > 50 and rows > 0 and pipeline == int(not {"corpus_pipeline.py"} & set(gone) and (ROOT / "corpus_pipeline.py").exists())
+    assert (optional >= 10) if kept else optional == 0

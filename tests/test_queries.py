@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
-from motiontab.plans import queries_linking, queries_more  # noqa: F401
+from motiontab.plans import queries_linking, queries_long, queries_more, queries_tables  # noqa: F401
 from motiontab.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
