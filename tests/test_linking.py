@@ -2,7 +2,7 @@ import itertools
 import random
 
 from motiontab.operators import collisions, linking
-from motiontab.streaming.linking import stream_links, stream_statistics
+from motiontab.streaming.linking import PROVIDER, stream_links, stream_statistics
 from pyspark.sql import functions as F
 
 SCHEMA = "video string, frame long, label long, cx double, cy double, minx double, maxx double, miny double, maxy double, area double"
@@ -40,16 +40,43 @@ def test_merge_split_new_and_lost(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    o = meeting(spark).repartition(1).sortWithinPartitions("frame")
+    """However the objects are split over batches, also within a frame and out of order."""
+    pick = random.Random(3)
+    rows = [r for r in map(tuple, meeting(spark).collect())]
+    rows += [("w", f, n, *x[3:]) for f in range(6) for n in range(4) for x in [box(f, n, 12 * n + 3 * f * (n % 2))]]
+    o = spark.createDataFrame(rows, SCHEMA)
+    want = sorted((r.video, r.frame, r.a, r.b, r.overlap) for r in linking.box_links(o).collect())
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    for turn in range(2):
+        folder, parts = str(tmp_path / f"in{turn}"), [[] for _ in range(4)]
+        for r in rows:
+            pick.choice(parts).append(r)
+        for part in parts:
+            spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+        q = stream_links(source).writeStream.format("memory").queryName(f"links{turn}").outputMode("append").option("checkpointLocation", str(tmp_path / f"c{turn}")).start()
+        q.processAllAvailable()
+        q.stop()
+        assert sorted((r.video, r.frame, r.a, r.b, r.overlap) for r in spark.table(f"links{turn}").collect()) == want and len(want) > 15
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_silent_video_is_cleared(spark, tmp_path):
+    """The second of two adjacent frames comes after the timer and finds none to link with."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     folder = str(tmp_path / "in")
-    for lo, hi in ((0, 1), (2, 3), (4, 4)):
-        o.where(f"frame BETWEEN {lo} AND {hi}").coalesce(1).write.mode("append").parquet(folder)
-    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-    q = stream_links(source).writeStream.format("memory").queryName("links").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
+    spark.createDataFrame([box(0, 1, 0), box(1, 1, 0)], SCHEMA).coalesce(1).write.parquet(folder)
+    source = spark.readStream.schema(SCHEMA).parquet(folder)
+    q = stream_links(source, silent_seconds=1).writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(12)
+    spark.createDataFrame([box(2, 1, 0), box(3, 1, 0)], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    q.awaitTermination(12)
     q.stop()
-    want = sorted((r.frame, r.a, r.b, r.overlap) for r in linking.box_links(o).collect())
-    assert sorted((r.frame, r.a, r.b, r.overlap) for r in spark.table("links").collect()) == want
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted(r.frame for r in spark.table("silent").collect()) == [1, 3]
+
+
+def test_stream_statistics(spark, tmp_path):
     schema = "id long, area double, width double, perimeter double, spine_length double, velocity double"
     spark.createDataFrame([(1, 2.0, 1.0, 3.0, 4.0, None), (1, 4.0, 1.0, 5.0, 6.0, 2.5)], schema).write.parquet(str(tmp_path / "s"))
     rows = spark.readStream.schema(schema).parquet(str(tmp_path / "s"))
