@@ -92,29 +92,6 @@ def families(edges: DataFrame) -> DataFrame:
         rows = rows.drop("moved")
 
 
-def balanced_sizes(bounds: DataFrame, family: DataFrame, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(sizes, unsatisfied families): least sizes raised until the parents of a family hold as many animals as its children.
-
-    The missing animals of a family's poorer side go to its member with the most, where its bound allows; what cannot
-    be balanced in ``rounds`` rounds is reported as (video, family, parents, children).
-    """
-    sizes = saved(bounds.withColumnRenamed("low", "size"))
-    sides = family.select("video", "family", F.col("parent").alias("track"), F.lit("parents").alias("side")).unionAll(family.select("video", "family", F.col("child").alias("track"), F.lit("children").alias("side"))).distinct()
-    for k in range(rounds + 1):
-        held = sides.join(sizes, ["video", "track"])
-        sums = held.groupBy("video", "family").agg(*[F.sum(F.when(F.col("side") == s, F.col("size")).otherwise(0)).alias(s) for s in ("parents", "children")])
-        open_ = sums.where("parents <> children")
-        if k == rounds or not open_.limit(1).count():
-            return sizes, open_
-        poor = F.when(F.col("parents") < F.col("children"), "parents").otherwise("children")
-        lack = open_.select("video", "family", poor.alias("side"), F.abs(F.col("parents") - F.col("children")).alias("more"))
-        room = held.where("high IS NULL").join(lack, ["video", "family", "side"])
-        first = F.row_number().over(Window.partitionBy("video", "family").orderBy(F.desc("size"), "track"))
-        raised = room.withColumn("_r", first).where("_r = 1").groupBy("video", "track").agg(F.max("more").alias("more"))
-        sizes = saved(sizes.join(raised, ["video", "track"], "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"))
-    raise AssertionError
-
-
 def end_objects(sizes: DataFrame, edges: DataFrame) -> DataFrame:
     """(video, track, single): the singles downstream of each bundle, through bundles; edges may form cycles."""
     bundle = sizes.where("size > 1").select("video", "track")
@@ -342,29 +319,6 @@ def assignments_of(samples: DataFrame, pairs: DataFrame, kind: str) -> DataFrame
     return both.select(F.col("incoming_id").alias("incoming"), F.col("outgoing_id").alias("outgoing"), F.lit(kind).alias("type"), (F.col("outgoing_first") - F.col("incoming_last") - 1).alias("duration"), F.col("forced").cast("int").alias("forced"))
 
 
-def origin_queue(events: DataFrame) -> DataFrame:
-    """(video, origin, incoming, outgoing): animals that leave and come back at a rim or cup while one alone is away.
-
-    events: (video, origin, frame, id, way in | out) in time order. An ordered fold per (video, origin) over its few
-    events; who comes back while several are away is left to rank tests.
-    """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        away, found = [], []
-        for r in pdf.sort_values(["frame", "id"]).itertuples():
-            if r.way == "out":
-                away.append(r.id)
-            elif len(away) == 1:
-                found.append((r.video, r.origin, away.pop(), r.id))
-            elif away:
-                away.append(None)  # from now on it is open who is away
-        return pd.DataFrame([x for x in found if x[2] is not None], columns=["video", "origin", "incoming", "outgoing"])
-
-    types = dict(events.dtypes)
-    return events.select("video", "origin", "frame", "id", "way").groupBy("video", "origin").applyInPandas(fold, f"video {types['video']}, origin {types['origin']}, incoming {types['id']}, outgoing {types['id']}")
-
-
 def counters(resolutions: DataFrame) -> DataFrame:
     """One row: collisions, resolved and open ones."""
     done = F.col("straight").isNotNull()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
@@ -14,6 +15,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motiontab.operators import stats
+from motiontab.operators.saving import saved
+
 
 def standardised(df: DataFrame, variables: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Complete rows with a vector ``z`` of the variables at mean 0 and variance 1."""
@@ -51,7 +55,7 @@ def clusters(df: DataFrame, variables: Sequence[str], k: int, keys: Sequence[str
 
 def mixture(df: DataFrame, variables: Sequence[str], sizes: Sequence[int], keys: Sequence[str] = (), seed: int = 7) -> tuple[DataFrame, int]:
     """(keys and component, number of components) of the Gaussian mixture with the least BIC."""
-    rows = standardised(df, variables, keys).cache()
+    rows = saved(standardised(df, variables, keys))
     n, d = rows.count(), len(variables)
     best = None
     for k in sizes:
@@ -92,7 +96,8 @@ def forest(df: DataFrame, variables: Sequence[str], label: str, trees: int = 500
     predictions: class (the label as it is), label (its index) and prediction.
     """
     rows = df.select(label, *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in variables]).where(F.col(label).isNotNull())
-    rows = VectorAssembler(inputCols=list(variables), outputCol="features").transform(StringIndexer(inputCol=label, outputCol="_index").fit(rows).transform(rows)).cache()
+    rows = VectorAssembler(inputCols=list(variables), outputCol="features").transform(StringIndexer(inputCol=label, outputCol="_index").fit(rows).transform(rows))
+    rows = saved(rows)
     accuracy, model = [], None
     for seed in seeds:
         tree = RandomForestClassifier(numTrees=trees, seed=seed, labelCol="_index")
@@ -107,3 +112,79 @@ def confusion(predictions: DataFrame) -> DataFrame:
     """(label, prediction, n, share of the label)."""
     counts = predictions.groupBy("label", "prediction").agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("label")))
+
+
+def top_importance(importance: DataFrame, catalogue: DataFrame, n: int = 10) -> DataFrame:
+    """(place, name, variable, importance): the n most important variables by the names of a catalogue (variable, name); without one
+    there, the variable's own."""
+    place = F.row_number().over(Window.orderBy(F.desc("importance"), "variable"))  # a row for each variable
+    first = importance.withColumn("place", place).where(F.col("place") <= n)
+    names = catalogue.groupBy("variable").agg(F.min("name").alias("_name"))
+    return first.join(names, "variable", "left").select("place", F.coalesce("_name", "variable").alias("name"), "variable", "importance").orderBy("place")
+
+
+#: Lance-Williams updates by linkage: the new distance from those to both parts, the one between them, and the three sizes.
+LINKAGES = {
+    "single": lambda a, b, d, na, nb, n: np.minimum(a, b),
+    "complete": lambda a, b, d, na, nb, n: np.maximum(a, b),
+    "average": lambda a, b, d, na, nb, n: (na * a + nb * b) / (na + nb),
+    "ward": lambda a, b, d, na, nb, n: np.sqrt(((na + n) * a**2 + (nb + n) * b**2 - n * d**2) / (na + nb + n)),
+}
+
+
+def _merged(distance: np.ndarray, linkage: str) -> list[np.ndarray]:
+    """Cluster numbers of the rows for one cluster, two, and so on, by agglomeration."""
+    n, far = len(distance), distance.astype(float).copy()
+    np.fill_diagonal(far, np.inf)
+    sizes, label, found = np.ones(n), np.arange(n), [np.arange(n)]
+    for _ in range(n - 1):
+        a, b = sorted(divmod(int(np.argmin(far)), n))
+        new = LINKAGES[linkage](far[a], far[b], far[a, b], sizes[a], sizes[b], sizes)
+        far[a], far[:, a] = new, new
+        far[b], far[:, b], far[a, a] = np.inf, np.inf, np.inf
+        sizes[a] += sizes[b]
+        label = np.where(label == b, a, label)
+        found.append(label)
+    return found[::-1]
+
+
+def _silhouettes(distance: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """(b - a) / max(a, b) of each row: its mean distances within its cluster and to the nearest other one; 0 for one alone."""
+    names = np.unique(label)
+    sums = np.stack([distance[:, label == c].sum(1) for c in names], 1)
+    sizes = np.array([(label == c).sum() for c in names])
+    own = np.searchsorted(names, label)
+    rows = np.arange(len(label))
+    within = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
+    others = sums / sizes
+    others[rows, own] = np.inf
+    near = others.min(1)
+    return np.where(sizes[own] > 1, (near - within) / np.maximum(np.maximum(near, within), 1e-300), 0.0)
+
+
+def variable_groups(df: DataFrame, variables: Sequence[str], k: int | None = None, most: int = 10, method: str = "pearson", absolute: bool = False, linkage: str = "ward") -> DataFrame:
+    """(variable, cluster, silhouette, x, y): variables grouped by their rows of the correlation matrix.
+
+    Rows are merged by the distance between them; ``k`` clusters, or as many up to ``most`` as give the greatest mean silhouette. x and y
+    are plane coordinates from the doubly centred squared distances. Spark makes the correlations; what is left is one
+    number for each pair of variables. Clusters are numbered in the order of variables; a correlation that is not known counts as 0.
+    """
+    names = list(variables)
+    at = {v: i for i, v in enumerate(names)}
+    matrix = np.eye(len(names))
+    for r in stats.correlations(df, names, method, absolute).collect():
+        matrix[at[r.a], at[r.b]] = matrix[at[r.b], at[r.a]] = r.r or 0.0
+    squared = ((matrix[:, None] - matrix[None]) ** 2).sum(-1)
+    distance = np.sqrt(squared)
+    by_size = _merged(distance, linkage)
+    sizes = [k] if k else range(2, min(most, len(names) - 1) + 1)
+    chosen = max(sizes, key=lambda n: (_silhouettes(distance, by_size[n - 1]).mean(), -n), default=1)
+    label = by_size[chosen - 1]
+    order = {c: n for n, c in enumerate(dict.fromkeys(label.tolist()), 1)}
+    middle = np.eye(len(names)) - 1 / len(names)
+    values, vectors = np.linalg.eigh(-0.5 * middle @ squared @ middle)
+    plane = vectors[:, ::-1][:, :2] * np.sqrt(np.maximum(values[::-1][:2], 0))
+    plane = plane * np.where(plane[np.abs(plane).argmax(0), range(plane.shape[1])] < 0, -1, 1)
+    width = _silhouettes(distance, label) if chosen > 1 else np.zeros(len(names))
+    rows = [(v, order[int(label[i])], float(width[i]), *map(float, [*plane[i], 0.0][:2])) for i, v in enumerate(names)]
+    return df.sparkSession.createDataFrame(rows, "variable string, cluster int, silhouette double, x double, y double")

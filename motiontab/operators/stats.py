@@ -320,3 +320,10 @@ def parallel_coordinates(df: DataFrame, variables: Sequence[str], group: str = "
     by = by.withColumn("_between", F.col("n") * F.pow(F.col("z_mean") - grand, F.lit(2.0))).withColumn("_k", F.count(F.lit(1)).over(over))
     f = F.try_divide(F.sum("_between").over(over) / (F.col("_k") - 1), F.sum(F.col("n") * F.col("v")).over(over) / (F.sum("n").over(over) - F.col("_k")))
     return by.where("_k > 1").withColumn("f", f).select(group, "variable", "z_mean", "f")
+
+
+def skewness_order(df: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """(variable, skewness, place): variables as axes in the order of their absolute skewness, the most skewed first; unknown ones last."""
+    found = df.select(*[F.skewness(F.col(v).cast("double")).alias(v) for v in variables])
+    long = found.unpivot([], list(variables), "variable", "skewness").withColumn("skewness", F.when(~F.isnan("skewness"), F.col("skewness")))
+    return long.withColumn("place", F.row_number().over(Window.orderBy(F.abs("skewness").desc_nulls_last(), "variable")))  # a row for each variable

@@ -1,11 +1,11 @@
-"""Registered queries on tracks in segments and on identities at rims; the SQL is that of whole tracks."""
+"""Registered queries on tracks in segments (with the SQL of whole tracks), identities at rims, partitions and sizes of bundles."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from motiontab.functions import segments
-from motiontab.operators import events, longtracks, queues
+from motiontab.operators import collisions, events, longtracks, partitions, queues
 from motiontab.plans.fixtures import frames, measures
 from motiontab.plans.queries import ORACLE_SQL, query, rnd
 from motiontab.plans.queries_more import _order_tracks, _steps
@@ -50,3 +50,36 @@ def _(spark, d):
     )
     tracks = rows.select(F.floor(F.col("id") / 50).alias("video"), "id", "frame", "v")
     return queues.resolved_returns(lives, tracks, "v")
+
+
+_FLOW = """WITH o AS (SELECT DISTINCT o_orderkey // 200 AS video, o_custkey % 50 AS track FROM orders), a AS (SELECT video, track, 50 + track % 7 AS child, 1 + track % 3 AS size FROM o),
+b AS (SELECT video, child AS track, sum(size) AS size FROM a GROUP BY ALL), c AS (SELECT video, 100 + track % 2 AS track, sum(size) AS size FROM b GROUP BY ALL)"""
+
+
+@query("h17_balanced_sizes", f"{_FLOW} SELECT video, track, CAST(size AS BIGINT) AS size FROM a UNION ALL SELECT video, track, CAST(size AS BIGINT) FROM b UNION ALL SELECT video, track, CAST(size AS BIGINT) FROM c")
+def _(spark, d):
+    # first tracks of known sizes merge twice; later sizes follow from the balance
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.expr("o_orderkey div 200").alias("video"), (F.col("o_custkey") % 50).alias("parent")).distinct()
+    one = o.withColumn("child", 50 + F.col("parent") % 7)
+    two = one.select("video", F.col("child").alias("parent")).distinct().withColumn("child", 100 + F.col("parent") % 2)
+    edges = one.unionByName(two)
+    size = (1 + F.col("parent") % 3).cast("long")
+    known = o.select("video", F.col("parent").alias("track"), size.alias("low"), size.alias("high"))
+    later = edges.select("video", F.col("child").alias("track")).distinct().select("video", "track", F.lit(1).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
+    sizes, _ = partitions.balanced(known.unionByName(later), collisions.families(edges))
+    return sizes
+
+
+@query("h19_best_partitions", """WITH RECURSIVE i AS (SELECT l_orderkey AS bundle, list(CAST(l_quantity AS DOUBLE) ORDER BY l_linenumber) AS q FROM lineitem GROUP BY ALL),
+b AS (SELECT bundle, q, CAST(o_orderkey % 60 AS DOUBLE) AS a0, CAST(o_custkey % 80 AS DOUBLE) AS a1 FROM i JOIN orders ON o_orderkey = bundle WHERE len(q) > 1),
+s AS (SELECT bundle, 0 AS k, 0.0::DOUBLE AS s0, 0.0::DOUBLE AS s1, 0 AS n0, 0 AS n1 FROM b UNION ALL
+      SELECT s.bundle, k + 1, s0 + CASE WHEN p = 0 THEN q[k + 1] ELSE 0 END, s1 + CASE WHEN p = 1 THEN q[k + 1] ELSE 0 END, n0 + CAST(p = 0 AS INT), n1 + CAST(p = 1 AS INT) FROM s JOIN b USING (bundle), (VALUES (0), (1)) v(p) WHERE k < len(q)),
+e AS (SELECT bundle, len(q) AS items, min(abs(a0 - s0) + abs(a1 - s1)) AS error FROM s JOIN b USING (bundle) WHERE k = len(q) AND n0 > 0 AND n1 > 0 GROUP BY ALL)
+SELECT * FROM e""")
+def _(spark, d):
+    # an order's lines are the singles, two areas of the order its bundles
+    line, order = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+    items = line.select(F.lit("v").alias("video"), F.col("l_orderkey").alias("bundle"), F.col("l_linenumber").alias("item"), F.col("l_quantity").cast("double").alias("area"))
+    areas = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), (F.col(c) % n).cast("double").alias("area")) for k, c, n in ((0, "o_orderkey", 60), (1, "o_custkey", 80))])).alias("p")
+    parts = order.select(F.lit("v").alias("video"), F.col("o_orderkey").alias("bundle"), areas).select("video", "bundle", "p.*")
+    return partitions.best_partitions(items, parts).groupBy("bundle").agg(F.count("*").alias("items"), F.first("error").alias("error"))

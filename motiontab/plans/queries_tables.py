@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motiontab.operators import binning, summary
+from motiontab.operators import binning, learning, stats, summary
 from motiontab.plans.fixtures import measures
 from motiontab.plans.oracle import limits
 from motiontab.plans.queries import _BINS, MEASURES
@@ -156,3 +156,18 @@ f AS (SELECT {_PER}, minima, count(*) AS n, {_TS}, {_RUNS} FROM r GROUP BY ALL),
 SELECT ev.id, ev.minima, coalesce(f.n, 0) AS n, f.* EXCLUDE (id, minima, n) FROM ev LEFT JOIN f ON f.id = ev.id AND f.minima IS NOT DISTINCT FROM ev.minima""")
 def _(spark, d):
     return rnd(summary.per_minima_class(measures(spark, d)))
+
+
+_AXES = ("midpoint_speed", "area", "grey", "bending_angle", "tail_vel_forward", "odor_speed")
+_THIRD = " UNION ALL ".join(f"SELECT '{c}' AS variable, avg(power({c} - m, 3)) / power(avg(power({c} - m, 2)), 1.5) AS s FROM measures, (SELECT avg({c}) AS m FROM measures)" for c in _AXES)
+
+
+@query("g17_skewness_order", f"{MEASURES}, s AS ({_THIRD}) SELECT variable, round(s, 5) + 0.0 AS skewness, CAST(row_number() OVER (ORDER BY abs(s) DESC, variable) AS INT) AS place FROM s")
+def _(spark, d):
+    return rnd(stats.skewness_order(measures(spark, d), _AXES))
+
+
+@plain_query("g09_variable_groups")
+def _(spark, d):
+    g = learning.variable_groups(measures(spark, d), (*_AXES, "spine_length", "width", "perimeter", "head_vel_forward", "distance_to_odor"))
+    return g.select("variable", "cluster", *[F.round(c, 6).alias(c) for c in ("silhouette", "x", "y")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motiontab.operators.orientation import tail_first
+from motiontab.operators.stats import running_below
 
 SPINE, CONTOUR = 12, 22
 
@@ -20,6 +21,18 @@ def fields() -> list[str]:
 TRACK_SCHEMA = T.StructType([T.StructField(c, T.IntegerType() if c in ("frame", "collision_flag") else T.DoubleType()) for c in fields()])
 
 
+#: So many names of files are ranked in one task and sent to all; more are ranked by ranges and joined.
+FEW_FILES = 100_000
+
+
+def numbered(listing: DataFrame, few: bool) -> DataFrame:
+    """(path, id): the place of each path in the order of paths, from 1."""
+    if few:
+        return listing.withColumn("id", F.row_number().over(Window.orderBy("path")).cast("int"))
+    ranks = running_below(listing.withColumn("_one", F.lit(1)), [], "path", "_one")
+    return ranks.select("path", (F.col("below") + 1).cast("int").alias("id"))
+
+
 def read_tracks(spark: SparkSession, folder: str, contours: bool = False) -> DataFrame:
     """All track files below ``folder`` (names that end in a digit and .csv), without header.
 
@@ -32,28 +45,34 @@ def read_tracks(spark: SparkSession, folder: str, contours: bool = False) -> Dat
     if not contours:
         rows = rows.drop(*[c for c in rows.columns if c.startswith("contourpoint_")])
     parts = F.split("path", "/")
-    # the listing of files, not their rows, is ranked without a partition key; files without rows take a number, too
+    # files without rows take a number, too
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*[0-9].csv").load(folder).select("path")
-    ids = listing.withColumn("id", F.row_number().over(Window.orderBy("path")).cast("int"))
-    rows = rows.join(ids, "path")
+    few = listing.count() <= FEW_FILES
+    ids = numbered(listing, few)
+    rows = rows.join(F.broadcast(ids) if few else ids, "path")
     rows = rows.withColumns({n: F.element_at(parts, -k) for k, n in enumerate(("name", "trial", "condition", "group"), 1)})
     return rows.withColumn("track", F.regexp_extract("name", r"(\d+)\.csv$", 1).cast("long")).drop("path")
 
 
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    """(group, condition, trial, pairs, odor_a_x, odor_a_y) from vidAndLogs/metadata.txt of each trial.
+    """(group, condition, trial, pairs, odor_a_x, odor_a_y) from vidAndLogs/metadata.txt of each trial, or as ``write_metadata`` left it.
 
     pairs: the key=value lines as a map. The odour's place is the value of ``OdorALocation``, else of the sixth data row,
     else (0, 0). An empty file gives no row, which ``with_odor`` reads as (0, 0).
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.txt").text(folder, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{metadata,part-*}.txt").text(folder, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     data = F.filter(F.split("value", r"\r?\n"), lambda x: x.contains("="))
     pairs = F.map_from_entries(F.transform(data, lambda x: F.struct(F.trim(F.split_part(x, F.lit("="), F.lit(1))), F.trim(F.regexp_replace(x, "^[^=]*=", "")))))
     place = F.coalesce(F.try_element_at(pairs, F.lit("OdorALocation")), F.regexp_replace(F.get(data, 5), "^[^=]*=", ""))
     xy = F.split(place, ",")
     parts = F.split("path", "/")
     at = lambda k: F.coalesce(F.expr(f"try_cast(trim(get(xy, {k})) AS double)"), F.lit(0.0))
-    rows = lines.select(F.element_at(parts, -5).alias("group"), F.element_at(parts, -4).alias("condition"), F.element_at(parts, -3).alias("trial"), pairs.alias("pairs"), xy.alias("xy"))
+    # .../group/condition/trial/vidAndLogs/metadata.txt, or .../group=../condition=../trial=../part-...txt
+    plain = lambda x: F.url_decode(F.regexp_replace(x, r"\+", "%2B"))
+    # escaped as a partition's value, then as a path
+    named = lambda n: plain(plain(F.nullif(F.regexp_extract("path", f"/{n}=([^/]*)/", 1), F.lit(""))))
+    keys = {n: F.coalesce(named(n), F.element_at(parts, k)) for n, k in (("group", -5), ("condition", -4), ("trial", -3))}
+    rows = lines.select(*[c.alias(n) for n, c in keys.items()], pairs.alias("pairs"), xy.alias("xy"))
     return rows.select("group", "condition", "trial", "pairs", at(0).alias("odor_a_x"), at(1).alias("odor_a_y"))
 
 

@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from motiontab.operators import collisions, linking
+from motiontab.operators import collisions, linking, partitions
 from motiontab.streaming.linking import PROVIDER, stream_links, stream_statistics
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ def test_merge_split_new_and_lost(spark):
     sizes = {r.track: r.low for r in collisions.bundle_bounds(lives, e).collect()}
     assert sizes[track[2, 3]] == 2 and sizes[1] == 1
     assert [r.track for r in collisions.collision_candidates(lives, e, 5).collect()] == [track[2, 3]]
-    flow, open_ = collisions.balanced_sizes(collisions.bundle_bounds(lives, e), collisions.families(e))
+    flow, open_ = partitions.balanced(collisions.bundle_bounds(lives, e), collisions.families(e))
     assert open_.count() == 0 and {r.track: r["size"] for r in flow.collect()}[track[2, 3]] == 2
     ends = collisions.end_objects(flow, e)
     assert {r.single for r in ends.collect()} == {track[4, 4], track[4, 5]}
@@ -94,8 +94,6 @@ def test_remap_gaps_and_queue(spark):
     merged = collisions.merged_tracks(tracks, spark.createDataFrame([(1, 2)], "incoming long, outgoing long"))
     assert sorted((r.id, r.frame, r.x) for r in merged.where("x IS NOT NULL").collect()) == [(2, 0, 1.0), (2, 1, 2.0), (2, 4, 3.0)]
     assert sorted(r.frame for r in merged.where("x IS NULL").collect()) == [2, 3]
-    events = spark.createDataFrame([("v", 0, 1, 7, "out"), ("v", 0, 5, 8, "in"), ("v", 0, 6, 9, "out"), ("v", 0, 7, 10, "out"), ("v", 0, 8, 11, "in")], "video string, origin int, frame int, id long, way string")
-    assert [(r.incoming, r.outgoing) for r in collisions.origin_queue(events).collect()] == [(7, 8)]
     far = spark.createDataFrame([(1, 0, 80.0, 0.0, 0), (2, 0, 1.0, 1.0, 0), (3, 0, 1.0, 1.0, -1)], "id long, frame int, centroid_x double, centroid_y double, code int")
     assert {r.id: r.fine for r in collisions.location_checked(far).collect()} == {1: True, 2: False, 3: True}
 
