@@ -72,19 +72,19 @@ def with_posterior(rows: DataFrame, model: Model, x: str, name: str) -> DataFram
     return rows.withColumn(name, F.transform(name, lambda v: v / F.col(x))).drop(x)
 
 
-def rate(p: Column, steps: list[list[float]], least: float = 0.0, start: Column | None = None) -> Column:
-    """A document's rate after the given gradient steps, from one or ``start``: r <- max(least, r - step . p)."""
+def rate(p: Column, steps: list[list[float]], least: float = 0.0, start: Column | None = None, most: float = math.inf) -> Column:
+    """A document's rate after the given gradient steps, from one or ``start``: r - step . p, within least and most."""
     start = F.lit(1.0) if start is None else start
     if not steps:
         return start
     flat = F.from_json(F.lit(str(steps)), "array<array<double>>")
     dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return F.aggregate(flat, start, lambda r, g: F.greatest(F.lit(float(least)), r - dot(g)))
+    return F.aggregate(flat, start, lambda r, g: F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), r - dot(g))))
 
 
 @dataclass
 class Mixture:
-    """What ``fit`` found: domains in the order of posteriors, the classifier, gradient steps, target tokens, least rate, and
+    """What ``fit`` found: domains in the order of posteriors, the classifier, gradient steps, target tokens, least and greatest rate, and
     the largest distance of a domain's expected tokens from its target, as a share of all tokens."""
 
     domains: list[str]
@@ -93,6 +93,7 @@ class Mixture:
     wanted: list[float]
     least: float = 0.0
     residual: float = 0.0
+    most: float = math.inf
 
     def apply(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Rows of ``docs`` with n_tokens (a quarter of the bytes), posterior and rate; columns of those names are replaced.
@@ -102,10 +103,10 @@ class Mixture:
         out = docs.drop("n_tokens", "posterior", "rate")
         x = "".join(out.columns) + "_x"  # a name that no column has
         out = with_posterior(out.withColumn(x, features(F.col(text_col))), self.model, x, "posterior")
-        return out.withColumn("n_tokens", tokens(F.col(text_col)).cast("long")).withColumn("rate", rate(F.col("posterior"), self.steps, self.least))
+        return out.withColumn("n_tokens", tokens(F.col(text_col)).cast("long")).withColumn("rate", rate(F.col("posterior"), self.steps, self.least, most=self.most))
 
 
-def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0, fit_rows: int = FIT_ROWS) -> Mixture:
+def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0, fit_rows: int = FIT_ROWS, most: float = math.inf) -> Mixture:
     """Fit rates of ``docs`` to ``targets``, weights of domains scaled to the corpus' tokens in all.
 
     labels: rows (id_col, domain), of which the ``fit_rows`` with the smallest hashes train the classifier; rows whose domain is
@@ -113,7 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], rounds
     Null and empty texts count as one token; null ids take part but cannot be labelled. Each document has a finite
     rate >= ``least`` (0 or 1), and where the targets can be met expected tokens approach them. Without documents rates
     stay one. With ``least`` 1 all documents stay, and the targets are scaled to the total at which the domain furthest
-    above its weight keeps its tokens; no weight may be 0 then.
+    above its weight keeps its tokens; no weight may be 0 then. No rate exceeds ``most``: where that keeps a domain from its
+    target the fit warns and ``residual`` says how far it is.
     """
     domains = sorted(targets)
     weight = sum(targets.values())
@@ -121,6 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], rounds
         raise ValueError("targets need a positive sum and no negative weight")
     if least not in (0, 1) or (least and min(targets.values()) == 0):
         raise ValueError("the least rate is 0, or 1 if all targets are positive")
+    if most < 1:
+        raise ValueError("the greatest rate is 1 or more")
     few = labels.where(F.col("domain").isin(domains)).select(F.col(id_col).alias("id"), "domain").orderBy(F.xxhash64(id_col, "domain"), id_col, "domain").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     model = fit_classifier(rows.join(F.broadcast(few), "id").select("domain", features(F.col("text")).alias("x")), domains)
@@ -136,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], rounds
     steps: list[list[float]] = []
     written, largest = 0, 0.0
     for turn in range(rounds + 1 if total else 0):
-        now = rate(F.col("p"), steps[written:], least, F.col("r"))
+        now = rate(F.col("p"), steps[written:], least, F.col("r"), most)
         if len(steps) - written == FOLD:
             base, written = cut(base.withColumn("r", now)), len(steps)
             now = F.col("r")
@@ -148,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], rounds
         steps.append([v / b for v, b in zip(residual, bound, strict=True)])
     if largest > RESIDUAL:
         warnings.warn(f"after {len(steps)} rounds a domain is {largest:.3g} of all tokens away from its target", stacklevel=2)
-    return Mixture(domains, model, steps, wanted, least, largest)
+    return Mixture(domains, model, steps, wanted, least, largest, most)
 
 
 def copies(rate_col: Column, *keys: str) -> Column:

@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lend: int
 
     Labels with null parts are left out, several of one id count by their mean (1/2 and more is good), ids without a
     document too. Null texts are empty, null languages and sources values of their own, texts of any length are read whole.
-    Rows without an id have no label. What is sampled is chosen by hash, so it is the same in every run. Of eight labelled
+    Rows without an id have no label; of several rows of one id one is fitted on. What is sampled is chosen by hash, so it is the same in every run. Of eight labelled
     rows one calibrates and one combines; where either of these lacks a kind of label, all labelled rows do all of it.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("double").alias("y"))
@@ -174,9 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lend: int
             texts = batch.column("text").to_pylist()
             yield pa.record_batch([batch.column("id"), batch.column("y"), batch.column("lang"), batch.column("source"), pa.array([len(t or "") for t in texts], pa.int64()), listed(text_view(texts))], ["id", "y", "lang", "source", "size", "x"])
 
-    found = rows.join(few, "id").select("id", "y", "lang", "source", "text")
+    # of several rows of one id the one with the least hash, whichever way rows are dealt out
+    turn = F.struct(F.xxhash64("text", "lang", "source"), F.octet_length("text"))
+    found = rows.join(few, "id").groupBy("id", "y").agg(F.min_by(F.struct("lang", "source", "text"), turn).alias("r")).select("id", "y", "r.lang", "r.source", "r.text")
     schema = found.select("id", "y", "lang", "source").schema.add("size", "long").add("x", T.ArrayType(T.DoubleType()))
-    data = found.mapInArrow(read, schema).dropDuplicates(["id"]).toArrow().to_pandas().sort_values("id", ignore_index=True)
+    data = found.mapInArrow(read, schema).toArrow().to_pandas().sort_values("id", ignore_index=True)
     y = data["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return Quality(float(y.mean()) if len(y) else 0.5)

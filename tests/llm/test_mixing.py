@@ -67,3 +67,17 @@ def test_without_labels_or_documents(spark):
     with pytest.warns(UserWarning, match="away from its target"):
         docs, mixture = fitted(spark, [(1, "a b", "", "", 0)], [], 5)
     assert mixture.apply(docs).first().rate >= 0 and mixture.residual > mixing.RESIDUAL
+
+
+def test_greatest_rate_bounds_copies(spark):
+    """A rare domain cannot be copied without end; the fit says how far it stays from its target."""
+    rows, labels = corpus()
+    rows = [r for r in rows if r[0] is None or r[0] % 6 not in (3, 4) or r[0] == 3]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame([*labels, (3, "de")], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="away from its target"):
+        mixture = mixing.fit(docs, known, TARGETS, least=1.0, most=4.0)
+    rates = [r.rate for r in mixture.apply(docs).collect()]
+    assert max(rates) == 4.0 and min(rates) >= 1.0 and mixture.residual > mixing.RESIDUAL
+    with pytest.raises(ValueError):
+        mixing.fit(docs, known, TARGETS, most=0.5)

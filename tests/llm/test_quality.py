@@ -135,3 +135,17 @@ def test_repeats_after_the_first_window_count():
     x = quality.text_view([" ".join(head), " ".join(head + varied), " ".join(head + tail)])
     assert np.isclose(x[0, -1], 1) and np.isclose(x[1, -1], 1)
     assert np.isclose(x[2, -1], (2000 + 4 * 4) / 8500)  # windows 2000, 2000, 2000, 2000 and 500
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt_out(spark):
+    """Ids with two texts, one good and one bad: the same row is fitted on at every partitioning."""
+    rows, labels, _ = corpus(240)
+    again = [(i, rows[(i + 7) % 240][1], *r[2:]) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows + again, SCHEMA)
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    seen = []
+    for parts in (1, 3, 7):
+        dealt = docs.repartition(parts, "text")
+        out = quality.fit(dealt, known).apply(dealt)
+        seen.append(sorted((r.doc_id, r.text, round(r.quality_score, 12)) for r in out.collect()))
+    assert seen[0] == seen[1] == seen[2]
