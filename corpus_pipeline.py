@@ -6,7 +6,8 @@ out. What becomes of such rows stands at each stage; an empty table stays empty
 1. Quality classifier: documents that it rejects go.
 2. Line dedup: near-duplicate lines go, and documents that lose their last line with words.
 3. N-gram Jaccard join: of each group of linked documents the one with the smallest id stays.
-4. Source mixing: each document is kept in as many copies as its rate says; rates are at least one and meet the targets.
+4. Source mixing: each document is kept in as many copies as its rate says; rates lie between one and MOST_COPIES and come as near to the
+   targets as they can.
 5. Packing: the pieces of the corpus in training windows.
 """
 
@@ -21,6 +22,8 @@ from motiontab.llm import linededup, mixing, ngramjoin, packing, quality
 from motiontab.llm.common import folder, read
 from motiontab.llm.queries import TARGETS, language_labels, tokenizer_path
 
+#: Copies of a document that the mixing stage makes at most.
+MOST_COPIES = 8
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -49,10 +52,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row once or more often, its copies equal; null and empty texts have the prior's rate. Rows of one id and text have equally
-    many copies."""
+    """Each row once or more often, MOST_COPIES times at most, its copies equal; null and empty texts have the prior's rate. Rows of one id
+    and text have equally many copies. Where the bound keeps a language from its weight the fit warns."""
     docs = docs.select(*COLUMNS)
-    mixture = mixing.fit(docs, language_labels(docs, read(spark, sf_dir, "labels")), TARGETS, least=1.0)
+    mixture = mixing.fit(docs, language_labels(docs, read(spark, sf_dir, "labels")), TARGETS, least=1.0, most=float(MOST_COPIES))
     rows = mixture.apply(docs).withColumn("copies", mixing.copies(F.col("rate"), "doc_id"))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
