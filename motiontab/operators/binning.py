@@ -183,6 +183,25 @@ def heat_map(df: DataFrame, x: str, y: str, z: str, bins: int = 50) -> DataFrame
     return rows.crossJoin(edges).groupBy(cell(x, "_x0", "_x1").alias("xbin"), cell(y, "_y0", "_y1").alias("ybin")).agg(F.count("*").alias("n"), F.avg(z).alias("z"))
 
 
+#: Pairs of axes of heat maps; time is in seconds.
+AXES = {"dish": ("spinepoint_x_6_conv", "spinepoint_y_6_conv"), "bearing_distance": ("bearing_angle", "distance_to_odor"), "bearing_time": ("bearing_angle", "time"), "time_distance": ("time", "distance_to_odor")}
+
+
+def named_heat_map(df: DataFrame, axes: str, z: str, bins: int = 50, radius: int = 5, passes: int = 10, frame_rate: float = 16) -> DataFrame:
+    """The filtered grid (xbin, ybin, z) of a variable over a pair of ``AXES``.
+
+    HC_rate is the mean of HCs; a name that starts with abs_ or Abs_ is absolute, of its own column or else of the one without that.
+    """
+    column = "HCs" if z == "HC_rate" else z
+    if column[:4].lower() == "abs_":
+        column = F.abs(column if column in df.columns else column[4:])
+    else:
+        column = F.col(column)
+    x, y = AXES[axes]
+    rows = df.withColumns({"time": F.col("frame") / frame_rate, "_z": column.cast("double")})
+    return median_filtered(heat_map(rows, x, y, "_z", bins), bins, radius, passes)
+
+
 def median_filtered(grid: DataFrame, bins: int, radius: int = 1, passes: int = 1) -> DataFrame:
     """All bins x bins cells, each the median of known cells within ``radius`` on both axes; ``passes`` times."""
     spark = grid.sparkSession

@@ -53,10 +53,12 @@ def straightened_ends(df: DataFrame) -> DataFrame:
 
 
 def gap_velocities(df: DataFrame, frame_rate: float = 16) -> DataFrame:
-    """Velocity of point 6 over the real time since the last row, and the fastest so far."""
-    step = g.distance(w.before("spinepoint_x_6"), w.before("spinepoint_y_6"), "spinepoint_x_6", "spinepoint_y_6")
-    speed = step * frame_rate / (F.col("frame") - w.before("frame"))
-    return df.withColumn("velocity", speed).withColumn("velocity_max", F.max("velocity").over(w.track().rowsBetween(Window.unboundedPreceding, 0)))
+    """Velocity of point 6 over the real time since the last row, and the fastest so far; centroid_velocity where there is a centroid."""
+    per_second = frame_rate / (F.col("frame") - w.before("frame"))
+    new = {"velocity": g.distance(w.before("spinepoint_x_6"), w.before("spinepoint_y_6"), "spinepoint_x_6", "spinepoint_y_6") * per_second}
+    if "centroid_x" in df.columns:
+        new["centroid_velocity"] = g.distance(w.before("centroid_x"), w.before("centroid_y"), "centroid_x", "centroid_y") * per_second
+    return df.withColumns(new).withColumn("velocity_max", F.max("velocity").over(w.track().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def speed_gate(df: DataFrame, x: str = "velocity", most: float = 100.0, gap: str = "gap") -> Column:
@@ -113,10 +115,21 @@ def end_objects(sizes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def collision_candidates(lives: DataFrame, edges: DataFrame, most_frames: int) -> DataFrame:
-    """Tracks with two parents and two children that last no longer than ``most_frames``: (video, track, duration)."""
-    p = edges.groupBy("video", F.col("child").alias("track")).agg(F.countDistinct("parent").alias("p"))
+    """Tracks with two parents and two children that last no longer than ``most_frames``: (video, track, duration).
+
+    Where lives has a ``size`` the track is a bundle and one of its parents is not; where it has ``round``, the shape at the end, no
+    parent was round.
+    """
+    own = [c for c in ("size", "round") if c in lives.columns]
+    up = edges.select("video", "parent", F.col("child").alias("track")).distinct().join(lives.select("video", F.col("track").alias("parent"), *[F.col(c).alias(f"_{c}") for c in own]), ["video", "parent"], "left")
+    tests = [F.count("*").alias("p")]
+    tests += [F.min(F.coalesce("_size", F.lit(1))).alias("_least")] if "size" in own else []
+    tests += [F.max(F.coalesce("_round", F.lit(False))).alias("_any")] if "round" in own else []
+    p = up.groupBy("video", "track").agg(*tests)
     c = edges.groupBy("video", F.col("parent").alias("track")).agg(F.countDistinct("child").alias("c"))
     both = lives.join(p, ["video", "track"]).join(c, ["video", "track"]).where("p = 2 AND c = 2").withColumn("duration", F.col("end") - F.col("start"))
+    both = both.where("size > 1 AND _least = 1") if "size" in own else both
+    both = both.where("NOT _any") if "round" in own else both
     return both.where(F.col("duration") <= most_frames).select("video", "track", "duration")
 
 
@@ -126,6 +139,13 @@ def end_point_pairing(rows: DataFrame) -> DataFrame:
     return rows.withColumn("straight", d("in1", "out1") + d("in2", "out2") <= d("in1", "out2") + d("in2", "out1"))
 
 
+def one_sided_pairing(rows: DataFrame) -> DataFrame:
+    """partner: the nearer of out1 and out2 to the end point of in1, if it is a single animal (size_out1, size_out2); else null, as at a tie."""
+    d = lambda k: g.distance("x_in1", "y_in1", f"x_out{k}", f"y_out{k}")
+    nearer = F.when((d(1) < d(2)) & (F.col("size_out1") == 1), "out1").when((d(1) > d(2)) & (F.col("size_out2") == 1), "out2")
+    return rows.withColumn("partner", nearer)
+
+
 def partition_error(expected: DataFrame) -> DataFrame:
     """(candidate, error): summed differences of each part's area from its members' expected areas."""
     part = expected.groupBy("candidate", "part", "area").agg(F.sum("expected").alias("s"))
@@ -323,3 +343,19 @@ def counters(resolutions: DataFrame) -> DataFrame:
     """One row: collisions, resolved and open ones."""
     done = F.col("straight").isNotNull()
     return resolutions.agg(F.count("*").alias("collisions"), F.count_if(done).alias("resolved"), F.count_if(~done).alias("open"))
+
+
+def collision_counters(lives: DataFrame, edges: DataFrame, resolved: DataFrame, most: DataFrame) -> DataFrame:
+    """Per video: raw (bundles of several parents), single_in (bundles with a single animal among their parents), assignable (singles over
+    the most animals at once), and of the collisions in ``resolved`` how many pairs were named: whole (2), partial (1), assignments.
+
+    lives: (video, track, size), resolved: (video, track, pairs), most: (video, most). Videos without any have zeros.
+    """
+    up = edges.select("video", "parent", F.col("child").alias("track")).distinct().join(lives.select("video", F.col("track").alias("parent"), F.col("size").alias("_size")), ["video", "parent"])
+    met = up.groupBy("video", "track").agg(F.count("*").alias("p"), F.max(F.col("_size") == 1).alias("_single"))
+    rows = lives.join(met, ["video", "track"], "left")
+    bundle = F.col("size") > 1
+    counts = rows.groupBy("video").agg(F.count_if(bundle & (F.col("p") > 1)).alias("raw"), F.count_if(bundle & F.col("_single")).alias("single_in"), F.count_if(~bundle).alias("_singles"))
+    named = resolved.groupBy("video").agg(F.count_if(F.col("pairs") == 2).alias("whole"), F.count_if(F.col("pairs") == 1).alias("partial"), F.sum("pairs").alias("assignments"))
+    out = counts.join(most, "video", "left").join(named, "video", "left").fillna(0)
+    return out.select("video", "raw", "single_in", (F.col("_singles") - F.col("most")).alias("assignable"), "whole", "partial", "assignments")

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,24 +121,45 @@ def classified(objects: DataFrame, links: DataFrame) -> DataFrame:
     return both.unionByName(new).unionByName(lost)
 
 
-def track_ids(objects: DataFrame, classed: DataFrame) -> DataFrame:
+def track_ids(objects: DataFrame, classed: DataFrame, block: int = 64) -> DataFrame:
     """(video, frame, label, track): chains of 1->1 links share a track, numbered in each video by (first frame, label).
 
-    Pointer doubling: every object points to its predecessor, pointers are squared until none moves, the rounds being
-    the logarithm of the longest chain; each round is checkpointed.
+    Chains are followed within blocks of ``block`` frames first, each in one task. What is left are the chains' heads in each block, which
+    point to the head of the same chain in the block before; these pointers are squared until none moves, the rounds being
+    the logarithm of the number of blocks that the longest chain goes through; each round is checkpointed.
     """
-    node = F.struct("frame", "label")
-    prev = classed.where("kind = '1->1'").select("video", F.struct(F.col("frame"), F.col("b").alias("label")).alias("node"), F.struct((F.col("frame") - 1).alias("frame"), F.col("a").alias("label")).alias("up"))
-    points = objects.select("video", node.alias("node")).join(prev, ["video", "node"], "left").withColumn("up", F.coalesce("up", "node"))
-    points = saved(points)
+    kinds = dict(objects.dtypes)
+    links = classed.where("kind = '1->1'").select("video", "frame", F.col("b").alias("label"), F.col("a").alias("up"))
+    rows = objects.select("video", "frame", "label").join(links, ["video", "frame", "label"], "left").withColumn("block", F.floor(F.col("frame") / block))
+
+    def followed(pdf: pd.DataFrame) -> pd.DataFrame:
+        """head_frame, head_label: where the chain begins in the block; from: its label in the frame before, if that is of another block."""
+        pdf = pdf.sort_values("frame", kind="stable")
+        at: dict[tuple, tuple] = {}
+        found = []
+        for frame, label, up, known in zip(pdf["frame"], pdf["label"], pdf["up"], pdf["up"].notna(), strict=True):
+            come = None if not known else int(up) if isinstance(up, float) else up  # whole numbers with nulls come as floats
+            here = (at.get((frame - 1, come)) if known else None) or (frame, label, come)
+            at[frame, label] = here
+            found.append(here)
+        head = list(zip(*found, strict=True)) if found else [(), (), ()]
+        return pdf[["video", "frame", "label"]].assign(head_frame=list(head[0]), head_label=list(head[1]), come=pd.Series(list(head[2]), dtype=object, index=pdf.index))
+
+    label = kinds["label"]
+    chains = saved(rows.groupBy("video", "block").applyInPandas(followed, f"video {kinds['video']}, frame {kinds['frame']}, label {label}, head_frame {kinds['frame']}, head_label {label}, come {label}"))
+    node = lambda f, n: F.struct(F.col(f).alias("frame"), F.col(n).alias("label"))
+    heads = chains.where("frame = head_frame AND label = head_label").select("video", node("frame", "label").alias("node"), (F.col("frame") - 1).alias("frame"), F.col("come").alias("label"))
+    ups = chains.select("video", "frame", "label", node("head_frame", "head_label").alias("up"))
+    points = saved(heads.join(ups, ["video", "frame", "label"], "left").select("video", "node", F.coalesce("up", "node").alias("up")))
     while True:
         up = points.select("video", F.col("node").alias("up"), F.col("up").alias("top"))
-        points = saved(points.join(up, ["video", "up"]).select("video", "node", F.col("top").alias("next"), (F.col("top") != F.col("up")).alias("moved"), F.col("top").alias("up")).drop("next"))
+        points = saved(points.join(up, ["video", "up"]).select("video", "node", (F.col("top") != F.col("up")).alias("moved"), F.col("top").alias("up")))
         if not points.where("moved").limit(1).count():
             break
-    heads = points.select("video", "up").distinct()
-    numbers = heads.withColumn("track", F.row_number().over(Window.partitionBy("video").orderBy("up")))
-    return points.join(numbers, ["video", "up"]).select("video", "node.frame", "node.label", "track")
+    tops = points.select("video", "up").distinct()
+    numbers = tops.withColumn("track", F.row_number().over(Window.partitionBy("video").orderBy("up")))
+    named = points.join(numbers, ["video", "up"]).select("video", F.col("node.frame").alias("head_frame"), F.col("node.label").alias("head_label"), "track")
+    return chains.join(named, ["video", "head_frame", "head_label"]).select("video", "frame", "label", "track")
 
 
 def edges(classed: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -272,8 +294,35 @@ def rim_guarded(classed: DataFrame, objects: DataFrame, pixel_overlaps: DataFram
 
 
 def object_statistics(tracks: DataFrame) -> DataFrame:
-    """Per (video, track): rows, mean area, spread of width and perimeter, extremes of area."""
-    return tracks.groupBy("video", "track").agg(F.count("*").alias("n"), F.avg("area").alias("area_mean"), F.stddev_samp("width").alias("width_sd"), F.stddev_samp("perimeter").alias("perimeter_sd"), F.min("area").alias("area_min"), F.max("area").alias("area_max"))
+    """Per (video, track): rows, mean area, spread of length, width and perimeter, extremes of area; a spread is there if its column is."""
+    spread = [F.stddev_samp(c).alias(f"{c}_sd") for c in ("spine_length", "width", "perimeter") if c in tracks.columns]
+    return tracks.groupBy("video", "track").agg(F.count("*").alias("n"), F.avg("area").alias("area_mean"), *spread, F.min("area").alias("area_min"), F.max("area").alias("area_max"))
+
+
+def with_running_extremes(tracks: DataFrame, columns: Sequence[str] = ("area",)) -> DataFrame:
+    """Add c_sum, c_min and c_max of a track's rows so far."""
+    so_far = Window.partitionBy("video", "track").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    return tracks.withColumns({f"{c}_{n}": f(c).over(so_far) for c in columns for n, f in (("sum", F.sum), ("min", F.min), ("max", F.max))})
+
+
+def single_area(lives: DataFrame) -> DataFrame:
+    """(video, area): the mean area of objects of one animal, over 1.02; lives (video, size, area)."""
+    return lives.where("size = 1").groupBy("video").agg((F.avg("area") / 1.02).alias("area"))
+
+
+def set_matches(members: DataFrame, objects: DataFrame, size: float = 40.0, factor: float = 1.05, tolerance: float = 0.3) -> DataFrame:
+    """(video, frame, set, b, d, centred, sized): does a set of objects of the frame before fit the object b?
+
+    members: (video, frame, set, a, b). The set's centre is weighted by area, its area is the sum. centred: both axes within
+    (factor - 1) * size, sized: b's area within the tolerance of the sum, d: the distance along the axes.
+    """
+    part = objects.select("video", (F.col("frame") + 1).alias("frame"), F.col("label").alias("a"), F.col("cx").alias("_x"), F.col("cy").alias("_y"), F.col("area").alias("_w"))
+    whole = members.join(part, ["video", "frame", "a"]).groupBy("video", "frame", "set", "b").agg(F.sum("_w").alias("_area"), F.try_divide(F.sum(F.col("_x") * F.col("_w")), F.sum("_w")).alias("_cx"), F.try_divide(F.sum(F.col("_y") * F.col("_w")), F.sum("_w")).alias("_cy"))
+    one = objects.select("video", "frame", F.col("label").alias("b"), "cx", "cy", "area")
+    rows = whole.join(one, ["video", "frame", "b"])
+    x, y = (F.col("_cx"), F.col("cx")), (F.col("_cy"), F.col("cy"))
+    d = F.abs(x[0] - x[1]) + F.abs(y[0] - y[1])
+    return rows.select("video", "frame", "set", "b", d.alias("d"), centre_match(x[0], y[0], x[1], y[1], size, factor).alias("centred"), size_match(F.col("_area"), F.col("area"), tolerance).alias("sized"))
 
 
 def most_at_once(lives: DataFrame) -> DataFrame:

@@ -94,13 +94,21 @@ def t_quantiles(df: Sequence[Column], p: float) -> Column:
     return found(F.array(*[c.cast("double") for c in df]))
 
 
+#: So many counted values are summed up by a plain window, one task a key; so many ranks are sent to all tasks.
+FEW_VALUES, FEW_RANKS = 1_000_000, 200_000
+
+
 def running_below(counts: DataFrame, keys: Sequence[str], value: str, weight: str, name: str = "below") -> DataFrame:
     """Add the sum of ``weight`` over smaller values of the same keys; counts has one row for each of keys and value.
 
-    Rows are dealt out by ranges of (keys, value), summed within each range, and each range starts at the total of those
+    Over FEW_VALUES rows are dealt out by ranges of (keys, value), summed within each range, and each range starts at the total of those
     before it. So one key with all rows spreads over tasks; only totals, one a range and key, are ordered together.
     """
     keys = list(keys)
+    counts = saved(counts)
+    if counts.count() <= FEW_VALUES:
+        smaller = Window.partitionBy(*keys or [F.lit(0)]).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn(name, F.coalesce(F.sum(weight).over(smaller), F.lit(0)))
     dealt = saved(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
     totals = dealt.groupBy(*keys, "_part").agg(F.sum(weight).alias("_sum"))
     before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -229,9 +237,10 @@ def _as_ranks(rows: DataFrame, variables: Sequence[str], keys: Sequence[str]) ->
     keys = list(keys)
     counts = rows.unpivot(keys, list(variables), "_variable", "_value").groupBy(*keys, "_variable", "_value").agg(F.count("*").alias("_t"))
     ranks = saved(running_below(counts, [*keys, "_variable"], "_value", "_t", "_below").withColumn("_rank", F.col("_below") + (F.col("_t") + 1) / 2))
+    few = ranks.count() <= FEW_RANKS
     for v in variables:
         own = ranks.where(F.col("_variable") == v).select(*keys, F.col("_value").alias(v), "_rank")
-        rows = rows.join(own, [*keys, v]).withColumn(v, F.col("_rank")).drop("_rank")
+        rows = rows.join(F.broadcast(own) if few else own, [*keys, v]).withColumn(v, F.col("_rank")).drop("_rank")
     return rows
 
 

@@ -317,6 +317,13 @@ def _(spark, d):
     return rnd(binning.median_filtered(binning.heat_map(measures(spark, d), "bearing_angle", "distance_to_odor", "midpoint_speed", 8), 8))
 
 
+@query("d26_default_filter")
+def _(spark, d):
+    # the application's own grid and filter; tests hold ten passes against a loop
+    m = measures(spark, d).withColumn("time", F.col("frame") / 16)
+    return rnd(binning.named_heat_map(m, "bearing_distance", "HC_rate"))
+
+
 @query("d27_histogram", f"""{MEASURES}, r AS (SELECT id, area FROM measures), z AS (SELECT id, min(area) AS a, max(area) AS b FROM r GROUP BY id)
 SELECT id, CAST(least(10, coalesce(floor((area - a) * 10 / nullif(b - a, 0)), 0) + 1) AS INT) AS bin, count(*) AS n FROM r JOIN z USING (id) GROUP BY ALL""")
 def _(spark, d):

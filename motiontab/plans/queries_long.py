@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from motiontab.functions import segments
-from motiontab.operators import collisions, events, longtracks, partitions, queues
+from motiontab.operators import collisions, events, longtracks, partitions, queues, remaps
 from motiontab.plans.fixtures import frames, measures
 from motiontab.plans.queries import ORACLE_SQL, query, rnd
-from motiontab.plans.queries_more import _order_tracks, _steps
+from motiontab.plans.queries_more import _STAR, _order_tracks, _stars, _steps
 
 
 @query("c07_in_segments", ORACLE_SQL["c07_midpoint_speed"])
@@ -83,3 +83,56 @@ def _(spark, d):
     areas = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), (F.col(c) % n).cast("double").alias("area")) for k, c, n in ((0, "o_orderkey", 60), (1, "o_custkey", 80))])).alias("p")
     parts = order.select(F.lit("v").alias("video"), F.col("o_orderkey").alias("bundle"), areas).select("video", "bundle", "p.*")
     return partitions.best_partitions(items, parts).groupBy("bundle").agg(F.count("*").alias("items"), F.first("error").alias("error"))
+
+
+_BOTH = """WITH e AS (SELECT DISTINCT o_orderkey // 200 AS video, o_custkey % 50 AS parent, 50 + o_orderkey % 53 AS child FROM orders), b AS (SELECT video, parent, child FROM e UNION SELECT video, parent + 50, child + 1000 FROM e),
+l AS (SELECT DISTINCT video, child AS track, CASE WHEN child % 3 = 0 THEN 1 ELSE 2 END AS size, child % 11 = 0 AS round, 1 + child % 9 AS duration FROM b),
+u AS (SELECT b.video, b.child AS track, count(*) AS p, min(coalesce(l.size, 1)) AS least, bool_or(coalesce(l.round, false)) AS some, bool_or(l.size = 1) AS single FROM b LEFT JOIN l ON l.video = b.video AND l.track = b.parent GROUP BY ALL),
+c AS (SELECT video, parent AS track, count(DISTINCT child) AS c FROM b GROUP BY ALL)"""
+
+
+def _bundles(spark, d):
+    """(lives, edges): parents are renumbered onto children, so that tracks have both sides."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    e = o.select(F.expr("o_orderkey div 200").alias("video"), (F.col("o_custkey") % 50).alias("parent"), (50 + F.col("o_orderkey") % 53).alias("child")).distinct()
+    edges = e.unionAll(e.select("video", (F.col("parent") + 50).alias("parent"), (F.col("child") + 1000).alias("child"))).distinct()
+    t = F.col("track")
+    lives = edges.select("video", F.col("child").alias("track")).distinct().withColumns({"start": F.lit(0), "end": 1 + t % 9, "size": F.when(t % 3 == 0, 1).otherwise(2), "round": t % 11 == 0})
+    return lives, edges
+
+
+@query("h20_all_conditions", f"{_BOTH} SELECT l.video, l.track, l.duration FROM l JOIN u USING (video, track) JOIN c USING (video, track) WHERE p = 2 AND c = 2 AND size > 1 AND least = 1 AND NOT some AND duration <= 8")
+def _(spark, d):
+    return collisions.collision_candidates(*_bundles(spark, d), 8)
+
+
+@query("h22_collision_counters", f"""{_BOTH}, n AS (SELECT l.video, count(CASE WHEN size > 1 AND p > 1 THEN 1 END) AS raw, count(CASE WHEN size > 1 AND single THEN 1 END) AS single_in, count(CASE WHEN size = 1 THEN 1 END) - 3 AS assignable FROM l LEFT JOIN u USING (video, track) GROUP BY l.video),
+r AS (SELECT video, count(CASE WHEN track % 4 = 2 THEN 1 END) AS whole, count(CASE WHEN track % 4 = 1 THEN 1 END) AS partial, CAST(sum(track % 4 % 3) AS BIGINT) AS assignments FROM l WHERE size > 1 GROUP BY video)
+SELECT n.video, raw, single_in, assignable, coalesce(whole, 0) AS whole, coalesce(partial, 0) AS partial, coalesce(assignments, 0) AS assignments FROM n LEFT JOIN r USING (video)""")
+def _(spark, d):
+    lives, edges = _bundles(spark, d)
+    resolved = lives.where("size > 1").select("video", "track", (F.col("track") % 4 % 3).alias("pairs"))
+    return collisions.collision_counters(lives, edges, resolved, lives.select("video").distinct().withColumn("most", F.lit(3)))
+
+
+@query("h21_one_sided_pairing", """SELECT o_orderkey AS id, CASE WHEN abs(a) < abs(b) AND o_custkey % 3 <> 0 THEN 'out1' WHEN abs(a) > abs(b) AND o_custkey % 5 <> 0 THEN 'out2' END AS partner
+FROM (SELECT *, o_orderkey % 40 - o_custkey % 30 AS a, o_orderkey % 40 - o_orderkey % 33 AS b FROM orders)""")
+def _(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    places = {"x_in1": k % 40, "x_out1": c % 30, "x_out2": k % 33, "y_in1": F.lit(0), "y_out1": F.lit(0), "y_out2": F.lit(0)}
+    rows = o.select(k.alias("id"), *[x.cast("double").alias(n) for n, x in places.items()], F.when(c % 3 == 0, 2).otherwise(1).alias("size_out1"), F.when(c % 5 == 0, 2).otherwise(1).alias("size_out2"))
+    return collisions.one_sided_pairing(rows).select("id", "partner")
+
+
+@query("h25_remapped_collisions", f"""{_STAR}, g AS (SELECT *, id % 5 AS k, id // 5 % 3 AS turn FROM c), f AS (SELECT id // 5 AS five, count(*) AS n FROM g GROUP BY 1),
+w AS (SELECT g.* FROM g JOIN f ON f.five = g.id // 5 AND n = 5), r AS (SELECT CASE WHEN k = 3 THEN id - 3 WHEN k = 4 AND turn <> 1 THEN id - 3 ELSE id END AS id, k, turn, new1, id // 50 AS video FROM w)
+SELECT video, CAST(id AS BIGINT) AS id, CAST(new1 AS BIGINT) AS new1, CAST(1 AS BIGINT) AS bundle FROM r WHERE k >= 3 OR k = 1 AND turn <> 0""")
+def _(spark, d):
+    # of five customers two meet in a bundle and two leave it: both named, one named, or one named of a bundle of three
+    c = _stars(spark, d).withColumn("five", F.expr("id div 5"))
+    c = c.join(c.groupBy("five").agg(F.count("*").alias("n")).where("n = 5"), "five")
+    turn, k = F.col("five") % 3, F.col("id") % 5
+    rows = c.select(F.expr("id div 50").alias("video"), "id", "new1", "new2", "new3", F.lit(0).alias("origin"), F.when((turn == 2) & (k == 2), 3).otherwise(F.col("bundle")).alias("bundle"))
+    pairs = c.where((k == 3) | (k == 4) & (turn == 0)).select(F.expr("id div 50").alias("video"), F.col("id").alias("place"), F.col("id").alias("new"), (F.col("id") - 3).alias("old"))
+    return remaps.remapped_collisions(rows, pairs).select("video", "id", "new1", "bundle")

@@ -365,8 +365,8 @@ def _(spark, d):
 
 @query("h26_assignments")
 def _(spark, d):
-    s = collisions.collision_samples(_order_tracks(spark, d), _stars(spark, d), 2, "v", 5)
-    two = collisions.resolve_two(s, ratio=0.5, forced=True)
+    s = collisions.collision_samples(_order_tracks(spark, d), _stars(spark, d), 2, "v")
+    two = collisions.resolve_two(s, forced=True)
     outs = F.when(F.col("straight"), F.array(F.lit("out1"), F.lit("out2"))).otherwise(F.array(F.lit("out2"), F.lit("out1")))
     pairs = two.select("collision", "forced", F.posexplode(outs).alias("k", "outgoing")).withColumn("incoming", F.concat(F.lit("in"), (F.col("k") + 1).cast("string")))
     return collisions.assignments_of(s, pairs, "2x2")
@@ -380,7 +380,7 @@ def _(spark, d):
     role = F.concat(F.when(part < 3, "in").otherwise("out"), (part % 3 + 1).cast("string"))
     collision = F.concat_ws("-", "id", F.floor(F.col("frame") / 90))
     s = m.select(collision.alias("collision"), role.alias("role"), (F.col("midpoint_speed") + 10 * (part % 3)).alias("value"))
-    return rnd(collisions.resolve_three(s, ratio=0.5), digits=9)
+    return rnd(collisions.resolve_three(s), digits=9)
 
 
 @query("h22_counters", f"""{MEASURES}, r AS (SELECT id, frame, CASE WHEN frame % 3 = 0 THEN NULL ELSE frame % 2 = 0 END AS straight FROM measures) SELECT count(*) AS collisions, count(straight) AS resolved, count(*) - count(straight) AS open FROM r""")
@@ -397,10 +397,10 @@ def _(spark, d):
     return collisions.location_checked(r, True, 20.0, 40.0, (1.0, 2.0))
 
 
-@query("h29_merged_tracks", f"""{MEASURES}, x AS (SELECT CASE WHEN id = 0 THEN 1 ELSE id END AS id, CASE WHEN id = 1 THEN frame + 100000 ELSE frame END AS frame, area FROM measures WHERE id IN (1, 2, 3) OR (id = 0 AND frame < 20)),
+@query("h29_merged_tracks", f"""{MEASURES}, x AS (SELECT CASE WHEN id = 0 THEN 1 ELSE id END AS id, CASE WHEN id = 1 THEN frame + 100000 ELSE frame END AS frame, area FROM measures),
 z AS (SELECT id, frame, lead(frame) OVER (PARTITION BY id ORDER BY frame) AS n FROM x) SELECT id, frame, area FROM x UNION ALL SELECT id, unnest(range(frame + 1, n)) AS frame, NULL FROM z WHERE n > frame + 1""")
 def _(spark, d):
-    m = measures(spark, d).select("id", "frame", "area").where("id IN (1, 2, 3) OR (id = 0 AND frame < 20)")
+    m = measures(spark, d).select("id", "frame", "area")
     m = m.withColumn("frame", F.when(F.col("id") == 1, F.col("frame") + 100_000).otherwise(F.col("frame")))
     one = spark.range(1).select(F.lit(0).alias("incoming"), F.lit(1).alias("outgoing"))
     return collisions.merged_tracks(m, one)

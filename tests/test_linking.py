@@ -196,3 +196,25 @@ def test_grid_spares_most_pairs_of_a_crowded_frame(spark):
     assert "Cartesian" not in plan.toString() and "NestedLoop" not in plan.toString()
     cells = linking._in_cells(o.withColumn("l", F.lit(4)), F.col("l"), "minx", "maxx", "miny", "maxy").groupBy("frame", "gx", "gy").count()
     assert cells.agg(F.max("count")).first()[0] <= 9
+
+
+def test_track_ids_over_many_blocks(spark):
+    """Chains that begin, end and cross borders of blocks, with labels that change from frame to frame."""
+    pick, rows, links, want = random.Random(2), [], [], {}
+    for chain in range(30):
+        start, n = pick.randint(0, 80), pick.randint(1, 60)
+        labels = [100 * chain + pick.randint(0, 99) for _ in range(n)]
+        for k, label in enumerate(labels):
+            rows.append(("v" if chain % 3 else "w", start + k, label))
+            want[rows[-1]] = (rows[-1][0], start, labels[0])
+            if k:
+                links.append((rows[-1][0], start + k, labels[k - 1], label, "1->1"))
+        if n > 1:
+            links.append((rows[-1][0], start + n, labels[-1], 7, "N->1"))
+    o = spark.createDataFrame(rows, "video string, frame long, label long")
+    c = spark.createDataFrame(links, "video string, frame long, a long, b long, kind string")
+    numbers = {}
+    for head in sorted(set(want.values())):
+        numbers[head] = sum(h[0] == head[0] for h in numbers) + 1
+    got = {(r.video, r.frame, r.label): r.track for r in linking.track_ids(o, c, block=8).collect()}
+    assert got == {k: numbers[h] for k, h in want.items()}

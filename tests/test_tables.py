@@ -129,3 +129,88 @@ def test_significance_and_parallel_axes(spark):
     mean, within = 2.5, sum((k - 9.5) ** 2 for k in range(20)) * 2 / 38
     assert abs(rows["x", "far"].f - 40 * mean**2 / within) < 1e-9 and abs(rows["x", "same"].f) < 1e-12
     assert df.groupBy("group_condition").agg(F.count("*").alias("n")).count() == 2
+
+
+def test_named_heat_map_equals_ten_passes_of_a_loop(spark):
+    pick = random.Random(6)
+    rows = [(k, pick.uniform(-180, 180), pick.uniform(0, 40), pick.choice([None, 1, 0]), pick.uniform(-90, 90)) for k in range(400)]
+    df = spark.createDataFrame(rows, "frame int, bearing_angle double, distance_to_odor double, HCs int, bending_angle double")
+    n = 9
+
+    def loop(points, radius, passes):
+        (x0, x1), (y0, y1) = ((min(p[i] for p in points), max(p[i] for p in points)) for i in (0, 1))
+        cells = {}
+        for x, y, z in points:
+            key = min(n, int((x - x0) * n / (x1 - x0)) + 1), min(n, int((y - y0) * n / (y1 - y0)) + 1)
+            cells.setdefault(key, []).extend([] if z is None else [z])
+        grid = {k: sum(v) / len(v) for k, v in cells.items() if v}
+        for _ in range(passes):
+            new = {}
+            for i in range(1, n + 1):
+                for j in range(1, n + 1):
+                    near = sorted(v for (a, b), v in grid.items() if abs(a - i) <= radius and abs(b - j) <= radius)
+                    if near:
+                        m = len(near) // 2
+                        new[i, j] = near[m] if len(near) % 2 else (near[m - 1] + near[m]) / 2
+            grid = new
+        return grid
+
+    for axes, z, points in (("bearing_time", "HC_rate", [(r[1], r[0] / 16, r[3]) for r in rows]), ("time_distance", "abs_bending_angle", [(r[0] / 16, r[2], abs(r[4])) for r in rows])):
+        got = {(r.xbin, r.ybin): r.z for r in binning.named_heat_map(df, axes, z, n, 2, 10).collect() if r.z is not None}
+        want = loop(points, 2, 10)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_sets_and_running_extremes(spark):
+    from motiontab.operators import linking
+
+    rows = [("v", 0, 1, 10.0, 0.0, 100.0), ("v", 0, 2, 14.0, 0.0, 300.0), ("v", 1, 9, 13.5, 1.0, 390.0), ("v", 1, 8, 90.0, 1.0, 900.0)]
+    o = spark.createDataFrame(rows, "video string, frame int, label int, cx double, cy double, area double")
+    members = spark.createDataFrame([("v", 1, 0, 1, 9), ("v", 1, 0, 2, 9), ("v", 1, 1, 2, 8)], "video string, frame int, set int, a int, b int")
+    got = {r.set: (r.b, round(r.d, 6), r.centred, r.sized) for r in linking.set_matches(members, o).collect()}
+    assert got == {0: (9, 1.5, True, True), 1: (8, 77.0, False, False)}
+    t = spark.createDataFrame([("v", 1, k, a, a / 2) for k, a in enumerate([4.0, 2.0, 8.0])], "video string, track int, frame int, area double, spine_length double")
+    assert [(r.area_sum, r.area_min, r.area_max) for r in linking.with_running_extremes(t).orderBy("frame").collect()] == [(4.0, 4.0, 4.0), (6.0, 2.0, 4.0), (14.0, 2.0, 8.0)]
+    r = linking.object_statistics(t).first()
+    assert abs(r.spine_length_sd - math.sqrt(7 / 3)) < 1e-12 and (r.area_min, r.area_max, r.n) == (2.0, 8.0, 3)
+    lives = spark.createDataFrame([("v", 1, 102.0), ("v", 1, 306.0), ("v", 2, 900.0)], "video string, size int, area double")
+    assert linking.single_area(lives).first().area == 200.0
+
+
+def test_candidates_pairings_and_counters(spark):
+    edges = spark.createDataFrame([("v", p, c) for p, c in ((1, 10), (2, 10), (10, 20), (10, 21), (20, 30), (3, 30), (30, 40), (30, 41), (4, 50), (31, 50), (50, 60), (50, 61))], "video string, parent int, child int")
+    size = {10: 2, 30: 3, 20: 2, 50: 2, 31: 2}
+    tracks_ = sorted({1, 2, 3, 4, 10, 20, 21, 30, 31, 40, 41, 50, 60, 61})
+    lives = spark.createDataFrame([("v", t, 0, 5 if t != 50 else 500, size.get(t, 1), t == 3) for t in tracks_], "video string, track int, `start` int, `end` int, size int, round boolean")
+    names = lambda df: sorted(r.track for r in df.collect())
+    assert names(collisions.collision_candidates(lives.drop("size", "round"), edges, 10)) == [10, 30]
+    assert names(collisions.collision_candidates(lives, edges, 10)) == [10] and names(collisions.collision_candidates(lives.drop("round"), edges, 1000)) == [10, 30, 50]
+    resolved = spark.createDataFrame([("v", 10, 2), ("v", 30, 1), ("v", 50, 0)], "video string, track int, pairs int")
+    r = collisions.collision_counters(lives, edges, resolved, spark.createDataFrame([("v", 4)], "video string, most int")).first()
+    assert tuple(r) == ("v", 3, 3, 9 - 4, 1, 1, 3)
+    p = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0, 5.0, 0.0, 1, 1), (0.0, 0.0, 1.0, 0.0, 5.0, 0.0, 2, 1), (0.0, 0.0, 5.0, 0.0, 1.0, 0.0, 2, 1), (0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 1, 1)], "x_in1 double, y_in1 double, x_out1 double, y_out1 double, x_out2 double, y_out2 double, size_out1 int, size_out2 int")
+    assert [r.partner for r in collisions.one_sided_pairing(p).collect()] == ["out1", None, "out2", None]
+    gaps = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, 0.0), (1, 4, 3.0, 4.0, 0.0, 8.0)], "id int, frame int, spinepoint_x_6 double, spinepoint_y_6 double, centroid_x double, centroid_y double")
+    v = collisions.gap_velocities(gaps).orderBy("frame").collect()[1]
+    assert (v.velocity, v.centroid_velocity, v.velocity_max) == (20.0, 32.0, 20.0)
+
+
+def test_ranks_by_ranges_equal_those_by_windows(spark, monkeypatch):
+    pick = random.Random(9)
+    rows = [(k, pick.choice(["a", "a", "a", "b"]), float(pick.choice([0, 0, pick.randint(0, 300)])), float(pick.randint(0, 5))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id int, g string, x double, y double")
+    counts = df.groupBy("g", "x").agg(F.count("*").alias("c"))
+
+    def found():
+        below = sorted(map(tuple, stats.running_below(counts, ["g"], "x", "c").select("g", "x", "c", "below").collect()))
+        whole = sorted(map(tuple, stats.running_below(counts.groupBy("x").agg(F.sum("c").alias("c")), [], "x", "c").select("x", "below").collect()))
+        return below, whole, [(r.a, r.b, round(r.r, 12)) for r in stats.correlations(df, ["x", "y"], "spearman").collect()]
+
+    few = found()
+    monkeypatch.setattr(stats, "FEW_VALUES", 10)
+    monkeypatch.setattr(stats, "FEW_RANKS", 10)
+    assert found() == few
+    total = {}
+    for g, x, c, n in few[0]:
+        assert n == total.get(g, 0)
+        total[g] = n + c
