@@ -349,10 +349,11 @@ def collision_counters(lives: DataFrame, edges: DataFrame, resolved: DataFrame,
     """Per video: raw (bundles of several parents), single_in (bundles with a single animal among their parents), assignable (singles over
     the most animals at once), and of the collisions in ``resolved`` how many pairs were named: whole (2), partial (1), assignments.
 
-    lives: (video, track, size), resolved: (video, track, pairs), most: (video, most). Videos without any have zeros.
+    lives: (video, track, size), resolved: (video, track, pairs), most: (video, most). Videos without any have zeros; a parent that lives lacks
+    counts as one of unknown size.
     """
-    up = edges.select("video", "parent", F.col("child").alias("track")).distinct().join(lives.select("video", F.col("track").alias("parent"), F.col("size").alias("_size")), ["video", "parent"])
-    met = up.groupBy("video", "track").agg(F.count("*").alias("p"), F.max(F.col("_size") == 1).alias("_single"))
+    up = edges.select("video", "parent", F.col("child").alias("track")).distinct().join(lives.select("video", F.col("track").alias("parent"), F.col("size").alias("_size")), ["video", "parent"], "left")
+    met = up.groupBy("video", "track").agg(F.count("*").alias("p"), F.max(F.coalesce(F.col("_size") == 1, F.lit(False))).alias("_single"))
     rows = lives.join(met, ["video", "track"], "left")
     bundle = F.col("size") > 1
     counts = rows.groupBy("video").agg(F.count_if(bundle & (F.col("p") > 1)).alias("raw"), F.count_if(bundle & F.col("_single")).alias("single_in"), F.count_if(~bundle).alias("_singles"))

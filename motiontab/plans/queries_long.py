@@ -87,7 +87,7 @@ def _(spark, d):
 
 _BOTH = """WITH e AS (SELECT DISTINCT o_orderkey // 200 AS video, o_custkey % 50 AS parent, 50 + o_orderkey % 53 AS child FROM orders), b AS (SELECT video, parent, child FROM e UNION SELECT video, parent + 50, child + 1000 FROM e),
 l AS (SELECT DISTINCT video, child AS track, CASE WHEN child % 3 = 0 THEN 1 ELSE 2 END AS size, child % 11 = 0 AS round, 1 + child % 9 AS duration FROM b),
-u AS (SELECT b.video, b.child AS track, count(*) AS p, min(coalesce(l.size, 1)) AS least, bool_or(coalesce(l.round, false)) AS some, bool_or(l.size = 1) AS single FROM b LEFT JOIN l ON l.video = b.video AND l.track = b.parent GROUP BY ALL),
+u AS (SELECT b.video, b.child AS track, count(*) AS p, min(coalesce(l.size, 1)) AS least, bool_or(coalesce(l.round, false)) AS rounded, bool_or(l.size = 1) AS single FROM b LEFT JOIN l ON l.video = b.video AND l.track = b.parent GROUP BY ALL),
 c AS (SELECT video, parent AS track, count(DISTINCT child) AS c FROM b GROUP BY ALL)"""
 
 
@@ -101,7 +101,7 @@ def _bundles(spark, d):
     return lives, edges
 
 
-@query("h20_all_conditions", f"{_BOTH} SELECT l.video, l.track, l.duration FROM l JOIN u USING (video, track) JOIN c USING (video, track) WHERE p = 2 AND c = 2 AND size > 1 AND least = 1 AND NOT some AND duration <= 8")
+@query("h20_all_conditions", f"{_BOTH} SELECT l.video, l.track, l.duration FROM l JOIN u USING (video, track) JOIN c USING (video, track) WHERE p = 2 AND c = 2 AND size > 1 AND least = 1 AND NOT rounded AND duration <= 8")
 def _(spark, d):
     return collisions.collision_candidates(*_bundles(spark, d), 8)
 
