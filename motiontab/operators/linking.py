@@ -11,7 +11,6 @@ import heapq
 import math
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,32 +120,39 @@ def classified(objects: DataFrame, links: DataFrame) -> DataFrame:
     return both.unionByName(new).unionByName(lost)
 
 
-def track_ids(objects: DataFrame, classed: DataFrame, block: int = 64) -> DataFrame:
+def track_ids(objects: DataFrame, classed: DataFrame, block: int = 2048) -> DataFrame:
     """(video, frame, label, track): chains of 1->1 links share a track, numbered in each video by (first frame, label).
 
-    Chains are followed within blocks of ``block`` frames first, each in one task. What is left are the chains' heads in each block, which
-    point to the head of the same chain in the block before; these pointers are squared until none moves, the rounds being
-    the logarithm of the number of blocks that the longest chain goes through; each round is checkpointed.
+    Chains are followed within blocks of ``block`` frames first: a task reads a block in the order of frames and holds two of them. What
+    is left are the chains' heads in each block, which point to the head of the same chain in the block before; these pointers are
+    squared until none moves, the rounds being the logarithm of the number of blocks that the longest chain goes through.
     """
     kinds = dict(objects.dtypes)
     links = classed.where("kind = '1->1'").select("video", "frame", F.col("b").alias("label"), F.col("a").alias("up"))
     rows = objects.select("video", "frame", "label").join(links, ["video", "frame", "label"], "left").withColumn("block", F.floor(F.col("frame") / block))
+    dealt = rows.repartition("video", "block").sortWithinPartitions("video", "block", "frame")
 
-    def followed(pdf: pd.DataFrame) -> pd.DataFrame:
-        """head_frame, head_label: where the chain begins in the block; from: its label in the frame before, if that is of another block."""
-        pdf = pdf.sort_values("frame", kind="stable")
-        at: dict[tuple, tuple] = {}
-        found = []
-        for frame, label, up, known in zip(pdf["frame"], pdf["label"], pdf["up"], pdf["up"].notna(), strict=True):
-            come = None if not known else int(up) if isinstance(up, float) else up  # whole numbers with nulls come as floats
-            here = (at.get((frame - 1, come)) if known else None) or (frame, label, come)
-            at[frame, label] = here
-            found.append(here)
-        head = list(zip(*found, strict=True)) if found else [(), (), ()]
-        return pdf[["video", "frame", "label"]].assign(head_frame=list(head[0]), head_label=list(head[1]), come=pd.Series(list(head[2]), dtype=object, index=pdf.index))
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """head_frame, head_label: where the chain begins in the block; come: its label in the frame before, if that is of another block."""
+        at: tuple | None = None
+        before: dict = {}  # label -> where its chain begins, in the frame before and in this one
+        here: dict = {}
+        for batch in batches:
+            found = []
+            for video, part, frame, label, up in zip(*(batch.column(c).to_pylist() for c in ("video", "block", "frame", "label", "up")), strict=True):
+                if at != (video, part, frame):
+                    before = here if at is not None and at == (video, part, frame - 1) else {}
+                    at, here = (video, part, frame), {}
+                head = before.get(up) if up is not None else None
+                here[label] = head or (frame, label)
+                found.append((*here[label], None if head else up))
+            columns = list(zip(*found, strict=True)) if found else [(), (), ()]
+            types = [batch.schema.field(c).type for c in ("frame", "label", "label")]
+            own = [batch.column(c) for c in ("video", "frame", "label")]
+            yield pa.record_batch([*own, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["video", "frame", "label", "head_frame", "head_label", "come"])
 
     label = kinds["label"]
-    chains = saved(rows.groupBy("video", "block").applyInPandas(followed, f"video {kinds['video']}, frame {kinds['frame']}, label {label}, head_frame {kinds['frame']}, head_label {label}, come {label}"))
+    chains = saved(dealt.mapInArrow(followed, f"video {kinds['video']}, frame {kinds['frame']}, label {label}, head_frame {kinds['frame']}, head_label {label}, come {label}"))
     node = lambda f, n: F.struct(F.col(f).alias("frame"), F.col(n).alias("label"))
     heads = chains.where("frame = head_frame AND label = head_label").select("video", node("frame", "label").alias("node"), (F.col("frame") - 1).alias("frame"), F.col("come").alias("label"))
     ups = chains.select("video", "frame", "label", node("head_frame", "head_label").alias("up"))
