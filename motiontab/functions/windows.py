@@ -52,25 +52,6 @@ def after(x, rows: int = 1, *keys: str) -> Column:
     return F.lead(column(x), rows).over(track(*keys))
 
 
-def last_where(test: Column, x: Column, *keys: str) -> Column:
-    """x at the last earlier row that passes the test, nulls included; null without one."""
-    held = F.last(F.when(test, F.struct(x.alias("x"))), ignorenulls=True)
-    return held.over(track(*keys).rowsBetween(Window.unboundedPreceding, -1))["x"]
-
-
-def next_where(test: Column, x: Column, *keys: str) -> Column:
-    """x at the next row that passes the test; read backwards, so that a track costs one pass."""
-    back = whole(*keys).orderBy(F.desc("frame"))
-    return F.last(F.when(test, F.struct(x.alias("x"))), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))["x"]
-
-
-def running_sum(x, *keys: str) -> Column:
-    """Sum so far, nulls counted as 0; null where x is."""
-    x = column(x)
-    total = F.sum(F.coalesce(x, F.lit(0.0))).over(track(*keys).rowsBetween(Window.unboundedPreceding, 0))
-    return F.when(x.isNotNull(), total)
-
-
 def position(*keys: str) -> Column:
     """1-based row number in the track; gaps in frame do not count."""
     return F.row_number().over(track(*keys))
@@ -79,7 +60,3 @@ def position(*keys: str) -> Column:
 def z_score(x, *keys: str) -> Column:
     x, w = column(x), whole(*keys)
     return F.try_divide(x - F.avg(x).over(w), F.stddev_samp(x).over(w))
-
-
-def between_rows(x, first: int, last: int, how, *keys: str) -> Column:
-    return how(column(x)).over(track(*keys).rowsBetween(first, last))
