@@ -11,6 +11,7 @@ from test_linededup import tokens
 from test_ngramjoin import brute as components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+DATA = "/root/testdata/sf0.001"
 BASE = {"de": "über die größe schöner häuser", "en": "why the key walks with him", "es": "el niño más pequeño corrió", "fr": "été où le garçon à l'école"}
 
 
@@ -106,3 +107,34 @@ def test_packing_stage_and_run(spark, stage, tmp_path):
         docs = function(spark, docs, str(tmp_path))
     totals = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert totals(corpus_pipeline.run(spark, str(tmp_path))) == totals(docs)
+
+
+def odd_documents(spark):
+    text = "the quick line of words that says a thing about the other line\n" * 3
+    rows = [(1, None, None, None, None), (2, "", "en", "src1", 0), (None, "some words that stand alone here and say nothing else at all", "en", "src1", 60), (3, text, "en", "src1", 200), (3, text, "en", "src1", 200), (4, "wort und " * 20_000, "de", "src2", 180_000), (5, " \n\t\n ", "fr", "src3", 5)]
+    return spark.createDataFrame([(*r, "clash", 1.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, rate string, line double")
+
+
+def test_stages_on_odd_rows_and_extra_columns(spark):
+    """What the docstrings say of nulls, empty, blank and long texts, equal rows, rows without an id and other columns."""
+    docs = odd_documents(spark)
+    out = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, docs, DATA)
+        assert tuple(df.columns) == corpus_pipeline.COLUMNS
+        out[name] = [(r.doc_id, r.text) for r in df.collect()]
+    ids = lambda name: sorted((i is None, i or 0) for i, _ in out[name])
+    count = lambda name, i: sum(d == i for d, _ in out[name])
+    assert count("quality classifier", 3) in (0, 2) and all(count("quality classifier", i) <= 1 for i in (1, 2, 4, 5, None))
+    assert (count("line dedup", 1), count("line dedup", 2), count("line dedup", 5), count("line dedup", 3)) == (1, 1, 1, 1)
+    assert [t.count("\n") for i, t in out["line dedup"] if i == 3] != [3]
+    assert ids("n-gram Jaccard join") == [(False, 1), (False, 2), (False, 3), (False, 3), (False, 4), (False, 5), (True, 0)]
+    copies = {i: count("source mixing", i) for i in (1, 2, 3, 4, 5, None)}
+    assert all(1 <= n <= corpus_pipeline.MOST_COPIES for i, n in copies.items() if i != 3) and copies[3] % 2 == 0 and 2 <= copies[3] <= 2 * corpus_pipeline.MOST_COPIES
+    pieces = corpus_pipeline.packing_stage(spark, docs, DATA).collect()
+    assert {r.doc_id for r in pieces} == {1, 2, 3, 4, 5, None} and sum(r.doc_tokens == 1 for r in pieces) == 3 and max(r.length for r in pieces) <= 4096
+
+
+def test_stages_on_an_empty_table(spark):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd_documents(spark).where("false"), DATA).count() == 0
