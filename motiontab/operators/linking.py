@@ -19,6 +19,11 @@ from motiontab.functions.geometry import column
 from motiontab.operators.saving import saved
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """``df`` for a join by shuffles: a table with a row for each object or link is small in its file and large in a driver that would broadcast it."""
+    return df.hint("merge")
+
+
 def _side(objects: DataFrame, mark: str, shift: int = 0) -> DataFrame:
     names = ("label", "minx", "maxx", "miny", "maxy", "cx", "cy", "area")
     return objects.select("video", (F.col("frame") + shift).alias("frame"), *[F.col(c).alias(f"{mark}{c}") for c in names])
@@ -69,7 +74,7 @@ def box_links(objects: DataFrame, least_overlap: float = 0.1) -> DataFrame:
         return rows.withColumn("way", F.explode(ways)).drop("own", "_l")
 
     keys = ["video", "frame", "level", "gx", "gy", "way"]
-    both = side(a, "a_", "coarse a", "coarse b").join(side(b, "b_", "coarse b", "coarse a"), keys)
+    both = side(a, "a_", "coarse a", "coarse b").join(_apart(side(b, "b_", "coarse b", "coarse a")), keys)
     left, low = F.greatest("a_minx", "b_minx"), F.greatest("a_miny", "b_miny")
     width, height = F.least("a_maxx", "b_maxx") - left, F.least("a_maxy", "b_maxy") - low
     one = (_place(left, F.col("level")) == F.col("gx")) & (_place(low, F.col("level")) == F.col("gy"))
@@ -82,8 +87,8 @@ def pixel_links(pixels: DataFrame, least_overlap: float = 0.1) -> DataFrame:
     """The same from pixels (video, frame, label, x, y): shared pixels over b's pixels."""
     size = pixels.groupBy("video", "frame", F.col("label").alias("b")).agg(F.count("*").alias("n"))
     a = pixels.select("video", (F.col("frame") + 1).alias("frame"), "x", "y", F.col("label").alias("a"))
-    shared = a.join(pixels.withColumnRenamed("label", "b"), ["video", "frame", "x", "y"]).groupBy("video", "frame", "a", "b").agg(F.count("*").alias("s"))
-    return shared.join(size, ["video", "frame", "b"]).withColumn("overlap", F.col("s") / F.col("n")).where(F.col("overlap") > least_overlap).select("video", "frame", "a", "b", "overlap")
+    shared = a.join(_apart(pixels.withColumnRenamed("label", "b")), ["video", "frame", "x", "y"]).groupBy("video", "frame", "a", "b").agg(F.count("*").alias("s"))
+    return shared.join(_apart(size), ["video", "frame", "b"]).withColumn("overlap", F.col("s") / F.col("n")).where(F.col("overlap") > least_overlap).select("video", "frame", "a", "b", "overlap")
 
 
 def neighbours(objects: DataFrame, pad: float = 0.75) -> DataFrame:
@@ -97,7 +102,7 @@ def neighbours(objects: DataFrame, pad: float = 0.75) -> DataFrame:
     a = a.where("x0 IS NOT NULL AND x1 >= x0 AND y0 IS NOT NULL AND y1 >= y0").withColumn("own", _level("x0", "x1", "y0", "y1"))
     levels = F.explode(F.array(*map(F.lit, _levels(a))).cast("array<int>"))
     b = b.where("b_cx IS NOT NULL AND b_cy IS NOT NULL").withColumn("_l", levels)
-    both = _in_cells(a, F.col("own"), "x0", "x1", "y0", "y1").join(_in_cells(b, F.col("_l"), "b_cx", "b_cx", "b_cy", "b_cy"), ["video", "frame", "level", "gx", "gy"])
+    both = _in_cells(a, F.col("own"), "x0", "x1", "y0", "y1").join(_apart(_in_cells(b, F.col("_l"), "b_cx", "b_cx", "b_cy", "b_cy")), ["video", "frame", "level", "gx", "gy"])
     near = F.col("b_cx").between(F.col("x0"), F.col("x1")) & F.col("b_cy").between(F.col("y0"), F.col("y1"))
     d = F.abs(F.col("a_cx") - F.col("b_cx")) + F.abs(F.col("a_cy") - F.col("b_cy"))
     rank = F.row_number().over(Window.partitionBy("video", "frame", "a_label").orderBy(d, "b_label"))
@@ -114,9 +119,9 @@ def classified(objects: DataFrame, links: DataFrame) -> DataFrame:
     both = both.select("video", "frame", "a", "b", kind.alias("kind"))
     here = objects.select("video", "frame", "label")
     last = objects.groupBy("video").agg(F.max("frame").alias("last"))
-    new = here.withColumnRenamed("label", "b").join(links, ["video", "frame", "b"], "left_anti").select("video", "frame", F.lit(None).cast(objects.schema["label"].dataType).alias("a"), "b", F.lit("NEW").alias("kind"))
+    new = here.withColumnRenamed("label", "b").join(_apart(links), ["video", "frame", "b"], "left_anti").select("video", "frame", F.lit(None).cast(objects.schema["label"].dataType).alias("a"), "b", F.lit("NEW").alias("kind"))
     gone = here.join(last, "video").where("frame < last").select("video", (F.col("frame") + 1).alias("frame"), F.col("label").alias("a"))
-    lost = gone.join(links, ["video", "frame", "a"], "left_anti").select("video", "frame", "a", F.lit(None).cast(objects.schema["label"].dataType).alias("b"), F.lit("LOST").alias("kind"))
+    lost = gone.join(_apart(links), ["video", "frame", "a"], "left_anti").select("video", "frame", "a", F.lit(None).cast(objects.schema["label"].dataType).alias("b"), F.lit("LOST").alias("kind"))
     return both.unionByName(new).unionByName(lost)
 
 
@@ -129,7 +134,7 @@ def track_ids(objects: DataFrame, classed: DataFrame, block: int = 2048) -> Data
     """
     kinds = dict(objects.dtypes)
     links = classed.where("kind = '1->1'").select("video", "frame", F.col("b").alias("label"), F.col("a").alias("up"))
-    rows = objects.select("video", "frame", "label").join(links, ["video", "frame", "label"], "left").withColumn("block", F.floor(F.col("frame") / block))
+    rows = objects.select("video", "frame", "label").join(_apart(links), ["video", "frame", "label"], "left").withColumn("block", F.floor(F.col("frame") / block))
     dealt = rows.repartition("video", "block").sortWithinPartitions("video", "block", "frame")
 
     def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,16 +161,16 @@ def track_ids(objects: DataFrame, classed: DataFrame, block: int = 2048) -> Data
     node = lambda f, n: F.struct(F.col(f).alias("frame"), F.col(n).alias("label"))
     heads = chains.where("frame = head_frame AND label = head_label").select("video", node("frame", "label").alias("node"), (F.col("frame") - 1).alias("frame"), F.col("come").alias("label"))
     ups = chains.select("video", "frame", "label", node("head_frame", "head_label").alias("up"))
-    points = saved(heads.join(ups, ["video", "frame", "label"], "left").select("video", "node", F.coalesce("up", "node").alias("up")))
+    points = saved(heads.join(_apart(ups), ["video", "frame", "label"], "left").select("video", "node", F.coalesce("up", "node").alias("up")))
     while True:
         up = points.select("video", F.col("node").alias("up"), F.col("up").alias("top"))
-        points = saved(points.join(up, ["video", "up"]).select("video", "node", (F.col("top") != F.col("up")).alias("moved"), F.col("top").alias("up")))
+        points = saved(points.join(_apart(up), ["video", "up"]).select("video", "node", (F.col("top") != F.col("up")).alias("moved"), F.col("top").alias("up")))
         if not points.where("moved").limit(1).count():
             break
     tops = points.select("video", "up").distinct()
     numbers = tops.withColumn("track", F.row_number().over(Window.partitionBy("video").orderBy("up")))
-    named = points.join(numbers, ["video", "up"]).select("video", F.col("node.frame").alias("head_frame"), F.col("node.label").alias("head_label"), "track")
-    return chains.join(named, ["video", "head_frame", "head_label"]).select("video", "frame", "label", "track")
+    named = points.join(_apart(numbers), ["video", "up"]).select("video", F.col("node.frame").alias("head_frame"), F.col("node.label").alias("head_label"), "track")
+    return chains.join(_apart(named), ["video", "head_frame", "head_label"]).select("video", "frame", "label", "track")
 
 
 def edges(classed: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -173,7 +178,7 @@ def edges(classed: DataFrame, tracks: DataFrame) -> DataFrame:
     a = tracks.select("video", (F.col("frame") + 1).alias("frame"), F.col("label").alias("a"), F.col("track").alias("parent"))
     b = tracks.select("video", "frame", F.col("label").alias("b"), F.col("track").alias("child"))
     some = classed.where("kind IN ('N->1', '1->N', 'N->N')")
-    return some.join(a, ["video", "frame", "a"]).join(b, ["video", "frame", "b"]).select("video", "parent", "child", "frame", "kind").distinct()
+    return some.join(_apart(a), ["video", "frame", "a"]).join(_apart(b), ["video", "frame", "b"]).select("video", "parent", "child", "frame", "kind").distinct()
 
 
 def exit_code(x: Column, y: Column, radius: float, left: tuple[float, float] | None, right: tuple[float, float] | None) -> Column:
@@ -294,7 +299,7 @@ def rim_guarded(classed: DataFrame, objects: DataFrame, pixel_overlaps: DataFram
     far = F.pow(F.col("cx") - F.lit(centre[0]), F.lit(2.0)) + F.pow(F.col("cy") - F.lit(centre[1]), F.lit(2.0)) > (share * radius) ** 2
     places = objects.select("video", "frame", F.col("label").alias("b"), far.alias("_far"))
     both = pixel_overlaps.select("video", "frame", "a", "b", (F.col("of_b") - F.col("of_a")).alias("_gap"))
-    rows = classed.join(places, ["video", "frame", "b"], "left").join(both, ["video", "frame", "a", "b"], "left")
+    rows = classed.join(_apart(places), ["video", "frame", "b"], "left").join(_apart(both), ["video", "frame", "a", "b"], "left")
     test = (F.col("kind") == "1->1") & F.col("_far")
     return rows.withColumn("rim", F.when(test & (F.col("_gap") > gap), "split").when(test & (F.col("_gap") < -gap), "merge")).drop("_far", "_gap")
 
@@ -323,9 +328,9 @@ def set_matches(members: DataFrame, objects: DataFrame, size: float = 40.0, fact
     (factor - 1) * size, sized: b's area within the tolerance of the sum, d: the distance along the axes.
     """
     part = objects.select("video", (F.col("frame") + 1).alias("frame"), F.col("label").alias("a"), F.col("cx").alias("_x"), F.col("cy").alias("_y"), F.col("area").alias("_w"))
-    whole = members.join(part, ["video", "frame", "a"]).groupBy("video", "frame", "set", "b").agg(F.sum("_w").alias("_area"), F.try_divide(F.sum(F.col("_x") * F.col("_w")), F.sum("_w")).alias("_cx"), F.try_divide(F.sum(F.col("_y") * F.col("_w")), F.sum("_w")).alias("_cy"))
+    whole = members.join(_apart(part), ["video", "frame", "a"]).groupBy("video", "frame", "set", "b").agg(F.sum("_w").alias("_area"), F.try_divide(F.sum(F.col("_x") * F.col("_w")), F.sum("_w")).alias("_cx"), F.try_divide(F.sum(F.col("_y") * F.col("_w")), F.sum("_w")).alias("_cy"))
     one = objects.select("video", "frame", F.col("label").alias("b"), "cx", "cy", "area")
-    rows = whole.join(one, ["video", "frame", "b"])
+    rows = whole.join(_apart(one), ["video", "frame", "b"])
     x, y = (F.col("_cx"), F.col("cx")), (F.col("_cy"), F.col("cy"))
     d = F.abs(x[0] - x[1]) + F.abs(y[0] - y[1])
     return rows.select("video", "frame", "set", "b", d.alias("d"), centre_match(x[0], y[0], x[1], y[1], size, factor).alias("centred"), size_match(F.col("_area"), F.col("area"), tolerance).alias("sized"))

@@ -218,3 +218,14 @@ def test_track_ids_over_many_blocks(spark):
         numbers[head] = sum(h[0] == head[0] for h in numbers) + 1
     got = {(r.video, r.frame, r.label): r.track for r in linking.track_ids(o, c, block=8).collect()}
     assert got == {k: numbers[h] for k, h in want.items()}
+
+
+def test_no_table_of_objects_is_broadcast(spark):
+    """The driver held the boxes of all cells where their file was small; one row for each video may go to all tasks."""
+    o = meeting(spark)
+    c = linking.classified(o, linking.box_links(o))
+    shares = c.where("a IS NOT NULL AND b IS NOT NULL").select("video", "frame", "a", "b", F.lit(0.1).alias("of_a"), F.lit(0.9).alias("of_b"))
+    rim = linking.rim_guarded(c, o, shares, 1.0)
+    plan = rim._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") <= 1 < plan.count("SortMergeJoin")
+    assert sorted((r.frame, r.a, r.b) for r in rim.where("rim = 'split'").collect()) == [(1, 1, 1), (1, 2, 2), (3, 3, 3)]
