@@ -55,6 +55,15 @@ def _levels(*sides: DataFrame) -> list[int]:
     return sorted(r[0] for r in every.where("own IS NOT NULL").distinct().collect())
 
 
+def _ways(rows: DataFrame, mark: str, levels: list[int], first: str, second: str) -> DataFrame:
+    """At its own level an object meets those whose own level it is, and finer ones if there are; at coarser levels the coarse ones."""
+    rows = rows.withColumn("_l", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x >= F.col("own"))))
+    rows = _in_cells(rows, F.col("_l"), *(f"{mark}{c}" for c in ("minx", "maxx", "miny", "maxy")))
+    own = F.when(F.col("level") > F.lit(min(levels, default=0)), F.array(F.lit("alike"), F.lit(first))).otherwise(F.array(F.lit("alike")))
+    ways = F.when(F.col("level") == F.col("own"), own).otherwise(F.array(F.lit(second)))
+    return rows.withColumn("way", F.explode(ways)).drop("own", "_l")
+
+
 def box_links(objects: DataFrame, least_overlap: float = 0.1) -> DataFrame:
     """(video, frame, a, b, overlap): object a of frame - 1 and b of frame whose boxes share more than ``least_overlap``
     of b's box.
@@ -64,17 +73,10 @@ def box_links(objects: DataFrame, least_overlap: float = 0.1) -> DataFrame:
     """
     box = lambda m: (f"{m}minx", f"{m}maxx", f"{m}miny", f"{m}maxy")
     a, b = (_side(objects, m, k).where(" AND ".join(f"{c} IS NOT NULL" for c in box(m))).withColumn("own", _level(*box(m))) for m, k in (("a_", 1), ("b_", 0)))
-    levels = F.array(*map(F.lit, _levels(a, b))).cast("array<int>")
-
-    def side(rows: DataFrame, mark: str, first: str, second: str) -> DataFrame:
-        """At its own level an object meets those whose own level it is, and finer ones; at coarser levels the coarse ones."""
-        rows = rows.withColumn("_l", F.explode(F.filter(levels, lambda x: x >= F.col("own"))))
-        rows = _in_cells(rows, F.col("_l"), *box(mark))
-        ways = F.when(F.col("level") == F.col("own"), F.array(F.lit("alike"), F.lit(first))).otherwise(F.array(F.lit(second)))
-        return rows.withColumn("way", F.explode(ways)).drop("own", "_l")
-
+    levels = _levels(b)  # both sides are the same boxes
+    a, b = _ways(a, "a_", levels, "coarse a", "coarse b"), _ways(b, "b_", levels, "coarse b", "coarse a")
     keys = ["video", "frame", "level", "gx", "gy", "way"]
-    both = side(a, "a_", "coarse a", "coarse b").join(_apart(side(b, "b_", "coarse b", "coarse a")), keys)
+    both = a.join(_apart(b), keys)
     left, low = F.greatest("a_minx", "b_minx"), F.greatest("a_miny", "b_miny")
     width, height = F.least("a_maxx", "b_maxx") - left, F.least("a_maxy", "b_maxy") - low
     one = (_place(left, F.col("level")) == F.col("gx")) & (_place(low, F.col("level")) == F.col("gy"))

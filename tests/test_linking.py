@@ -229,3 +229,11 @@ def test_no_table_of_objects_is_broadcast(spark):
     plan = rim._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") <= 1 < plan.count("SortMergeJoin")
     assert sorted((r.frame, r.a, r.b) for r in rim.where("rim = 'split'").collect()) == [(1, 1, 1), (1, 2, 2), (3, 3, 3)]
+
+
+def test_boxes_of_one_level_are_dealt_once(spark):
+    """Copies for finer boxes are only made where there are any."""
+    o = spark.createDataFrame([box(f, k, 30.0 * k + 8.0) for f in (1, 2) for k in range(4)], SCHEMA)
+    rows = linking._side(o, "b_").withColumn("own", F.lit(4))
+    dealt = lambda levels: linking._ways(rows, "b_", levels, "x", "y").select("way").collect()
+    assert {r.way for r in dealt([4])} == {"alike"} and {r.way for r in dealt([3, 4, 5])} == {"alike", "x", "y"}
