@@ -1,9 +1,11 @@
 import math
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from motiontab.functions import geometry as g
 from motiontab.operators import stats
+from motiontab.plans.oracle import angle
 from pyspark.sql import functions as F
 
 number = st.floats(-100, 100, allow_nan=False).filter(lambda v: abs(v) > 1e-3)
@@ -41,3 +43,16 @@ def test_kernels():
     assert abs(stats.rank_sum_p(0, 3, 3, 0.0) - 0.1) < 1e-12 and stats.rank_sum_p(4.5, 3, 3, 6.0) == 1.0
     assert abs(stats.rank_sum_p(25 * 25 / 2, 25, 25, 0.0) - 1) < 0.02 and stats.rank_sum_p(0, 0, 3, 0.0) is None
     assert abs(stats.rank_sum_p(100, 20, 15, 0.0) - stats.rank_sum_p(200, 20, 15, 0.0)) < 1e-12
+
+
+def test_opposite_vectors_turn_as_in_sql(spark):
+    """The sign of half a turn hangs on the last bit of the arctangents, in which Java's and C's differ."""
+    rows = [(float(k * x), float(k * y), float(-x), float(-y)) for x in range(-30, 31, 3) for y in range(-40, 41, 5) for k in (1, 2, 3) if (x, y) != (0, 0)]
+    df = spark.createDataFrame([*rows, (3.0, 4.0, 4.0, -3.0), (None, 1.0, 2.0, 3.0)], "ax double, ay double, bx double, by double")
+    got = [r[0] for r in df.select(g.clockwise_angle_of_steps("ax", "ay", "bx", "by")).collect()]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE v (ax DOUBLE, ay DOUBLE, bx DOUBLE, cy DOUBLE)")
+    con.executemany("INSERT INTO v VALUES (?, ?, ?, ?)", rows)
+    want = [r[0] for r in con.sql(f"SELECT {angle('ax', 'ay', 'bx', 'cy')} FROM v ORDER BY rowid").fetchall()]
+    assert [round(x, 6) for x in got[: len(rows)]] == [round(x, 6) for x in want] and {180.0, -180.0} == {round(x, 6) for x in want}
+    assert abs(got[-2] - 90) < 1e-9 and got[-1] is None
