@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motiontab.operators.saving import saved
 
 KEY = ["video", "bundle"]
+#: Bundles with up to DEALS deals of their items to their parts are tried out where they are, CELLS sums at a time.
+DEALS, CELLS = 1 << 17, 1 << 20
 
 
 def _areas(parts: Column) -> Column:
@@ -20,17 +24,73 @@ def _over(sums: Column, areas: Column, sign: int) -> Column:
     return F.aggregate(gaps, F.lit(0.0), lambda x, y: x + y)
 
 
+def _best_deals(areas: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(errors, picked parts) of bundles (rows) with equally many items and parts; of equal deals the first in the order of picks."""
+    n, m = areas.shape[1], parts.shape[1]
+    sums, used = np.zeros((len(areas), 1, m)), np.zeros(1, dtype=np.int64)
+    for k in range(n):
+        grown = np.repeat(sums[:, :, None], m, axis=2)
+        for p in range(m):
+            grown[:, :, p, p] += areas[:, k, None]
+        sums, used = grown.reshape(len(areas), -1, m), (used[:, None] | (1 << np.arange(m))).ravel()
+    whole = np.flatnonzero(used == (1 << m) - 1)
+    over, lack = np.zeros((2, len(areas), len(whole)))
+    for p in range(m):
+        gap = sums[:, whole, p] - parts[:, p, None]
+        over += np.maximum(0.0, gap)
+        lack += np.maximum(0.0, -gap)
+    error = over + lack
+    at = np.where(np.isnan(error), np.inf, error).argmin(axis=1)
+    return error[np.arange(len(at)), at], whole[at, None] // m ** np.arange(n - 1, -1, -1) % m
+
+
+def _tried(areas: pa.Array, parts: pa.Array) -> pa.Array:
+    """Every deal of each row's areas (largest first) to its parts; rows of one shape are gone through together."""
+    n, m = (np.asarray(x.value_lengths()) for x in (areas, parts))
+    flat = [np.asarray(x.flatten(), dtype=float) for x in (areas, parts)]
+    start = [np.cumsum(x) - x for x in (n, m)]
+    error, ends = np.empty(len(n)), np.cumsum(n)
+    picked = np.empty(int(n.sum()), dtype=np.int32)
+    for i, j in set(zip(n.tolist(), m.tolist(), strict=True)):
+        rows = np.flatnonzero((n == i) & (m == j))
+        size = max(1, CELLS // (j ** (i + 1)))
+        for at in np.split(rows, range(size, len(rows), size)):
+            own = start[0][at, None] + np.arange(i)
+            error[at], picked[own] = _best_deals(flat[0][own], flat[1][start[1][at, None] + np.arange(j)])
+    listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(picked))
+    return pa.StructArray.from_arrays([pa.array(error), listed], ["error", "picked"])
+
+
 def best_partitions(items: DataFrame, parts: DataFrame) -> DataFrame:
     """(video, bundle, item, part, error): each bundle's items dealt out to its parts, none empty, with the least error: the summed
     differences of a part's area from the sum of its items' areas. Of equal ones the first in the order of parts of the items by size.
 
     items: (video, bundle, item, area), parts: (video, bundle, part, area), areas not negative. A bundle with fewer items than
-    parts, or without either, has no row. Partial partitions grow by one item a round, from the largest; those whose error cannot come below
-    that of a greedy deal go, and of those with the same sums and the same empty parts one stays.
+    parts, or without either, has no row; a null area makes the error null. Bundles with up to DEALS deals are tried out in their
+    task. In others partial partitions grow by one item a round, see ``_grown``.
     """
     listed = items.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct((-F.col("area").cast("double")).alias("order"), "item"))).alias("items"))
     held = parts.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("part", F.col("area").cast("double").alias("area")))).alias("parts"))
     both = listed.join(held, KEY).where(F.size("items") >= F.size("parts"))
+    known = ~F.exists("items", lambda x: x["order"].isNull()) & ~F.exists("parts", lambda x: x["area"].isNull())
+    large = known & (F.pow(F.size("parts").cast("double"), F.size("items")) > DEALS)
+    areas = [F.when(known, a).otherwise(F.array(F.lit(0.0))) for a in (F.transform("items", lambda x: -x["order"]), _areas(F.col("parts")))]
+    best = both.where(~large).withColumn("b", F.arrow_udf(_tried, "struct<error: double, picked: array<int>>")(*areas))
+    # where an area is null all errors are, and the first deal that leaves no part empty is taken
+    none = F.concat(F.array_repeat(F.lit(0), F.size("items") - F.size("parts")), F.sequence(F.lit(0), F.size("parts") - 1))
+    best = best.select(*KEY, F.when(known, F.col("b.error")).alias("error"), F.when(known, F.col("b.picked")).otherwise(none).alias("picked"), "items", "parts")
+    counts = items.groupBy(*KEY).count().withColumnRenamed("count", "n").join(parts.groupBy(*KEY).agg(F.count("*").cast("double").alias("m")), KEY)
+    keys = saved(counts.where((F.col("n") >= F.col("m")) & (F.pow("m", "n") > DEALS)).select(*KEY))
+    if not keys.isEmpty():
+        best = best.unionByName(_grown(both.where(large).join(keys, KEY, "left_semi")))
+    rows = best.select(*KEY, "error", "parts", F.explode(F.arrays_zip("items", "picked")).alias("x"))
+    return rows.select(*KEY, F.col("x.items.item").alias("item"), F.get("parts", F.col("x.picked"))["part"].alias("part"), "error")
+
+
+def _grown(both: DataFrame) -> DataFrame:
+    """(video, bundle, error, picked, items, parts) of bundles with many deals. Partial partitions grow by one item a round, from the
+    largest; those whose error cannot come below that of a greedy deal go, and of those with the same sums and the same empty parts one
+    stays."""
     m = F.size("parts")
     empty = F.struct(F.array_repeat(F.lit(0.0), m).alias("sums"), F.array_repeat(F.lit(0), m).alias("counts"))
 
@@ -62,9 +122,7 @@ def best_partitions(items: DataFrame, parts: DataFrame) -> DataFrame:
     if found is None:
         found = states
     total = _over(F.col("sums"), _areas(F.col("parts")), 1) + _over(F.col("sums"), _areas(F.col("parts")), -1)
-    best = found.groupBy(*KEY).agg(F.min(F.struct(total.alias("error"), "picked", "items", "parts")).alias("b")).select(*KEY, "b.*")
-    rows = best.select(*KEY, "error", "parts", F.explode(F.arrays_zip("items", "picked")).alias("x"))
-    return rows.select(*KEY, F.col("x.items.item").alias("item"), F.get("parts", F.col("x.picked"))["part"].alias("part"), "error")
+    return found.groupBy(*KEY).agg(F.min(F.struct(total.alias("error"), "picked", "items", "parts")).alias("b")).select(*KEY, "b.*")
 
 
 # sizes

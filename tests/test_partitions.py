@@ -2,6 +2,7 @@ import itertools
 import random
 
 from motiontab.operators import collisions, partitions
+from motiontab.operators.saving import saved
 
 
 def enumerated(items, parts):
@@ -31,6 +32,29 @@ def test_best_partitions_equal_enumeration(spark):
             assert abs(error - want) < 1e-9 and all(abs(r.error - want) < 1e-9 for r in got)
 
 
+def test_best_partitions_write_no_partial_ones(spark, monkeypatch):
+    """Deals are tried where a bundle is; bundles with more deals than DEALS grow by rounds to the same rows."""
+    pick, rows, areas = random.Random(3), [], []
+    for b in range(40):
+        n, m = pick.randint(1, 10), pick.randint(1, 3)
+        rows += [("v", b, k, None if b == 7 else pick.choice([0.1, 0.7, 3.0]) * pick.randint(0, 9)) for k in range(n)]
+        areas += [("v", b, k, None if b == 8 and k == 0 else float(pick.randint(0, 20))) for k in range(m)]
+    items, parts = spark.createDataFrame(rows, "video string, bundle int, item int, area double"), spark.createDataFrame(areas, "video string, bundle int, part int, area double")
+    written = []
+
+    def counted(df):
+        out = saved(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(partitions, "saved", counted)
+    at_once = sorted(map(str, partitions.best_partitions(items, parts).collect()))
+    assert sum(written) == 0 and any("bundle=7" in r and "error=None" in r for r in at_once)
+    monkeypatch.setattr(partitions, "DEALS", 8)
+    monkeypatch.setattr(partitions, "CELLS", 5)
+    assert sorted(map(str, partitions.best_partitions(items, parts).collect())) == at_once and sum(written) > 40
+
+
 def graph(pick, layers):
     """A random history: groups of tracks that meet, layer by layer."""
     edges, tracks, last = [], 0, []
