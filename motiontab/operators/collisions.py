@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,22 +97,22 @@ def families(edges: DataFrame) -> DataFrame:
 
 def end_objects(sizes: DataFrame, edges: DataFrame) -> DataFrame:
     """(video, track, single): the singles downstream of each bundle, through bundles; edges may form cycles."""
-    bundle = sizes.where("size > 1").select("video", "track")
+    bundle = sizes.where("size > 1").select("video", "track").distinct()
     step = edges.select("video", F.col("parent").alias("at"), F.col("child").alias("next")).distinct()
-    inner = bundle.withColumnRenamed("track", "at")
-    seen = front = saved(bundle.withColumn("at", F.col("track")))
-    parts = []
+    inner = bundle.select("video", F.col("track").alias("next"), F.lit(True).alias("inner"))
+    step = saved(step.join(inner, ["video", "next"], "left").withColumn("inner", F.coalesce("inner", F.lit(False))))
+    front = saved(bundle.select("video", "track", F.col("track").alias("at"), F.lit(True).alias("inner")))
+    seen = [front]
     while True:
-        reached = saved(front.join(step, ["video", "at"]).select("video", "track", F.col("next").alias("at")).distinct())
-        parts.append(reached.join(inner, ["video", "at"], "left_anti").select("video", "track", F.col("at").alias("single")))
-        front = saved(reached.join(inner, ["video", "at"], "left_semi").select("video", "track", "at").join(seen, ["video", "track", "at"], "left_anti"))
+        # each pair of a bundle and what it reaches is found once, so that the end is a scan
+        reached = front.where("inner").drop("inner").join(step, ["video", "at"]).select("video", "track", F.col("next").alias("at"), "inner").distinct()
+        old = reduce(DataFrame.unionByName, seen).drop("inner")
+        same = (reached["video"] == old["video"]) & (reached["track"] == old["track"]) & reached["at"].eqNullSafe(old["at"])
+        front = saved(reached.join(old, same, "left_anti"))
         if front.isEmpty():
             break
-        seen = saved(seen.unionByName(front))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+        seen = [*seen, front] if len(seen) < 8 else [saved(reduce(DataFrame.unionByName, [*seen, front]))]
+    return reduce(DataFrame.unionByName, seen).where("NOT inner").select("video", "track", F.col("at").alias("single"))
 
 
 def collision_candidates(lives: DataFrame, edges: DataFrame, most_frames: int) -> DataFrame:

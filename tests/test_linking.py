@@ -39,6 +39,17 @@ def test_merge_split_new_and_lost(spark):
     assert {r.single for r in ends.collect()} == {track[4, 4], track[4, 5]}
 
 
+def test_end_objects_end_with_a_scan(spark):
+    """Cycles, a chain of many rounds, a null child and rows given twice; the last plan joins, sorts and gathers nothing."""
+    edges = [("v", k, k + 1) for k in range(20)] + [("v", 5, 2), ("v", 3, 30), ("v", 20, 21), ("v", 4, None), ("w", 1, 1), ("w", 1, 2), ("w", 2, 3)]
+    sizes = [("v", k, 2) for k in range(20)] * 2 + [("v", 30, 1), ("w", 1, 3), ("w", 2, 1)]
+    out = collisions.end_objects(spark.createDataFrame(sizes, "video string, track int, size int"), spark.createDataFrame(edges, "video string, parent int, child int"))
+    want = [("v", k, 20) for k in range(20)] + [("v", k, x) for k in range(6) for x in (30, None)] + [("w", 1, 2)]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(n in plan for n in ("Join", "Sort", "Aggregate", "Exchange"))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     """However the objects are split over batches, also within a frame and out of order."""
     pick = random.Random(3)
