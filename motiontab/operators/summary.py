@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motiontab.functions import segments
 from motiontab.functions.geometry import rescale
 
 SIGNED = ("bending_angle", "bearing_angle", "heading_angle", "head_vector_angular_speed", "tail_vector_angular_speed", "head_vel_forward", "tail_vel_forward", "midpoint_speed", "odor_speed", "distance_to_odor")
@@ -181,9 +182,11 @@ PER_STEP = ("group", "condition", "group_condition", "trial", "id")
 def per_step(df: DataFrame) -> DataFrame:
     """A row per animal and number of steps so far (step_count): n rows, all time-series measures over them, and the step
     measures of the row where the step ends. is_silly_step: that step has more than one minimum; null before the first."""
-    count = F.sum(F.col("step_boolean").cast("int")).over(Window.partitionBy("id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0))
     keys = [*PER_STEP, "step_count"]
-    rows, series = time_series(df.withColumn("step_count", count), keys)
+    counted = segments.running(df, {"step_count": F.col("step_boolean").cast("int")})
+    # steps are dealt out by a number of partitions, which Spark does not join to fewer, larger ones
+    counted = counted.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    rows, series = time_series(counted, keys)
     ends = F.col("step_boolean")
     silly = F.when(F.count_if(ends) > 0, F.coalesce(F.sum(F.when(ends, F.col("step_extr"))), F.lit(0)) > 1)
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *series, *runs(), silly.alias("is_silly_step"))

@@ -148,7 +148,7 @@ _PER = '"group", condition, group_condition, trial, id'
 @query("d31_whole_per_step", f"""{MEASURES}, c AS (SELECT *, CAST(sum(CAST(step_boolean AS INT)) OVER (PARTITION BY id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS BIGINT) AS step_count FROM measures),
 r AS ({_led('id, step_count', 'c')}) SELECT {_PER}, step_count, count(*) AS n, {_TS}, {_RUNS}, CASE WHEN {_ENDS} > 0 THEN coalesce(sum({_STEP.format('step_extr')}), 0) > 1 END AS is_silly_step FROM r GROUP BY ALL""")
 def _(spark, d):
-    return rnd(summary.per_step(measures(spark, d)))
+    return rnd(summary.per_step(measures(spark, d, spread=True)))
 
 
 @query("d32_whole_minima_classes", f"""{MEASURES}, c AS (SELECT *, CASE WHEN step_extr > 2 THEN '>2' ELSE CAST(step_extr AS VARCHAR) END AS minima FROM measures), r AS ({_led('id, minima', 'c')}),

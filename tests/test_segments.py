@@ -4,7 +4,9 @@ import random
 import pytest
 from motiontab.functions import segments
 from motiontab.functions import windows as w
-from motiontab.operators import events, kinematics, longtracks
+from motiontab.operators import events, kinematics, longtracks, summary
+from motiontab.plans.fixtures import measures
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 POINTS = (1, 2, 5, 6, 9, 11, 12)
@@ -82,3 +84,17 @@ def test_stitched_values_equal_windows(spark, raw):
     with segments.segmented():
         parts = segments.whole(added(segments.cut(raw, 128, 16)))
     same(added(raw).select(*keep), parts.select(*keep))
+
+
+def test_steps_of_one_track_are_counted_in_many_tasks(spark):
+    """Sums up to a row equal those of a window over the track, with nulls and gaps; the windows of the plan hold blocks and steps."""
+    pick = random.Random(5)
+    rows = [(t, f, pick.choice([None, 0, 1])) for t in (1, 2, None) for f in range(0, 300, 7)] + [(1, None, 1), (3, 5, None), (3, 99, 1)]
+    df = spark.createDataFrame(rows, "id int, frame int, x int").withColumn("x", F.when(F.col("frame").isNull() | (F.col("frame") > 20), F.col("x")))
+    whole = F.sum("x").over(Window.partitionBy("id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0))
+    got = segments.running(df, {"so_far": F.col("x")}, width=32)
+    assert got.columns == ["id", "frame", "x", "so_far"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.withColumn("so_far", whole).collect()))
+    steps = summary.per_step(measures(spark, "/root/testdata/sf0.001", spread=True))
+    plan = steps._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_none#" in plan and "windowspecdefinition(id#" not in plan
