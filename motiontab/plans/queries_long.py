@@ -23,7 +23,7 @@ def _(spark, d):
 
 @query("c19_in_segments", ORACLE_SQL["c19_head_cast_flags"])
 def _(spark, d):
-    df = measures(spark, d).drop("HCs", "HC_angle", "HC_reorientation", "Abs_HC_angle")
+    df = measures(spark, d).select(*events.CASTS)
     with segments.segmented():
         out = events.with_head_casts(segments.cut(df, 256, 32), 60.0, 45.0, 20.0)
     return segments.whole(out).select("id", "frame", "HC_flag", "HCs", "HCs_left", "HCs_right")
@@ -31,7 +31,7 @@ def _(spark, d):
 
 @query("c30_in_segments", ORACLE_SQL["c30_steps_and_directions"])
 def _(spark, d):
-    df = _steps(spark, d).drop("run_direction")
+    df = _steps(spark, d).select(*events.STEPS)  # each stitch writes all columns
     with segments.segmented():
         out = events.with_steps(segments.cut(df, 256, 32))
     return segments.whole(out).select("id", "frame", "step_boolean", "run_direction")

@@ -5,7 +5,10 @@ import pytest
 from motiontab.functions import segments
 from motiontab.functions import windows as w
 from motiontab.operators import events, kinematics, longtracks, summary
+from motiontab.operators.saving import saved
+from motiontab.plans import queries_long  # noqa: F401
 from motiontab.plans.fixtures import measures
+from motiontab.plans.queries import QUERIES
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -98,3 +101,10 @@ def test_steps_of_one_track_are_counted_in_many_tasks(spark):
     steps = summary.per_step(measures(spark, "/root/testdata/sf0.001", spread=True))
     plan = steps._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(_none#" in plan and "windowspecdefinition(id#" not in plan
+
+
+def test_steps_in_segments_write_few_columns_few_times(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(segments, "saved", lambda df: written.append(len(df.columns)) or saved(df))
+    QUERIES["c30_in_segments"](spark, "/root/testdata/sf0.001").collect()
+    assert len(written) <= 3 and max(written) <= 24
