@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
@@ -53,18 +54,95 @@ def clusters(df: DataFrame, variables: Sequence[str], k: int, keys: Sequence[str
     return found.select(*keys, "cluster"), ClusteringEvaluator(featuresCol="z", predictionCol="cluster").evaluate(found)
 
 
-def mixture(df: DataFrame, variables: Sequence[str], sizes: Sequence[int], keys: Sequence[str] = (), seed: int = 7) -> tuple[DataFrame, int]:
-    """(keys and component, number of components) of the Gaussian mixture with the least BIC."""
+#: Distinct rows of a task of the mixture's steps, at least.
+TASK_ROWS = 100_000
+_EPSILON = float(np.finfo(float).eps)
+
+
+def _whitened(cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """(root of the pseudo-inverse, constant term of the log density), as Spark ML has them."""
+    values, vectors = np.linalg.eigh(cov)
+    large = values > _EPSILON * values.max() * len(values)
+    if not large.any():
+        raise ValueError("Covariance matrix has no non-zero singular values")
+    root = np.where(large, 1 / np.sqrt(np.where(large, values, 1.0)), 0.0)[:, None] * vectors.T
+    return root, -0.5 * (len(values) * math.log(2 * math.pi) + np.log(values[large]).sum())
+
+
+def _weighted_densities(x: np.ndarray, parts: list) -> np.ndarray:
+    """weight * density of each component (weight, mean, root, constant) at rows x, as Spark ML has it."""
+    return np.stack([_EPSILON + weight * np.exp(const - 0.5 * (((x - mean) @ root.T) ** 2).sum(1)) for weight, mean, root, const in parts], 1)
+
+
+def _moments(x: np.ndarray, n: np.ndarray, parts: list) -> np.ndarray:
+    """Log likelihood of rows x that occur n times, then by component the sums of shares, of vectors and of their products."""
+    p = _weighted_densities(x, parts)
+    total = p.sum(1)
+    p *= (n / total)[:, None]
+    found = [np.array([np.log(total) @ n])]
+    for k in range(p.shape[1]):
+        found += [p[:, k].sum()[None], p[:, k] @ x, ((x * p[:, [k]]).T @ x).ravel()]
+    return np.concatenate(found)
+
+
+def _fitted(counts: DataFrame, z: list[str], starts: dict[int, list], tol: float, most: int) -> dict[int, tuple[list, float]]:
+    """By number of components (weight, mean, covariance) of each, and the log likelihood before the last step, by expectation
+    maximisation over rows z that occur n times. All fits share a pass; a task returns a row of sums for each fit."""
+    d = len(z)
+    models = {k: (parts, -math.inf) for k, parts in starts.items()}
+    live = set(models)
+    for _ in range(most):
+        ready = {k: [(w, m, *_whitened(c)) for w, m, c in models[k][0]] for k in sorted(live)}
+
+        def sums(frames, ready=ready):
+            found = dict.fromkeys(ready, 0.0)
+            for f in frames:
+                x, n = f[z].to_numpy(), f["n"].to_numpy(dtype=float)
+                for k in ready:
+                    found[k] = found[k] + _moments(x, n, ready[k])
+            yield pd.DataFrame({"k": list(found), "s": [v.tolist() if isinstance(v, np.ndarray) else [] for v in found.values()]})
+
+        rows = sorted((r.k, r.s) for r in counts.mapInPandas(sums, "k int, s array<double>").where("size(s) > 0").collect())
+        for k in sorted(live):
+            s = np.array([v for at, v in rows if at == k]).sum(0)
+            by = s[1:].reshape(k, 1 + d + d * d)
+            weights, means = by[:, 0] / by[:, 0].sum(), by[:, 1 : 1 + d] / by[:, :1]
+            covs = by[:, 1 + d :].reshape(k, d, d) / by[:, 0, None, None] - means[:, :, None] * means[:, None, :]
+            if abs(s[0] - models[k][1]) <= tol:
+                live.discard(k)
+            models[k] = ([*zip(weights, means, covs, strict=True)], float(s[0]))
+        if not live:
+            break
+    return models
+
+
+def mixture(df: DataFrame, variables: Sequence[str], sizes: Sequence[int], keys: Sequence[str] = (), seed: int = 7, tol: float = 0.01, most: int = 100) -> tuple[DataFrame, int]:
+    """(keys and component, number of components) of the Gaussian mixture with the least BIC.
+
+    Spark ML draws where each fit starts, from all rows; the steps are those of its GaussianMixture, over distinct rows with their counts.
+    """
     rows = saved(standardised(df, variables, keys))
-    n, d = rows.count(), len(variables)
-    best = None
+    z = [f"z{i}" for i in range(len(variables))]
+    rows_z = rows.withColumn("_z", vector_to_array("z"))
+    rows_z = rows_z.select(*keys, *[F.col("_z")[i].alias(c) for i, c in enumerate(z)])
+    counts = rows_z.groupBy(*z).agg(F.count("*").alias("n")).persist()
+    different, n = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    d = len(variables)
+    starts = {}
     for k in sizes:
-        model = GaussianMixture(k=k, seed=seed, featuresCol="z", predictionCol="component").fit(rows)
-        free = k - 1 + k * d + k * d * (d + 1) / 2
-        bic = free * math.log(max(1, n)) - 2 * model.summary.logLikelihood
-        if best is None or bic < best[0]:
-            best = (bic, k, model)
-    return best[2].transform(rows).select(*keys, "component"), best[1]
+        model = GaussianMixture(k=k, seed=seed, maxIter=0, featuresCol="z", predictionCol="component").fit(rows)
+        starts[k] = [(w, g.mean.toArray(), g.cov.toArray()) for w, g in zip(model.weights, model.gaussiansDF.collect(), strict=True)]
+    models = _fitted(counts.coalesce(1 + different // TASK_ROWS), z, starts, tol, most)
+    counts.unpersist()
+    free = lambda k: k - 1 + k * d + k * d * (d + 1) / 2
+    best = min(sizes, key=lambda k: free(k) * math.log(max(1, n)) - 2 * models[k][1])
+    parts = [(w, m, *_whitened(c)) for w, m, c in models[best][0]]
+
+    @F.pandas_udf("int")
+    def component(*columns: pd.Series) -> pd.Series:
+        return pd.Series(_weighted_densities(np.column_stack(columns), parts).argmax(1))
+
+    return rows_z.select(*keys, component(*z).alias("component")), best
 
 
 def balanced(df: DataFrame, label: str, way: str = "up", seed: int = 7) -> DataFrame:

@@ -1,10 +1,12 @@
 """Models on planted tables."""
 
+import math
 import random
 
 import numpy as np
 import pytest
 from motiontab.operators import learning, stats
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.sql import functions as F
 
 NAMES = ["a", "b", "c"]
@@ -47,6 +49,22 @@ def test_clusters_and_mixtures_find_the_groups(planted):
     assert k == 2 and len({(truth[r.id], r.component) for r in found.collect()}) == 2
 
 
+def test_mixture_steps_over_distinct_rows_as_spark_ml_over_all(spark, monkeypatch):
+    pick = random.Random(5)
+    rows = [(k, float(round(pick.gauss(c, 1.5))), float(round(pick.gauss(-c, 1.0)))) for k, c in enumerate([0, 4, 4, 9] * 150)] + [(999, None, 1.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double").repartition(3)
+    different, steps = [], learning._fitted
+    monkeypatch.setattr(learning, "_fitted", lambda counts, *rest: different.append(counts.count()) or steps(counts, *rest))
+    monkeypatch.setattr(learning, "TASK_ROWS", 40)
+    found, k = learning.mixture(df, ["a", "b"], (2, 3), ["id"])
+    assert different == [len({r[1:] for r in rows if r[1] is not None})]
+    z = learning.standardised(df, ["a", "b"], ["id"]).localCheckpoint()
+    fits = {n: GaussianMixture(k=n, seed=7, featuresCol="z", predictionCol="component").fit(z) for n in (2, 3)}
+    bic = {n: (6 * n - 1) * math.log(600) - 2 * m.summary.logLikelihood for n, m in fits.items()}
+    assert k == min(bic, key=bic.get)
+    assert {r.id: r.component for r in found.collect()} == {r.id: r.component for r in fits[k].transform(z).collect()}
+
+
 def test_forest_finds_what_matters(planted):
     predictions, importance, accuracy = learning.forest(planted, NAMES, "label", trees=8, folds=2, seeds=(1,))
     order = [r.variable for r in importance.collect()]
