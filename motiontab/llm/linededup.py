@@ -3,13 +3,13 @@
 A line is the set of its lower-cased words, ordered by rarity: a counter class (the logarithm of the words counted, over
 all documents, in a table of fixed size) above 60 bits of hash. Any table gives the same matches. Two sets with Jaccard
 >= t share a word among the first n - ceil(t n) + 1 of each (prefix filter), at places that leave room for the overlap
-needed (positional filter), and differ in size by no more than t (length filter); 64 bits for each set bound the overlap
-of short ones. What passes is verified on the whole sets.
+needed (positional filter), and differ in size by no more than t (length filter); 64 or 128 parities of each set's hashed words
+bound the overlap, as words of both sets leave no bit apart. What passes is verified on the whole sets.
 
 A word that was counted once joins nothing and is left out. Rare words join alone, so at most 2^RARE sets meet at
 one. Frequent ones join as pairs: sets that share no rare word of the prefix share two frequent ones in a prefix longer
 by one. Sets of over LONG words, which bits tell apart less well, share three words of a prefix longer by two: two rare ones, or
-two frequent ones at least. Above MOST words, where pairs would be too many, frequent words join alone, too.
+two frequent ones at least. Two sets meet at the first pair of frequent words that they share, and at few later ones. Above MOST words, where pairs would be too many, frequent words join alone, too.
 
 A line goes if an earlier one matches it. So at each frequent key a set first meets the earliest of its size band; sets
 matched there are done, and the rest meets every earlier set of the key.
@@ -30,6 +30,8 @@ COUNTERS = 19
 RARE, MOST = 10, 256
 #: Pairs of sets of over LONG words share two keys; sets up to BITS words carry bits.
 LONG, BITS = 64, 128
+#: Sets from HALVES words on carry two longs of bits.
+HALVES = 32
 #: Rows up to which pairs of lines (48 bytes each) and documents with flags of their lines (FLAGS bytes in all) are broadcast.
 BROADCAST_ROWS, FLAGS = 500_000, 8_000_000
 _LOW, _KEY = (1 << 60) - 1, (1 << 48) - 1
@@ -93,7 +95,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     lines = keyed.select(*doc, F.posexplode(F.split("text", "\n")).alias("at", "line")).where(has_words(F.col("line")))
 
     p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
-    bit = lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
+    bit = lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
     sets = lines.select(*f, set_of(F.col("line"), classes).alias("words")).withColumn("n", F.size("words"))
     sets = sets.withColumn("once", F.size(F.filter("words", lambda w: w < F.lit(-7 << 60)))).withColumn("p", p)
     more = F.when(F.col("n") > LONG, 2).otherwise(1)  # words of the longer prefix
@@ -101,11 +103,13 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     prefix = F.when(F.col("p") > F.col("once"), F.slice("words", F.col("once") + 1, most)).otherwise(F.array().cast("array<long>"))
     narrow = F.transform(prefix, lambda w: F.shiftrightunsigned(w, 12).bitwiseXOR(F.lit(1 << 51)))  # class from 0 above 48 bits
     bits = F.when(F.col("n") <= BITS, F.aggregate("words", F.lit(0).cast("long"), bit))
-    sets = sets.select("n", F.xxhash64("words").alias("sid"), F.hash("words").alias("h"), F.struct(*f, "once", bits.alias("bits"), narrow.alias("prefix")).alias("s"))
+    some = F.filter("words", lambda w: w.bitwiseAND(F.lit(64)) != 0)
+    half = F.when(F.col("n").between(HALVES, BITS), F.aggregate(some, F.lit(0).cast("long"), bit))
+    sets = sets.select("n", F.xxhash64("words").alias("sid"), F.hash("words").alias("h"), F.struct(*f, "once", bits.alias("bits"), half.alias("half"), narrow.alias("prefix")).alias("s"))
     firsts = table(sets.groupBy("n", "sid", "h").agg(F.min("s").alias("s")).select("n", "s.*"))
 
     over = F.lit((RARE + 1) << 48)
-    row = [*f, "n", "bits"]
+    row = [*f, "n", "bits", "half"]
     place = F.col("once") + F.col("i")
     loose = F.when(F.col("n") > LONG, 2).otherwise(0)  # of three shared words this may be the last
     each = firsts.where(F.size("prefix") > 0).select(*row, p.alias("p"), "once", "prefix", F.posexplode("prefix").alias("i", "word"))
@@ -115,33 +119,43 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     high = firsts.where(F.coalesce(F.element_at("prefix", F.when(F.size("prefix") > 0, F.size("prefix"))) >= over, F.lit(False)))
     high = high.select(*row, p.alias("p"), "once", "prefix", F.posexplode("prefix").alias("i", "word")).where(F.col("word") >= over)
     second = F.posexplode(F.slice("prefix", F.col("i") + 2, F.greatest(F.lit(0), F.col("p") + more - place - 1))).alias("j", "other")
-    pairs = high.where((F.col("n") <= MOST) & ~tiny).select(*row, "once", "i", "word", second)
-    pairs = pairs.select(F.xxhash64("word", "other").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(1).alias("kind"), *row, (F.col("n") - place - F.col("j") + loose).alias("left"))
+    pairs = high.where((F.col("n") <= MOST) & ~tiny).select(*row, "once", "i", "word", "prefix", second)
+    word = lambda at: F.get("prefix", at)
+    prev, mid = F.when(word(F.col("i") - 1) >= over, word(F.col("i") - 1)), F.when(F.col("j") > 0, word(F.col("i") + F.col("j")))
+    pairs = pairs.select(F.xxhash64("word", "other").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(1).alias("kind"), *row, (F.col("n") - place - F.col("j") + loose).alias("left"), prev.alias("prev"), mid.alias("mid"))
     # sets around MOST words meet both ways
-    single = high.where((F.col("n") * 100 >= MOST * percent) & ~tiny).select(F.col("word").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(2).alias("kind"), *row, (F.col("n") - place + 2).alias("left"))
+    single = high.where((F.col("n") * 100 >= MOST * percent) & ~tiny).select(F.col("word").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(2).alias("kind"), *row, (F.col("n") - place + 2).alias("left"), *[F.lit(None).cast("long").alias(c) for c in ("prev", "mid")])
     often = pairs.unionAll(single)
 
     def same(columns: list[str], a: str, b: str) -> Column:
         return reduce(lambda x, y: x & y, (F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}")) for c in columns))
 
+    def apart(x, y) -> Column:
+        """So many words at least are in one of the sets alone; null without bits."""
+        bits, half = (lambda z: z("bits")), (lambda z: z("half"))
+        differ = lambda c: c(x).bitwiseXOR(c(y))
+        other = differ(bits).bitwiseXOR(differ(half))
+        return F.coalesce(F.bit_count(differ(half)) + F.bit_count(other), F.bit_count(differ(bits)))
+
     def passes(a: str, b: str) -> Column:
         """b is an earlier set that may match a at this key."""
         x, y = (lambda c: F.col(f"{a}{c}")), (lambda c: F.col(f"{b}{c}"))
         total = percent * (x("n") + y("n"))
         fits = lambda overlap: (100 + percent) * overlap >= total
         close = (100 * x("n") >= percent * y("n")) & (100 * y("n") >= percent * x("n"))
-        apart = F.bit_count(x("bits").bitwiseXOR(y("bits")))
-        bound = F.coalesce(fits(F.shiftright(x("n") + y("n") - apart, 1)), F.lit(True))
+        bound = F.coalesce(fits(F.shiftright(x("n") + y("n") - apart(x, y), 1)), F.lit(True))
         before = F.lit(False)
         for c in reversed(f):
             before = F.coalesce(y(c) < x(c), y(c).isNull() & x(c).isNotNull()) | (y(c).eqNullSafe(x(c)) & before)
         return close & fits(F.least(x("left"), y("left"))) & bound & before
 
     def met(a: DataFrame, b: DataFrame, on: list[str], strong: Column, test: Column | None = None) -> DataFrame:
-        """Candidates (line a, line b, strong) of rows that share a key."""
+        """Candidates (line a, line b, strong, near) of rows that share a key; near is greater the fewer bits differ."""
         test = passes("a.", "b.") if test is None else test & passes("a.", "b.")
+        n = F.col("a.n") + F.col("b.n")
+        near = F.coalesce(F.floor(100 * (n - apart(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))) / n).cast("int"), F.lit(0))
         both = a.alias("a").join(b.alias("b"), reduce(lambda x, y: x & y, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in on)) & test)
-        return both.select(*[F.col(f"a.{c}").alias(f"a_{c}") for c in f], *[F.col(f"b.{c}").alias(f"b_{c}") for c in f], strong.alias("strong"))
+        return both.select(*[F.col(f"a.{c}").alias(f"a_{c}") for c in f], *[F.col(f"b.{c}").alias(f"b_{c}") for c in f], strong.alias("strong"), near.alias("near"))
 
     ends = [[f"{s}_{c}" for c in f] for s in "ab"]
 
@@ -157,12 +171,12 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         return cut(both.select(*[F.col(c).alias(c[2:]) for c in ends[0]]).distinct())
 
     def matched(found: DataFrame) -> DataFrame:
-        """Lines a of candidates whose word sets match; each first meets the line with which it shares most keys."""
-        found = found.groupBy(*ends[0], *ends[1]).agg(F.count("*").alias("c"), F.max("strong").alias("strong"))
+        """Lines a of candidates whose word sets match; each first meets the line whose bits are nearest."""
+        found = found.groupBy(*ends[0], *ends[1]).agg(F.count("*").alias("c"), F.max("strong").alias("strong"), F.max("near").alias("near"))
         found = cut(found.where(F.col("strong") | (F.col("c") >= 2)).drop("strong"))
-        best = found.groupBy(*ends[0]).agg(F.max(F.struct("c", *ends[1])).alias("b")).select(*ends[0], "b.*").drop("c")
+        best = found.groupBy(*ends[0]).agg(F.max(F.struct("near", "c", *ends[1])).alias("b")).select(*ends[0], "b.*").drop("near", "c")
         done = verified(cut(best))
-        left = found.drop("c").join(done.select(*[F.col(c).alias(f"k_{c}") for c in f]), same(f, "a_", "k_"), "left_anti")
+        left = found.drop("near", "c").join(done.select(*[F.col(c).alias(f"k_{c}") for c in f]), same(f, "a_", "k_"), "left_anti")
         return done.unionAll(verified(cut(left.exceptAll(best))))
 
     def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -175,7 +189,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     done = matched(met(rare, rare, ["key"], F.least("a.n", "b.n") <= LONG).unionAll(met(often, lead, [*on, "band"], sure)))
     gone = done.select(*[F.col(c).alias(f"k_{c}") for c in f], F.lit(False).alias("open"))
     often = often.drop("band").join(gone, same(f, "", "k_"), "left").withColumn("open", F.coalesce("open", F.lit(True))).drop(*[f"k_{c}" for c in f])
-    done = done.unionAll(matched(met(often, often, on, sure, F.col("a.open"))))
+    # where the words before are the same, too, the two sets share an earlier pair of words, at which they meet
+    again = F.coalesce(F.col("a.prev") == F.col("b.prev"), F.lit(False)) | F.coalesce(F.col("a.mid") == F.col("b.mid"), F.lit(False))
+    done = done.unionAll(matched(met(often, often, on, sure, F.col("a.open") & ~again)))
     kept = without(firsts.select(*f), done).groupBy(*[F.col(c).alias(f"k_{c}") for c in doc]).agg(F.sort_array(F.collect_list("at")).alias("kept"))
     # a byte for each line up to the last kept one
     before = F.concat(F.array(F.lit(-1)), F.slice("kept", F.lit(1), F.size("kept") - 1))

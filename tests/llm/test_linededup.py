@@ -90,3 +90,25 @@ def test_empty_table_and_plan_without_python(spark):
     df = spark.createDataFrame(rows_of([(1, "a b c")]), SCHEMA)
     plan = linededup.dedup_lines(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_lines_meet_once_or_twice_at_frequent_pairs(spark, monkeypatch):
+    """Lines that nearly match meet at few of the pairs of frequent words that they share, and match as by brute force."""
+    for name, value in {"COUNTERS": 12, "RARE": 2, "HALVES": 10}.items():
+        monkeypatch.setattr(linededup, name, value)
+    pick = random.Random(3)
+    base = [f"w{k}" for k in range(48)]
+    lines = [" ".join(sorted({f"v{pick.randrange(12)}" if pick.random() < 0.1 else w for w in base})) for _ in range(60)]
+    met, cut = [], linededup.cut
+
+    def counted(df):
+        df = cut(df)
+        if "c" in df.columns:
+            met.append(df.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first())
+        return df
+
+    monkeypatch.setattr(linededup, "cut", counted)
+    rows = rows_of(enumerate(lines))
+    assert run(spark, rows, 92) == brute(spark, rows, 92)
+    pairs, times = met[-1]
+    assert len(met) == 2 and 0 < pairs and times <= 2 * pairs
