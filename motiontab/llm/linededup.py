@@ -116,16 +116,20 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     tiny = percent * F.col("n") <= 100  # may match by one word
     rare = each.where((place < F.col("p") + loose) & ((F.col("word") < over) | tiny))
     rare = rare.select(F.col("word").bitwiseAND(F.lit(_KEY)).alias("key"), *row, (F.col("n") - place + loose).alias("left"))
-    high = firsts.where(F.coalesce(F.element_at("prefix", F.when(F.size("prefix") > 0, F.size("prefix"))) >= over, F.lit(False)))
-    high = high.select(*row, p.alias("p"), "once", "prefix", F.posexplode("prefix").alias("i", "word")).where(F.col("word") >= over)
-    second = F.posexplode(F.slice("prefix", F.col("i") + 2, F.greatest(F.lit(0), F.col("p") + more - place - 1))).alias("j", "other")
-    pairs = high.where((F.col("n") <= MOST) & ~tiny).select(*row, "once", "i", "word", "prefix", second)
-    word = lambda at: F.get("prefix", at)
-    prev, mid = F.when(word(F.col("i") - 1) >= over, word(F.col("i") - 1)), F.when(F.col("j") > 0, word(F.col("i") + F.col("j")))
-    pairs = pairs.select(F.xxhash64("word", "other").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(1).alias("kind"), *row, (F.col("n") - place - F.col("j") + loose).alias("left"), prev.alias("prev"), mid.alias("mid"))
-    # sets around MOST words meet both ways
-    single = high.where((F.col("n") * 100 >= MOST * percent) & ~tiny).select(F.col("word").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(2).alias("kind"), *row, (F.col("n") - place + 2).alias("left"), *[F.lit(None).cast("long").alias(c) for c in ("prev", "mid")])
-    often = pairs.unionAll(single)
+    long = F.coalesce(F.element_at("prefix", F.when(F.size("prefix") > 0, F.size("prefix"))) >= over, F.lit(False))
+    high = firsts.where(long)  # sets with a frequent word in their prefix
+
+    def frequent(high: DataFrame) -> DataFrame:
+        """A row for each pair of frequent words of the prefixes, or for each word of large sets."""
+        each = high.select(*row, p.alias("p"), "once", "prefix", F.posexplode("prefix").alias("i", "word")).where(F.col("word") >= over)
+        second = F.posexplode(F.slice("prefix", F.col("i") + 2, F.greatest(F.lit(0), F.col("p") + more - place - 1))).alias("j", "other")
+        pairs = each.where((F.col("n") <= MOST) & ~tiny).select(*row, "once", "i", "word", "prefix", second)
+        word = lambda at: F.get("prefix", at)
+        prev, mid = F.when(word(F.col("i") - 1) >= over, word(F.col("i") - 1)), F.when(F.col("j") > 0, word(F.col("i") + F.col("j")))
+        pairs = pairs.select(F.xxhash64("word", "other").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(1).alias("kind"), *row, (F.col("n") - place - F.col("j") + loose).alias("left"), prev.alias("prev"), mid.alias("mid"))
+        # sets around MOST words meet both ways
+        single = each.where((F.col("n") * 100 >= MOST * percent) & ~tiny).select(F.col("word").bitwiseAND(F.lit(_KEY)).alias("key"), F.lit(2).alias("kind"), *row, (F.col("n") - place + 2).alias("left"), *[F.lit(None).cast("long").alias(c) for c in ("prev", "mid")])
+        return pairs.unionAll(single)
 
     def same(columns: list[str], a: str, b: str) -> Column:
         return reduce(lambda x, y: x & y, (F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}")) for c in columns))
@@ -182,16 +186,16 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
         return rows.join(gone.select(*[F.col(c).alias(f"k_{c}") for c in f]), same(f, "", "k_"), "left_anti")
 
-    often = often.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
+    often = frequent(high).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
     on = ["key", "kind"]
     lead = often.groupBy(*on, "band").agg(F.min(F.struct(*row, "left")).alias("s")).select(*on, "band", "s.*")
     sure = F.col("a.kind") == 1
     done = matched(met(rare, rare, ["key"], F.least("a.n", "b.n") <= LONG).unionAll(met(often, lead, [*on, "band"], sure)))
-    gone = done.select(*[F.col(c).alias(f"k_{c}") for c in f], F.lit(False).alias("open"))
-    often = often.drop("band").join(gone, same(f, "", "k_"), "left").withColumn("open", F.coalesce("open", F.lit(True))).drop(*[f"k_{c}" for c in f])
+    few = done.count() <= BROADCAST_ROWS
+    rest = without(high, F.broadcast(done) if few else done)
     # where the words before are the same, too, the two sets share an earlier pair of words, at which they meet
     again = F.coalesce(F.col("a.prev") == F.col("b.prev"), F.lit(False)) | F.coalesce(F.col("a.mid") == F.col("b.mid"), F.lit(False))
-    done = done.unionAll(matched(met(often, often, on, sure, F.col("a.open") & ~again)))
+    done = done.unionAll(matched(met(frequent(rest), often.drop("band"), on, sure, ~again)))
     kept = without(firsts.select(*f), done).groupBy(*[F.col(c).alias(f"k_{c}") for c in doc]).agg(F.sort_array(F.collect_list("at")).alias("kept"))
     # a byte for each line up to the last kept one
     before = F.concat(F.array(F.lit(-1)), F.slice("kept", F.lit(1), F.size("kept") - 1))

@@ -112,3 +112,23 @@ def test_lines_meet_once_or_twice_at_frequent_pairs(spark, monkeypatch):
     assert run(spark, rows, 92) == brute(spark, rows, 92)
     pairs, times = met[-1]
     assert len(met) == 2 and 0 < pairs and times <= 2 * pairs
+
+
+def test_matched_sets_leave_before_their_keys_are_made(spark, monkeypatch):
+    """What is joined to the matched lines has a row for each set, not one for each pair of its frequent words."""
+    for name, value in {"COUNTERS": 12, "RARE": 2}.items():
+        monkeypatch.setattr(linededup, name, value)
+    pick = random.Random(4)
+    lines = [" ".join(f"w{k}" for k in pick.sample(range(40), 24)) for _ in range(20)]
+    kind, sizes = type(spark.range(0)), []
+    join = kind.join
+
+    def counted(self, other, on=None, how=None):
+        if how in ("left", "left_anti") and {"key", "prefix"} & {*self.columns}:
+            sizes.append(self.count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(kind, "join", counted)
+    rows = rows_of(enumerate(lines))
+    assert run(spark, rows) == brute(spark, rows, 80)
+    assert sizes and max(sizes) <= len(lines)
