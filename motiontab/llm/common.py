@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,27 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Of queries that run in here Spark removes the shuffle files as they end, in place of some time after the driver's next garbage collection."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def removed(tables: list[DataFrame]) -> None:
+    """Remove the files of results of ``table`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def folder(spark: SparkSession) -> str:
     """The folder for intermediate data that driver and executors share; an error on a cluster that names none."""
     context = spark.sparkContext

@@ -13,16 +13,20 @@ two frequent ones at least. Two sets meet at the first pair of frequent words th
 
 A line goes if an earlier one matches it. So at each frequent key a set first meets the earliest of its size band; sets
 matched there are done, and the rest meets every earlier set of the key.
+
+Keys are joined in slices, each with about SLICE rows a set, and the files of a slice's shuffles go before the next one, so the disk
+that keys take stays in proportion to the sets. Only lines that a bitmap of the candidates lets pass are shuffled with their text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motiontab.llm.common import cut, table
+from motiontab.llm.common import released, removed, table
 
 #: Counters of word rarity are 2^COUNTERS; a class is the logarithm of a count, rounded up, at most 15.
 COUNTERS = 19
@@ -34,9 +38,30 @@ LONG, BITS = 64, 128
 HALVES = 32
 #: Rows up to which pairs of lines (48 bytes each) and documents with flags of their lines (FLAGS bytes in all) are broadcast.
 BROADCAST_ROWS, FLAGS = 500_000, 8_000_000
+#: Rows a set, on average, that a slice of the keys shuffles (LEAST_ROWS in all at least); longs of 64 bits in the bitmap of candidates are 2^MARKS.
+SLICE, LEAST_ROWS, MARKS = 8, 1_000_000, 19
 _LOW, _KEY = (1 << 60) - 1, (1 << 48) - 1
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder; the files of its shuffles are removed."""
+    with released(df.sparkSession):
+        return table(df)
+
+
+def among(rows: DataFrame, columns: list[str], keys: DataFrame, names: list[str]) -> DataFrame:
+    """Rows whose columns may be those of a key: all that are, and few others as long as keys are fewer than the bitmap's bits."""
+
+    def place(columns: list[str]) -> tuple[Column, Column]:
+        h = F.xxhash64(*columns)
+        return h.bitwiseAND(F.lit((1 << MARKS) - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, MARKS).bitwiseAND(F.lit(63)).cast("int"))
+
+    at, bit = place(names)
+    marks = keys.select(at.alias("mark_at"), bit.alias("bit")).groupBy("mark_at").agg(F.bit_or("bit").alias("marks"))
+    at, bit = place(columns)
+    return rows.join(F.broadcast(marks), (at == F.col("mark_at")) & (F.col("marks").bitwiseAND(bit) != 0)).drop("mark_at", "marks")
+
+
 def words(text: Column) -> Column:
     """Lower-cased words between spaces, tabs, \\x0B, \\f and \\r; an empty one wherever two of these meet."""
     for c in "\t\x0b\f\r":
@@ -52,7 +77,8 @@ def rarity(docs: DataFrame) -> Column:
     classes = counts.select("b", (F.least(F.lit(15), F.ceil(F.log2("n"))).cast("long") + 8).bitwiseAND(F.lit(15)).alias("c"))
     longs = 1 << (COUNTERS - 4)
     one = F.call_function("shiftleft", "c", (F.shiftright("b", COUNTERS - 4) * 4).cast("int"))
-    found = classes.groupBy(F.col("b").bitwiseAND(F.lit(longs - 1)).alias("b")).agg(F.bit_or(one).alias("c")).toArrow().to_pydict()
+    with released(docs.sparkSession):
+        found = classes.groupBy(F.col("b").bitwiseAND(F.lit(longs - 1)).alias("b")).agg(F.bit_or(one).alias("c")).toArrow().to_pydict()
     packed = dict(zip(found["b"], found["c"], strict=True))
     return F.from_json(F.lit("[" + ",".join(str(packed.get(b, 0)) for b in range(longs)) + "]"), "array<bigint>")
 
@@ -106,7 +132,13 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     some = F.filter("words", lambda w: w.bitwiseAND(F.lit(64)) != 0)
     half = F.when(F.col("n").between(HALVES, BITS), F.aggregate(some, F.lit(0).cast("long"), bit))
     sets = sets.select("n", F.xxhash64("words").alias("sid"), F.hash("words").alias("h"), F.struct(*f, "once", bits.alias("bits"), half.alias("half"), narrow.alias("prefix")).alias("s"))
-    firsts = table(sets.groupBy("n", "sid", "h").agg(F.min("s").alias("s")).select("n", "s.*"))
+    made: list[DataFrame] = []
+
+    def kept_until_end(df: DataFrame) -> DataFrame:
+        made.append(df)
+        return df
+
+    firsts = kept_until_end(cut(sets.groupBy("n", "sid", "h").agg(F.min("s").alias("s")).select("n", "s.*")))
 
     over = F.lit((RARE + 1) << 48)
     row = [*f, "n", "bits", "half"]
@@ -114,14 +146,14 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     loose = F.when(F.col("n") > LONG, 2).otherwise(0)  # of three shared words this may be the last
     each = firsts.where(F.size("prefix") > 0).select(*row, p.alias("p"), "once", "prefix", F.posexplode("prefix").alias("i", "word"))
     tiny = percent * F.col("n") <= 100  # may match by one word
-    rare = each.where((place < F.col("p") + loose) & ((F.col("word") < over) | tiny))
-    rare = rare.select(F.col("word").bitwiseAND(F.lit(_KEY)).alias("key"), *row, (F.col("n") - place + loose).alias("left"))
+    each = each.where((place < F.col("p") + loose) & ((F.col("word") < over) | tiny))
+    rare = lambda of_slice: of_slice(each).select(F.col("word").bitwiseAND(F.lit(_KEY)).alias("key"), *row, (F.col("n") - place + loose).alias("left"))
     long = F.coalesce(F.element_at("prefix", F.when(F.size("prefix") > 0, F.size("prefix"))) >= over, F.lit(False))
     high = firsts.where(long)  # sets with a frequent word in their prefix
 
-    def frequent(high: DataFrame) -> DataFrame:
-        """A row for each pair of frequent words of the prefixes, or for each word of large sets."""
-        each = high.select(*row, p.alias("p"), "once", "prefix", F.posexplode("prefix").alias("i", "word")).where(F.col("word") >= over)
+    def frequent(high: DataFrame, of_slice: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """A row for each pair of frequent words of the prefixes, or for each word of large sets, whose rarer word a slice holds."""
+        each = of_slice(high.select(*row, p.alias("p"), "once", "prefix", F.posexplode("prefix").alias("i", "word")).where(F.col("word") >= over))
         second = F.posexplode(F.slice("prefix", F.col("i") + 2, F.greatest(F.lit(0), F.col("p") + more - place - 1))).alias("j", "other")
         pairs = each.where((F.col("n") <= MOST) & ~tiny).select(*row, "once", "i", "word", "prefix", second)
         word = lambda at: F.get("prefix", at)
@@ -167,35 +199,57 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         """Lines a of distinct pairs whose word sets match."""
         few = pairs.count() <= BROADCAST_ROWS
         small = lambda keys: F.broadcast(keys) if few else keys
+        some = lambda names: lines if few else among(lines, f, pairs, names)
         own = lambda name: F.array_distinct(F.transform(hashes(F.col("line")), lambda h: h.bitwiseAND(F.lit(_KEY)))).alias(name)
-        x = lines.join(small(pairs), same(f, "", "a_")).select(*ends[0], *ends[1], own("x"))
-        y = lines.join(small(pairs.select(*ends[1]).distinct()), same(f, "", "b_"), "left_semi").select(*[F.col(c).alias(f"y_{c}") for c in f], own("y"))
+        x = some(ends[0]).join(small(pairs), same(f, "", "a_")).select(*ends[0], *ends[1], own("x"))
+        y = some(ends[1]).join(small(pairs.select(*ends[1]).distinct()), same(f, "", "b_"), "left_semi").select(*[F.col(c).alias(f"y_{c}") for c in f], own("y"))
         both = x.join(y, same(f, "b_", "y_"))
         both = both.where((100 + percent) * F.size(F.array_intersect("x", "y")) >= percent * (F.size("x") + F.size("y")))
-        return cut(both.select(*[F.col(c).alias(c[2:]) for c in ends[0]]).distinct())
-
-    def matched(found: DataFrame) -> DataFrame:
-        """Lines a of candidates whose word sets match; each first meets the line whose bits are nearest."""
-        found = found.groupBy(*ends[0], *ends[1]).agg(F.count("*").alias("c"), F.max("strong").alias("strong"), F.max("near").alias("near"))
-        found = cut(found.where(F.col("strong") | (F.col("c") >= 2)).drop("strong"))
-        best = found.groupBy(*ends[0]).agg(F.max(F.struct("near", "c", *ends[1])).alias("b")).select(*ends[0], "b.*").drop("near", "c")
-        done = verified(cut(best))
+        return kept_until_end(cut(both.select(*[F.col(c).alias(c[2:]) for c in ends[0]]).distinct()))
+
+    def matched(candidates: Callable[[Callable[[DataFrame], DataFrame]], DataFrame]) -> DataFrame:
+        """Lines a of candidates whose word sets match; each first meets the line whose bits are nearest. candidates: those that meet
+        at words which a function leaves."""
+        parts = []
+        for k in range(slices):
+            of_slice = lambda rows, k=k: rows.where(F.pmod(F.col("word").bitwiseAND(F.lit(_KEY)), F.lit(slices)) == k) if slices > 1 else rows
+            part = candidates(of_slice).groupBy(*ends[0], *ends[1]).agg(F.count("*").alias("c"), F.max("strong").alias("strong"), F.max("near").alias("near"))
+            with released(part.sparkSession):
+                parts.append(table(part) if slices > 1 else part)
+        found = parts[0]
+        if slices > 1:
+            found = reduce(DataFrame.unionAll, parts).groupBy(*ends[0], *ends[1]).agg(F.sum("c").alias("c"), F.max("strong").alias("strong"), F.max("near").alias("near"))
+        found = kept_until_end(cut(found.where(F.col("strong") | (F.col("c") >= 2)).drop("strong")))
+        removed(parts if slices > 1 else [])
+        best = kept_until_end(cut(found.groupBy(*ends[0]).agg(F.max(F.struct("near", "c", *ends[1])).alias("b")).select(*ends[0], "b.*").drop("near", "c")))
+        done = verified(best)
         left = found.drop("near", "c").join(done.select(*[F.col(c).alias(f"k_{c}") for c in f]), same(f, "a_", "k_"), "left_anti")
-        return done.unionAll(verified(cut(left.exceptAll(best))))
+        return done.unionAll(verified(kept_until_end(cut(left.exceptAll(best)))))
 
     def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
         return rows.join(gone.select(*[F.col(c).alias(f"k_{c}") for c in f]), same(f, "", "k_"), "left_anti")
 
-    often = frequent(high).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     on = ["key", "kind"]
-    lead = often.groupBy(*on, "band").agg(F.min(F.struct(*row, "left")).alias("s")).select(*on, "band", "s.*")
     sure = F.col("a.kind") == 1
-    done = matched(met(rare, rare, ["key"], F.least("a.n", "b.n") <= LONG).unionAll(met(often, lead, [*on, "band"], sure)))
+    # rows of keys: rare words once, pairs of frequent ones once in each of two joins on either side
+    many = F.size(F.filter("prefix", lambda w: w >= over))
+    rows = F.size("prefix") - many + F.when(F.col("n") <= MOST, many * (many - 1)).otherwise(2 * many)
+    total = firsts.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("rows"), F.count("*").alias("sets")).first()
+    slices = max(1, -(-total.rows // max(SLICE * total.sets, LEAST_ROWS)))
+
+    def earliest(of_slice: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Candidates at rare words, and those with the earliest set of a frequent key and size band."""
+        own, often = rare(of_slice), frequent(high, of_slice).withColumn("band", band)
+        lead = often.groupBy(*on, "band").agg(F.min(F.struct(*row, "left")).alias("s")).select(*on, "band", "s.*")
+        return met(own, own, ["key"], F.least("a.n", "b.n") <= LONG).unionAll(met(often, lead, [*on, "band"], sure))
+
+    done = matched(earliest)
     few = done.count() <= BROADCAST_ROWS
-    rest = without(high, F.broadcast(done) if few else done)
+    rest = without(high, F.broadcast(done)) if few else kept_until_end(cut(without(high, done)))
     # where the words before are the same, too, the two sets share an earlier pair of words, at which they meet
     again = F.coalesce(F.col("a.prev") == F.col("b.prev"), F.lit(False)) | F.coalesce(F.col("a.mid") == F.col("b.mid"), F.lit(False))
-    done = done.unionAll(matched(met(frequent(rest), often.drop("band"), on, sure, ~again)))
+    done = done.unionAll(matched(lambda of_slice: met(frequent(rest, of_slice), frequent(high, of_slice), on, sure, ~again)))
     kept = without(firsts.select(*f), done).groupBy(*[F.col(c).alias(f"k_{c}") for c in doc]).agg(F.sort_array(F.collect_list("at")).alias("kept"))
     # a byte for each line up to the last kept one
     before = F.concat(F.array(F.lit(-1)), F.slice("kept", F.lit(1), F.size("kept") - 1))
@@ -205,7 +259,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     out = docs.drop("n_lines", "n_removed")
     mark = "".join(out.columns) + "_"  # names that no column of docs has
     k, copy, stay, many = f"{mark}k", f"{mark}copy", f"{mark}kept", f"{mark}n"
-    kept = table(kept.withColumnsRenamed({"kept": stay, "n": many}))
+    kept = cut(kept.withColumnsRenamed({"kept": stay, "n": many}))
+    removed(made)
     if unique:
         sizes = kept.agg(F.count("*").alias("rows"), F.sum(F.octet_length(stay)).alias("bytes")).first()
         small = sizes.rows <= BROADCAST_ROWS and (sizes.bytes or 0) <= FLAGS

@@ -1,7 +1,10 @@
 import random
+import time
+from pathlib import Path
 
 import pytest
 from motiontab.llm import linededup
+from motiontab.llm.common import folder
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, k string, n_lines string, kept int"
@@ -132,3 +135,35 @@ def test_matched_sets_leave_before_their_keys_are_made(spark, monkeypatch):
     rows = rows_of(enumerate(lines))
     assert run(spark, rows) == brute(spark, rows, 80)
     assert sizes and max(sizes) <= len(lines)
+
+
+def test_disk_of_many_keys_and_of_candidates(spark, monkeypatch, tmp_path):
+    """Keys in slices, and text shuffled of candidates alone, match as by brute force; shuffles and tables go as they are done with."""
+    for name, value in {"COUNTERS": 12, "RARE": 2, "SLICE": 2, "LEAST_ROWS": 1, "BROADCAST_ROWS": 0}.items():
+        monkeypatch.setattr(linededup, name, value)
+    pick = random.Random(5)
+    lines = [" ".join(f"w{k}" for k in pick.sample(range(40), 9)) for _ in range(20)]
+    lines += [f"{line} more" for line in lines[:6]] + [" ".join(f"alone{n} {k}x{n}" for n in range(6)) for k in range(150)]
+    kind, sizes = type(spark.range(0)), []
+    join = kind.join
+
+    def counted(self, other, on=None, how=None):
+        if "line" in self.columns and "mark_at" not in other.columns and other.count():  # lines with their text
+            sizes.append(self.count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(kind, "join", counted)
+    place = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    bytes_of = lambda known=(): {x: x.stat().st_size for top in place for x in Path(top).glob("*/shuffle_*.data") if x not in known}
+    tables = lambda: {*Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("table-*")}
+    rows = rows_of(enumerate(lines))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    folder(spark)
+    there, known = tables(), bytes_of()
+    out = linededup.dedup_lines(docs)
+    time.sleep(2)  # files go in the background
+    left = sum(bytes_of(known).values())  # of counts
+    assert left < 10_000 and len(tables() - there) == 1
+    got = sorted(((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=str)
+    assert got == brute(spark, rows, 80) and sum(r[3] for r in got) >= 6
+    assert sizes and max(sizes) <= 60
