@@ -6,7 +6,7 @@ the same bytes, made once, tells them, and they are counted in a vector as long
 groups are paired where their bytes overlap, and only these pairs are shuffled.
 
 A task reads documents in chunks of bounded size. A chunk's row holds its documents' figures, its distinct links with their
-counts, and for each document which of these links it has how often. Once the corpus-wide counts are known each chunk
+counts, and for each document which of these links it has how often, packed in one compressed value. Once the corpus-wide counts are known each chunk
 meets the counts of its own links alone, whatever the number of pairs in the corpus.
 """
 
@@ -30,6 +30,21 @@ CHUNK, PART = 4_000_000, 1_000_000
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
 
+def packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of 32-bit integers in one compressed value; differences of rising numbers take about a byte each."""
+    planes = [np.ascontiguousarray(x, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays]
+    sizes = np.array([len(arrays), *map(len, planes)], "<i4").tobytes()
+    return sizes + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unpacked(value: bytes) -> list[np.ndarray]:
+    count = int(np.frombuffer(value, "<i4", 1)[0])
+    sizes = np.frombuffer(value, "<i4", count, 4)
+    whole = pa.decompress(value[4 + 4 * count :], decompressed_size=int(sizes.sum()), codec="zstd", asbytes=True)
+    stops = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return [np.frombuffer(whole, np.uint8, e - s, s).reshape(4, -1).T.copy().view("<i4")[:, 0] for s, e in zip(stops, stops[1:], strict=False)]
+
+
 class Aligner:
     """Both vocabularies, A's ids with the same bytes in B, and the links of batches of documents."""
 
@@ -145,7 +160,8 @@ class Chunk:
         self.waiting, self.size = [], 0
 
     def row(self) -> dict:
-        """The chunk's columns; ``own`` are places in ``codes``, ``stops`` where each document's end."""
+        """The chunk's columns; ``links`` packs steps between the links' places in ``codes``, how often each is there, where each
+        document's end, and the codes of pairs in ``same``."""
         self.link()
         keys, times = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (self.keys, self.times))
         keys, at = np.unique(keys, return_inverse=True)
@@ -158,9 +174,7 @@ class Chunk:
             "groups_sha256": [t.hexdigest() if t else "" for t in self.texts],
             "codes": codes,
             "totals": np.bincount(own, times, len(codes)).astype(np.int64),
-            "own": own.astype(np.int32),
-            "times": times.astype(np.int32),
-            "stops": np.searchsorted(doc, np.arange(1, len(self.ids) + 1)).astype(np.int32),
+            "links": packed([np.diff(own, prepend=0), times, np.searchsorted(doc, np.arange(1, len(self.ids) + 1)), codes[codes < self.aligner.a.size]]),
         }
 
 
@@ -184,8 +198,8 @@ def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", tex
     """
     spark, ids = docs.sparkSession, docs.schema[id_col].dataType
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kinds = {"ids": None} | {f: "array<int>" for f in FIGURES} | {"groups_sha256": "array<string>", "codes": "array<long>", "totals": "array<long>", "own": "array<int>", "times": "array<int>", "stops": "array<int>"}
-    arrow = {"array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    kinds = {"ids": None} | {f: "array<int>" for f in FIGURES} | {"groups_sha256": "array<string>", "codes": "array<long>", "totals": "array<long>", "links": "binary"}
+    arrow = {"array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "binary": pa.binary()}
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = aligner(a_file, b_file), TaskContext.get().partitionId() << 32
@@ -229,16 +243,16 @@ def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", tex
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                one = {c: batch.column(c)[k].values for c in batch.schema.names if batch.column(c)[k].is_valid}
-                codes, own, times, stops = (one[c].to_numpy(zero_copy_only=False) for c in ("codes", "own", "times", "stops"))
-                plain = codes[codes < size]
+                one = {c: batch.column(c)[k].values for c in batch.schema.names if c != "links" and batch.column(c)[k].is_valid}
+                steps, times, stops, plain = unpacked(batch.column("links")[k].as_py())
+                own = np.cumsum(steps, dtype=np.int64)
                 n, top = of_a[0, plain], of_a[1, plain]
-                if len(plain) < len(codes):
+                if "n" in one:
                     n, top = (np.concatenate([x, one[c].to_numpy(zero_copy_only=False).astype(np.int64)]) for x, c in ((n, "n"), (top, "best")))
                 sums = [np.diff(np.concatenate([[0], np.cumsum(times * x[own])])[np.concatenate([[0], stops])]) for x in (top, n)]
                 columns = [one["ids"], *(one[f].cast(pa.int64()) for f in FIGURES), *(pa.array(x, pa.int64()) for x in sums), one["groups_sha256"]]
                 yield pa.record_batch(columns, ["id", *FIGURES, "n_best", "count_sum", "groups_sha256"])
 
-    rows = chunks.select("chunk", "ids", *FIGURES, "groups_sha256", "codes", "own", "times", "stops").join(met, "chunk", "left").drop("chunk")
+    rows = chunks.select("chunk", "ids", *FIGURES, "groups_sha256", "links").join(met, "chunk", "left").drop("chunk")
     out = rows.mapInArrow(told, f"id {ids.simpleString()}, " + ", ".join(f"{c} long" for c in (*FIGURES, "n_best", "count_sum")) + ", groups_sha256 string")
     return out.withColumnRenamed("id", id_col)

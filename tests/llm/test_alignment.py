@@ -105,3 +105,21 @@ def test_fuzzed_units(spark):
     rows = [(k, "".join(pick.choice(odd) for _ in range(pick.randint(1, 30)))) for k in range(1500)]
     docs = spark.createDataFrame([(i, t, "", 0) for i, t in rows], SCHEMA)
     assert rows_of(alignment.align(docs, A, B)) == sorted(brute(rows))
+
+
+def test_a_chunk_is_small(spark):
+    """Of a chunk's links the last step reads one compressed value, some bytes a link in place of eight and more."""
+    pick = random.Random(6)
+    word = ["the ", "ing ", "ñandú ", "on ", "stations ", "ti", "7", "\n", "zürich ", "''ll "]
+    known, texts = alignment.Aligner(A, B), ["".join(pick.choice(word) + pick.choice("abcdefgh") for _ in range(2000)) for _ in range(12)]
+    chunk = alignment.Chunk(known)
+    for k, t in enumerate(texts):
+        chunk.add(k, t)
+    row = chunk.row()
+    steps, times, stops, plain = alignment.unpacked(row["links"])
+    assert len(steps) == len(times) == stops[-1] and times.sum() == sum(row["n_links"]) == row["totals"].sum()
+    assert len(row["links"]) < 4 * len(steps) + 4 * len(plain) and (plain == row["codes"][row["codes"] < known.a.size]).all()
+    assert [list(x) for x in alignment.unpacked(alignment.packed([[], [-1, 2**31 - 1], [5]]))] == [[], [-1, 2**31 - 1], [5]]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "", 0) for i, t in rows], SCHEMA)
+    assert rows_of(alignment.align(docs, A, B)) == sorted(brute(rows))
